@@ -32,3 +32,37 @@ def global_rank(df: DataFrame, order_cols: list, name: str = "rn") -> DataFrame:
     return (mid.join(F.broadcast(offsets), "_pid")
             .withColumn(name, F.col("_off") + F.col("_pos") + 1)
             .drop("_mid", "_pid", "_pos", "_off"))
+
+
+def with_neighbour(df: DataFrame, key_cols: list, order_cols: list, value_cols: list,
+                   offset: int = 1, prefix: str = "prev_") -> DataFrame:
+    """``lag`` (offset 1) or ``lead`` (offset -1) of ``value_cols`` within
+    ``key_cols`` in ``order_cols`` order, without a window partitioned by key.
+
+    Rows are globally ranked by (key, order); the neighbour is the row whose
+    rank differs by ``offset`` and has the same key.  The join is an
+    equi-join on a unique rank, so a key holding a third of the rows is
+    spread over many tasks instead of one window partition.
+    """
+    ranked = global_rank(df, list(key_cols) + list(order_cols), "_rn")
+    other = ranked.select((F.col("_rn") + offset).alias("_rn"),
+                          *[F.col(k).alias(f"_nk_{k}") for k in key_cols],
+                          *[F.col(c).alias(f"_nv_{c}") for c in value_cols])
+    out = ranked.join(other, "_rn", "left")
+    same = None
+    for k in key_cols:
+        cond = F.col(k).eqNullSafe(F.col(f"_nk_{k}"))
+        same = cond if same is None else same & cond
+    out = out.withColumns({f"{prefix}{c}": F.when(same, F.col(f"_nv_{c}")) for c in value_cols})
+    return out.drop("_rn", *[f"_nk_{k}" for k in key_cols], *[f"_nv_{c}" for c in value_cols])
+
+
+def rank_within(df: DataFrame, key_cols: list, order_cols: list, name: str = "pos") -> DataFrame:
+    """1-based position inside each key in ``order_cols`` order (``row_number``)
+    computed from the global rank minus the key's first rank; the per-key
+    minimum is a partial aggregate, so hot keys never sit in one task."""
+    ranked = global_rank(df, list(key_cols) + list(order_cols), "_rn")
+    first = ranked.groupBy(*key_cols).agg(F.min("_rn").alias("_first"))
+    return (ranked.join(first, list(key_cols))
+            .withColumn(name, F.col("_rn") - F.col("_first") + 1)
+            .drop("_rn", "_first"))

@@ -78,7 +78,7 @@ rich_events AS (SELECT e.order_id, e.seq, e.event_id, e.event_type, e.customer_i
 FROM order_events e LEFT JOIN order_items i ON e.order_id=i.order_id)
 """
 
-ORDERS_MODEL = ORDER_ITEMS + """,
+ORDERS_MODEL_BODY = """
 orders_model AS (SELECT o.o_orderkey AS id, o.o_custkey AS customer_id,
   CAST(o.o_totalprice AS DECIMAL(19,2)) AS total_amount,
   CASE o.o_orderkey%3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'GBP' END AS currency,
@@ -90,6 +90,7 @@ orders_model AS (SELECT o.o_orderkey AS id, o.o_custkey AS customer_id,
   o.o_orderdate AS created_at, o.o_orderdate + INTERVAL 1 DAY AS updated_at
 FROM orders o LEFT JOIN order_items i ON o.o_orderkey=i.order_id)
 """
+ORDERS_MODEL = ORDER_ITEMS + "," + ORDERS_MODEL_BODY
 
 CALL_LOG = """
 call_log AS (SELECT event_id AS id, event_type AS target, ts, value > 100 AS failed,
