@@ -78,4 +78,4 @@ def all_queries() -> dict[str, Query]:
     return dict(REGISTRY)
 
 
-_OPTIONAL: list[str] = ["q_lifecycle", "q_projection"]
+_OPTIONAL: list[str] = ["q_lifecycle", "q_projection", "q_codec"]

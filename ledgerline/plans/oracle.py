@@ -100,3 +100,18 @@ call_log AS (SELECT event_id AS id, event_type AS target, ts, value > 100 AS fai
 
 def with_(*ctes: str) -> str:
     return "WITH " + ",".join(c.strip() for c in ctes) + "\n"
+
+# Source fields of the typed payloads (the oracle reads them directly, not
+# through JSON, so decode is checked against the values that were encoded).
+TYPED_SRC = """
+typed_src AS (SELECT event_id AS id, ts, user_id, value,
+  CAST(json_extract(props, '$.k') AS BIGINT) AS k,
+  CASE event_type WHEN 'purchase' THEN 'OrderCreated' WHEN 'click' THEN 'PaymentProcessed'
+                  WHEN 'view' THEN 'InventoryUpdated' WHEN 'signup' THEN 'UserRegistered'
+                  ELSE 'Mystery' END AS event_type,
+  CASE WHEN event_id%50=0 THEN '3' WHEN event_id%5=0 THEN '2' ELSE '1.0' END AS version,
+  event_id%101=0 AS broken,
+  event_id%2=0 AS has_props,
+  CASE event_id%3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'GBP' END AS currency
+FROM events)
+"""

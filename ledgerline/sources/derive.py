@@ -160,3 +160,70 @@ def publish_outcomes(outbox: DataFrame) -> DataFrame:
     """Outcomes of one publish attempt per event row: ``(id, ok, error)``."""
     ok = F.col("id") % 10 != 0
     return outbox.select("id", ok.alias("ok"), F.when(~ok, F.lit("timeout")).alias("error"))
+
+
+# Enumerations used when typed payloads are derived from events.
+PAYMENT_METHODS = ("CARD", "PAYPAL", "BANK")
+COUNTRIES = ("US", "DE", "GB", "FR")
+REGISTRATION_SOURCES = ("WEB", "MOBILE", "API")
+
+
+def _pick(col, values):
+    m = F.pmod(col, F.lit(len(values)))
+    out = F.when(m == 0, F.lit(values[0]))
+    for i, v in enumerate(values[1:], start=1):
+        out = out.when(m == i, F.lit(v))
+    return out
+
+
+def typed_events(events: DataFrame) -> DataFrame:
+    """Typed JSON payloads (X05) for driver events, with message properties.
+
+    ``payload`` is the serialised typed event; every 101st event carries a
+    broken body, every 50th an unsupported schema version ``3`` and every 5th
+    version ``2``.  Even ids carry message properties (``eventType``,
+    ``retryCount``); odd ids carry none, as the publisher sends a bare body.
+    """
+    from ..functions.codec import serialise
+    eid = F.col("event_id")
+    k = F.from_json(F.col("props"), "k BIGINT")["k"]
+    et = _case_map(F.col("event_type"), EVENT_TYPE_MAP, UNKNOWN_EVENT_TYPE)
+    version = F.when(eid % 50 == 0, F.lit("3")).when(eid % 5 == 0, F.lit("2")).otherwise(F.lit("1.0"))
+    user = F.concat(F.lit("user-"), F.col("user_id").cast("string"))
+    common = [F.concat(F.lit("evt-"), eid.cast("string")).alias("eventId"), et.alias("eventType"),
+              F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("occurredAt"), version.alias("version"),
+              F.floor(eid / 7).cast("string").alias("correlationId")]
+    currency = _pick(eid, CURRENCIES)
+    order = serialise(*common, F.concat(F.lit("order-"), k.cast("string")).alias("orderId"),
+                      user.alias("customerId"), F.col("value").alias("totalAmount"),
+                      currency.alias("currency"), (F.pmod(k, F.lit(5)) + 1).cast("int").alias("itemCount"),
+                      F.concat(F.col("user_id").cast("string"), F.lit(" Test Lane")).alias("shippingAddress"),
+                      F.lit("CREATED").alias("orderStatus"))
+    payment = serialise(*common, F.concat(F.lit("pay-"), eid.cast("string")).alias("paymentId"),
+                        F.concat(F.lit("order-"), k.cast("string")).alias("orderId"), user.alias("customerId"),
+                        F.col("value").alias("amount"), currency.alias("currency"),
+                        _pick(eid, PAYMENT_METHODS).alias("paymentMethod"),
+                        F.concat(F.lit("tx-"), eid.cast("string")).alias("transactionId"),
+                        F.when(F.col("value") > 100, "FAILED").otherwise("SUCCESS").alias("paymentStatus"))
+    change = F.when(eid % 50 == 0, -k + 1).otherwise(-k)
+    inventory = serialise(*common, F.concat(F.lit("prod-"), k.cast("string")).alias("productId"),
+                          F.concat(F.lit("SKU-"), k.cast("string")).alias("sku"),
+                          F.lit(500).alias("previousQuantity"), (F.lit(500) - k).cast("int").alias("newQuantity"),
+                          change.cast("int").alias("quantityChange"),
+                          F.concat(F.lit("wh-"), F.pmod(F.col("user_id"), F.lit(4)).cast("string")).alias("warehouseId"),
+                          F.lit("SALE").alias("updateReason"))
+    user_reg = serialise(*common, user.alias("userId"),
+                         F.concat(F.lit("user"), F.col("user_id").cast("string"), F.lit("@example.com")).alias("email"),
+                         F.concat(F.lit("First"), F.col("user_id").cast("string")).alias("firstName"),
+                         F.concat(F.lit("Last"), F.col("user_id").cast("string")).alias("lastName"),
+                         _pick(F.col("user_id"), COUNTRIES).alias("country"),
+                         _pick(eid, REGISTRATION_SOURCES).alias("registrationSource"),
+                         (eid % 2 == 0).alias("emailVerified"))
+    payload = (F.when(eid % 101 == 0, F.concat(F.lit("{"), F.col("props")))
+               .when(et == S.ORDER_CREATED, order).when(et == S.PAYMENT_PROCESSED, payment)
+               .when(et == S.INVENTORY_UPDATED, inventory).when(et == S.USER_REGISTERED, user_reg)
+               .otherwise(F.col("props")))
+    props = F.when(eid % 2 == 0, F.create_map(F.lit("eventType"), et, F.lit("retryCount"),
+                                              (eid % 4).cast("string")))
+    return events.select(eid.alias("id"), F.col("ts"), et.alias("event_type"), payload.alias("payload"),
+                         props.alias("properties"), F.col("user_id"))
