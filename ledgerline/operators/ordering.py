@@ -66,3 +66,58 @@ def rank_within(df: DataFrame, key_cols: list, order_cols: list, name: str = "po
     return (ranked.join(first, list(key_cols))
             .withColumn(name, F.col("_rn") - F.col("_first") + 1)
             .drop("_rn", "_first"))
+
+
+def exact_quantiles(df: DataFrame, col: str, probs: list, prefix: str = "p") -> DataFrame:
+    """Exact continuous quantiles (linear interpolation between the ranks
+    ``floor((n-1)p)`` and ``ceil((n-1)p)``, as SQL ``percentile_cont``).
+
+    Values are ranked by a distributed sort; only the rows at the wanted
+    ranks (two per probability, a bounded table that is broadcast) are kept.
+    No aggregation buffer holds all values, unlike ``percentile``.
+    Returns one row with a column ``{prefix}{int(p*100)}`` per probability.
+    """
+    vals = df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    ranked = global_rank(vals, ["_v"], "_rn")
+    n = vals.agg(F.count(F.lit(1)).alias("_n"))
+    targets = (n.select("_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("_p"))
+               .withColumn("_h", (F.col("_n") - 1) * F.col("_p"))
+               .withColumn("_lo", F.floor("_h").cast("bigint") + 1)
+               .withColumn("_hi", F.ceil("_h").cast("bigint") + 1)
+               .withColumn("_f", F.col("_h") - F.floor("_h")))
+    picks = (targets.select("_p", "_f", F.explode(F.array(
+        F.struct(F.lit("lo").alias("side"), F.col("_lo").alias("_rn")),
+        F.struct(F.lit("hi").alias("side"), F.col("_hi").alias("_rn")))).alias("_t"))
+        .select("_p", "_f", "_t.side", "_t._rn"))
+    hit = ranked.join(F.broadcast(picks), "_rn")
+    per_p = (hit.groupBy("_p", "_f")
+             .agg(F.max(F.when(F.col("side") == "lo", F.col("_v"))).alias("_vlo"),
+                  F.max(F.when(F.col("side") == "hi", F.col("_v"))).alias("_vhi"))
+             .withColumn("_q", F.col("_vlo") + F.col("_f") * (F.col("_vhi") - F.col("_vlo"))))
+    return per_p.agg(*[F.max(F.when(F.col("_p") == float(p), F.col("_q"))).alias(f"{prefix}{int(round(p * 100))}")
+                       for p in probs])
+
+
+def running_sum(df: DataFrame, key_cols: list, order_cols: list, value_col: str,
+                name: str = "running") -> DataFrame:
+    """Running sum of ``value_col`` within ``key_cols`` in ``order_cols`` order
+    (a cumulative window) computed as a distributed prefix sum.
+
+    Rows are range-sorted by (key, order); each sorted partition sums its own
+    rows, and the carry-in of a key from earlier partitions comes from a table
+    with one row per (partition, key) — so a key spanning many partitions is
+    summed by many tasks instead of one window partition.
+    """
+    order = list(key_cols) + list(order_cols)
+    mid = (df.orderBy(*order)
+           .withColumn("_mid", F.monotonically_increasing_id())
+           .withColumn("_pid", F.shiftright("_mid", _LOW_BITS)))
+    local_w = (Window.partitionBy("_pid", *key_cols).orderBy("_mid")
+               .rowsBetween(Window.unboundedPreceding, 0))
+    local = mid.withColumn("_local", F.sum(value_col).over(local_w))
+    per = mid.groupBy("_pid", *key_cols).agg(F.sum(value_col).alias("_s"))
+    carry_w = Window.partitionBy(*key_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carry = per.select("_pid", *key_cols, F.coalesce(F.sum("_s").over(carry_w), F.lit(0)).alias("_carry"))
+    return (local.join(carry, ["_pid", *key_cols])
+            .withColumn(name, F.col("_local") + F.col("_carry"))
+            .drop("_mid", "_pid", "_local", "_carry"))
