@@ -115,3 +115,14 @@ typed_src AS (SELECT event_id AS id, ts, user_id, value,
   CASE event_id%3 WHEN 0 THEN 'USD' WHEN 1 THEN 'EUR' ELSE 'GBP' END AS currency
 FROM events)
 """
+
+SAGA_EVENTS = """
+saga_events AS (
+SELECT o_orderkey AS order_id, 'OrderCreated' AS event_type, o_orderdate AS ts FROM orders
+UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN 'InventoryReserved'
+  ELSE 'InventoryReservationFailed' END, o_orderdate + INTERVAL 1 HOUR FROM orders
+UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN 'PaymentProcessed' ELSE 'PaymentFailed' END,
+  o_orderdate + INTERVAL 2 HOUR FROM orders WHERE o_orderkey % 7 <> 0
+UNION ALL SELECT o_orderkey, 'OrderConfirmed', o_orderdate + INTERVAL 3 HOUR FROM orders
+  WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 AND o_orderstatus = 'F')
+"""

@@ -227,3 +227,25 @@ def typed_events(events: DataFrame) -> DataFrame:
                                               (eid % 4).cast("string")))
     return events.select(eid.alias("id"), F.col("ts"), et.alias("event_type"), payload.alias("payload"),
                          props.alias("properties"), F.col("user_id"))
+
+
+# Saga step events.
+SAGA_STEPS = {"OrderCreated": 0, "InventoryReserved": 1, "PaymentProcessed": 2, "OrderConfirmed": 3}
+SAGA_FAILURES = ("InventoryReservationFailed", "PaymentFailed")
+
+
+def saga_events(orders: DataFrame) -> DataFrame:
+    """Choreographed saga steps per order: created; inventory reserved (fails
+    every 7th order); payment processed one hour later (fails every 5th of
+    the rest); confirmed for finished orders."""
+    k, t0 = F.col("o_orderkey"), F.col("o_orderdate")
+    at = lambda h: plus_seconds(t0, h * 3600)
+    inv_ok, pay_ok = k % 7 != 0, k % 5 != 0
+    created = orders.select(k.alias("order_id"), F.lit("OrderCreated").alias("event_type"), t0.alias("ts"))
+    inventory = orders.select(k, F.when(inv_ok, F.lit("InventoryReserved"))
+                              .otherwise(F.lit("InventoryReservationFailed")), at(1))
+    payment = orders.where(inv_ok).select(k, F.when(pay_ok, F.lit("PaymentProcessed"))
+                                          .otherwise(F.lit("PaymentFailed")), at(2))
+    confirmed = orders.where(inv_ok & pay_ok & (F.col("o_orderstatus") == "F")).select(
+        k, F.lit("OrderConfirmed"), at(3))
+    return created.unionAll(inventory).unionAll(payment).unionAll(confirmed)
