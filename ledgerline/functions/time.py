@@ -46,3 +46,22 @@ def backoff_seconds(retry_count) -> Column:
 def capped_backoff_ms(attempt, base_ms: int = 1000, cap_ms: int = 30000) -> Column:
     """Exponential policy ``min(base * 2^attempt, cap)`` in milliseconds."""
     return F.least(F.lit(base_ms) * F.pow(F.lit(2), attempt), F.lit(cap_ms)).cast("bigint")
+
+
+_EPOCH = "1970-01-01 00:00:00"
+
+
+def ntz_micros(col) -> Column:
+    """Microseconds since 1970-01-01 of a ``timestamp_ntz`` (no zone involved)."""
+    return F.timestamp_diff("MICROSECOND", ts(_EPOCH), ts(col))
+
+
+def as_instant(col) -> Column:
+    """A ``timestamp_ntz`` read as UTC, as a ``timestamp`` (for watermarks),
+    independent of the session time zone."""
+    return F.timestamp_micros(ntz_micros(col))
+
+
+def as_ntz(col) -> Column:
+    """Inverse of ``as_instant``: a ``timestamp`` back to UTC wall time."""
+    return F.timestamp_add("MICROSECOND", F.unix_micros(col), ts(_EPOCH))

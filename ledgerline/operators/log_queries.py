@@ -177,3 +177,17 @@ def duplicate_rate(df: DataFrame, key: str) -> DataFrame:
             .withColumn("duplicates", F.col("rows") - F.col("distinct_keys"))
             .withColumn("duplicate_rate",
                         F.round(F.col("duplicates") / F.col("rows"), 6)))
+
+
+def status_report(log: DataFrame) -> DataFrame:
+    """A01 + A04 in one pass: zero-filled count per status with the health
+    class on every row (one global partial aggregate, unpivoted; no join)."""
+    counts = log.agg(*[F.count_if(F.col("status") == s).alias(s) for s in S.STATUSES])
+    p, f, d = F.col(S.PENDING), F.col(S.FAILED), F.col(S.DEAD_LETTER)
+    cls = (F.when((p > UNHEALTHY["pending"]) | (d > UNHEALTHY["dead"]) | (f > UNHEALTHY["failed"]),
+                  "UNHEALTHY")
+           .when((p > DEGRADED["pending"]) | (d > DEGRADED["dead"]) | (f > DEGRADED["failed"]), "DEGRADED")
+           .otherwise("HEALTHY"))
+    pairs = ", ".join(f"'{s}', `{s}`" for s in S.STATUSES)
+    return (counts.withColumn("health", cls)
+            .selectExpr(f"stack({len(S.STATUSES)}, {pairs}) AS (status, n)", "health"))

@@ -200,7 +200,8 @@ def sustained_breaches(rates: DataFrame, threshold: float, slide_minutes: int =
     the rank is the distributed global rank, the island start a grouped min.
     """
     from .ordering import global_rank
-    step = (F.unix_micros(F.col("window_start").cast("timestamp")) / (slide_minutes * 60_000_000)).cast("bigint")
+    from ..functions.time import ntz_micros
+    step = F.floor(ntz_micros(F.col("window_start")) / (slide_minutes * 60_000_000)).cast("bigint")
     b = rates.where(F.col("rate") > threshold).withColumn("k", step)
     r = global_rank(b, ["k"], "_rn").withColumn("island", F.col("k") - F.col("_rn"))
     first = r.groupBy("island").agg(F.min("k").alias("_k0"))

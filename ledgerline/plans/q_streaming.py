@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.time import plus_seconds, ts
+from ..functions.time import as_instant, as_ntz, plus_seconds, ts
 from ..sources import derive
 from ..streaming import jobs as J
 from ..streaming import stateful as ST
@@ -44,11 +44,11 @@ def r03(spark, sf_dir):
                .when((F.col("seq") == 2) & (F.col("order_id") % 5 == 0),
                      plus_seconds(F.col("occurred_at"), -2 * 86400))
                .otherwise(F.col("occurred_at")))
-    staged = ev.withColumn("arrival_ts", arrival.cast("timestamp"))
+    staged = ev.withColumn("arrival_ts", as_instant(arrival))
     sentinel = staged.limit(1).select(
         *[F.lit(-1).cast("bigint").alias("order_id") if f == "order_id"
           else F.lit("Sentinel").alias("event_type") if f == "event_type"
-          else ts(SENTINEL_TS).cast("timestamp").alias("arrival_ts") if f == "arrival_ts"
+          else as_instant(ts(SENTINEL_TS)).alias("arrival_ts") if f == "arrival_ts"
           else F.col(f) for f in staged.columns])
     run, schema = _stage(c, staged.unionByName(sentinel), "r03", "arrival_ts")
     stream = read_event_stream(spark, f"{run}/in/*", schema)
@@ -67,10 +67,10 @@ WHERE event_type <> 'OrderCreated' AND NOT EXISTS
 def r03b(spark, sf_dir):
     """Buffered events whose Created never arrived, emitted on time-out."""
     c = Ctx(spark, sf_dir)
-    ev = c.rich_events.withColumn("arrival_ts", F.col("occurred_at").cast("timestamp"))
+    ev = c.rich_events.withColumn("arrival_ts", as_instant(F.col("occurred_at")))
     sentinel = ev.limit(1).select(*[F.lit(-1).cast("bigint").alias("order_id") if f == "order_id"
                                     else F.lit("Sentinel").alias("event_type") if f == "event_type"
-                                    else ts(SENTINEL_TS).cast("timestamp").alias("arrival_ts") if f == "arrival_ts"
+                                    else as_instant(ts(SENTINEL_TS)).alias("arrival_ts") if f == "arrival_ts"
                                     else F.col(f) for f in ev.columns])
     run, schema = _stage(c, ev.unionByName(sentinel), "r03b", "arrival_ts")
     stream = read_event_stream(spark, f"{run}/in/*", schema)
@@ -100,7 +100,7 @@ def r04(spark, sf_dir):
     """Every 13th event is delivered twice (one hour apart); the 7-day
     streaming dedup keeps one copy of each."""
     c = Ctx(spark, sf_dir)
-    log = c.outbox.select("id", "event_type", "status", F.col("created_at").cast("timestamp").alias("event_ts"))
+    log = c.outbox.select("id", "event_type", "status", as_instant(F.col("created_at")).alias("event_ts"))
     again = log.where(F.col("id") % 13 == 0).withColumn(
         "event_ts", F.col("event_ts") + F.expr("INTERVAL 1 HOUR"))
     run, schema = _stage(c, log.unionByName(again), "r04", "event_ts")
@@ -110,9 +110,9 @@ def r04(spark, sf_dir):
 
 
 def _log_stream_input(c: Ctx):
-    log = c.outbox.select("id", "status", F.col("created_at").cast("timestamp").alias("event_ts"))
+    log = c.outbox.select("id", "status", as_instant(F.col("created_at")).alias("event_ts"))
     sentinel = log.limit(1).select(F.lit(-1).cast("bigint").alias("id"), F.lit("Sentinel").alias("status"),
-                                   ts(SENTINEL_TS).cast("timestamp").alias("event_ts"))
+                                   as_instant(ts(SENTINEL_TS)).alias("event_ts"))
     return log.unionByName(sentinel)
 
 
@@ -127,8 +127,8 @@ def r05s(spark, sf_dir):
     stream = read_event_stream(spark, f"{run}/in/*", schema)
     run_to_parquet(J.per_minute_stream(stream), f"{run}/out", f"{run}/ckpt")
     out = read_output(spark, f"{run}/out")
-    return (out.where(F.col("window_start") < ts(SENTINEL_TS).cast("timestamp") - F.expr("INTERVAL 1 DAY"))
-            .select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "events", "failures"))
+    return (out.where(F.col("window_start") < as_instant(ts(SENTINEL_TS)) - F.expr("INTERVAL 1 DAY"))
+            .select(as_ntz(F.col("window_start")).alias("window_start"), "events", "failures"))
 
 
 @register("j11_streaming_match", """
@@ -138,9 +138,9 @@ LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c
 def j11s(spark, sf_dir):
     """Stream-stream left outer join of purchases with clicks within one hour."""
     c = Ctx(spark, sf_dir)
-    e = c.t("events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ets"))
+    e = c.t("events").select("event_id", "user_id", "event_type", as_instant(F.col("ts")).alias("ets"))
     sentinel = e.limit(1).select(F.lit(-1).cast("bigint").alias("event_id"), F.lit(-1).cast("bigint").alias("user_id"),
-                                 F.lit("sentinel").alias("event_type"), ts(SENTINEL_TS).cast("timestamp").alias("ets"))
+                                 F.lit("sentinel").alias("event_type"), as_instant(ts(SENTINEL_TS)).alias("ets"))
     run, schema = _stage(c, e.unionByName(sentinel), "j11", "ets")
     stream = read_event_stream(spark, f"{run}/in/*", schema)
     purchases = stream.where(F.col("event_type").isin("purchase", "sentinel")).select(
@@ -163,7 +163,7 @@ def r02(spark, sf_dir):
     """Consume -> decode -> route -> ack / retry / dead-letter with
     idempotent per-batch writes; the payment handler fails for amounts over 100."""
     c = Ctx(spark, sf_dir)
-    t = derive.typed_events(c.t("events")).withColumn("event_ts", F.col("ts").cast("timestamp"))
+    t = derive.typed_events(c.t("events")).withColumn("event_ts", as_instant(F.col("ts")))
     run, schema = _stage(c, t, "r02", "event_ts")
     stream = read_event_stream(spark, f"{run}/in/*", schema)
     amount = F.from_json(F.col("payload"), "amount DOUBLE")["amount"]

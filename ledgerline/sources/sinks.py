@@ -71,3 +71,29 @@ def publish_files(df: DataFrame, path: str, key_col: str, num_partitions: int) -
 def write_dead_letters(rows: DataFrame, path: str) -> None:
     """Append dead-letter records ``(payload, error, failed_at)``."""
     rows.select("payload", "error", "failed_at").write.mode("append").parquet(path)
+
+
+def status_group(status_col: str = "status") -> F.Column:
+    """Storage partition of an event row: ``active`` (still to deliver) or
+    ``done`` (published).  Polls, retries and stuck checks read only
+    ``active``; retention reads only ``done``."""
+    return F.when(F.col(status_col) == "PUBLISHED", F.lit("done")).otherwise(F.lit("active"))
+
+
+def write_event_log(log: DataFrame, base: str, version: int) -> str:
+    """S01 storage layout: a snapshot partitioned by ``status_group`` and
+    sorted by ``created_at`` inside each file, so status filters prune whole
+    partitions and time filters skip row groups by their statistics."""
+    path = f"{base.rstrip('/')}/v={version}"
+    (log.withColumn("status_group", status_group())
+     .repartition("status_group").sortWithinPartitions("created_at", "id")
+     .write.mode("overwrite").partitionBy("status_group").parquet(path))
+    return path
+
+
+def read_active(spark: SparkSession, path: str) -> DataFrame:
+    """The undelivered part of a stored log (partition-pruned read)."""
+    from ..schemas import EVENT_LOG
+    from pyspark.sql import types as T
+    schema = T.StructType(EVENT_LOG.fields + [T.StructField("status_group", T.StringType())])
+    return spark.read.schema(schema).parquet(path).where(F.col("status_group") == "active")

@@ -19,7 +19,9 @@ MAX_CONSUMER_RETRIES = 3
 
 
 def event_time(df: DataFrame, col: str = "ts", out: str = "event_ts") -> DataFrame:
-    return df.withColumn(out, F.col(col).cast("timestamp"))
+    """Event time as a ``timestamp`` (UTC reading of the ``timestamp_ntz``)."""
+    from ..functions.time import as_instant
+    return df.withColumn(out, as_instant(F.col(col)))
 
 
 def dedup_stream(stream: DataFrame, key: str = "id", ts_col: str = "event_ts",

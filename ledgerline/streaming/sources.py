@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.time import ntz_micros
+
 # The bus prefetch count used as the default per-trigger cap.
 PREFETCH = 300
 
@@ -43,7 +45,7 @@ def stage_in_order(df: DataFrame, path: str, ts_col: str, slices: int) -> list[s
     folder per slice, written one after another so the file source sees them
     in event-time order.  Slice bounds come from approximate quantiles of the
     event time (a distributed sketch); each slice is a filtered write."""
-    epoch = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    epoch = F.unix_micros(F.col(ts_col)) if dict(df.dtypes)[ts_col] == "timestamp" else ntz_micros(F.col(ts_col))
     with_e = df.withColumn("_e", epoch)
     cuts = with_e.approxQuantile("_e", [i / slices for i in range(1, slices)], 0.0) if slices > 1 else []
     bounds = [None] + cuts + [None]

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import schemas as S
+from ..functions.time import as_instant, ntz_micros, ts
 from ..operators.saga import COMPENSATION_BY_STEP, STATE_BY_STEP
 from ..sources.derive import SAGA_FAILURES, SAGA_STEPS
 
@@ -138,7 +139,7 @@ def project_stream(events: DataFrame, watermark: str = "1 day", timeout_us: int
     the delivery time used for the watermark and the time-out.
     """
     prepared = (events.withWatermark("arrival_ts", watermark)
-                .withColumn("occurred_us", F.unix_micros(F.col("occurred_at").cast("timestamp")))
+                .withColumn("occurred_us", ntz_micros(F.col("occurred_at")))
                 .withColumn("arrival_us", F.unix_micros("arrival_ts"))
                 .withColumn("correlation_id", F.col("correlation_id").cast("string")))
     cols = ["order_id", "seq", "event_type", "customer_id", "total_amount", "currency", "item_count",
@@ -155,7 +156,8 @@ def latest_rows(emitted: DataFrame) -> DataFrame:
     cols = [c for c in rows.columns if c not in ("order_id", "version", "kind", "seq", "event_type")]
     g = rows.groupBy("order_id").agg(F.max_by(F.struct(*cols), F.col("version")).alias("_r"))
     return g.select("order_id", *[F.col("_r")[c].alias(c) for c in cols]).withColumn(
-        "created_at", F.timestamp_micros(F.col("created_us")).cast("timestamp_ntz")).drop("created_us")
+        "created_at", F.timestamp_add("MICROSECOND", F.col("created_us"), ts("1970-01-01 00:00:00"))
+    ).drop("created_us")
 
 
 SAGA_OUT = ("order_id long, version int, state string, reached int, compensation string, "
@@ -203,7 +205,7 @@ def _saga_fn(timeout_us: int):
 def saga_stream(events: DataFrame, watermark: str = "1 hour", timeout_hours: int = 2) -> DataFrame:
     """Saga state per order as events stream in; an order with no
     next step within ``timeout_hours`` of event time is emitted ``timed_out``."""
-    prepared = (events.withColumn("event_ts", F.col("ts").cast("timestamp"))
+    prepared = (events.withColumn("event_ts", as_instant(F.col("ts")))
                 .withWatermark("event_ts", watermark)
                 .withColumn("ts_us", F.unix_micros("event_ts")))
     return (prepared.select("order_id", "event_type", "ts_us", "event_ts").groupBy("order_id")

@@ -57,7 +57,9 @@ def rows_key(cols, rows):
 def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 and sys.argv[1].startswith("/") else "/root/testdata/sf0.01"
     pats = [a for a in sys.argv[1:] if not a.startswith("/")]
-    spark = get_session("local[8]", shuffle_partitions=8)
+    tz = os.environ.get("SESSION_TZ")
+    spark = get_session("local[8]", shuffle_partitions=8,
+                        extra={"spark.sql.session.timeZone": tz} if tz else None)
     con = duckdb.connect()
     for t in DRIVER_TABLES:
         p = f"{sf_dir}/{t}.parquet"

@@ -78,3 +78,19 @@ def test_claim_broadcasts_only_bounded_batch(spark):
     plan = M.claim(log, poll_batch(log, NOW, limit=3), NOW)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" in plan
     assert M.claim(log, poll_batch(log, NOW, limit=3), NOW).where(F.col("status") == S.PROCESSING).count() == 3
+
+
+def test_stored_log_prunes_to_active_partition(spark):
+    from ledgerline.session import scratch_path
+    from ledgerline.sources.derive import outbox_from_events
+    from ledgerline.sources.sinks import read_active, write_event_log
+    from ledgerline.sources.tables import table
+
+    from .conftest import SF_SMALL
+    log = outbox_from_events(table(spark, SF_SMALL, "events"))
+    path = write_event_log(log, scratch_path(spark, "log-test"), 1)
+    active = read_active(spark, path)
+    plan = active._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(status_group" in plan
+    batch = poll_batch(active.drop("status_group"), NOW)
+    assert [r.id for r in batch.collect()] == [r.id for r in poll_batch(log, NOW).collect()]
