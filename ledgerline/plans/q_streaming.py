@@ -172,3 +172,72 @@ def r02(spark, sf_dir):
     parts = [read_output(spark, f"{run}/out/{o}") for o in ("ack", "retry", "dead_letter")]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return out.select("id", "route", "outcome")
+
+
+@register("r06_streaming_sliding", with_(OUTBOX).rstrip() + """,
+sw AS (SELECT date_trunc('minute', created_at) - INTERVAL 1 MINUTE * o AS window_start,
+  CAST(count(*) AS BIGINT) AS n,
+  CAST(count(*) FILTER (WHERE status IN ('FAILED','DEAD_LETTER')) AS BIGINT) AS f,
+  round(count(*) FILTER (WHERE status IN ('FAILED','DEAD_LETTER')) / count(*), 6) AS rate
+  FROM outbox, (SELECT unnest([0, 1, 2, 3, 4]) AS o) GROUP BY 1)
+SELECT window_start, n, f, rate FROM sw""")
+def r06s(spark, sf_dir):
+    """Failure rate over 5-minute windows sliding by 1 minute, streaming."""
+    c = Ctx(spark, sf_dir)
+    run, schema = _stage(c, _log_stream_input(c), "r06", "event_ts")
+    stream = read_event_stream(spark, f"{run}/in/*", schema)
+    run_to_parquet(J.sliding_rate_stream(stream), f"{run}/out", f"{run}/ckpt")
+    out = read_output(spark, f"{run}/out")
+    return (out.where(F.col("window_start") < as_instant(ts("2099-01-01 00:00:00")))
+            .select(as_ntz(F.col("window_start")).alias("window_start"), "n", "f", "rate"))
+
+
+@register("s12_fan_out", with_(OUTBOX) + """
+SELECT 'alerts' AS subscriber, CAST(count(*) FILTER (WHERE status IN ('FAILED','DEAD_LETTER')) AS BIGINT) AS n
+FROM outbox
+UNION ALL SELECT 'audit', CAST(count(*) AS BIGINT) FROM outbox
+UNION ALL SELECT 'orders', CAST(count(*) FILTER (WHERE event_type = 'OrderCreated') AS BIGINT) FROM outbox""")
+def s12(spark, sf_dir):
+    """One stream fanned out to three subscribers (alerts, audit, orders)."""
+    c = Ctx(spark, sf_dir)
+    log = c.outbox.select("id", "status", "event_type", as_instant(F.col("created_at")).alias("event_ts"))
+    run, schema = _stage(c, log, "s12", "event_ts")
+    stream = read_event_stream(spark, f"{run}/in/*", schema)
+    subs = {"alerts": F.col("status").isin("FAILED", "DEAD_LETTER"), "audit": F.lit(True),
+            "orders": F.col("event_type") == "OrderCreated"}
+    run_foreach(stream, J.fan_out_writer(f"{run}/out", subs), f"{run}/ckpt")
+    parts = [read_output(spark, f"{run}/out/{name}").agg(F.count(F.lit(1)).alias("n"))
+             .select(F.lit(name).alias("subscriber"), "n") for name in subs]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@register("s10_stream_progress", "SELECT CAST(count(*) AS BIGINT) AS input_rows FROM events")
+def s10(spark, sf_dir):
+    """Progress reports of a drained stream (rows read across micro-batches)."""
+    from ..streaming.sources import progress_frame
+    c = Ctx(spark, sf_dir)
+    e = c.t("events").select("event_id", as_instant(F.col("ts")).alias("event_ts"))
+    run, schema = _stage(c, e, "s10", "event_ts")
+    stream = read_event_stream(spark, f"{run}/in/*", schema)
+    q = run_to_parquet(stream, f"{run}/out", f"{run}/ckpt")
+    return progress_frame(spark, q).agg(F.sum("input_rows").cast("bigint").alias("input_rows"))
+
+
+@register("r10_late_data")
+def r10(spark, sf_dir):
+    """Every 50th event is redelivered three days late as a new event;
+    rows older than the previous batches' high-water mark minus one hour are
+    counted and diverted.  Stateful across batches: rows-only check."""
+    c = Ctx(spark, sf_dir)
+    log = c.outbox.select("id", "status", as_instant(F.col("created_at")).alias("event_ts"))
+    late = (c.outbox.where(F.col("id") % 50 == 0)
+            .select((F.col("id") + 1_000_000_000).alias("id"), "status",
+                    as_instant(F.col("created_at")).alias("event_ts"),
+                    as_instant(plus_seconds(F.col("created_at"), 3 * 86400)).alias("arrival_ts")))
+    staged = log.withColumn("arrival_ts", F.col("event_ts")).unionByName(late)
+    run, schema = _stage(c, staged, "r10", "arrival_ts")
+    stream = read_event_stream(spark, f"{run}/in/*", schema)
+    run_foreach(stream, J.late_data_writer(f"{run}/out", allowed_lateness_s=3600), f"{run}/ckpt")
+    late_rows = read_output(spark, f"{run}/out/late").select("id", F.lit(True).alias("late"))
+    on_time = read_output(spark, f"{run}/out/on_time").select("id", F.lit(False).alias("late"))
+    return late_rows.unionByName(on_time)
