@@ -19,16 +19,20 @@ _LOW_BITS = 33
 def global_rank(df: DataFrame, order_cols: list, name: str = "rn") -> DataFrame:
     """Add ``name`` = 1-based position of each row in ``order_cols`` order.
 
-    ``order_cols`` must be a total order (end with a unique id) so that a
-    recomputed partition yields the same numbers after an executor loss.
+    One range-partitioning shuffle is read twice (Spark reuses the exchange):
+    once unsorted to count rows per partition, once sorted to number rows
+    inside each partition.  ``order_cols`` must be a total order (end with a
+    unique id) so that a recomputed partition yields the same numbers after an
+    executor loss.
     """
-    mid = (df.orderBy(*order_cols)
-           .withColumn("_mid", F.monotonically_increasing_id())
-           .withColumn("_pid", F.shiftright("_mid", _LOW_BITS))
-           .withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid"), _LOW_BITS)))
-    per_part = mid.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = df.repartitionByRange(*order_cols)
+    per_part = ranged.groupBy(F.spark_partition_id().alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    mid = (ranged.sortWithinPartitions(*order_cols)
+           .withColumn("_mid", F.monotonically_increasing_id())
+           .withColumn("_pid", F.shiftright("_mid", _LOW_BITS).cast("int"))
+           .withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), _LOW_BITS)))
     return (mid.join(F.broadcast(offsets), "_pid")
             .withColumn(name, F.col("_off") + F.col("_pos") + 1)
             .drop("_mid", "_pid", "_pos", "_off"))
