@@ -17,7 +17,13 @@ _LOW_BITS = 33
 
 
 def global_rank(df: DataFrame, order_cols: list, name: str = "rn") -> DataFrame:
-    """Add ``name`` = 1-based position of each row in ``order_cols`` order.
+    """Add ``name`` = 1-based position of each row in ``order_cols`` order."""
+    return global_rank_and_counts(df, order_cols, name)[0]
+
+
+def global_rank_and_counts(df: DataFrame, order_cols: list, name: str = "rn"):
+    """``global_rank`` plus the per-partition row counts (``_pid``, ``_n``);
+    their sum is the row count, obtained without another pass over ``df``.
 
     One range-partitioning shuffle is read twice (Spark reuses the exchange):
     once unsorted to count rows per partition, once sorted to number rows
@@ -33,9 +39,10 @@ def global_rank(df: DataFrame, order_cols: list, name: str = "rn") -> DataFrame:
            .withColumn("_mid", F.monotonically_increasing_id())
            .withColumn("_pid", F.shiftright("_mid", _LOW_BITS).cast("int"))
            .withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), _LOW_BITS)))
-    return (mid.join(F.broadcast(offsets), "_pid")
-            .withColumn(name, F.col("_off") + F.col("_pos") + 1)
-            .drop("_mid", "_pid", "_pos", "_off"))
+    ranked = (mid.join(F.broadcast(offsets), "_pid")
+              .withColumn(name, F.col("_off") + F.col("_pos") + 1)
+              .drop("_mid", "_pid", "_pos", "_off"))
+    return ranked, per_part
 
 
 def with_neighbour(df: DataFrame, key_cols: list, order_cols: list, value_cols: list,
@@ -72,7 +79,8 @@ def rank_within(df: DataFrame, key_cols: list, order_cols: list, name: str = "po
             .drop("_rn", "_first"))
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list, prefix: str = "p") -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, probs: list, prefix: str = "p",
+                    with_count: bool = False) -> DataFrame:
     """Exact continuous quantiles (linear interpolation between the ranks
     ``floor((n-1)p)`` and ``ceil((n-1)p)``, as SQL ``percentile_cont``).
 
@@ -82,8 +90,8 @@ def exact_quantiles(df: DataFrame, col: str, probs: list, prefix: str = "p") ->
     Returns one row with a column ``{prefix}{int(p*100)}`` per probability.
     """
     vals = df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    ranked = global_rank(vals, ["_v"], "_rn")
-    n = vals.agg(F.count(F.lit(1)).alias("_n"))
+    ranked, per_part = global_rank_and_counts(vals, ["_v"], "_rn")
+    n = per_part.agg(F.sum("_n").alias("_n"))
     targets = (n.select("_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("_p"))
                .withColumn("_h", (F.col("_n") - 1) * F.col("_p"))
                .withColumn("_lo", F.floor("_h").cast("bigint") + 1)
@@ -98,8 +106,12 @@ def exact_quantiles(df: DataFrame, col: str, probs: list, prefix: str = "p") ->
              .agg(F.max(F.when(F.col("side") == "lo", F.col("_v"))).alias("_vlo"),
                   F.max(F.when(F.col("side") == "hi", F.col("_v"))).alias("_vhi"))
              .withColumn("_q", F.col("_vlo") + F.col("_f") * (F.col("_vhi") - F.col("_vlo"))))
-    return per_p.agg(*[F.max(F.when(F.col("_p") == float(p), F.col("_q"))).alias(f"{prefix}{int(round(p * 100))}")
-                       for p in probs])
+    out = per_p.agg(*[F.max(F.when(F.col("_p") == float(p), F.col("_q"))).alias(f"{prefix}{int(round(p * 100))}")
+                      for p in probs])
+    if with_count:
+        out = out.withColumn("_one", F.lit(1)).join(F.broadcast(n.withColumn("_one", F.lit(1))), "_one") \
+            .drop("_one").withColumnRenamed("_n", "n")
+    return out
 
 
 def running_sum(df: DataFrame, key_cols: list, order_cols: list, value_col: str,

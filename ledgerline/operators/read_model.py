@@ -66,7 +66,5 @@ def projection_lag(events: DataFrame, model: DataFrame) -> DataFrame:
     s = (created.join(model.select("order_id", "projected_at"), "order_id")
          .select(F.timestamp_diff("SECOND", F.col("occurred_at"), F.col("projected_at")).alias("s")))
     from .ordering import exact_quantiles
-    q = exact_quantiles(s, "s", [0.5, 0.95, 0.99])
-    n = s.agg(F.count(F.lit(1)).alias("n"))
-    return (q.select(*[F.round(c, 6).alias(c) for c in q.columns]).withColumn("_one", F.lit(1))
-            .join(n.withColumn("_one", F.lit(1)), "_one").drop("_one"))
+    q = exact_quantiles(s, "s", [0.5, 0.95, 0.99], with_count=True)
+    return q.select(*[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")], "n")
