@@ -16,7 +16,7 @@ from ..functions.time import as_instant, as_ntz, plus_seconds, ts
 from ..sources import derive
 from ..streaming import jobs as J
 from ..streaming import stateful as ST
-from ..streaming.runner import new_run_dir, read_output, run_foreach, run_to_parquet
+from ..streaming.runner import default_state_partitions, new_run_dir, read_output, run_foreach, run_to_parquet
 from ..streaming.sources import read_event_stream, stage_in_order
 from .catalog import Ctx, register
 from .oracle import ORDER_EVENTS, OUTBOX, SAGA_EVENTS, TYPED_SRC, with_
@@ -52,7 +52,8 @@ def r03(spark, sf_dir):
           else F.col(f) for f in staged.columns])
     run, schema = _stage(c, staged.unionByName(sentinel), "r03", "arrival_ts")
     stream = read_event_stream(spark, f"{run}/in/*", schema)
-    run_to_parquet(ST.project_stream(stream), f"{run}/out", f"{run}/ckpt")
+    run_to_parquet(ST.project_stream(stream), f"{run}/out", f"{run}/ckpt",
+                   state_partitions=default_state_partitions(spark))
     emitted = read_output(spark, f"{run}/out").where(F.col("order_id") >= 0)
     rm = ST.latest_rows(emitted)
     return rm.select("order_id", "customer_id", "total_amount", "currency", "item_count", "shipping_address",
@@ -74,7 +75,8 @@ def r03b(spark, sf_dir):
                                     else F.col(f) for f in ev.columns])
     run, schema = _stage(c, ev.unionByName(sentinel), "r03b", "arrival_ts")
     stream = read_event_stream(spark, f"{run}/in/*", schema)
-    run_to_parquet(ST.project_stream(stream), f"{run}/out", f"{run}/ckpt")
+    run_to_parquet(ST.project_stream(stream), f"{run}/out", f"{run}/ckpt",
+                   state_partitions=default_state_partitions(spark))
     emitted = read_output(spark, f"{run}/out")
     return (emitted.where((F.col("kind") == "skipped") & (F.col("order_id") >= 0))
             .select("order_id", "seq", "event_type"))
@@ -90,7 +92,8 @@ def r07s(spark, sf_dir):
                                   F.lit("Sentinel").alias("event_type"), ts(SENTINEL_TS).alias("ts"))
     run, schema = _stage(c, ev.unionByName(sentinel), "r07", "ts")
     stream = read_event_stream(spark, f"{run}/in/*", schema)
-    run_to_parquet(ST.saga_stream(stream), f"{run}/out", f"{run}/ckpt")
+    run_to_parquet(ST.saga_stream(stream), f"{run}/out", f"{run}/ckpt",
+                   state_partitions=default_state_partitions(spark))
     emitted = read_output(spark, f"{run}/out").where(F.col("order_id") >= 0)
     return ST.latest_saga(emitted).select("order_id", "state", "reached", "compensation")
 
@@ -105,7 +108,8 @@ def r04(spark, sf_dir):
         "event_ts", F.col("event_ts") + F.expr("INTERVAL 1 HOUR"))
     run, schema = _stage(c, log.unionByName(again), "r04", "event_ts")
     stream = read_event_stream(spark, f"{run}/in/*", schema)
-    run_to_parquet(J.dedup_stream(stream), f"{run}/out", f"{run}/ckpt")
+    run_to_parquet(J.dedup_stream(stream), f"{run}/out", f"{run}/ckpt",
+                   state_partitions=default_state_partitions(spark))
     return read_output(spark, f"{run}/out").select("id", "event_type")
 
 
@@ -125,7 +129,8 @@ def r05s(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     run, schema = _stage(c, _log_stream_input(c), "r05", "event_ts")
     stream = read_event_stream(spark, f"{run}/in/*", schema)
-    run_to_parquet(J.per_minute_stream(stream), f"{run}/out", f"{run}/ckpt")
+    run_to_parquet(J.per_minute_stream(stream), f"{run}/out", f"{run}/ckpt",
+                   state_partitions=default_state_partitions(spark))
     out = read_output(spark, f"{run}/out")
     return (out.where(F.col("window_start") < as_instant(ts(SENTINEL_TS)) - F.expr("INTERVAL 1 DAY"))
             .select(as_ntz(F.col("window_start")).alias("window_start"), "events", "failures"))
@@ -147,7 +152,8 @@ def j11s(spark, sf_dir):
         F.col("event_id").alias("p_id"), F.col("user_id").alias("p_user"), F.col("ets").alias("p_ts"))
     clicks = stream.where(F.col("event_type").isin("click", "sentinel")).select(
         F.col("event_id").alias("c_id"), F.col("user_id").alias("c_user"), F.col("ets").alias("c_ts"))
-    run_to_parquet(J.match_payments_stream(purchases, clicks), f"{run}/out", f"{run}/ckpt")
+    run_to_parquet(J.match_payments_stream(purchases, clicks), f"{run}/out", f"{run}/ckpt",
+                   state_partitions=default_state_partitions(spark))
     return read_output(spark, f"{run}/out").where(F.col("id") >= 0).select("id", F.col("r_id"))
 
 
@@ -186,7 +192,8 @@ def r06s(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     run, schema = _stage(c, _log_stream_input(c), "r06", "event_ts")
     stream = read_event_stream(spark, f"{run}/in/*", schema)
-    run_to_parquet(J.sliding_rate_stream(stream), f"{run}/out", f"{run}/ckpt")
+    run_to_parquet(J.sliding_rate_stream(stream), f"{run}/out", f"{run}/ckpt",
+                   state_partitions=default_state_partitions(spark))
     out = read_output(spark, f"{run}/out")
     return (out.where(F.col("window_start") < as_instant(ts("2099-01-01 00:00:00")))
             .select(as_ntz(F.col("window_start")).alias("window_start"), "n", "f", "rate"))
@@ -219,7 +226,8 @@ def s10(spark, sf_dir):
     e = c.t("events").select("event_id", as_instant(F.col("ts")).alias("event_ts"))
     run, schema = _stage(c, e, "s10", "event_ts")
     stream = read_event_stream(spark, f"{run}/in/*", schema)
-    q = run_to_parquet(stream, f"{run}/out", f"{run}/ckpt")
+    q = run_to_parquet(stream, f"{run}/out", f"{run}/ckpt",
+                   state_partitions=default_state_partitions(spark))
     return progress_frame(spark, q).agg(F.sum("input_rows").cast("bigint").alias("input_rows"))
 
 
