@@ -26,12 +26,12 @@ BUS_CAPACITY_BYTES_PER_S = 1024 * 1024
 def key_shares(df: DataFrame, key: F.Column, threshold: float = 0.7) -> DataFrame:
     """A10: share of rows per key and a hot flag (share >= threshold).
 
-    The total is a one-row aggregate joined on a constant key (a bounded,
-    broadcast side), so per-key counts never meet in one task.
+    The total is a scalar subquery (a global partial aggregate), so per-key
+    counts never meet in one task and no join is needed.
     """
-    per = df.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n")).withColumn("_one", F.lit(1))
-    total = df.agg(F.count(F.lit(1)).alias("total")).withColumn("_one", F.lit(1))
-    return (per.join(F.broadcast(total), "_one").drop("_one")
+    per = df.groupBy(key.alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return (per.withColumn("total", total)
             .withColumn("share", F.round(F.col("n") / F.col("total"), 6))
             .withColumn("is_hot", F.col("share") >= threshold))
 
@@ -89,8 +89,8 @@ def alert_metrics(log: DataFrame, now) -> DataFrame:
         elapsed_seconds(F.min(F.when(F.col("status") == S.PENDING, F.col("created_at"))), ts(now))
         .cast("double").alias("lag_seconds"),
         F.count(F.lit(1)).cast("double").alias("table_rows"))
-    p95 = latency_percentiles(log).select(F.col("p95").alias("p95_processing_seconds"))
-    return one.withColumn("_one", F.lit(1)).join(F.broadcast(p95.withColumn("_one", F.lit(1))), "_one")
+    p95 = latency_percentiles(log).select("p95").scalar()
+    return one.withColumn("p95_processing_seconds", p95)
 
 
 def evaluate_alerts(log: DataFrame, now) -> DataFrame:

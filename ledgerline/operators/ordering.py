@@ -109,8 +109,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: list, prefix: str = "p",
     out = per_p.agg(*[F.max(F.when(F.col("_p") == float(p), F.col("_q"))).alias(f"{prefix}{int(round(p * 100))}")
                       for p in probs])
     if with_count:
-        out = out.withColumn("_one", F.lit(1)).join(F.broadcast(n.withColumn("_one", F.lit(1))), "_one") \
-            .drop("_one").withColumnRenamed("_n", "n")
+        out = out.withColumn("n", n.select("_n").scalar())
     return out
 
 

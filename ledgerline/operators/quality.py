@@ -176,20 +176,27 @@ def sequence_gaps(rows: DataFrame, key_col: str, seq_col: str) -> DataFrame:
     return n.where(F.col(f"next_{seq_col}") - F.col(seq_col) > 1)
 
 
-def causation_roots(events: DataFrame, max_hops: int = 8) -> DataFrame:
+def causation_roots(events: DataFrame, max_hops: int = 8, checkpoint_every: int = 0) -> DataFrame:
     """Root and depth of each event's causation chain by bounded
     iteration (one equi-join on event id per hop).  Chains longer than
-    ``max_hops`` report ``truncated``; a missing parent ends a chain."""
+    ``max_hops`` report ``truncated``; a missing parent ends a chain.
+
+    With ``checkpoint_every = k`` the intermediate result is checkpointed
+    (reliably, into ``spark.checkpoint.dir``) every k hops so the plan and
+    the recomputation after an executor loss stay short.
+    """
     base = events.select("event_id", F.col("causation_id").alias("_parent"))
     parents = events.select(F.col("event_id").alias("_pid"), F.col("causation_id").alias("_pparent"))
     cur = base.select("event_id", F.col("event_id").alias("root_id"), "_parent", F.lit(0).alias("depth"))
-    for _ in range(max_hops):
+    for hop in range(1, max_hops + 1):
         nxt = cur.join(parents, cur["_parent"] == parents["_pid"], "left")
         found = F.col("_pid").isNotNull()
         cur = nxt.select("event_id",
                          F.when(found, F.col("_pid")).otherwise(F.col("root_id")).alias("root_id"),
                          F.when(found, F.col("_pparent")).alias("_parent"),
                          F.when(found, F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"))
+        if checkpoint_every and hop % checkpoint_every == 0 and hop < max_hops:
+            cur = cur.checkpoint(eager=True)
     return cur.select("event_id", "root_id", "depth", F.col("_parent").isNotNull().alias("truncated"))
 
 

@@ -125,3 +125,14 @@ def test_interval_join_matches_brute_force(spark):
         m = [r[0] for r in right if r[1] == l[1] and l[2] <= r[2] <= l[2] + dt.timedelta(hours=1)]
         want += [(l[0], x) for x in m] or [(l[0], None)]
     assert got == sorted(want, key=lambda t: (t[0], -1 if t[1] is None else t[1]))
+
+
+def test_causation_chain_with_checkpoints(spark):
+    from ledgerline.operators.quality import causation_roots
+    rows = [("e0", None)] + [(f"e{i}", f"e{i - 1}") for i in range(1, 12)] + [("x", "missing")]
+    ev = spark.createDataFrame(rows, "event_id string, causation_id string")
+    got = {r.event_id: (r.root_id, r.depth, r.truncated) for r in
+           causation_roots(ev, max_hops=6, checkpoint_every=2).collect()}
+    assert got["e5"] == ("e0", 5, False)
+    assert got["e11"] == ("e5", 6, True)
+    assert got["x"] == ("x", 0, False)
