@@ -101,7 +101,8 @@ def r07s(spark, sf_dir):
 @register("r04_streaming_dedup", with_(OUTBOX) + "SELECT id, event_type FROM outbox")
 def r04(spark, sf_dir):
     """Every 13th event is delivered twice (one hour apart); the 7-day
-    streaming dedup keeps one copy of each."""
+    streaming dedup keeps one copy of each.  Input: the S04 file stream source
+    with a per-trigger cap (one file per micro-batch)."""
     c = Ctx(spark, sf_dir)
     log = c.outbox.select("id", "event_type", "status", as_instant(F.col("created_at")).alias("event_ts"))
     again = log.where(F.col("id") % 13 == 0).withColumn(
