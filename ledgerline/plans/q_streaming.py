@@ -17,7 +17,7 @@ from ..sources import derive
 from ..streaming import jobs as J
 from ..streaming import stateful as ST
 from ..streaming.runner import default_state_partitions, new_run_dir, read_output, run_foreach, run_to_parquet
-from ..streaming.sources import read_event_stream, stage_in_order
+from ..streaming.sources import read_event_stream, stage_in_order  # noqa: F401
 from .catalog import Ctx, register
 from .oracle import ORDER_EVENTS, OUTBOX, SAGA_EVENTS, TYPED_SRC, with_
 from .q_events import SAGA_FOLD
@@ -27,10 +27,12 @@ SENTINEL_TS = "2100-01-01 00:00:00"
 SLICES = 4
 
 
-def _stage(c: Ctx, df, name: str, ts_col: str):
+def _stage(c: Ctx, df, name: str, ts_col: str, tail=None):
+    """Stage ``df`` (and a trailing sentinel) and open it as a file stream
+    whose micro-batches are the event-time slices."""
     run = new_run_dir(c.spark, name)
-    stage_in_order(df, f"{run}/in", ts_col, SLICES)
-    return run, df.schema
+    cap = stage_in_order(df, f"{run}/in", ts_col, SLICES, tail=tail)
+    return run, read_event_stream(c.spark, f"{run}/in/*", df.schema, max_files=cap)
 
 
 @register("r03_streaming_projection", RM_ALL + RM_SELECT)
@@ -50,8 +52,7 @@ def r03(spark, sf_dir):
           else F.lit("Sentinel").alias("event_type") if f == "event_type"
           else as_instant(ts(SENTINEL_TS)).alias("arrival_ts") if f == "arrival_ts"
           else F.col(f) for f in staged.columns])
-    run, schema = _stage(c, staged.unionByName(sentinel), "r03", "arrival_ts")
-    stream = read_event_stream(spark, f"{run}/in/*", schema)
+    run, stream = _stage(c, staged, "r03", "arrival_ts", tail=sentinel)
     run_to_parquet(ST.project_stream(stream), f"{run}/out", f"{run}/ckpt",
                    state_partitions=default_state_partitions(spark))
     emitted = read_output(spark, f"{run}/out").where(F.col("order_id") >= 0)
@@ -73,8 +74,7 @@ def r03b(spark, sf_dir):
                                     else F.lit("Sentinel").alias("event_type") if f == "event_type"
                                     else as_instant(ts(SENTINEL_TS)).alias("arrival_ts") if f == "arrival_ts"
                                     else F.col(f) for f in ev.columns])
-    run, schema = _stage(c, ev.unionByName(sentinel), "r03b", "arrival_ts")
-    stream = read_event_stream(spark, f"{run}/in/*", schema)
+    run, stream = _stage(c, ev, "r03b", "arrival_ts", tail=sentinel)
     run_to_parquet(ST.project_stream(stream), f"{run}/out", f"{run}/ckpt",
                    state_partitions=default_state_partitions(spark))
     emitted = read_output(spark, f"{run}/out")
@@ -90,8 +90,7 @@ def r07s(spark, sf_dir):
     ev = derive.saga_events(c.t("orders"))
     sentinel = ev.limit(1).select(F.lit(-1).cast("bigint").alias("order_id"),
                                   F.lit("Sentinel").alias("event_type"), ts(SENTINEL_TS).alias("ts"))
-    run, schema = _stage(c, ev.unionByName(sentinel), "r07", "ts")
-    stream = read_event_stream(spark, f"{run}/in/*", schema)
+    run, stream = _stage(c, ev, "r07", "ts", tail=sentinel)
     run_to_parquet(ST.saga_stream(stream), f"{run}/out", f"{run}/ckpt",
                    state_partitions=default_state_partitions(spark))
     emitted = read_output(spark, f"{run}/out").where(F.col("order_id") >= 0)
@@ -107,8 +106,7 @@ def r04(spark, sf_dir):
     log = c.outbox.select("id", "event_type", "status", as_instant(F.col("created_at")).alias("event_ts"))
     again = log.where(F.col("id") % 13 == 0).withColumn(
         "event_ts", F.col("event_ts") + F.expr("INTERVAL 1 HOUR"))
-    run, schema = _stage(c, log.unionByName(again), "r04", "event_ts")
-    stream = read_event_stream(spark, f"{run}/in/*", schema)
+    run, stream = _stage(c, log.unionByName(again), "r04", "event_ts")
     run_to_parquet(J.dedup_stream(stream), f"{run}/out", f"{run}/ckpt",
                    state_partitions=default_state_partitions(spark))
     return read_output(spark, f"{run}/out").select("id", "event_type")
@@ -118,7 +116,7 @@ def _log_stream_input(c: Ctx):
     log = c.outbox.select("id", "status", as_instant(F.col("created_at")).alias("event_ts"))
     sentinel = log.limit(1).select(F.lit(-1).cast("bigint").alias("id"), F.lit("Sentinel").alias("status"),
                                    as_instant(ts(SENTINEL_TS)).alias("event_ts"))
-    return log.unionByName(sentinel)
+    return log, sentinel
 
 
 @register("r05_streaming_per_minute", with_(OUTBOX) + """
@@ -128,8 +126,8 @@ FROM outbox GROUP BY 1""")
 def r05s(spark, sf_dir):
     """Tumbling 1-minute throughput and failures, streaming (append mode)."""
     c = Ctx(spark, sf_dir)
-    run, schema = _stage(c, _log_stream_input(c), "r05", "event_ts")
-    stream = read_event_stream(spark, f"{run}/in/*", schema)
+    log, sentinel = _log_stream_input(c)
+    run, stream = _stage(c, log, "r05", "event_ts", tail=sentinel)
     run_to_parquet(J.per_minute_stream(stream), f"{run}/out", f"{run}/ckpt",
                    state_partitions=default_state_partitions(spark))
     out = read_output(spark, f"{run}/out")
@@ -147,8 +145,7 @@ def j11s(spark, sf_dir):
     e = c.t("events").select("event_id", "user_id", "event_type", as_instant(F.col("ts")).alias("ets"))
     sentinel = e.limit(1).select(F.lit(-1).cast("bigint").alias("event_id"), F.lit(-1).cast("bigint").alias("user_id"),
                                  F.lit("sentinel").alias("event_type"), as_instant(ts(SENTINEL_TS)).alias("ets"))
-    run, schema = _stage(c, e.unionByName(sentinel), "j11", "ets")
-    stream = read_event_stream(spark, f"{run}/in/*", schema)
+    run, stream = _stage(c, e, "j11", "ets", tail=sentinel)
     purchases = stream.where(F.col("event_type").isin("purchase", "sentinel")).select(
         F.col("event_id").alias("p_id"), F.col("user_id").alias("p_user"), F.col("ets").alias("p_ts"))
     clicks = stream.where(F.col("event_type").isin("click", "sentinel")).select(
@@ -171,8 +168,7 @@ def r02(spark, sf_dir):
     idempotent per-batch writes; the payment handler fails for amounts over 100."""
     c = Ctx(spark, sf_dir)
     t = derive.typed_events(c.t("events")).withColumn("event_ts", as_instant(F.col("ts")))
-    run, schema = _stage(c, t, "r02", "event_ts")
-    stream = read_event_stream(spark, f"{run}/in/*", schema)
+    run, stream = _stage(c, t, "r02", "event_ts")
     amount = F.from_json(F.col("payload"), "amount DOUBLE")["amount"]
     handler_ok = ~((F.col("event_type") == S.PAYMENT_PROCESSED) & F.coalesce(amount > 100, F.lit(False)))
     run_foreach(stream, J.consumer_batch_writer(f"{run}/out", handler_ok), f"{run}/ckpt")
@@ -191,8 +187,8 @@ SELECT window_start, n, f, rate FROM sw""")
 def r06s(spark, sf_dir):
     """Failure rate over 5-minute windows sliding by 1 minute, streaming."""
     c = Ctx(spark, sf_dir)
-    run, schema = _stage(c, _log_stream_input(c), "r06", "event_ts")
-    stream = read_event_stream(spark, f"{run}/in/*", schema)
+    log, sentinel = _log_stream_input(c)
+    run, stream = _stage(c, log, "r06", "event_ts", tail=sentinel)
     run_to_parquet(J.sliding_rate_stream(stream), f"{run}/out", f"{run}/ckpt",
                    state_partitions=default_state_partitions(spark))
     out = read_output(spark, f"{run}/out")
@@ -209,8 +205,7 @@ def s12(spark, sf_dir):
     """One stream fanned out to three subscribers (alerts, audit, orders)."""
     c = Ctx(spark, sf_dir)
     log = c.outbox.select("id", "status", "event_type", as_instant(F.col("created_at")).alias("event_ts"))
-    run, schema = _stage(c, log, "s12", "event_ts")
-    stream = read_event_stream(spark, f"{run}/in/*", schema)
+    run, stream = _stage(c, log, "s12", "event_ts")
     subs = {"alerts": F.col("status").isin("FAILED", "DEAD_LETTER"), "audit": F.lit(True),
             "orders": F.col("event_type") == "OrderCreated"}
     run_foreach(stream, J.fan_out_writer(f"{run}/out", subs), f"{run}/ckpt")
@@ -225,8 +220,7 @@ def s10(spark, sf_dir):
     from ..streaming.sources import progress_frame
     c = Ctx(spark, sf_dir)
     e = c.t("events").select("event_id", as_instant(F.col("ts")).alias("event_ts"))
-    run, schema = _stage(c, e, "s10", "event_ts")
-    stream = read_event_stream(spark, f"{run}/in/*", schema)
+    run, stream = _stage(c, e, "s10", "event_ts")
     q = run_to_parquet(stream, f"{run}/out", f"{run}/ckpt",
                    state_partitions=default_state_partitions(spark))
     return progress_frame(spark, q).agg(F.sum("input_rows").cast("bigint").alias("input_rows"))
@@ -244,8 +238,7 @@ def r10(spark, sf_dir):
                     as_instant(F.col("created_at")).alias("event_ts"),
                     as_instant(plus_seconds(F.col("created_at"), 3 * 86400)).alias("arrival_ts")))
     staged = log.withColumn("arrival_ts", F.col("event_ts")).unionByName(late)
-    run, schema = _stage(c, staged, "r10", "arrival_ts")
-    stream = read_event_stream(spark, f"{run}/in/*", schema)
+    run, stream = _stage(c, staged, "r10", "arrival_ts")
     run_foreach(stream, J.late_data_writer(f"{run}/out", allowed_lateness_s=3600), f"{run}/ckpt")
     late_rows = read_output(spark, f"{run}/out/late").select("id", F.lit(True).alias("late"))
     on_time = read_output(spark, f"{run}/out/on_time").select("id", F.lit(False).alias("late"))

@@ -20,9 +20,12 @@ PREFETCH = 300
 
 
 def read_event_stream(spark: SparkSession, path: str, schema: T.StructType,
-                      max_files: int | None = 1, fmt: str = "parquet") -> DataFrame:
+                      max_files: int | None = None, fmt: str = "parquet") -> DataFrame:
     """Partitioned stream source with a per-trigger cap (the prefetch of
-    the bus consumer becomes ``maxFilesPerTrigger`` / ``maxOffsetsPerTrigger``)."""
+    the bus consumer becomes ``maxFilesPerTrigger`` / ``maxOffsetsPerTrigger``).
+    The default cap is one wave of tasks (``defaultParallelism`` files)."""
+    if max_files is None:
+        max_files = max(1, spark.sparkContext.defaultParallelism)
     reader = spark.readStream.format(fmt).schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", str(max_files))
@@ -40,16 +43,26 @@ def read_bus_stream(spark: SparkSession, servers: str, topic: str,
                     F.col("partition"), F.col("offset"), F.col("timestamp").alias("enqueued_at")))
 
 
-def stage_in_order(df: DataFrame, path: str, ts_col: str, slices: int) -> list[str]:
-    """Write ``df`` as ``slices`` consecutive event-time slices, one file
-    folder per slice, written one after another so the file source sees them
-    in event-time order.  Slice bounds come from approximate quantiles of the
-    event time (a distributed sketch); each slice is a filtered write."""
+def stage_in_order(df: DataFrame, path: str, ts_col: str, slices: int,
+                   files_per_slice: int | None = None, tail: DataFrame | None = None) -> int:
+    """Write ``df`` as ``slices`` consecutive event-time slices for a file
+    stream source; returns the per-trigger file cap that makes one micro-batch
+    read exactly one slice.
+
+    Each slice is a parallel write of exactly ``files_per_slice`` files
+    (round-robin, one task per file; default one wave of tasks).  Slices are
+    written one after another, so every file of slice ``i`` is older than every
+    file of slice ``i+1``; the file source takes files in modification-time
+    order, so batch ``i`` is slice ``i`` and the watermark never passes rows of
+    a later batch.  ``tail`` (e.g. a sentinel row) is written last, alone.
+    Slice bounds come from exact quantiles of the event time (distributed).
+    """
+    spark = df.sparkSession
+    n = files_per_slice or max(1, spark.sparkContext.defaultParallelism)
     epoch = F.unix_micros(F.col(ts_col)) if dict(df.dtypes)[ts_col] == "timestamp" else ntz_micros(F.col(ts_col))
     with_e = df.withColumn("_e", epoch)
     cuts = with_e.approxQuantile("_e", [i / slices for i in range(1, slices)], 0.0) if slices > 1 else []
     bounds = [None] + cuts + [None]
-    written = []
     for i in range(slices):
         lo, hi = bounds[i], bounds[i + 1]
         cond = F.lit(True)
@@ -57,10 +70,11 @@ def stage_in_order(df: DataFrame, path: str, ts_col: str, slices: int) -> list[s
             cond = cond & (F.col("_e") > F.lit(lo))
         if hi is not None:
             cond = cond & (F.col("_e") <= F.lit(hi))
-        part = f"{path.rstrip('/')}/slice={i:04d}"
-        with_e.where(cond).drop("_e").coalesce(1).write.mode("overwrite").parquet(part)
-        written.append(part)
-    return written
+        (with_e.where(cond).drop("_e").repartition(n)
+         .write.mode("overwrite").parquet(f"{path.rstrip('/')}/slice={i:04d}"))
+    if tail is not None:
+        tail.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/slice={slices:04d}")
+    return n
 
 
 def progress_frame(spark: SparkSession, query) -> DataFrame:

@@ -13,16 +13,16 @@ SCHEMA = "id long, status string, event_ts timestamp"
 def _stage(spark, rows, name, slices=3):
     run = new_run_dir(spark, name)
     df = spark.createDataFrame(rows, SCHEMA)
-    stage_in_order(df, f"{run}/in", "event_ts", slices)
-    return run, df.schema
+    cap = stage_in_order(df, f"{run}/in", "event_ts", slices, files_per_slice=2)
+    return run, df.schema, cap
 
 
 def test_late_rows_are_counted_and_diverted(spark):
     rows = [(i, "PUBLISHED", T0 + dt.timedelta(minutes=10 * i)) for i in range(30)]
-    run, schema = _stage(spark, rows, "late")
+    run, schema, cap = _stage(spark, rows, "late")
     # a late row: old event time, staged after everything else
     spark.createDataFrame([(999, "PUBLISHED", T0)], SCHEMA).coalesce(1).write.parquet(f"{run}/in/slice=9999")
-    stream = read_event_stream(spark, f"{run}/in/*", schema)
+    stream = read_event_stream(spark, f"{run}/in/*", schema, max_files=cap)
     run_foreach(stream, J.late_data_writer(f"{run}/out", allowed_lateness_s=3600), f"{run}/ckpt")
     late = spark.read.parquet(f"{run}/out/late")
     assert [r.id for r in late.collect()] == [999]
@@ -31,8 +31,8 @@ def test_late_rows_are_counted_and_diverted(spark):
 
 def test_fan_out_and_progress(spark):
     rows = [(i, "FAILED" if i % 3 == 0 else "PUBLISHED", T0 + dt.timedelta(minutes=i)) for i in range(60)]
-    run, schema = _stage(spark, rows, "fan")
-    stream = read_event_stream(spark, f"{run}/in/*", schema)
+    run, schema, cap = _stage(spark, rows, "fan")
+    stream = read_event_stream(spark, f"{run}/in/*", schema, max_files=cap)
     subs = {"alerts": F.col("status") == "FAILED", "audit": F.lit(True)}
     q = run_foreach(stream, J.fan_out_writer(f"{run}/out", subs), f"{run}/ckpt")
     assert spark.read.parquet(f"{run}/out/alerts").count() == 20
@@ -59,14 +59,17 @@ def test_consumer_batch_rerun_is_idempotent(spark):
 
 def test_streaming_windows_equal_batch(spark):
     rows = [(i, "FAILED" if i % 4 == 0 else "PUBLISHED", T0 + dt.timedelta(seconds=17 * i)) for i in range(200)]
-    rows.append((-1, "Sentinel", dt.datetime(2100, 1, 1)))
-    run, schema = _stage(spark, rows, "win")
-    stream = read_event_stream(spark, f"{run}/in/*", schema)
+    run = new_run_dir(spark, "win")
+    df = spark.createDataFrame(rows, SCHEMA)
+    tail = spark.createDataFrame([(-1, "Sentinel", dt.datetime(2100, 1, 1))], SCHEMA)
+    cap = stage_in_order(df, f"{run}/in", "event_ts", 3, files_per_slice=2, tail=tail)
+    schema = df.schema
+    stream = read_event_stream(spark, f"{run}/in/*", schema, max_files=cap)
     run_to_parquet(J.per_minute_stream(stream), f"{run}/out", f"{run}/ckpt")
     got = {(r.window_start, r.events, r.failures) for r in spark.read.parquet(f"{run}/out").collect()
            if r.window_start.year < 2100}
     want = {}
-    for i, s, t in rows[:-1]:
+    for i, s, t in rows:
         k = t.replace(second=0)
         e, f = want.get(k, (0, 0))
         want[k] = (e + 1, f + (s == "FAILED"))
