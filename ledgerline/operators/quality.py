@@ -136,9 +136,9 @@ def sensitive_scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     first = F.try_element_at(emails, F.lit(1))
     masked = F.when(first.isNotNull(), F.concat(F.substring(first, 1, 1), F.lit("***@"),
                                                 F.substring_index(first, "@", -1)))
-    return docs.select("doc_id", F.size(emails).alias("n_emails"),
-                       F.size(F.regexp_extract_all(t, F.lit(CARD_RE), 0)).alias("n_cards"),
-                       F.size(F.regexp_extract_all(t, F.lit(SSN_RE), 0)).alias("n_ssn"),
+    return docs.select("doc_id", F.size(emails).cast("bigint").alias("n_emails"),
+                       F.size(F.regexp_extract_all(t, F.lit(CARD_RE), 0)).cast("bigint").alias("n_cards"),
+                       F.size(F.regexp_extract_all(t, F.lit(SSN_RE), 0)).cast("bigint").alias("n_ssn"),
                        masked.alias("masked_email"))
 
 

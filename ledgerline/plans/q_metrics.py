@@ -123,7 +123,7 @@ def w11(spark, sf_dir):
 
 
 @register("w12_concurrency_peaks", CL + """
-SELECT target, max(active) AS peak, max(active) > 5 AS over_limit FROM (
+SELECT target, CAST(max(active) AS BIGINT) AS peak, max(active) > 5 AS over_limit FROM (
   SELECT target, sum(delta) OVER (PARTITION BY target ORDER BY t, delta, id ROWS UNBOUNDED PRECEDING) AS active
   FROM (SELECT target, ts AS t, 1 AS delta, id FROM call_log
         UNION ALL SELECT target, ts + INTERVAL 1 SECOND * dur_ms, -1, id FROM call_log)) GROUP BY target""")
