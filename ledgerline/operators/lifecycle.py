@@ -205,3 +205,20 @@ def delivery_step(log: DataFrame, outcomes: DataFrame, now, limit: int = S.POLL_
         "id", F.coalesce(F.col("_gerr"), F.lit("publish failed")).alias("error"))
     published = bulk_publish(claimed, ok_ids, now, bound=limit)
     return handle_failure(published, failed, now, max_retries, bound=limit)
+
+
+def run_cycle(spark, base: str, outcomes: DataFrame, now, limit: int = S.POLL_LIMIT,
+              max_retries: int = S.MAX_RETRIES, stuck_minutes: int = S.STUCK_MINUTES) -> int:
+    """R01 driver step on a stored log: recover stuck rows, reset due
+    retries, sweep exhausted rows to the dead-letter state, run one delivery
+    step, and commit the result as the next snapshot.  Returns the version.
+
+    Outcomes of the external publish come in as a table ``(id, ok, error)``.
+    """
+    from ..sources.sinks import commit_snapshot, read_latest
+    log = read_latest(spark, base, S.EVENT_LOG)
+    log = recover_stuck(log, now, stuck_minutes)
+    log = reset_due_failed(log, now, max_retries, limit=None)
+    log = dead_letter_sweep(log, now, max_retries)
+    log = delivery_step(log, outcomes, now, limit, max_retries)
+    return commit_snapshot(log.select(*S.EVENT_LOG.fieldNames()), base)

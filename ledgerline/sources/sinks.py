@@ -100,3 +100,39 @@ def read_active(spark: SparkSession, path: str) -> DataFrame:
     from pyspark.sql import types as T
     schema = T.StructType(EVENT_LOG.fields + [T.StructField("status_group", T.StringType())])
     return spark.read.schema(schema).parquet(path).where(F.col("status_group") == "active")
+
+
+POINTER = "_latest"
+
+
+def latest_version(spark: SparkSession, base: str) -> int:
+    """The committed snapshot version of a table folder (0 when none)."""
+    try:
+        row = spark.read.parquet(f"{base.rstrip('/')}/{POINTER}").first()
+    except Exception:  # noqa: BLE001 - no pointer yet: nothing committed
+        return 0
+    return int(row["version"]) if row is not None else 0
+
+
+def commit_snapshot(df: DataFrame, base: str, partition_by: str | None = None) -> int:
+    """Write ``df`` as the next snapshot ``{base}/v=<n+1>`` and then move the
+    pointer to it (single writer).  Readers follow the pointer, so a job that
+    dies mid-write leaves the previous snapshot current; the half-written
+    folder is simply overwritten by the next attempt."""
+    spark = df.sparkSession
+    nxt = latest_version(spark, base) + 1
+    path = f"{base.rstrip('/')}/v={nxt}"
+    w = df.write.mode("overwrite")
+    (w.partitionBy(partition_by) if partition_by else w).parquet(path)
+    (spark.range(1).select(F.lit(nxt).cast("bigint").alias("version"))
+     .write.mode("overwrite").parquet(f"{base.rstrip('/')}/{POINTER}"))
+    return nxt
+
+
+def read_latest(spark: SparkSession, base: str, schema=None) -> DataFrame:
+    """The current snapshot of a table folder."""
+    v = latest_version(spark, base)
+    if v == 0:
+        raise FileNotFoundError(f"no committed snapshot under {base}")
+    reader = spark.read.schema(schema) if schema is not None else spark.read
+    return reader.parquet(f"{base.rstrip('/')}/v={v}")

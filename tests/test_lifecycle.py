@@ -94,3 +94,27 @@ def test_stored_log_prunes_to_active_partition(spark):
     assert "PartitionFilters: [isnotnull(status_group" in plan
     batch = poll_batch(active.drop("status_group"), NOW)
     assert [r.id for r in batch.collect()] == [r.id for r in poll_batch(log, NOW).collect()]
+
+
+def test_snapshot_commits_and_cycles(spark):
+    from ledgerline.session import scratch_path
+    from ledgerline.sources.derive import outbox_from_events, publish_outcomes
+    from ledgerline.sources.sinks import commit_snapshot, latest_version, read_latest
+    from ledgerline.sources.tables import table
+    import uuid
+
+    from .conftest import SF_SMALL
+    base = scratch_path(spark, f"log-{uuid.uuid4().hex[:8]}")
+    log = outbox_from_events(table(spark, SF_SMALL, "events"))
+    assert latest_version(spark, base) == 0
+    assert commit_snapshot(log, base) == 1
+    outcomes = publish_outcomes(log)
+    v = M.run_cycle(spark, base, outcomes, NOW)
+    assert v == 2 and latest_version(spark, base) == 2
+    cur = read_latest(spark, base, S.EVENT_LOG)
+    assert cur.count() == log.count()
+    still = cur.where(F.col("status") == S.PROCESSING)
+    # only rows touched within the last 5 minutes may still be PROCESSING
+    assert still.where(F.col("updated_at") < F.lit("2024-01-30 23:55:00").cast("timestamp_ntz")).count() == 0
+    pending_before = log.where(F.col("status") == S.PENDING).count()
+    assert cur.where(F.col("status") == S.PENDING).count() >= pending_before - 100
