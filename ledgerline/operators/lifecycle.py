@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.time import backoff_seconds, cutoff, plus_seconds, ts
-from .log_queries import dead_letter_candidates, poll_batch, retry_batch, stuck_events
+from .log_queries import dead_letter_candidates, poll_batch, retry_batch
 
 # Largest id list joined by broadcast: poll batches and similar bounded lists.
 BROADCAST_ROW_BOUND = 100_000

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.time import cutoff, elapsed_seconds, ts
+from ..functions.time import elapsed_seconds, ts
 from .ordering import exact_quantiles, rank_within, running_sum
 
 # Alert thresholds (backlog, failure rate %, dead letters, lag s,

@@ -10,7 +10,7 @@ from ..functions import codec as X
 from ..operators import append as AP
 from ..sources import derive
 from .catalog import Ctx, register
-from .oracle import NOW_SQL, ORDER_EVENTS, OUTBOX, TYPED_SRC, with_
+from .oracle import ORDER_EVENTS, OUTBOX, TYPED_SRC, with_
 
 TS_ = with_(TYPED_SRC)
 

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.time import cutoff, elapsed_seconds, ts
+from ..functions.time import cutoff, elapsed_seconds
 from ..operators import log_queries as L
 from .catalog import Ctx, register
 from .oracle import NOW_SQL, OUTBOX, with_

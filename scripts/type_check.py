@@ -2,9 +2,12 @@
 
 Usage: python scripts/type_check.py [SF_DIR] [name-substring ...]
 """
-import os, sys
-sys.path.insert(0, '/root/repo')
-import duckdb
+import os
+import sys
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+import duckdb  # noqa: E402
 from pyspark.sql import types as T
 from ledgerline.session import get_session
 from ledgerline.plans.catalog import all_queries

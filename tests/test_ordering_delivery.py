@@ -2,7 +2,6 @@ import datetime as dt
 import random
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from ledgerline.operators import delivery as D
 from ledgerline.operators import metrics as MX
