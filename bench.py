@@ -36,6 +36,10 @@ HEADLINE = [
     "x06_typed_decode",
     "w10_rolling_failure_rate",
     "f14_sensitive_scan",
+    "j11_order_payment_match_batch",
+    "r07_saga_state",
+    "j07_drift_read_vs_write",
+    "a20_stock_decrement",
 ]
 
 
