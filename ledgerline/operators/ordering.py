@@ -6,6 +6,15 @@ table with one row per partition (bounded by the partition count, so it is
 broadcast).  ``monotonically_increasing_id`` after the sort carries the
 partition index in its upper bits and the position inside the sorted
 partition in its lower 33 bits.
+
+The numbered rows are pinned once with a reliable ``checkpoint`` (into the
+shared ``spark.checkpoint.dir``) before anything else reads them.  Two plan
+branches that each re-evaluate a range shuffle do not agree: the range
+boundaries are sampled with a seed that depends on the RDD id, and AQE may
+coalesce each reader differently, so per-partition counts taken from one
+evaluation would not match the positions taken from another.  The pinned
+rows carry their partition id and position as data, and a lost executor
+re-reads them instead of recomputing a different numbering.
 """
 
 from __future__ import annotations
@@ -13,9 +22,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
+
 _LOW_BITS = 33
 
 
+def _numbered(ordered: DataFrame) -> DataFrame:
+    """Add ``_pid`` (partition index) and ``_pos`` (0-based position inside
+    it) to an already sorted frame and pin the result (see module doc)."""
+    mid = (ordered.withColumn("_mid", F.monotonically_increasing_id())
+           .withColumn("_pid", F.shiftright("_mid", _LOW_BITS).cast("int"))
+           .withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), _LOW_BITS))
+           .drop("_mid"))
+    ensure_checkpoint_dir(ordered.sparkSession)
+    return mid.checkpoint(eager=True)
+
+
 def global_rank(df: DataFrame, order_cols: list, name: str = "rn") -> DataFrame:
     """Add ``name`` = 1-based position of each row in ``order_cols`` order."""
     return global_rank_and_counts(df, order_cols, name)[0]
@@ -25,23 +47,18 @@ def global_rank_and_counts(df: DataFrame, order_cols: list, name: str = "rn"):
     """``global_rank`` plus the per-partition row counts (``_pid``, ``_n``);
     their sum is the row count, obtained without another pass over ``df``.
 
-    One range-partitioning shuffle is read twice (Spark reuses the exchange):
-    once unsorted to count rows per partition, once sorted to number rows
-    inside each partition.  ``order_cols`` must be a total order (end with a
-    unique id) so that a recomputed partition yields the same numbers after an
-    executor loss.
+    One range-partitioning shuffle and sort; the numbered rows are pinned and
+    read twice (row counts per partition, then the numbering).  The offsets
+    table has one row per partition.  ``order_cols`` must be a total order
+    (end with a unique id) for the numbering to be a function of the data.
     """
-    ranged = df.repartitionByRange(*order_cols)
-    per_part = ranged.groupBy(F.spark_partition_id().alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
+    mid = _numbered(df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols))
+    per_part = mid.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_part.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
-    mid = (ranged.sortWithinPartitions(*order_cols)
-           .withColumn("_mid", F.monotonically_increasing_id())
-           .withColumn("_pid", F.shiftright("_mid", _LOW_BITS).cast("int"))
-           .withColumn("_pos", F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), _LOW_BITS)))
     ranked = (mid.join(F.broadcast(offsets), "_pid")
               .withColumn(name, F.col("_off") + F.col("_pos") + 1)
-              .drop("_mid", "_pid", "_pos", "_off"))
+              .drop("_pid", "_pos", "_off"))
     return ranked, per_part
 
 
@@ -124,10 +141,8 @@ def running_sum(df: DataFrame, key_cols: list, order_cols: list, value_col: str,
     summed by many tasks instead of one window partition.
     """
     order = list(key_cols) + list(order_cols)
-    mid = (df.orderBy(*order)
-           .withColumn("_mid", F.monotonically_increasing_id())
-           .withColumn("_pid", F.shiftright("_mid", _LOW_BITS)))
-    local_w = (Window.partitionBy("_pid", *key_cols).orderBy("_mid")
+    mid = _numbered(df.orderBy(*order))
+    local_w = (Window.partitionBy("_pid", *key_cols).orderBy("_pos")
                .rowsBetween(Window.unboundedPreceding, 0))
     local = mid.withColumn("_local", F.sum(value_col).over(local_w))
     per = mid.groupBy("_pid", *key_cols).agg(F.sum(value_col).alias("_s"))
@@ -135,4 +150,4 @@ def running_sum(df: DataFrame, key_cols: list, order_cols: list, value_col: str,
     carry = per.select("_pid", *key_cols, F.coalesce(F.sum("_s").over(carry_w), F.lit(0)).alias("_carry"))
     return (local.join(carry, ["_pid", *key_cols])
             .withColumn(name, F.col("_local") + F.col("_carry"))
-            .drop("_mid", "_pid", "_local", "_carry"))
+            .drop("_pos", "_pid", "_local", "_carry"))

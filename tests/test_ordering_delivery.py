@@ -135,3 +135,26 @@ def test_causation_chain_with_checkpoints(spark):
     assert got["e5"] == ("e0", 5, False)
     assert got["e11"] == ("e5", 6, True)
     assert got["x"] == ("x", 0, False)
+
+
+def test_rank_helpers_agree_when_range_bounds_are_sampled(spark):
+    """Large, imbalanced union input: the range partitioner samples its
+    boundaries, so every reader of the numbering must see one evaluation."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    big = spark.range(0, 300_000, 1, 3).select("id", (F.col("id") % 3).alias("k"))
+    small = spark.range(300_000, 300_050, 1, 1).select("id", F.lit(7).cast("long").alias("k"))
+    df = big.unionByName(small).withColumn("v", F.col("id") * 2)
+    n = 300_050
+    ranked = global_rank(df, ["k", "id"], "rn")
+    assert ranked.count() == n
+    assert ranked.agg(F.countDistinct("rn"), F.min("rn"), F.max("rn")).first() == (n, 1, n)
+    w = Window.partitionBy("k").orderBy("id")
+    want = df.select("id", F.lag("v").over(w).alias("want"),
+                     F.sum("v").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("want_sum"))
+    got = (with_neighbour(df, ["k"], ["id"], ["v"]).select("id", "prev_v")
+           .join(running_sum(df, ["k"], ["id"], "v").select("id", "running"), "id")
+           .join(want, "id"))
+    assert got.count() == n
+    bad = got.where(~F.col("prev_v").eqNullSafe(F.col("want")) | (F.col("running") != F.col("want_sum")))
+    assert bad.count() == 0
