@@ -76,8 +76,9 @@ FROM outbox WHERE status='PENDING'""")
 def s05(spark, sf_dir):
     """Keyed, ordered publish plan of every PENDING row (position per key).
 
-    The physical plan (``keyed_publish_order``) hash-partitions by key and sorts
-    inside partitions; positions use the skew-proof rank."""
+    The physical plan (``keyed_publish_order``) range-partitions by (key,
+    created_at, id) and sorts inside partitions; positions use the skew-proof
+    rank."""
     from ..operators.ordering import rank_within
     c = Ctx(spark, sf_dir)
     p = c.outbox.where(F.col("status") == "PENDING").select(

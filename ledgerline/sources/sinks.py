@@ -62,8 +62,8 @@ def drop_month_partitions(spark: SparkSession, path: str, new_base: str, version
 
 
 def publish_files(df: DataFrame, path: str, key_col: str, num_partitions: int) -> None:
-    """Keyed, ordered publish to files — one hash partition per key group,
-    rows of a key in (created_at, id) order inside the file."""
+    """Keyed, ordered publish to files — each key's rows in (created_at,
+    id) order over consecutive files (range-partitioned, so hot keys split)."""
     from ..operators.delivery import keyed_publish_order
     keyed_publish_order(df, key_col, num_partitions).write.mode("overwrite").parquet(path)
 

@@ -85,17 +85,18 @@ def test_greedy_chunks_match_brute_force(spark):
                 assert got[r[0]] == c, (r, c)
 
 
-def test_keyed_publish_order_colocates_and_orders(spark):
-    rows = [(i, f"k{i % 7}", T0 + dt.timedelta(seconds=(i * 37) % 101)) for i in range(300)]
-    df = spark.createDataFrame(rows, "id long, key string, created_at timestamp_ntz")
-    parts = D.keyed_publish_order(df, "key", 4).rdd.glom().collect()
-    seen = {}
-    for p, rows_p in enumerate(parts):
-        for r in rows_p:
-            assert seen.setdefault(r.key, p) == p
-        for key in {r.key for r in rows_p}:
-            ts = [(r.created_at, r.id) for r in rows_p if r.key == key]
-            assert ts == sorted(ts)
+def test_keyed_publish_order_keeps_key_order_and_splits_hot_keys(spark):
+    rnd = random.Random(5)
+    # key k0 holds about a third of all rows
+    rows = [(i, "k0" if rnd.random() < 0.34 else f"k{rnd.randrange(1, 7)}",
+             T0 + dt.timedelta(seconds=(i * 37) % 1001)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, key string, created_at timestamp_ntz").repartition(5)
+    parts = D.keyed_publish_order(df, "key", 8).rdd.glom().collect()
+    flat = [(p, r.key, r.created_at, r.id) for p, rows_p in enumerate(parts) for r in rows_p]
+    assert len(flat) == len(rows)
+    assert [f[1:] for f in flat] == sorted(f[1:] for f in flat)  # every key in order, across partitions
+    hot = {p for p, k, _, _ in flat if k == "k0"}
+    assert len(hot) > 1 and max(len(p) for p in parts) < len(rows) / 3
 
 
 def test_rolling_rates_match_brute_force(spark):
