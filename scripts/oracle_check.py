@@ -1,6 +1,8 @@
 """Run every registered query in Spark and its SQL oracle in DuckDB; compare.
 
 Usage: python scripts/oracle_check.py [SF_DIR] [name-substring ...]
+Env: BATCH_ONLY=1 skips streaming queries; BARE_SESSION=1 uses a plain
+session; SESSION_TZ sets the session time zone.
 
 Comparison: same column names, same row count, and the same multiset of rows
 after normalising values (decimals and floats rounded to 6 places, timestamps
@@ -58,8 +60,14 @@ def main():
     sf_dir = sys.argv[1] if len(sys.argv) > 1 and sys.argv[1].startswith("/") else "/root/testdata/sf0.01"
     pats = [a for a in sys.argv[1:] if not a.startswith("/")]
     tz = os.environ.get("SESSION_TZ")
-    spark = get_session("local[8]", shuffle_partitions=8,
-                        extra={"spark.sql.session.timeZone": tz} if tz else None)
+    if os.environ.get("BARE_SESSION"):
+        # The driver's own session: none of this package's settings.
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[8]")
+                 .config("spark.sql.shuffle.partitions", "8").getOrCreate())
+    else:
+        spark = get_session("local[8]", shuffle_partitions=8,
+                            extra={"spark.sql.session.timeZone": tz} if tz else None)
     con = duckdb.connect()
     for t in DRIVER_TABLES:
         p = f"{sf_dir}/{t}.parquet"
