@@ -67,22 +67,43 @@ def with_neighbour(df: DataFrame, key_cols: list, order_cols: list, value_cols:
     """``lag`` (offset 1) or ``lead`` (offset -1) of ``value_cols`` within
     ``key_cols`` in ``order_cols`` order, without a window partitioned by key.
 
-    Rows are globally ranked by (key, order); the neighbour is the row whose
-    rank differs by ``offset`` and has the same key.  The join is an
-    equi-join on a unique rank, so a key holding a third of the rows is
-    spread over many tasks instead of one window partition.
+    Rows are range-sorted by (key, order) and pinned with their partition id
+    and position.  The neighbour of a row is the previous (next) row of its
+    own range partition — a window over one range partition, bounded by the
+    partition size however large a key is — or, at the partition's first
+    (last) row, the last (first) row of the previous (next) partition, taken
+    from a table with one row per partition.  It counts only when its key is
+    the row's key.
     """
-    ranked = global_rank(df, list(key_cols) + list(order_cols), "_rn")
-    other = ranked.select((F.col("_rn") + offset).alias("_rn"),
-                          *[F.col(k).alias(f"_nk_{k}") for k in key_cols],
-                          *[F.col(c).alias(f"_nv_{c}") for c in value_cols])
-    out = ranked.join(other, "_rn", "left")
+    if offset not in (1, -1):
+        raise ValueError("offset must be 1 (lag) or -1 (lead)")
+    order = list(key_cols) + list(order_cols)
+    mid = _numbered(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    nb = F.struct(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key_cols)],
+                  *[F.col(c).alias(f"_v{i}") for i, c in enumerate(value_cols)])
+    # A range shuffle on the partition id keeps each pinned partition in one
+    # task (balanced), and satisfies the window's clustering without a hash.
+    per_part = Window.partitionBy("_pid").orderBy("_pos")
+    shift = F.lag if offset == 1 else F.lead
+    local = mid.repartitionByRange("_pid").withColumn("_nb", shift(nb, 1).over(per_part))
+    # Edge rows: each partition's last row (lag) or first row (lead, _pos 0);
+    # only these P rows reach the aggregate and the window over partitions.
+    if offset == 1:
+        ends = mid.groupBy("_pid").agg(F.max("_pos").alias("_pos"))
+        edge_rows = mid.join(F.broadcast(ends), ["_pid", "_pos"])
+    else:
+        edge_rows = mid.where(F.col("_pos") == 0)
+    edges = (edge_rows.groupBy("_pid").agg(F.max_by(nb, "_pos").alias("_e"))
+             .select("_pid", shift("_e", 1).over(Window.orderBy("_pid")).alias("_edge")))
+    out = (local.join(F.broadcast(edges), "_pid")
+           .withColumn("_nb", F.coalesce("_nb", "_edge")))
     same = None
-    for k in key_cols:
-        cond = F.col(k).eqNullSafe(F.col(f"_nk_{k}"))
+    for i, k in enumerate(key_cols):
+        cond = F.col(k).eqNullSafe(F.col(f"_nb._k{i}"))
         same = cond if same is None else same & cond
-    out = out.withColumns({f"{prefix}{c}": F.when(same, F.col(f"_nv_{c}")) for c in value_cols})
-    return out.drop("_rn", *[f"_nk_{k}" for k in key_cols], *[f"_nv_{c}" for c in value_cols])
+    out = out.withColumns({f"{prefix}{c}": F.when(same, F.col(f"_nb._v{i}"))
+                           for i, c in enumerate(value_cols)})
+    return out.drop("_pid", "_pos", "_nb", "_edge")
 
 
 def rank_within(df: DataFrame, key_cols: list, order_cols: list, name: str = "pos") -> DataFrame:

@@ -38,6 +38,18 @@ def test_rank_within_and_neighbour_match_python(spark):
             assert prev[r[0]] == (seq[i - 1][2] if i else None)
 
 
+def test_lead_matches_python_across_partitions(spark):
+    rows = _rows(n=1500, seed=4)
+    df = spark.createDataFrame(rows, "id long, k long, v long, t timestamp_ntz").repartition(6)
+    nxt = {r.id: r.next_v for r in with_neighbour(df, ["k"], ["t", "id"], ["v"], offset=-1,
+                                                   prefix="next_").collect()}
+    assert len(nxt) == len(rows)
+    for k in {r[1] for r in rows}:
+        seq = sorted((r for r in rows if r[1] == k), key=lambda r: (r[3], r[0]))
+        for i, r in enumerate(seq):
+            assert nxt[r[0]] == (seq[i + 1][2] if i + 1 < len(seq) else None)
+
+
 def test_running_sum_matches_cumsum(spark):
     rows = _rows()
     df = spark.createDataFrame(rows, "id long, k long, v long, t timestamp_ntz").repartition(6)
