@@ -158,41 +158,53 @@ def unsqueeze(blob: bytes) -> bytes:
     return pa.decompress(blob[8:], decompressed_size=n, codec=_CODEC, asbytes=True) if n else b""
 
 
-BLOCK_SCHEMA = "block string, doc_ids array<bigint>, sizes array<int>, data binary"
+BLOCK_SCHEMA = "block string, sizes array<int>, data binary, rest binary"
 
 
-def pack_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+def pack_blocks(docs: DataFrame, text_col: str = "text", columns: list[str] | None = None,
                 block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of whole documents of about ``block_bytes`` (a longer document has
     its own block), written to the shared folder.  No shuffle: a block holds
-    documents that one task read.  Null texts count as empty."""
-    spark_docs = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    documents that one task read.  ``rest`` keeps ``columns`` of the same rows
+    (all but the text by default) as an Arrow stream.  Null texts count as empty."""
+    columns = [c for c in docs.columns if c != text_col] if columns is None else columns
+    rows = docs.select(docs[text_col].cast("string").alias("text"), *[docs[c].alias(f"c{k}") for k, c in enumerate(columns)])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, sizes, parts, held = [], [], [], 0
+        sizes, parts, rest, held = [], [], [], 0
 
         def block() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rest[0].schema) as out:
+                for r in rest:
+                    out.write_batch(r)
             return pa.RecordBatch.from_arrays(
-                [pa.array([uuid.uuid4().hex]), pa.array([sum(ids, [])], pa.list_(pa.int64())),
-                 pa.array([np.concatenate(sizes)], pa.list_(pa.int32())),
-                 pa.array([squeeze(np.concatenate(parts))], pa.binary())],
-                names=["block", "doc_ids", "sizes", "data"])
+                [pa.array([uuid.uuid4().hex]), pa.array([np.concatenate(sizes)], pa.list_(pa.int32())),
+                 pa.array([squeeze(np.concatenate(parts))], pa.binary()),
+                 pa.array([squeeze(sink.getvalue().to_pybytes())], pa.binary())],
+                names=["block", "sizes", "data", "rest"])
 
         for batch in batches:
-            data, at = utf8(batch.column(1))
-            doc_ids = batch.column(0).to_pylist()
+            data, at = utf8(batch.column(0))
+            other = pa.RecordBatch.from_arrays([batch.column(0).is_null(), *batch.columns[1:]],
+                                               names=["no_text", *batch.schema.names[1:]])
             for lo, hi in chunks(at, max(1, block_bytes // 8)):
-                ids.append(doc_ids[lo:hi])
                 sizes.append(np.diff(at[lo:hi + 1]).astype(np.int32))
                 parts.append(data[at[lo]:at[hi]])
+                rest.append(other.slice(lo, hi - lo))
                 held += int(at[hi] - at[lo])
                 if held >= block_bytes:
                     yield block()
-                    ids, sizes, parts, held = [], [], [], 0
-        if ids:
+                    sizes, parts, rest, held = [], [], [], 0
+        if sizes:
             yield block()
 
-    return pin(spark_docs.mapInArrow(pack, BLOCK_SCHEMA), "blocks")
+    return pin(rows.mapInArrow(pack, BLOCK_SCHEMA), "blocks")
+
+
+def open_rest(blob: bytes) -> pa.Table:
+    """``no_text`` and the kept columns (c0, c1, ...) of a block's rows."""
+    return pa.ipc.open_stream(unsqueeze(blob)).read_all().combine_chunks()
 
 
 def open_block(sizes: np.ndarray, data: bytes) -> tuple[np.ndarray, np.ndarray]:
