@@ -30,6 +30,8 @@ CHUNK_BYTES = 1 << 20
 
 _NOT_SPACE = np.ones(256, bool)
 _NOT_SPACE[[9, 10, 11, 12, 13, 32]] = False
+#: Letters, digits and every byte beyond ASCII: words without ASCII punctuation.
+LETTERS = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 #: Lower case of A-Z only; every other byte stays.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -75,9 +77,10 @@ def chunks(at: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]
         lo = hi
 
 
-def spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and the index of each document's first word."""
-    word = _NOT_SPACE[data]
+def spans(data: np.ndarray, at: np.ndarray, inside: np.ndarray = _NOT_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and the index of each document's first
+    word.  ``inside`` says of each byte value whether it belongs to a word."""
+    word = inside[data]
     first, last = word.copy(), word.copy()
     if len(data):
         first[1:] &= ~word[:-1]
