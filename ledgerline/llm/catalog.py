@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import bpe, decontaminate, quality_rules, simhash, substring_dedup
+from . import bpe, decontaminate, hilbert, quality_rules, simhash, substring_dedup
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,11 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_words(table(spark, sf_dir, "documents"))
 
 
+def op2_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot along the Hilbert curve of language, source and size."""
+    return hilbert.shard_report(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids and decoded bytes of every document, as digests."""
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
@@ -39,6 +44,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_hilbert": op2_hilbert,
     "op6_bpe": op6_bpe,
     "op7_quality_rules": op7_quality_rules,
     "op9_decontaminate": op9_decontaminate,
