@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import bpe, decontaminate, hilbert, quality_rules, simhash, substring_dedup
+from . import bpe, decontaminate, hilbert, html_blocks, ordinal_quality, quality_rules, simhash, substring_dedup
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op2_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shard_report(table(spark, sf_dir, "documents"))
 
 
+def op3_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_blocks.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids and decoded bytes of every document, as digests."""
     return bpe.token_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
@@ -32,6 +37,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op8_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probability of every document; the ratings come from the labels."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return ordinal_quality.score(docs, ordinal_quality.train(docs, labels, ordinal_quality.graded(labels), top=2))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with that item."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -45,8 +56,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_hilbert": op2_hilbert,
+    "op3_html_blocks": op3_html_blocks,
     "op6_bpe": op6_bpe,
     "op7_quality_rules": op7_quality_rules,
+    "op8_ordinal_quality": op8_ordinal_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
 }
