@@ -125,12 +125,12 @@ def _sums(values: np.ndarray, base: int) -> np.ndarray:
     return out
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; ``which`` (0 to 2) gives independent ones."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    total = _sums(_BYTE[data], _BASES[0])
-    _, down = _powers(_BASES[0], len(data))
+    total = _sums(mix(_BYTE + np.uint64(which))[data] if which else _BYTE[data], _BASES[which])
+    _, down = _powers(_BASES[which], len(data))
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
