@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import bpe, decontaminate, hilbert, html_blocks, ordinal_quality, quality_rules, recurrent_lm, simhash, substring_dedup
+from . import bpe, decontaminate, hilbert, html_blocks, licences, ordinal_quality, quality_rules, recurrent_lm, simhash, substring_dedup
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,11 @@ def op3_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.main_text(table(spark, sf_dir, "pages"))
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence paragraph of every document, with its family."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram and recurrent log10 probability of every document."""
     return recurrent_lm.score(table(spark, sf_dir, "documents"))
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_hilbert": op2_hilbert,
     "op3_html_blocks": op3_html_blocks,
+    "op4_licences": op4_licences,
     "op5_recurrent_lm": op5_recurrent_lm,
     "op6_bpe": op6_bpe,
     "op7_quality_rules": op7_quality_rules,
