@@ -73,6 +73,9 @@ STATEMENTS = {
 ANY_LICENCE = ["Licensed under the {} License.", "Released under the {} License, Version {}.", "This work is licensed under {}.",
                "Distributed under the terms of the {} licence.", "You may use this under the {} agreement."]
 
+# Words that keep a sampled line from being taken as ordinary text.
+CUES = {b"license", b"licence", b"licensed", b"licenced", b"licenses", b"licences", b"copyright", b"gpl", b"lgpl", b"agpl", b"cc0"}
+
 FAMILIES = [*STATEMENTS, "unknown"]
 ORDINARY = len(FAMILIES)
 _PLAIN = bytes(LOWER[b] if LETTERS[b] else 32 for b in range(256))
@@ -136,7 +139,7 @@ def train(lines: list[str], seed: int = SEED) -> Classifier:
     templates = [(f, *_template(t)) for f, texts in STATEMENTS.items() for t in texts]
     plain = Classifier(np.zeros((0, 0)), np.zeros(0), 1.0, np.zeros(0, np.uint64), templates)
     ordinary = [w for w in (words_of(t)[:SEGMENT] for t in lines) if len(w) > 1]
-    ordinary = [w for w in ordinary if all(plain.similarity(f, w) < CONFIRM for f in STATEMENTS)]
+    ordinary = [w for w in ordinary if not CUES & set(w) and all(plain.similarity(f, w) < CONFIRM for f in STATEMENTS)]
     pool = [x for w in ordinary for x in w] or [b"text"]
     some = lambda n: [pool[k] for k in rng.integers(len(pool), size=n)]
     samples: list[tuple[list[bytes], int]] = [(w, ORDINARY) for w in ordinary]
