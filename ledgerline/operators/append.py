@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.codec import event_id_for
+from ..functions.codec import event_id_for, uuid_v5
 from ..functions.time import ts
+from .ordering import rank_within
 
 DEFAULT_EXISTS_STATUSES = (S.PENDING, S.PUBLISHED)
 
@@ -22,23 +23,27 @@ def append_rows(events: DataFrame, now, keep: list | None = None) -> DataFrame:
 
     ``events`` has aggregate_id, aggregate_type, event_type, payload and
     optional event_id / correlation_id / created_at / version.  A missing
-    event id is the name-based id of (aggregate, version); partition key =
-    aggregate id; retry count 0.  ``keep`` lists extra input columns to carry.
+    event id is the name-based id of (aggregate, version), or without a version
+    of (aggregate, type, time, payload), so different events of one aggregate
+    never share an id; partition key = aggregate id; retry count 0.  ``keep``
+    lists extra input columns to carry.
     """
     cols = set(events.columns)
     opt = lambda c, default: F.col(c) if c in cols else default
-    version = opt("version", F.lit(0).cast("bigint"))
+    none = F.lit(None)
+    version = opt("version", none.cast("bigint"))
+    created = F.coalesce(opt("created_at", none.cast("timestamp_ntz")), ts(now))
+    unversioned = uuid_v5(F.to_json(F.array(F.col("aggregate_id"), F.col("event_type"), created.cast("string"), F.col("payload"))))
     return events.select(
-        F.coalesce(opt("event_id", F.lit(None).cast("string")),
-                   event_id_for(F.col("aggregate_id"), version)).alias("event_id"),
+        F.coalesce(opt("event_id", none.cast("string")),
+                   F.when(version.isNotNull(), event_id_for(F.col("aggregate_id"), version)).otherwise(unversioned)).alias("event_id"),
         "aggregate_id", "aggregate_type", "event_type", "payload",
         F.lit(S.PENDING).alias("status"), F.lit(0).alias("retry_count"),
         F.lit(None).cast("string").alias("error_message"),
         F.col("aggregate_id").alias("partition_key"),
         opt("correlation_id", F.lit(None).cast("string")).alias("correlation_id"),
-        F.coalesce(opt("created_at", F.lit(None).cast("timestamp_ntz")), ts(now)).alias("created_at"),
-        F.coalesce(opt("created_at", F.lit(None).cast("timestamp_ntz")), ts(now)).alias("updated_at"),
-        version.cast("bigint").alias("version"), *(keep or []))
+        created.alias("created_at"), created.alias("updated_at"),
+        F.coalesce(version.cast("bigint"), F.lit(0)).alias("version"), *(keep or []))
 
 
 def append_mixed(batches: list[DataFrame], now, keep: list | None = None) -> DataFrame:
@@ -55,8 +60,8 @@ def event_exists(log: DataFrame, requests: DataFrame,
     """For each (aggregate_id, event_type) request, does a row in one of
     ``statuses`` exist?  Duplicates in the log are tolerated (semi join)."""
     live = log.where(F.col("status").isin(list(statuses))).select("aggregate_id", "event_type")
-    found = (requests.join(live, ["aggregate_id", "event_type"], "left_semi")
-             .withColumn("exists", F.lit(True)))
+    found = (requests.select("aggregate_id", "event_type").distinct()
+             .join(live, ["aggregate_id", "event_type"], "left_semi").withColumn("exists", F.lit(True)))
     return (requests.join(found, ["aggregate_id", "event_type"], "left")
             .withColumn("exists", F.coalesce(F.col("exists"), F.lit(False))))
 
@@ -66,16 +71,20 @@ def unseen(incoming: DataFrame, seen_ids: DataFrame, key: str = "event_id") -> D
     return incoming.join(seen_ids.select(key).distinct(), key, "left_anti")
 
 
-def version_conflicts(current: DataFrame, appends: DataFrame) -> DataFrame:
+def version_conflicts(current: DataFrame, appends: DataFrame, order_cols: list | None = None) -> DataFrame:
     """Optimistic version check.  ``current`` has (aggregate_id, version)
     rows of the store; ``appends`` has (aggregate_id, expected_version, ...).
     An append is accepted when its expected version equals the aggregate's
-    current maximum (0 for a new aggregate); returns ``accepted`` flag."""
+    current maximum (0 for a new aggregate).  Of several appends with that
+    version the first wins (by ``order_cols``, else all columns in their order;
+    equal rows by chance), the others conflict; returns ``accepted`` flag."""
+    own = order_cols or appends.columns
+    appends = rank_within(appends, ["aggregate_id", "expected_version"], own, "_nth")
     head = current.groupBy("aggregate_id").agg(F.max("version").alias("_cur"))
     return (appends.join(head, "aggregate_id", "left")
             .withColumn("current_version", F.coalesce(F.col("_cur"), F.lit(0)).cast("bigint"))
-            .withColumn("accepted", F.col("expected_version") == F.col("current_version"))
-            .drop("_cur"))
+            .withColumn("accepted", (F.col("expected_version") == F.col("current_version")) & (F.col("_nth") == 1))
+            .drop("_cur", "_nth"))
 
 
 def uniqueness_conflicts(df: DataFrame, natural_key: str, order_cols: list) -> DataFrame:

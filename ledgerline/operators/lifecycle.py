@@ -7,7 +7,8 @@ driven by an id list join that list; it is broadcast only when its size has a
 known bound (a poll batch of at most ``limit`` rows), otherwise the join is a
 regular shuffle join that AQE may still turn into a broadcast at run time.
 
-Per-row saves bump ``version`` (optimistic lock column); bulk updates do not.
+Per-row saves bump ``version`` (optimistic lock column) and stamp
+``updated_at``; bulk updates do not bump the version.
 """
 
 from __future__ import annotations
@@ -72,11 +73,12 @@ def handle_failure(log: DataFrame, failures: DataFrame, now, max_retries: int =
     incremented first, then ``next_retry_at = now + 2^count`` seconds.
     At the ceiling the count and retry time are left as they are.
     """
-    f = failures.select("id", F.col("error").alias("_err")).dropDuplicates(["id"])
+    f = (failures.groupBy("id").agg(F.min("error").alias("_err"))  # several reports of a row: the least text
+         .withColumn("_hit", F.lit(True)))
     if bound is not None and bound <= BROADCAST_ROW_BOUND:
         f = F.broadcast(f)
     df = log.join(f, "id", "left")
-    hit = F.col("_err").isNotNull()
+    hit = F.coalesce(F.col("_hit"), F.lit(False))  # a failure may have no text
     retry = hit & (F.col("retry_count") < max_retries)
     dead = hit & (F.col("retry_count") >= max_retries)
     new_count = F.col("retry_count") + 1
@@ -87,12 +89,12 @@ def handle_failure(log: DataFrame, failures: DataFrame, now, max_retries: int =
         "status": F.when(retry, F.lit(S.FAILED)).when(dead, F.lit(S.DEAD_LETTER))
                    .otherwise(F.col("status")),
         "error_message": F.when(retry, F.col("_err"))
-                          .when(dead, F.concat(F.lit(S.MAX_RETRIES_PREFIX), F.col("_err")))
+                          .when(dead, F.concat(F.lit(S.MAX_RETRIES_PREFIX), F.coalesce(F.col("_err"), F.lit("null"))))
                           .otherwise(F.col("error_message")),
         "updated_at": F.when(hit, ts(now)).otherwise(F.col("updated_at")),
         "version": F.when(hit, F.col("version") + 1).otherwise(F.col("version")),
     })
-    return df.drop("_err")
+    return df.drop("_err", "_hit")
 
 
 def reset_due_failed(log: DataFrame, now, max_retries: int = S.MAX_RETRIES,
@@ -105,10 +107,11 @@ def reset_due_failed(log: DataFrame, now, max_retries: int = S.MAX_RETRIES,
     if limit is None:
         due = ((F.col("status") == S.FAILED) & (F.col("next_retry_at") <= ts(now))
                & (F.col("retry_count") < max_retries))
-        return _set(log, F.coalesce(due, F.lit(False)), status=F.lit(S.PENDING),
+        return _set(log, F.coalesce(due, F.lit(False)), status=F.lit(S.PENDING), updated_at=ts(now),
                     version=F.col("version") + 1)
     df = _flag_ids(log, retry_batch(log, now, max_retries, limit), "_hit", limit)
-    return _set(df, F.col("_hit"), status=F.lit(S.PENDING), version=F.col("version") + 1).drop("_hit")
+    return _set(df, F.col("_hit"), status=F.lit(S.PENDING), updated_at=ts(now),
+                version=F.col("version") + 1).drop("_hit")
 
 
 def dead_letter_sweep(log: DataFrame, now, max_retries: int = S.MAX_RETRIES,
@@ -132,8 +135,8 @@ def recover_stuck(log: DataFrame, now, minutes: int = S.STUCK_MINUTES) -> DataFr
     """PROCESSING rows older than ``minutes`` go back to PENDING with a note."""
     cond = F.coalesce((F.col("status") == S.PROCESSING)
                       & (F.col("updated_at") < cutoff(now, minutes=minutes)), F.lit(False))
-    return _set(log, cond, status=F.lit(S.PENDING),
-                error_message=F.lit(S.STUCK_RECOVERED_MESSAGE), version=F.col("version") + 1)
+    return _set(log, cond, status=F.lit(S.PENDING), error_message=F.lit(S.STUCK_RECOVERED_MESSAGE),
+                updated_at=ts(now), version=F.col("version") + 1)
 
 
 def purge_predicate(now, retention_days: int = S.RETENTION_DAYS, grace_hours: int = 0):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.time import elapsed_seconds, ts
-from .ordering import exact_quantiles, rank_within, running_sum
+from .ordering import exact_quantiles, rank_within, running_sum, with_last
 
 # Alert thresholds (backlog, failure rate %, dead letters, lag s,
 # table rows, p95 processing s).
@@ -106,14 +106,17 @@ def consumer_lag(stream: DataFrame, partition_col: str, order_cols: list, commit
     """Per partition, latest sequence, checkpointed sequence (the last
     committed row) and the lag in events and in minutes.
 
-    Sequence numbers are positions per partition (skew-proof rank).
-    ``committed`` marks rows already processed.
+    Sequence numbers are counts: all rows of the partition, and those up to
+    its last committed row.  ``committed`` marks rows already processed.
     """
-    seq = rank_within(stream.withColumn("_done", committed), [partition_col], order_cols, "seq")
+    at = F.struct(*[F.col(c) for c in order_cols])
+    rows = stream.withColumn("_at", at).withColumn("_done", committed)
     t = order_cols[0]
-    return (seq.groupBy(partition_col)
-            .agg(F.max("seq").alias("latest_seq"),
-                 F.coalesce(F.max(F.when(F.col("_done"), F.col("seq"))), F.lit(0)).alias("checkpoint_seq"),
+    last = rows.where("_done").groupBy(F.col(partition_col).alias("_p")).agg(F.max("_at").alias("_last"))
+    marked = rows.join(last, F.col(partition_col).eqNullSafe(F.col("_p")), "left")
+    return (marked.groupBy(partition_col)
+            .agg(F.count(F.lit(1)).alias("latest_seq"),
+                 F.count_if(F.col("_at") <= F.col("_last")).alias("checkpoint_seq"),
                  F.max(t).alias("_latest_t"),
                  F.max(F.when(F.col("_done"), F.col(t))).alias("_ckpt_t"))
             .withColumn("lag_events", F.col("latest_seq") - F.col("checkpoint_seq"))
@@ -128,16 +131,15 @@ def rolling_call_rates(calls: DataFrame, window: int = 10, min_calls: int = 5,
     calls (ordered by ts, id); a breach needs at least ``min_calls`` calls and
     a rate at (``inclusive``) or above the threshold.
 
-    Each call contributes to the ``window`` windows that contain it (a fan-out
-    of ``window`` rows), summed by a partial aggregate on (target, position):
-    no per-target window partition.
+    The last rows come from a rows window inside each range partition of the
+    (target, ts, id) order, so no call is copied and no target is one task.
     """
-    r = rank_within(calls.select("id", "target", "ts", "failed", "dur_ms"), ["target"], ["ts", "id"], "pos")
-    fan = r.select("target", F.explode(F.sequence(F.col("pos"), F.col("pos") + (window - 1))).alias("pos"),
-                   F.col("failed").cast("int").alias("f"), (F.col("dur_ms") > slow_ms).cast("int").alias("s"))
-    win = fan.groupBy("target", "pos").agg(F.count(F.lit(1)).alias("n"), F.sum("f").alias("fails"),
-                                            F.sum("s").alias("slow"))
-    out = (r.select("target", "pos", "id", "ts").join(win, ["target", "pos"])
+    flags = calls.select("id", "target", "ts", F.coalesce(F.col("failed").cast("int"), F.lit(0)).alias("f"),
+                         F.coalesce((F.col("dur_ms") > slow_ms).cast("int"), F.lit(0)).alias("s"))
+    r = with_last(flags, ["target"], ["ts", "id"], ["f", "s"], window)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    out = (r.select("target", "pos", "id", "ts", F.size("last_f").cast("bigint").alias("n"),
+                    total("last_f").alias("fails"), total("last_s").alias("slow"))
            .withColumn("failure_rate", F.round(F.col("fails") / F.col("n"), 6))
            .withColumn("slow_rate", F.round(F.col("slow") / F.col("n"), 6)))
     cmp = (lambda c: c >= failure_threshold) if inclusive else (lambda c: c > failure_threshold)

@@ -7,7 +7,8 @@ broadcast).  ``monotonically_increasing_id`` after the sort carries the
 partition index in its upper bits and the position inside the sorted
 partition in its lower 33 bits.
 
-The numbered rows are pinned once with a reliable ``checkpoint`` (into the
+The numbered rows are pinned once with a reliable, eager ``checkpoint`` (a job
+runs while the plan is built; into the
 shared ``spark.checkpoint.dir``) before anything else reads them.  Two plan
 branches that each re-evaluate a range shuffle do not agree: the range
 boundaries are sampled with a seed that depends on the RDD id, and AQE may
@@ -106,69 +107,125 @@ def with_neighbour(df: DataFrame, key_cols: list, order_cols: list, value_cols:
     return out.drop("_pid", "_pos", "_nb", "_edge")
 
 
-def rank_within(df: DataFrame, key_cols: list, order_cols: list, name: str = "pos") -> DataFrame:
-    """1-based position inside each key in ``order_cols`` order (``row_number``)
-    computed from the global rank minus the key's first rank; the per-key
-    minimum is a partial aggregate, so hot keys never sit in one task."""
-    ranked = global_rank(df, list(key_cols) + list(order_cols), "_rn")
-    first = ranked.groupBy(*key_cols).agg(F.min("_rn").alias("_first"))
-    return (ranked.join(first, list(key_cols))
-            .withColumn(name, F.col("_rn") - F.col("_first") + 1)
-            .drop("_rn", "_first"))
+def _runs(df: DataFrame, key_cols: list, order_cols: list) -> DataFrame:
+    """Rows range-sorted by (key, order) and pinned, with ``_start``: the
+    position in the partition at which the row's run of equal keys begins.
+    Null keys are equal to each other and form a run like any other key."""
+    order = list(key_cols) + list(order_cols)
+    mid = _numbered(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    per_part = Window.partitionBy("_pid").orderBy("_pos")
+    fresh = F.col("_pos") == 0
+    for k in key_cols:
+        fresh = fresh | ~F.col(k).eqNullSafe(F.lag(k).over(per_part))
+    return (mid.repartitionByRange("_pid").withColumn("_fresh", fresh)
+            .withColumn("_start", F.max(F.when(F.col("_fresh"), F.col("_pos")))
+                        .over(per_part.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+            .drop("_fresh"))
+
+
+def _carry(runs: DataFrame, key_cols: list, measure: F.Column) -> DataFrame:
+    """(``_pid``, ``_carry``): what ``measure`` gives for the rows of earlier
+    partitions that have the key of the partition's first run.
+
+    Keys are sorted, so only a partition's first and last run can go on in
+    another one: at most two rows per partition are gathered, whatever the key."""
+    ends = runs.groupBy("_pid").agg(F.max("_start").alias("_last"))
+    edge = (runs.join(F.broadcast(ends), "_pid").where((F.col("_start") == 0) | (F.col("_start") == F.col("_last")))
+            .groupBy("_pid", "_start").agg(measure.alias("_m"), *[F.first(k).alias(f"_k{i}") for i, k in enumerate(key_cols)]))
+    before = (Window.partitionBy(*[f"_k{i}" for i in range(len(key_cols))]).orderBy("_pid")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    return (edge.withColumn("_carry", F.coalesce(F.sum("_m").over(before), F.lit(0)))
+            .where(F.col("_start") == 0).select("_pid", "_carry"))
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list, prefix: str = "p",
-                    with_count: bool = False) -> DataFrame:
-    """Exact continuous quantiles (linear interpolation between the ranks
-    ``floor((n-1)p)`` and ``ceil((n-1)p)``, as SQL ``percentile_cont``).
+def rank_within(df: DataFrame, key_cols: list, order_cols: list, name: str = "pos") -> DataFrame:
+    """1-based position inside each key in ``order_cols`` order (``row_number``;
+    rows with a null key are numbered too).
 
-    Values are ranked by a distributed sort; only the rows at the wanted
-    ranks (two per probability, a bounded table that is broadcast) are kept.
-    No aggregation buffer holds all values, unlike ``percentile``.
-    Returns one row with a column ``{prefix}{int(p*100)}`` per probability.
-    """
-    vals = df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    ranked, per_part = global_rank_and_counts(vals, ["_v"], "_rn")
-    n = per_part.agg(F.sum("_n").alias("_n"))
-    targets = (n.select("_n", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("_p"))
-               .withColumn("_h", (F.col("_n") - 1) * F.col("_p"))
-               .withColumn("_lo", F.floor("_h").cast("bigint") + 1)
-               .withColumn("_hi", F.ceil("_h").cast("bigint") + 1)
-               .withColumn("_f", F.col("_h") - F.floor("_h")))
-    picks = (targets.select("_p", "_f", F.explode(F.array(
-        F.struct(F.lit("lo").alias("side"), F.col("_lo").alias("_rn")),
-        F.struct(F.lit("hi").alias("side"), F.col("_hi").alias("_rn")))).alias("_t"))
-        .select("_p", "_f", "_t.side", "_t._rn"))
-    hit = ranked.join(F.broadcast(picks), "_rn")
-    per_p = (hit.groupBy("_p", "_f")
-             .agg(F.max(F.when(F.col("side") == "lo", F.col("_v"))).alias("_vlo"),
-                  F.max(F.when(F.col("side") == "hi", F.col("_v"))).alias("_vhi"))
-             .withColumn("_q", F.col("_vlo") + F.col("_f") * (F.col("_vhi") - F.col("_vlo"))))
-    out = per_p.agg(*[F.max(F.when(F.col("_p") == float(p), F.col("_q"))).alias(f"{prefix}{int(round(p * 100))}")
-                      for p in probs])
-    if with_count:
-        out = out.withColumn("n", n.select("_n").scalar())
-    return out
+    The position inside the row's run, plus, in a partition's first run, the
+    rows that the key has in earlier partitions.  No exchange on the key."""
+    runs = _runs(df, key_cols, order_cols)
+    carry = _carry(runs, key_cols, F.count(F.lit(1)))
+    return (runs.join(F.broadcast(carry), "_pid")
+            .withColumn(name, F.col("_pos") - F.col("_start") + 1
+                        + F.when(F.col("_start") == 0, F.col("_carry")).otherwise(F.lit(0)))
+            .drop("_pid", "_pos", "_start", "_carry"))
 
 
 def running_sum(df: DataFrame, key_cols: list, order_cols: list, value_col: str,
                 name: str = "running") -> DataFrame:
     """Running sum of ``value_col`` within ``key_cols`` in ``order_cols`` order
-    (a cumulative window) computed as a distributed prefix sum.
+    (a cumulative window, null keys included) as a distributed prefix sum:
+    the sum inside the row's run plus the key's sum in earlier partitions."""
+    runs = _runs(df, key_cols, order_cols)
+    carry = _carry(runs, key_cols, F.coalesce(F.sum(value_col), F.lit(0)))
+    within = (Window.partitionBy("_pid", "_start").orderBy("_pos")
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (runs.withColumn("_local", F.sum(value_col).over(within))
+            .join(F.broadcast(carry), "_pid")
+            .withColumn(name, F.col("_local") + F.when(F.col("_start") == 0, F.col("_carry")).otherwise(F.lit(0)))
+            .drop("_pos", "_pid", "_start", "_local", "_carry"))
+
+
+def with_last(df: DataFrame, key_cols: list, order_cols: list, value_cols: list, size: int,
+              name: str = "pos", prefix: str = "last_") -> DataFrame:
+    """``name``: the position inside the key; ``{prefix}{value}``: the values of
+    the key's last ``size`` rows up to this one, oldest first.
+
+    A window of ``size`` rows inside each range partition; the ``size - 1`` rows
+    before a partition come from a table of so many rows per partition."""
+    runs = _runs(df, key_cols, order_cols)
+    carry = _carry(runs, key_cols, F.count(F.lit(1)))
+    values = F.struct(*[F.col(c).alias(c) for c in value_cols])
+    rows = runs.withColumn("_v", values)
+    if size > 1:
+        sizes = runs.groupBy("_pid").agg(F.max("_pos").alias("_end"))
+        tail = (rows.join(F.broadcast(sizes), "_pid").where(F.col("_pos") > F.col("_end") - (size - 1))
+                .select("_pid", "_pos", "_v"))
+        # One row per partition; each has a row at least, so size - 1 partitions back are enough.
+        per = tail.groupBy("_pid").agg(F.sort_array(F.collect_list(F.struct("_pos", "_v"))).alias("_t"))
+        back = Window.orderBy("_pid").rowsBetween(-(size - 1), -1)
+        ends = (per.select("_pid", F.flatten(F.collect_list(F.col("_t._v")).over(back)).alias("_b"))
+                .select("_pid", F.slice("_b", F.greatest(F.size("_b") - (size - 2), F.lit(1)), size - 1).alias("_before")))
+        rows = rows.join(F.broadcast(ends), "_pid")
+    else:
+        rows = rows.withColumn("_before", F.array().cast(f"array<{dict(rows.dtypes)['_v']}>"))
+    within = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(-(size - 1), Window.currentRow)
+    out = (rows.withColumn("_here", F.collect_list("_v").over(within)).join(F.broadcast(carry), "_pid")
+           .withColumn(name, F.col("_pos") - F.col("_start") + 1
+                       + F.when(F.col("_start") == 0, F.col("_carry")).otherwise(F.lit(0)))
+           .withColumn("_all", F.concat(F.coalesce(F.col("_before"), F.expr("slice(_here, 1, 0)")), F.col("_here")))
+           .withColumn("_n", F.least(F.lit(size), F.col(name)).cast("int"))
+           .withColumn("_own", F.slice("_all", F.size("_all") - F.col("_n") + 1, F.col("_n"))))
+    return (out.withColumns({f"{prefix}{c}": F.col(f"_own.{c}") for c in value_cols})
+            .drop("_pid", "_pos", "_start", "_carry", "_v", "_before", "_here", "_all", "_n", "_own"))
+
 
-    Rows are range-sorted by (key, order); each sorted partition sums its own
-    rows, and the carry-in of a key from earlier partitions comes from a table
-    with one row per (partition, key) — so a key spanning many partitions is
-    summed by many tasks instead of one window partition.
+def exact_quantiles(df: DataFrame, col: str, probs: list, prefix: str = "p",
+                    with_count: bool = False) -> DataFrame:
+    """Exact continuous quantiles (linear interpolation between the ranks
+    ``floor((n-1)p)`` and ``ceil((n-1)p)``, as SQL ``percentile_cont``).
+
+    Rows are counted per value first (combined map-side), so only the different
+    values are sorted and pinned; the value at a rank is the least one whose
+    cumulative count reaches it.  Returns one row with a column
+    ``{prefix}{int(p*100)}`` per probability.
     """
-    order = list(key_cols) + list(order_cols)
-    mid = _numbered(df.orderBy(*order))
-    local_w = (Window.partitionBy("_pid", *key_cols).orderBy("_pos")
-               .rowsBetween(Window.unboundedPreceding, 0))
-    local = mid.withColumn("_local", F.sum(value_col).over(local_w))
-    per = mid.groupBy("_pid", *key_cols).agg(F.sum(value_col).alias("_s"))
-    carry_w = Window.partitionBy(*key_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per.select("_pid", *key_cols, F.coalesce(F.sum("_s").over(carry_w), F.lit(0)).alias("_carry"))
-    return (local.join(carry, ["_pid", *key_cols])
-            .withColumn(name, F.col("_local") + F.col("_carry"))
-            .drop("_pos", "_pid", "_local", "_carry"))
+    counts = (df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+              .groupBy("_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_one", F.lit(0)))
+    cum = running_sum(counts, ["_one"], ["_v"], "_c", "_cum")
+    n = cum.agg(F.max("_cum")).scalar()
+
+    def at(rank):
+        return F.min(F.when(F.col("_cum") >= rank, F.col("_v")))
+
+    rows = cum.withColumn("_n", n)
+    picks = []
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        picks += [at(F.floor(h) + 1).alias(f"_lo{i}"), at(F.ceil(h) + 1).alias(f"_hi{i}"),
+                  F.max(h - F.floor(h)).alias(f"_f{i}")]
+    got = rows.agg(*picks, F.coalesce(F.max("_n"), F.lit(0)).alias("n"))
+    out = [(F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(f"{prefix}{int(round(p * 100))}")
+           for i, p in enumerate(probs)]
+    return got.select(*out, *(["n"] if with_count else []))

@@ -35,7 +35,8 @@ def dedup_events(events: DataFrame, key: str = "event_id", order: str = "seq") -
     collapsed in each task before the shuffle on ``key``.
     """
     cols = [c for c in events.columns if c != key]
-    picked = events.groupBy(key).agg(F.min_by(F.struct(*cols), F.col(order)).alias("_r"))
+    row = F.struct(*cols)
+    picked = events.groupBy(key).agg(F.min_by(row, F.struct(F.col(order), row)).alias("_r"))  # equal order: the least row
     return picked.select(key, *[F.col("_r")[c].alias(c) for c in cols]).select(*events.columns)
 
 
@@ -54,7 +55,7 @@ def project(events: DataFrame, now, mode: str = "dedup",
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     ev = dedup_events(events) if mode == "dedup" else events
-    return _fold(ev.withColumn("_state", F.lit(False)), now, status_map)
+    return _fold(ev.withColumns({"_state": F.lit(False), "projected_at": F.lit(None).cast("timestamp_ntz")}), now, status_map)
 
 
 def _fold(ev: DataFrame, now, status_map: dict | None = None) -> DataFrame:
@@ -69,6 +70,7 @@ def _fold(ev: DataFrame, now, status_map: dict | None = None) -> DataFrame:
         status = F.when(et == etype, F.lit(st)).otherwise(status)
     g = ev.groupBy("order_id").agg(
         F.max(F.when(created, seq)).alias("_created_seq"),
+        F.count_if(~state).alias("_n_new"), F.max(F.when(state, F.col("projected_at"))).alias("_before"),
         F.max_by(F.struct("customer_id", "total_amount", "currency", "item_count",
                           "shipping_address", "occurred_at"),
                  F.when(created, seq)).alias("_c"),
@@ -88,7 +90,7 @@ def _fold(ev: DataFrame, now, status_map: dict | None = None) -> DataFrame:
         "last_order_status",
         F.col("_reason.v").alias("cancellation_reason"),
         F.col("_c.occurred_at").alias("created_at"),
-        ts(now).alias("projected_at"),
+        F.when((F.col("_n_new") == 0) & F.col("_before").isNotNull(), F.col("_before")).otherwise(ts(now)).alias("projected_at"),
         F.col("_corr.v").alias("last_correlation_id"),
     )
 
@@ -115,13 +117,13 @@ def snapshot_as_events(model: DataFrame, seq: int = 0) -> DataFrame:
         "order_id", F.lit(seq).alias("seq"),
         F.concat(F.lit("snapshot-"), F.col("order_id").cast("string")).alias("event_id"),
         F.lit(S.ORDER_CREATED).alias("event_type"), "customer_id",
-        F.col("total_amount").cast("double").alias("total_amount"),
+        F.col("total_amount").cast("decimal(19,2)").alias("total_amount"),
         "currency", "item_count", "shipping_address",
         F.col("last_order_status").alias("new_status"),
         F.col("cancellation_reason").alias("reason"),
         F.col("created_at").alias("occurred_at"),
         F.col("last_correlation_id").alias("correlation_id"),
-        F.lit(True).alias("_state"))
+        F.lit(True).alias("_state"), F.col("projected_at").cast("timestamp_ntz").alias("projected_at"))
 
 
 def upsert(model: DataFrame, delta: DataFrame, now, seen_ids: DataFrame | None = None) -> DataFrame:
@@ -130,11 +132,14 @@ def upsert(model: DataFrame, delta: DataFrame, now, seen_ids: DataFrame | None =
     Parquet has no MERGE, so the snapshot rows become state events with the
     lowest sequence and the delta is folded over them in the same single
     aggregate as ``project`` (one shuffle on order_id, partial aggregation).
+    Rows that the delta does not touch keep their ``projected_at``, and stored
+    amounts stay decimals.
     ``seen_ids`` (event ids already applied) drops redeliveries (inbox, J02).
     """
     if seen_ids is not None:
         delta = delta.join(seen_ids.select("event_id").distinct(), "event_id", "left_anti")
-    d = delta.select(*EVENT_COLS).withColumn("_state", F.lit(False))
+    d = (delta.select(*EVENT_COLS).withColumn("total_amount", F.col("total_amount").cast("decimal(19,2)"))
+         .withColumns({"_state": F.lit(False), "projected_at": F.lit(None).cast("timestamp_ntz")}))
     return _fold(snapshot_as_events(model).unionByName(d), now)
 
 

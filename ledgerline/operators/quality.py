@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ensure_checkpoint_dir
 from .ordering import with_neighbour
 
 # Create-order request rules (message, in evaluation order).
@@ -91,11 +92,14 @@ def validate_status_requests(req: DataFrame) -> DataFrame:
 
 def order_response(orders: DataFrame) -> DataFrame:
     """API response shape of an order (text ids, ISO local date-time
-    without seconds when they are zero, as a Java local date-time prints)."""
+    without seconds when they are zero and with the fraction in three or six
+    digits when there is one, as a Java local date-time prints)."""
     t = F.col("created_at")
-    whole_minute = (F.second(t) == 0) & (F.date_format(t, "SSSSSS") == "000000")
-    created = F.when(whole_minute, F.date_format(t, "yyyy-MM-dd'T'HH:mm")) \
-        .otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"))
+    micros = F.date_format(t, "SSSSSS")
+    created = (F.when((F.second(t) == 0) & (micros == "000000"), F.date_format(t, "yyyy-MM-dd'T'HH:mm"))
+               .when(micros == "000000", F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss"))
+               .when(micros.endswith("000"), F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSS"))
+               .otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")))
     return orders.select(F.col("id").cast("string").alias("orderId"),
                          F.col("customer_id").cast("string").alias("customerId"),
                          F.col("total_amount").cast("double").alias("totalAmount"),
@@ -176,28 +180,35 @@ def sequence_gaps(rows: DataFrame, key_col: str, seq_col: str) -> DataFrame:
     return n.where(F.col(f"next_{seq_col}") - F.col(seq_col) > 1)
 
 
-def causation_roots(events: DataFrame, max_hops: int = 8, checkpoint_every: int = 0) -> DataFrame:
-    """Root and depth of each event's causation chain by bounded
-    iteration (one equi-join on event id per hop).  Chains longer than
-    ``max_hops`` report ``truncated``; a missing parent ends a chain.
+def causation_roots(events: DataFrame) -> DataFrame:
+    """Root and depth of each event's causation chain, however long.
 
-    With ``checkpoint_every = k`` the intermediate result is checkpointed
-    (reliably, into ``spark.checkpoint.dir``) every k hops so the plan and
-    the recomputation after an executor loss stay short.
+    Pointer doubling: each round an event takes over the pointer of the event
+    it points at, so ``k`` rounds resolve chains of ``2**k`` events; rounds are
+    checkpointed and go on until no pointer is open.  A missing parent ends a
+    chain.  Events of a cycle have no root: they (and events that lead into
+    one) report a null root and ``cycle``.
     """
-    base = events.select("event_id", F.col("causation_id").alias("_parent"))
-    parents = events.select(F.col("event_id").alias("_pid"), F.col("causation_id").alias("_pparent"))
-    cur = base.select("event_id", F.col("event_id").alias("root_id"), "_parent", F.lit(0).alias("depth"))
-    for hop in range(1, max_hops + 1):
-        nxt = cur.join(parents, cur["_parent"] == parents["_pid"], "left")
-        found = F.col("_pid").isNotNull()
-        cur = nxt.select("event_id",
-                         F.when(found, F.col("_pid")).otherwise(F.col("root_id")).alias("root_id"),
-                         F.when(found, F.col("_pparent")).alias("_parent"),
-                         F.when(found, F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"))
-        if checkpoint_every and hop % checkpoint_every == 0 and hop < max_hops:
-            cur = cur.checkpoint(eager=True)
-    return cur.select("event_id", "root_id", "depth", F.col("_parent").isNotNull().alias("truncated"))
+    ensure_checkpoint_dir(events.sparkSession)
+    ids = events.select(F.col("event_id").alias("_known")).distinct()
+    cur = (events.join(ids, events["causation_id"] == F.col("_known"), "left")
+           .select("event_id", F.coalesce("_known", "event_id").alias("root_id"),
+                   F.col("_known").isNotNull().cast("int").alias("depth"), F.col("_known").isNull().alias("done")).checkpoint())
+    total, rounds = cur.count(), 0
+    while True:
+        still_open = cur.where(~F.col("done")).count()
+        # A chain without a cycle has at most ``total`` events: after log2 of that only cycles are open.
+        if still_open == 0 or 2 ** rounds > total:
+            break
+        rounds += 1
+        up = cur.select(F.col("event_id").alias("_up"), F.col("root_id").alias("_root"), F.col("depth").alias("_depth"),
+                        F.col("done").alias("_done"))
+        cur = (cur.join(up, (cur["root_id"] == F.col("_up")) & ~cur["done"], "left")
+               .select("event_id", F.coalesce("_root", "root_id").alias("root_id"),
+                       (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
+                       (F.col("done") | F.coalesce("_done", F.lit(False))).alias("done")).checkpoint())
+    return cur.select("event_id", F.when(F.col("done"), F.col("root_id")).alias("root_id"),
+                      F.when(F.col("done"), F.col("depth")).alias("depth"), (~F.col("done")).alias("cycle"))
 
 
 def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

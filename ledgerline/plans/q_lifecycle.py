@@ -82,8 +82,8 @@ def m04(spark, sf_dir):
 @register("m05_reset_due_failed", OB + f""", rb AS (SELECT id FROM outbox WHERE status='FAILED'
   AND next_retry_at <= {NOW_SQL} AND retry_count < 3 ORDER BY next_retry_at, id LIMIT 100)
 SELECT o.id, CASE WHEN rb.id IS NULL THEN o.status ELSE 'PENDING' END AS status, o.retry_count,
-  o.error_message, o.updated_at, o.published_at, o.next_retry_at,
-  o.version + CASE WHEN rb.id IS NULL THEN 0 ELSE 1 END AS version
+  o.error_message, CASE WHEN rb.id IS NULL THEN o.updated_at ELSE {NOW_SQL} END AS updated_at,
+  o.published_at, o.next_retry_at, o.version + CASE WHEN rb.id IS NULL THEN 0 ELSE 1 END AS version
 FROM outbox o LEFT JOIN rb ON o.id=rb.id""")
 def m05(spark, sf_dir):
     """The due retry batch goes back to PENDING."""
@@ -93,7 +93,7 @@ def m05(spark, sf_dir):
 
 @register("m05_reset_all_due", OB + f"""
 SELECT id, CASE WHEN hit THEN 'PENDING' ELSE status END AS status, retry_count, error_message,
-  updated_at, published_at, next_retry_at, version + CASE WHEN hit THEN 1 ELSE 0 END AS version
+  CASE WHEN hit THEN {NOW_SQL} ELSE updated_at END AS updated_at, published_at, next_retry_at, version + CASE WHEN hit THEN 1 ELSE 0 END AS version
 FROM (SELECT *, coalesce(status='FAILED' AND next_retry_at <= {NOW_SQL} AND retry_count < 3, false) AS hit
       FROM outbox)""")
 def m05b(spark, sf_dir):
@@ -118,7 +118,7 @@ def m06(spark, sf_dir):
 @register("m07_recover_stuck", OB + f"""
 SELECT id, CASE WHEN hit THEN 'PENDING' ELSE status END AS status, retry_count,
   CASE WHEN hit THEN 'Recovered from stuck PROCESSING state' ELSE error_message END AS error_message,
-  updated_at, published_at, next_retry_at, version + CASE WHEN hit THEN 1 ELSE 0 END AS version
+  CASE WHEN hit THEN {NOW_SQL} ELSE updated_at END AS updated_at, published_at, next_retry_at, version + CASE WHEN hit THEN 1 ELSE 0 END AS version
 FROM (SELECT *, (status='PROCESSING' AND updated_at < {NOW_SQL} - INTERVAL 5 MINUTE) AS hit FROM outbox)""")
 def m07(spark, sf_dir):
     """Recover rows stuck in PROCESSING for over 5 minutes."""

@@ -260,8 +260,8 @@ def j10(spark, sf_dir):
     return orphans.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-CAUSE_SQL = """ce AS (SELECT event_id, CASE seq WHEN 2 THEN order_id || '-1' WHEN 3 THEN order_id || '-2' END
-  AS causation_id FROM order_events WHERE seq <= 3)"""
+CAUSE_SQL = """ce AS (SELECT event_id, CASE WHEN seq > 1 THEN order_id || '-' || (seq - 1) END
+  AS causation_id FROM order_events)"""
 
 
 @register("j12_causation_chain", with_(ORDER_EVENTS).replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
@@ -269,16 +269,14 @@ CAUSE_SQL = """ce AS (SELECT event_id, CASE seq WHEN 2 THEN order_id || '-1' WHE
 walk AS (SELECT event_id, event_id AS root_id, causation_id AS parent, 0 AS depth FROM ce
   UNION ALL SELECT w.event_id, p.event_id, p.causation_id, w.depth + 1
   FROM walk w JOIN ce p ON p.event_id = w.parent)
-SELECT event_id, arg_max(root_id, depth) AS root_id, CAST(max(depth) AS INT) AS depth, false AS truncated
+SELECT event_id, arg_max(root_id, depth) AS root_id, CAST(max(depth) AS INT) AS depth, false AS cycle
 FROM walk GROUP BY event_id""")
 def j12(spark, sf_dir):
-    """Causation chains (status change caused by create, cancel by
-    status change) resolved to their root by bounded iteration."""
-    ev = Ctx(spark, sf_dir).order_events.where(F.col("seq") <= 3)
-    oid = F.col("order_id").cast("string")
-    ce = ev.select("event_id", F.when(F.col("seq") == 2, F.concat(oid, F.lit("-1")))
-                   .when(F.col("seq") == 3, F.concat(oid, F.lit("-2"))).alias("causation_id"))
-    return Q.causation_roots(ce, max_hops=4)
+    """Causation chains (each event of an order caused by the one before)
+    resolved to their root."""
+    ev = Ctx(spark, sf_dir).order_events
+    before = F.concat(F.col("order_id").cast("string"), F.lit("-"), (F.col("seq") - 1).cast("string"))
+    return Q.causation_roots(ev.select("event_id", F.when(F.col("seq") > 1, before).alias("causation_id")))
 
 
 @register("u01_reconcile_write_vs_read", RM_DEDUP.rstrip() + "," + ORDERS_MODEL_BODY.strip() + """

@@ -161,7 +161,7 @@ SELECT id, CASE event_type WHEN 'OrderCreated' THEN 'order' WHEN 'PaymentProcess
   CASE WHEN broken AND event_type <> 'Mystery' THEN 'dead_letter'
        WHEN event_type <> 'Mystery' AND version NOT IN ('1','1.0','2','2.0') THEN 'dead_letter'
        WHEN event_type = 'Mystery' OR NOT (event_type = 'PaymentProcessed' AND value > 100) THEN 'ack'
-       WHEN (CASE WHEN has_props THEN id % 4 ELSE 0 END) + 1 >= 3 THEN 'dead_letter'
+       WHEN (CASE WHEN has_props THEN id % 4 ELSE 0 END) >= 3 THEN 'dead_letter'
        ELSE 'retry' END AS outcome FROM typed_src""")
 def r02(spark, sf_dir):
     """Consume -> decode -> route -> ack / retry / dead-letter with

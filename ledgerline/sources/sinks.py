@@ -9,6 +9,9 @@ replaces exactly the partitions it produced (idempotent on retry).
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,37 +105,55 @@ def read_active(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path).where(F.col("status_group") == "active")
 
 
-POINTER = "_latest"
+COMMITS = "_commits"
+
+
+def _commits(spark: SparkSession, base: str) -> DataFrame | None:
+    """(version, folder) of every committed snapshot; None when there is none.
+    Only a missing folder means that: any other failure is raised."""
+    try:
+        return spark.read.schema("version bigint, folder string").parquet(f"{base.rstrip('/')}/{COMMITS}")
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _latest(spark: SparkSession, base: str) -> tuple[int, str | None]:
+    commits = _commits(spark, base)
+    row = None if commits is None else commits.agg(F.max(F.struct("version", "folder")).alias("m")).first().m
+    return (0, None) if row is None else (int(row.version), row.folder)
 
 
 def latest_version(spark: SparkSession, base: str) -> int:
     """The committed snapshot version of a table folder (0 when none)."""
-    try:
-        row = spark.read.parquet(f"{base.rstrip('/')}/{POINTER}").first()
-    except Exception:  # noqa: BLE001 - no pointer yet: nothing committed
-        return 0
-    return int(row["version"]) if row is not None else 0
+    return _latest(spark, base)[0]
 
 
 def commit_snapshot(df: DataFrame, base: str, partition_by: str | None = None) -> int:
-    """Write ``df`` as the next snapshot ``{base}/v=<n+1>`` and then move the
-    pointer to it (single writer).  Readers follow the pointer, so a job that
-    dies mid-write leaves the previous snapshot current; the half-written
-    folder is simply overwritten by the next attempt."""
+    """Write ``df`` as the next snapshot and then commit it (single writer).
+
+    The data goes to a folder of its own, never to one that exists, and the
+    commit is one more record in ``_commits``; nothing is overwritten.  A job
+    that dies before the record leaves the earlier snapshot current."""
     spark = df.sparkSession
     nxt = latest_version(spark, base) + 1
-    path = f"{base.rstrip('/')}/v={nxt}"
-    w = df.write.mode("overwrite")
-    (w.partitionBy(partition_by) if partition_by else w).parquet(path)
-    (spark.range(1).select(F.lit(nxt).cast("bigint").alias("version"))
-     .write.mode("overwrite").parquet(f"{base.rstrip('/')}/{POINTER}"))
+    folder = f"v={nxt}-{uuid.uuid4().hex[:12]}"
+    w = df.write.mode("errorifexists")
+    (w.partitionBy(partition_by) if partition_by else w).parquet(f"{base.rstrip('/')}/{folder}")
+    _record(spark, base, nxt, folder)
     return nxt
 
 
+def _record(spark: SparkSession, base: str, version: int, folder: str) -> None:
+    (spark.range(1).select(F.lit(version).cast("bigint").alias("version"), F.lit(folder).alias("folder"))
+     .coalesce(1).write.mode("append").parquet(f"{base.rstrip('/')}/{COMMITS}"))
+
+
 def read_latest(spark: SparkSession, base: str, schema=None) -> DataFrame:
     """The current snapshot of a table folder."""
-    v = latest_version(spark, base)
-    if v == 0:
+    _, folder = _latest(spark, base)
+    if folder is None:
         raise FileNotFoundError(f"no committed snapshot under {base}")
     reader = spark.read.schema(schema) if schema is not None else spark.read
-    return reader.parquet(f"{base.rstrip('/')}/v={v}")
+    return reader.parquet(f"{base.rstrip('/')}/{folder}")

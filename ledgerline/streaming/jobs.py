@@ -9,6 +9,7 @@ duplicating it.  Event time is cast to ``timestamp`` before a watermark
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,8 +67,8 @@ def classify_consumed(batch: DataFrame, handler_ok=None) -> DataFrame:
 
     ``properties`` may carry ``eventType`` and ``retryCount`` (defaults
     "Unknown" and 0).  Decode failures and unsupported versions are poison:
-    dead-lettered at once.  A handler failure is retried until the retry count
-    reaches ``MAX_CONSUMER_RETRIES`` and then dead-lettered (repairs B6).
+    dead-lettered at once.  A handler failure is retried while the retry count
+    is below ``MAX_CONSUMER_RETRIES`` and then dead-lettered (repairs B6).
     The unknown-type route is acknowledged (the reference's default branch).
     """
     d = decode(batch)
@@ -79,7 +80,7 @@ def classify_consumed(batch: DataFrame, handler_ok=None) -> DataFrame:
         schema_version_check(version).isNotNull()
     outcome = (F.when(poison, F.lit("dead_letter"))
                .when(ok | (F.col("decode_error") == "UNKNOWN_TYPE"), F.lit("ack"))
-               .when(retries + 1 >= MAX_CONSUMER_RETRIES, F.lit("dead_letter"))
+               .when(retries >= MAX_CONSUMER_RETRIES, F.lit("dead_letter"))
                .otherwise(F.lit("retry")))
     return d.select("id", "event_type", "payload", route(F.col("event_type")).alias("route"),
                     F.coalesce(F.col("decode_error"), schema_version_check(version)).alias("error"),
@@ -113,8 +114,9 @@ def late_data_writer(out_dir: str, allowed_lateness_s: int, ts_col: str = "event
             try:
                 prev = (spark.read.parquet(marks).where(F.col("batch_id") < batch_id)
                         .agg(F.max("mark")).first()[0])
-            except Exception:  # noqa: BLE001 - no marks yet
-                prev = None
+            except AnalysisException as e:
+                if e.getCondition() != "PATH_NOT_FOUND":
+                    raise
         limit = None if prev is None else F.lit(prev) - F.expr(f"INTERVAL {allowed_lateness_s} SECONDS")
         late = F.lit(False) if limit is None else F.col(ts_col) < limit
         tagged = batch.withColumn("late", late).persist()

@@ -47,7 +47,7 @@ def default_state_partitions(spark: SparkSession) -> int:
 
 
 def run_to_parquet(stream: DataFrame, out_dir: str, checkpoint: str, output_mode: str = "append",
-                   timeout_s: int = 600, state_partitions: int | None = None):
+                   timeout_s: int | None = None, state_partitions: int | None = None):
     """Drain ``stream`` with ``availableNow`` into ``{out_dir}/batch_id=<n>``."""
     def write(batch: DataFrame, batch_id: int):
         batch.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
@@ -55,7 +55,7 @@ def run_to_parquet(stream: DataFrame, out_dir: str, checkpoint: str, output_mode
     with _StatePartitions(stream.sparkSession, state_partitions):
         q = (stream.writeStream.outputMode(output_mode).foreachBatch(write)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-        q.awaitTermination(timeout_s)
+        q.awaitTermination(timeout_s) if timeout_s else q.awaitTermination()
     if q.isActive:
         q.stop()
         raise TimeoutError("stream did not finish")
@@ -64,13 +64,13 @@ def run_to_parquet(stream: DataFrame, out_dir: str, checkpoint: str, output_mode
     return q
 
 
-def run_foreach(stream: DataFrame, fn, checkpoint: str, timeout_s: int = 600,
+def run_foreach(stream: DataFrame, fn, checkpoint: str, timeout_s: int | None = None,
                 state_partitions: int | None = None):
     """Drain ``stream`` with ``availableNow`` through a ``foreachBatch`` function."""
     with _StatePartitions(stream.sparkSession, state_partitions):
         q = (stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
-        q.awaitTermination(timeout_s)
+        q.awaitTermination(timeout_s) if timeout_s else q.awaitTermination()
     if q.isActive:
         q.stop()
         raise TimeoutError("stream did not finish")

@@ -14,10 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.time import ntz_micros
-
-# The bus prefetch count used as the default per-trigger cap.
-PREFETCH = 300
-
+from ..session import ensure_checkpoint_dir
 
 def read_event_stream(spark: SparkSession, path: str, schema: T.StructType,
                       max_files: int | None = None, fmt: str = "parquet") -> DataFrame:
@@ -32,10 +29,10 @@ def read_event_stream(spark: SparkSession, path: str, schema: T.StructType,
     return reader.load(path)
 
 
-def read_bus_stream(spark: SparkSession, servers: str, topic: str,
-                    max_offsets: int = PREFETCH) -> DataFrame:
-    """S04 (production): the Kafka-compatible bus source with the prefetch cap.
-    Needs the Kafka connector on the classpath."""
+def read_bus_stream(spark: SparkSession, servers: str, topic: str, max_offsets: int) -> DataFrame:
+    """S04 (production): the Kafka-compatible bus source; ``max_offsets`` rows
+    per micro-batch is the caller's to size.  Needs the Kafka connector on the
+    classpath."""
     return (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
             .option("subscribe", topic).option("maxOffsetsPerTrigger", str(max_offsets)).load()
             .select(F.col("key").cast("string").alias("partition_key"),
@@ -55,13 +52,18 @@ def stage_in_order(df: DataFrame, path: str, ts_col: str, slices: int,
     file of slice ``i+1``; the file source takes files in modification-time
     order, so batch ``i`` is slice ``i`` and the watermark never passes rows of
     a later batch.  ``tail`` (e.g. a sentinel row) is written last, alone.
-    Slice bounds come from exact quantiles of the event time (distributed).
+    The input is pinned once.  Slice bounds are approximate quantiles of the
+    event time (a sketch of fixed size; slices need not be equal); rows without
+    a time are in the first slice.
     """
     spark = df.sparkSession
     n = files_per_slice or max(1, spark.sparkContext.defaultParallelism)
     epoch = F.unix_micros(F.col(ts_col)) if dict(df.dtypes)[ts_col] == "timestamp" else ntz_micros(F.col(ts_col))
-    with_e = df.withColumn("_e", epoch)
-    cuts = with_e.approxQuantile("_e", [i / slices for i in range(1, slices)], 0.0) if slices > 1 else []
+    ensure_checkpoint_dir(spark)
+    with_e = df.withColumn("_e", epoch).checkpoint()
+    cuts = with_e.approxQuantile("_e", [i / slices for i in range(1, slices)], 0.01) if slices > 1 else []
+    if len(cuts) < slices - 1:  # no row has a time
+        cuts = [0.0] * (slices - 1)
     bounds = [None] + cuts + [None]
     for i in range(slices):
         lo, hi = bounds[i], bounds[i + 1]
@@ -70,6 +72,8 @@ def stage_in_order(df: DataFrame, path: str, ts_col: str, slices: int,
             cond = cond & (F.col("_e") > F.lit(lo))
         if hi is not None:
             cond = cond & (F.col("_e") <= F.lit(hi))
+        if i == 0:
+            cond = cond | F.col("_e").isNull()
         (with_e.where(cond).drop("_e").repartition(n)
          .write.mode("overwrite").parquet(f"{path.rstrip('/')}/slice={i:04d}"))
     if tail is not None:

@@ -45,7 +45,8 @@ def test_consumer_batch_rerun_is_idempotent(spark):
     df = spark.createDataFrame(
         [(1, "OrderCreated", '{"orderId":"o1","version":"1.0"}', {"retryCount": "0"}),
          (2, "OrderCreated", "{{", None), (3, "Mystery", "{}", None),
-         (4, "PaymentProcessed", '{"amount": 500.0, "version":"1.0"}', {"retryCount": "2"})],
+         (4, "PaymentProcessed", '{"amount": 500.0, "version":"1.0"}', {"retryCount": "2"}),
+         (5, "PaymentProcessed", '{"amount": 500.0, "version":"1.0"}', {"retryCount": "3"})],
         "id long, event_type string, payload string, properties map<string,string>")
     run = new_run_dir(spark, "consumer")
     ok = ~((F.col("event_type") == "PaymentProcessed"))
@@ -54,7 +55,7 @@ def test_consumer_batch_rerun_is_idempotent(spark):
     w(df, 0)  # replay of batch 0
     parts = [spark.read.parquet(f"{run}/out/{o}") for o in ("ack", "retry", "dead_letter")]
     got = {r.id: r.outcome for p in parts for r in p.collect()}
-    assert got == {1: "ack", 2: "dead_letter", 3: "ack", 4: "dead_letter"}
+    assert got == {1: "ack", 2: "dead_letter", 3: "ack", 4: "retry", 5: "dead_letter"}
 
 
 def test_streaming_windows_equal_batch(spark):
