@@ -260,8 +260,8 @@ def j10(spark, sf_dir):
     return orphans.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-CAUSE_SQL = """ce AS (SELECT event_id, CASE WHEN seq > 1 THEN order_id || '-' || (seq - 1) END
-  AS causation_id FROM order_events)"""
+CAUSE_SQL = """ce AS (SELECT event_id, CASE WHEN min(seq) > 1 THEN min(order_id) || '-' || (min(seq) - 1) END
+  AS causation_id FROM order_events GROUP BY event_id)"""
 
 
 @register("j12_causation_chain", with_(ORDER_EVENTS).replace("WITH ", "WITH RECURSIVE ", 1).rstrip()
@@ -272,9 +272,9 @@ walk AS (SELECT event_id, event_id AS root_id, causation_id AS parent, 0 AS dept
 SELECT event_id, arg_max(root_id, depth) AS root_id, CAST(max(depth) AS INT) AS depth, false AS cycle
 FROM walk GROUP BY event_id""")
 def j12(spark, sf_dir):
-    """Causation chains (each event of an order caused by the one before)
-    resolved to their root."""
-    ev = Ctx(spark, sf_dir).order_events
+    """Causation chains (each event of an order caused by the one before;
+    first deliveries) resolved to their root."""
+    ev = Ctx(spark, sf_dir).order_events.groupBy("event_id").agg(F.min("seq").alias("seq"), F.min("order_id").alias("order_id"))
     before = F.concat(F.col("order_id").cast("string"), F.lit("-"), (F.col("seq") - 1).cast("string"))
     return Q.causation_roots(ev.select("event_id", F.when(F.col("seq") > 1, before).alias("causation_id")))
 
