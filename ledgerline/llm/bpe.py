@@ -35,10 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .common import chunks, give_back, utf8
+
 LONG_PIECE = 200
 BATCH_BYTES = 2 << 20  #: text encoded at once
-QUERY_PIECES = 30_000  #: pieces that one recursive query contracts
-KNOWN_PIECES = 300_000  #: pieces a worker remembers; all are forgotten beyond
+QUERY_PIECES = 20_000  #: pieces that one recursive query contracts
+KNOWN_PIECES = 600_000  #: pieces a worker remembers; all are forgotten beyond
 _POSITION_BITS = 12
 
 
@@ -94,7 +96,7 @@ class Coder:
         self.rank = dict(zip(vocabulary.tokens, vocabulary.ranks.tolist()))
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
         self.known: dict[str, bytes] = {}
-        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
+        self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self.con.execute("SET preserve_insertion_order = false")
         self._table("merges", l=vocabulary.merges[:, 0], r=vocabulary.merges[:, 1], merged=vocabulary.merges[:, 2])
         self._table("vocabulary", token=vocabulary.ranks, hex=[t.hex() for t in vocabulary.tokens])
@@ -196,17 +198,6 @@ def coder_of(shared) -> Coder:
     return _CODERS[id(shared.value)]
 
 
-def _by_size(texts: list[str]) -> Iterator[tuple[int, int]]:
-    lo = held = 0
-    for k, t in enumerate(texts):
-        held += len(t)
-        if held >= BATCH_BYTES:
-            yield lo, k + 1
-            lo, held = k + 1, 0
-    if lo < len(texts):
-        yield lo, len(texts)
-
-
 def _coded(docs: DataFrame, path: str, pattern: str, text_col: str, columns: list[str], finish, extra: list[T.StructField]) -> DataFrame:
     """``columns`` of each row, then what ``finish(texts, ids, decoded)`` gives."""
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(path, pattern))
@@ -216,20 +207,22 @@ def _coded(docs: DataFrame, path: str, pattern: str, text_col: str, columns: lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             coder = coder_of(shared)
-            texts = [t or "" for t in batch.column(0).to_pylist()]
-            for lo, hi in _by_size(texts):
-                ids = coder.encode(texts[lo:hi])
+            for lo, hi in chunks(utf8(batch.column(0))[1], BATCH_BYTES):
+                ids = coder.encode([t or "" for t in batch.column(0).slice(lo, hi - lo).to_pylist()])
                 decoded = coder.decode(ids)
                 yield pa.RecordBatch.from_arrays(
                     [c.slice(lo, hi - lo) for c in batch.columns[1:]] + finish(ids, decoded), schema=arrow)
+        give_back()
 
     rows = docs.select(docs[text_col].cast("string").alias("text"), *[docs[c].alias(f"c{k}") for k, c in enumerate(columns)])
     return rows.mapInArrow(run, schema)
 
 
 def tokenize(docs: DataFrame, path: str, pattern: str, text_col: str = "text", columns: list[str] | None = None) -> DataFrame:
-    """The other columns of ``docs``, then n_tokens, tokens (array<int>) and decoded (the text that they give)."""
+    """The other columns of ``docs``, then n_tokens, tokens (array<int>) and
+    decoded (the text that they give), which take the place of columns of these names."""
     columns = [c for c in docs.columns if c != text_col] if columns is None else columns
+    columns = [c for c in columns if c.lower() not in ("n_tokens", "tokens", "decoded")]
 
     def finish(ids, decoded):
         size = np.array([len(x) // 4 for x in ids], np.int64)
