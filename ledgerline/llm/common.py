@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import ensure_checkpoint_dir
 
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 CHUNK_BYTES = 1 << 20
 
 _NOT_SPACE = np.ones(256, bool)
@@ -37,6 +38,16 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their tasks,
+    and what one stage's arrays leave in the allocator adds to the next stage's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not this C library
+        pass
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared checkpoint folder."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"

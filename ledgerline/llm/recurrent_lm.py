@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, open_block, open_rest, pack_blocks, pin, spans, squeeze, unsqueeze, word_hashes
+from .common import LOWER, chunks, give_back, open_block, open_rest, pack_blocks, pin, spans, squeeze, unsqueeze, word_hashes
 
 FOLDS, HELD_OUT = 5, 1
 HEAD_WORDS, HEAD_SHARE, CLASS_WORDS = 1023, 20_000, 32
@@ -94,6 +94,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for k in range(batch.num_rows):
             yield {name: batch.column(i)[k] for i, name in enumerate(batch.schema.names)}
+            give_back()
 
 
 def bin_of(counts: np.ndarray) -> np.ndarray:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import (BLOCK_BYTES, CHUNK_BYTES, chunks, open_block, open_rest, pack_blocks, pin, planes, spans, squeeze, unplanes, unsqueeze,
+from .common import (BLOCK_BYTES, CHUNK_BYTES, chunks, give_back, open_block, open_rest, pack_blocks, pin, planes, spans, squeeze, unplanes, unsqueeze,
                      window_hashes, word_hashes)
 
 WINDOW = 35
@@ -124,6 +124,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for k in range(batch.num_rows):
             yield {name: batch.column(i)[k] for i, name in enumerate(batch.schema.names)}
+            give_back()
 
 
 def _ask(blocks: DataFrame, keys, answer, schema: str) -> DataFrame:
