@@ -2,8 +2,8 @@
 
 Each query is executed in full with the ``noop`` sink (every row produced,
 nothing collected to the driver).  One warm-up pass runs first so JVM start-up
-and code generation are not counted; then each query is timed ``$BENCH_REPEAT``
-times (default 3) and the median is reported.  Prints ONE JSON line.
+and code generation are not counted; then ``$BENCH_REPEAT`` passes (default 3) over
+all queries are timed; median, least and spread of each query are reported.  Prints ONE JSON line.
 """
 
 from __future__ import annotations
@@ -54,17 +54,18 @@ def main():
     for n in names:  # warm-up
         qs[n].fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
-    times = {}
-    for n in names:
-        runs = []
-        for _ in range(repeat):
+    runs = {n: [] for n in names}
+    for _ in range(repeat):  # passes over all queries, so a slow moment does not hit one query's runs only
+        for n in names:
             t0 = time.perf_counter()
             qs[n].fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
-            runs.append(time.perf_counter() - t0)
-        times[n] = round(statistics.median(runs), 4)
+            runs[n].append(time.perf_counter() - t0)
+    times = {n: round(statistics.median(r), 4) for n, r in runs.items()}
+    least = {n: round(min(r), 4) for n, r in runs.items()}
+    spread = {n: round(max(r) - min(r), 4) for n, r in runs.items()}
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_total_seconds", "value": round(sum(times.values()), 4),
-                      "unit": "sec", "queries": times, "sf": sf, "cpus": int(cpus)}))
+                      "unit": "sec", "queries": times, "min": least, "spread": spread, "sf": sf, "cpus": int(cpus)}))
     spark.stop()
 
 
