@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
@@ -62,6 +63,18 @@ def pin(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sample_texts(rows: DataFrame, column: str, limit: int, max_chars: int) -> list[str]:
+    """At most ``limit`` different texts of at most ``max_chars`` characters, chosen
+    by their hash.  The tasks send hashes first, then only the chosen texts."""
+    own = rows.select(rows[column].cast("string").alias("text")).where(F.char_length("text").between(1, max_chars)) \
+        .withColumn("h", F.xxhash64("text"))
+    last = own.select("h").distinct().orderBy("h").limit(limit).agg(F.max("h")).first()[0]
+    if last is None:
+        return []
+    chosen = own.where(F.col("h") <= last).groupBy("h").agg(F.min("text").alias("text")).collect()
+    return [r.text for r in sorted(chosen, key=lambda r: r.h)]
+
+
 # --- words of an Arrow column ------------------------------------------------
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -25,9 +25,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import LETTERS, LOWER, chunks, mix, spans, utf8, word_hashes
+from .common import LETTERS, LOWER, chunks, mix, sample_texts, spans, utf8, word_hashes
 
 BITS = 16
 SEGMENT, STRIDE = 40, 20
@@ -240,16 +239,14 @@ def _candidates(model: Classifier, data: np.ndarray, at: np.ndarray) -> Iterator
         yield d, n - int(before[d]), [raw[a:b] for a, b in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())]
 
 
-def sample_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = SAMPLE_DOCS) -> list[str]:
+def sample_lines(docs: DataFrame, text_col: str = "text", limit: int = SAMPLE_DOCS) -> list[str]:
     """Lines of at most ``limit`` documents, chosen by a hash of the text."""
-    rows = docs.select(docs[text_col].cast("string").alias("text")).where(F.char_length("text").between(1, SAMPLE_CHARS)) \
-        .select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(limit).collect()
-    return [line for r in rows for line in r.text.split("\n")]
+    return [line for text in sample_texts(docs, text_col, limit, SAMPLE_CHARS) for line in text.split("\n")]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Classifier | None = None) -> DataFrame:
     """(doc_id, paragraph, family, predicted, probability, similarity) of every licence paragraph."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or train(sample_lines(docs, id_col, text_col)))
+    shared = docs.sparkSession.sparkContext.broadcast(model or train(sample_lines(docs, text_col)))
     rows = docs.select(docs[id_col].alias("doc_id"), docs[text_col].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
