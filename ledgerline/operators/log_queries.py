@@ -67,6 +67,20 @@ def payload_contains(log: DataFrame, needle: str) -> DataFrame:
     return log.where(F.col("payload").contains(needle))
 
 
+def subject_of(payload: F.Column, path: str) -> F.Column:
+    """the subject's id as the payload names it (whole value, not a part of one)."""
+    return F.get_json_object(payload, path)
+
+
+def erase_subjects(log: DataFrame, subjects: DataFrame, path: str, id_col: str = "id") -> tuple[DataFrame, DataFrame]:
+    """``(kept, erased)`` — the next snapshot without the rows of the listed
+    subjects, and those rows.  Anti and semi join on the extracted id, so the
+    list may be of any length; rows whose payload names no subject are kept."""
+    ids = subjects.select(F.col(id_col).cast("string").alias("_subject")).where("_subject is not null").distinct()
+    named = subject_of(log["payload"], path) == F.col("_subject")
+    return log.join(ids, named, "left_anti"), log.join(ids, named, "left_semi")
+
+
 # -- aggregates ---------------------------------------------------------------
 
 def status_counts(log: DataFrame) -> DataFrame:

@@ -99,6 +99,26 @@ def f07(spark, sf_dir):
     return L.payload_contains(c.outbox, '"k": 42').select("id", "payload")
 
 
+ERASE_SQL = """, marked AS (SELECT o.*, regexp_extract(payload, '"k": ?([0-9]+)', 1) IN
+  (SELECT CAST(n_nationkey AS VARCHAR) FROM nation) AS gone FROM outbox o)"""
+
+
+@register("f07_erasure_kept", OB.rstrip() + ERASE_SQL + """
+SELECT id, status FROM marked WHERE NOT gone""")
+def f07b(spark, sf_dir):
+    """the log without the rows of a list of subjects (extracted key, whole value)."""
+    c = Ctx(spark, sf_dir)
+    return L.erase_subjects(c.outbox, c.t("nation"), "$.k", "n_nationkey")[0].select("id", "status")
+
+
+@register("f07_erased_rows", OB.rstrip() + ERASE_SQL + """
+SELECT id, payload FROM marked WHERE gone""")
+def f07c(spark, sf_dir):
+    """the rows that an erasure by a list of subjects removes."""
+    c = Ctx(spark, sf_dir)
+    return L.erase_subjects(c.outbox, c.t("nation"), "$.k", "n_nationkey")[1].select("id", "payload")
+
+
 @register("a01_status_counts", OB + """
 SELECT d.status, CAST(count(o.id) AS BIGINT) AS n
 FROM (VALUES ('PENDING'),('PROCESSING'),('PUBLISHED'),('FAILED'),('DEAD_LETTER')) d(status)

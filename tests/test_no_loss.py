@@ -126,3 +126,11 @@ def test_staging_keeps_rows_without_a_time(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == 11
     stage_in_order(df.where("t is null"), str(tmp_path / "n"), "t", 3, files_per_slice=1)
     assert spark.read.parquet(str(tmp_path / "n")).count() == 1
+
+
+def test_erasure_takes_whole_values_only(spark):
+    from ledgerline.operators.log_queries import erase_subjects
+    log = log_rows(spark, [{"id": 1, "payload": '{"u": 4}'}, {"id": 2, "payload": '{"u": 42}'}, {"id": 3, "payload": '{"x": 4}'},
+                           {"id": 4, "payload": "broken 4"}, {"id": 5, "payload": '{"u": "4"}'}])
+    kept, gone = erase_subjects(log, spark.createDataFrame([(4,), (4,), (None,)], "id long"), "$.u")
+    assert sorted(r.id for r in kept.collect()) == [2, 3, 4] and sorted(r.id for r in gone.collect()) == [1, 5]
