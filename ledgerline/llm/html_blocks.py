@@ -26,9 +26,8 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import LOWER, spans, word_hashes
+from .common import LOWER, sample_texts, spans, word_hashes
 
 SAMPLE_PAGES = 240
 SAMPLE_CHARS = 60_000  #: longer pages are not trained on (all are labelled)
@@ -369,9 +368,7 @@ def label_pages(model: Labeller, pages: list[list[tuple[str, tuple, int]]]) -> l
 
 def sample_pages(pages: DataFrame, html_col: str = "html", limit: int = SAMPLE_PAGES) -> list[str]:
     """At most ``limit`` pages, chosen by a hash of their html."""
-    rows = pages.select(pages[html_col].cast("string").alias("html")).where(F.char_length("html").between(1, SAMPLE_CHARS)) \
-        .select("html", F.xxhash64("html").alias("h")).orderBy("h", "html").limit(limit).collect()
-    return [r.html for r in rows]
+    return sample_texts(pages, html_col, limit, SAMPLE_CHARS)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
