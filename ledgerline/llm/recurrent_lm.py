@@ -6,8 +6,8 @@ training documents, cut by word-hash range; one group per range adds them and
 tells each block the totals.  From these follow the unigram ``base_score`` and
 the classes of the output:
 
-* words with at least 1/``HEAD_SHARE`` of the training tokens (at most
-  ``HEAD_WORDS``, and the end) are head words, in classes of ``CLASS_WORDS``;
+* words with at least 1/``HEAD_SHARE`` of the training tokens (so at most
+  ``HEAD_SHARE``) and the end are head words, in classes of ``CLASS_WORDS``;
 * all other words are in classes by the binary logarithm of their count, unseen
   words in a class of their own.
 
@@ -18,10 +18,10 @@ to window, so a document's score is the likelihood of its whole text.
 
 Training is truncated back-propagation with Adam; a training document's own
 occurrence of a word is left out of its count, so the class of unseen words is
-learnt from words that only that document has.  Every task trains a copy on
-``1/TRAIN_DOCS`` of its training documents, starting from the unigram model, and
-the copies are averaged by the tokens they saw, so what is learnt from grows
-with the corpus and nothing but weights of a fixed size is gathered.
+learnt from words that only that document has.  Every task trains a copy on all
+of its training documents, starting from the unigram model, and the copies are
+averaged by the tokens they saw, so the model learns from the whole corpus and
+nothing but weights of a fixed size is gathered.
 
 Defined results: a null text counts as empty (its only token is the end); a null
 id counts as the empty id when training documents are chosen; repeated rows are
@@ -42,11 +42,10 @@ from pyspark.sql import functions as F
 from .common import LOWER, chunks, give_back, open_block, open_rest, pack_blocks, pin, spans, squeeze, unsqueeze, word_hashes
 
 FOLDS, HELD_OUT = 5, 1
-HEAD_WORDS, HEAD_SHARE, CLASS_WORDS = 1023, 20_000, 32
+HEAD_SHARE, CLASS_WORDS = 20_000, 32
 BINS = 48  #: classes by the logarithm of the count; 0: unseen
 HIDDEN = 24
 WINDOW, LANES, TRAIN_LANES = 32, 256, 32
-TRAIN_DOCS = 8
 RATE = 0.01
 SEED = 5
 RANGE_BYTES = 1 << 25  #: text per group of the word count
@@ -411,7 +410,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     types, tokens = (np.array([bins[k][j] for k in range(BINS)], np.int64) for j in (0, 1))
     n_tokens = int(tokens.sum())
     heads = whole.select(F.explode("heads").alias("x")).select("x.*").where(F.col("n") * HEAD_SHARE >= n_tokens)
-    chosen = [(r.a, r.b, r.n) for r in heads.where("a <> 0 or b <> 0").orderBy(F.desc("n"), "a", "b").limit(HEAD_WORDS).collect()]
+    chosen = [(r.a, r.b, r.n) for r in heads.where("a <> 0 or b <> 0").orderBy(F.desc("n"), "a", "b").collect()]
     end = heads.where("a = 0 and b = 0").collect()
     table = Symbols([(0, 0, r.n) for r in end] + chosen, types, tokens)
     shared = spark.sparkContext.broadcast(table)
@@ -431,7 +430,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             base = np.log10((counts + 0.5) / (s.n_tokens + 0.5 * (s.n_types + 1)))
             starts = first[:-1]
             ids = open_rest(row["rest"].as_py())["c0"].to_pylist()
-            chosen = np.array([fold(i) != HELD_OUT and crc32(f"learn {i}".encode()) % TRAIN_DOCS == 0 for i in ids])
+            chosen = np.array([fold(i) != HELD_OUT for i in ids], bool)
             learn = s.place(words, np.maximum(counts - 1, 0))[0][back[np.repeat(chosen, np.diff(first))]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([row["rest"].as_py()], pa.binary()), pa.array([squeeze(symbol[back].astype(np.uint16))], pa.binary()),

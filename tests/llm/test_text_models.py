@@ -118,6 +118,19 @@ def test_scores_count_like_brute_force(awkward, nothing):
     assert recurrent_lm.score(nothing).collect() == []
 
 
+def test_every_training_document_is_learnt_from(spark, monkeypatch):
+    docs, seen, mean = spark.createDataFrame([(k, words(k, 20)) for k in range(80)], "doc_id bigint, text string"), [], recurrent_lm._averaged
+    monkeypatch.setattr(recurrent_lm, "_averaged", lambda copies: (seen.append(copies.agg(F.sum("seen")).first()[0]), mean(copies))[1])
+    assert recurrent_lm.score(docs).first().train_tokens == seen[0] == sum(21 for k in range(80) if recurrent_lm.fold(k) != 1)
+
+
+def test_every_frequent_word_is_a_head_word(spark, monkeypatch):
+    text, heads, plain = " ".join(f"w{k}" for k in range(1500)), [], recurrent_lm.Symbols.__init__
+    monkeypatch.setattr(recurrent_lm.Symbols, "__init__", lambda self, own, *a: (heads.append(own), plain(self, own, *a))[1])
+    recurrent_lm.score(spark.createDataFrame([(k, text) for k in range(4)], "doc_id bigint, text string"))
+    assert len(heads[0]) == 1501
+
+
 def test_held_out_text_is_scored_better_than_by_counts(spark):
     got = recurrent_lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(
         F.sum("score"), F.sum("base_score")).first()
