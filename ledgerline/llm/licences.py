@@ -9,8 +9,7 @@ sample of at most ``SAMPLE_DOCS`` documents.  Held-out copies set a temperature,
 so probabilities are calibrated; a family less likely than one half, or that no
 template of it confirms, is reported as ``unknown``.
 
-Only lines that share a word pair with the training statements, one of the words
-being none of the sample's, are classified: no other line speaks of a licence.
+Every segment of every paragraph is scored; nothing is chosen before.
 
 Defined results: null and empty texts have no paragraph; one row for each
 paragraph and reported family; repeated documents are scanned row by row; an
@@ -30,6 +29,7 @@ from .common import LETTERS, LOWER, chunks, mix, sample_texts, spans, utf8, word
 
 BITS = 16
 SEGMENT, STRIDE = 40, 20
+SCORED = 4096  #: segments scored at once
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 20_000  #: longer documents are not sampled (all are scanned)
 COPIES = 60
@@ -68,9 +68,16 @@ STATEMENTS = {
     "cc-by-nd-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
     "all-rights-reserved": ["Copyright. All rights reserved.", "All rights reserved. No part of this work may be reproduced without permission."],
 }
+# Names of the families in the tags of package files.
+TAGS = {"mit": "MIT", "apache-2.0": "Apache-2.0", "gpl-3.0": "GPL-3.0", "gpl-2.0": "GPL-2.0", "lgpl": "LGPL", "agpl-3.0": "AGPL-3.0", "bsd": "BSD",
+        "mpl-2.0": "MPL-2.0", "isc": "ISC", "epl-2.0": "EPL-2.0", "unlicense": "Unlicense", "cc0": "CC0-1.0", "cc-by-4.0": "CC-BY-4.0",
+        "cc-by-sa-4.0": "CC-BY-SA-4.0", "cc-by-nc-4.0": "CC-BY-NC-4.0", "cc-by-nd-4.0": "CC-BY-ND-4.0"}
+for _family, _tag in TAGS.items():
+    STATEMENTS[_family] += [f"SPDX-License-Identifier: {_tag}", f"License: {_tag}"]
 # Statements with a place for any name.
 ANY_LICENCE = ["Licensed under the {} License.", "Released under the {} License, Version {}.", "This work is licensed under {}.",
-               "Distributed under the terms of the {} licence.", "You may use this under the {} agreement."]
+               "Distributed under the terms of the {} licence.", "You may use this under the {} agreement.",
+               "Released under {}.", "Licensed under {}.", "Distributed under {}."]
 
 # Words that keep a sampled line from being taken as ordinary text.
 CUES = {b"license", b"licence", b"licensed", b"licenced", b"licenses", b"licences", b"copyright", b"gpl", b"lgpl", b"agpl", b"cc0"}
@@ -107,7 +114,6 @@ class Classifier:
     weights: np.ndarray  # (feature, class)
     bias: np.ndarray
     temperature: float
-    pairs: np.ndarray  # sorted hashes of the statements' word pairs that are not both ordinary words
     templates: list  # (family, trigrams)
 
     def probabilities(self, words: list[bytes]) -> np.ndarray:
@@ -136,29 +142,32 @@ def train(lines: list[str], seed: int = SEED) -> Classifier:
     """A classifier trained on statements among words of ``lines``."""
     rng = np.random.default_rng(seed)
     templates = [(f, *_template(t)) for f, texts in STATEMENTS.items() for t in texts]
-    plain = Classifier(np.zeros((0, 0)), np.zeros(0), 1.0, np.zeros(0, np.uint64), templates)
+    plain = Classifier(np.zeros((0, 0)), np.zeros(0), 1.0, templates)
     ordinary = [w for w in (words_of(t)[:SEGMENT] for t in lines) if len(w) > 1]
-    ordinary = [w for w in ordinary if not CUES & set(w) and all(plain.similarity(f, w) < CONFIRM for f in STATEMENTS)]
+    openings = [words_of(t.split("{}")[0]) for t in ANY_LICENCE]
+    ordinary = [w for w in ordinary if not CUES & set(w) and all(w[:len(o)] != o for o in openings) and all(plain.similarity(f, w) < CONFIRM for f in STATEMENTS)]
     pool = [x for w in ordinary for x in w] or [b"text"]
     some = lambda n: [pool[k] for k in rng.integers(len(pool), size=n)]
+    made_up = lambda n: [b"%x" % x for x in rng.integers(1 << 62, size=n)]
     samples: list[tuple[list[bytes], int]] = [(w, ORDINARY) for w in ordinary]
-    statements = []
     for k, texts in enumerate(STATEMENTS.values()):
         for text in texts:
             words = words_of(text)
-            statements.append(words)
             for copy in range(COPIES):
                 kept = [w for w in words if copy == 0 or rng.random() > 0.04] or words
                 around = 0 if copy < 10 else int(rng.integers(0, SEGMENT // 2))
                 cut = int(rng.integers(0, around + 1))
                 samples.append((some(cut) + kept + some(around - cut), k))
     for text in ANY_LICENCE:
-        statements.append(words_of(text.format("", "")))
-        for _ in range(4 * COPIES):
-            name = " ".join(x.decode("utf-8", "replace") for x in some(int(rng.integers(1, 4))))
+        for copy in range(4 * COPIES):
+            name = " ".join(x.decode("utf-8", "replace") for x in (some, made_up)[copy % 2](int(rng.integers(1, 4))))
             samples.append((words_of(text.format(name, rng.integers(1, 9))), FAMILIES.index("unknown")))
     for _ in range(20 * COPIES):
         samples.append((some(int(rng.integers(2, SEGMENT))), ORDINARY))
+    # Words that no sample has, one word again and again, and a few words are ordinary text too.
+    for _ in range(10 * COPIES):
+        n = int(rng.integers(1, SEGMENT))
+        samples += [(w, ORDINARY) for w in (made_up(n), made_up(1) * n, some(1) * n, some(1 + n % 4), some(1 + n % 4))]
     rng.shuffle(samples)
     x, y = [_grams(w) for w, _ in samples], np.array([k for _, k in samples])
     held = np.arange(len(x)) % 5 == 4
@@ -196,12 +205,7 @@ def train(lines: list[str], seed: int = SEED) -> Classifier:
         return -p[np.arange(len(own)), truth].mean()
 
     temperature = min((float(t) for t in np.geomspace(0.1, 10, 41)), key=loss)
-    known, telling = set(pool), []
-    for words in statements:
-        rare = [not (a in known and b in known) for a, b in zip(words, words[1:])]
-        telling.append(pair_hashes(_hash_words(words))[np.array(rare) if any(rare) else slice(None)])
-    pairs = np.unique(np.concatenate(telling))
-    return Classifier(w.astype(np.float32), b.astype(np.float32), temperature, pairs, templates)
+    return Classifier(w.astype(np.float32), b.astype(np.float32), temperature, templates)
 
 
 def classify(model: Classifier, words: list[bytes]) -> list[tuple[str, str, float, float]]:
@@ -218,25 +222,54 @@ def classify(model: Classifier, words: list[bytes]) -> list[tuple[str, str, floa
     return [(name if p >= 0.5 and s >= CONFIRM else "unknown", name, p, s) for name, (p, s) in sorted(best.items())]
 
 
+def _segments(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Paragraph, first word and end of each segment of the paragraphs [first, last), as ``classify`` cuts them."""
+    count = np.maximum(1, -(-(last - first - SEGMENT + STRIDE) // STRIDE))
+    own = np.repeat(np.arange(len(first)), count)
+    lo = first[own] + STRIDE * (np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count))
+    return own, lo, np.minimum(lo + SEGMENT, last[own])
+
+
+def _speaking(model: Classifier, hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Of paragraphs of hashed words, those with a segment that is not predicted as ordinary text."""
+    two = pair_hashes(hashes)
+    three = mix(two[:-1] * np.uint64(5) + hashes[2:])
+    low = [(x & np.uint64((1 << BITS) - 1)).astype(np.int64) for x in (hashes, two, three)]
+    para, start, end = _segments(first, last)
+    found = []
+    for k in range(0, len(para), SCORED):
+        lo, hi = start[k:k + SCORED], end[k:k + SCORED]
+        parts = []
+        for n, grams in enumerate(low):
+            size = np.maximum(0, hi - lo - n)
+            own = np.repeat(np.arange(len(lo)), size)
+            at = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size) + lo[own]
+            parts.append((own << BITS) | grams[at])
+        key = np.sort(np.concatenate(parts))
+        key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+        cut = np.searchsorted(key, np.arange(len(lo) + 1) << BITS)
+        z = np.add.reduceat(model.weights[key & ((1 << BITS) - 1)], cut[:-1], axis=0) / np.sqrt(np.diff(cut))[:, None] + model.bias
+        found.append(para[k:k + SCORED][z.argmax(axis=1) != ORDINARY])
+    return np.unique(np.concatenate(found))
+
+
 def _candidates(model: Classifier, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(document, paragraph, words) of every line that has a telling pair of the statements."""
+    """(document, paragraph, words) of every paragraph that is not all ordinary text."""
     low = LOWER[data]
     starts, ends, first = spans(low, at, LETTERS)
-    if len(starts) < 2:
+    if not len(starts):
         return
     lines = np.cumsum(data == 10)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
     line = lines[starts]  # a number over the whole run of documents
-    hit = np.flatnonzero(np.isin(pair_hashes(word_hashes(low, starts, ends)), model.pairs))
-    hit = hit[(line[hit] == line[hit + 1]) & (doc[hit] == doc[hit + 1])]
-    key = np.unique(np.stack([doc[hit], line[hit]], axis=1), axis=0)
-    if not len(key):
-        return
+    begin = np.flatnonzero(np.concatenate(([True], (line[1:] != line[:-1]) | (doc[1:] != doc[:-1]))))
+    end = np.append(begin[1:], len(starts))
     raw = low.tobytes()
     before = np.concatenate(([0], lines))[at[:-1]]
-    for d, n in key.tolist():
-        lo, hi = first[d] + np.searchsorted(line[first[d]:first[d + 1]], [n, n + 1])
-        yield d, n - int(before[d]), [raw[a:b] for a, b in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())]
+    for k in _speaking(model, word_hashes(low, starts, ends), begin, end).tolist():
+        lo, hi = int(begin[k]), int(end[k])
+        d = int(doc[lo])
+        yield d, int(line[lo] - before[d]), [raw[a:b] for a, b in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())]
 
 
 def sample_lines(docs: DataFrame, text_col: str = "text", limit: int = SAMPLE_DOCS) -> list[str]:

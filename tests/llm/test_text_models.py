@@ -209,6 +209,15 @@ def test_licences_are_found_and_others_left(spark, awkward, nothing):
     assert licences.scan(awkward).count() == 0 and licences.scan(nothing).collect() == []
 
 
+def test_every_paragraph_is_classified(spark):
+    prose = "the film was released under a bridge and distributed under the stars all rights of way reserved for walkers"
+    planted = [("mit", "SPDX-License-Identifier: MIT"), ("gpl-3.0", "License: GPL-3.0-or-later"), ("unknown", "Released under WTFPL")]
+    docs = spark.createDataFrame([(k, prose + " " + words(k, 12) + "\n\n" + planted[k % 3][1] + "\n\n" + words(k + 100, 20)) for k in range(60)],
+                                 "doc_id bigint, text string")
+    got = {(r.doc_id, r.paragraph): r.family for r in licences.scan(docs).collect()}
+    assert got == {(k, 2): planted[k % 3][0] for k in range(60)}
+
+
 def test_grades_are_ordered_and_held_out_rows_agree(spark, awkward, nothing):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
