@@ -1,13 +1,17 @@
 """Licence scan: a trained paragraph classifier, confirmed by templates.
 
-Paragraphs are the lines of a text, read in overlapping segments.  A sparse
+Paragraphs are runs of lines with words, numbered by their first line, and read
+in overlapping segments of the whole run and of each of its lines.  A sparse
 softmax regression over hashed word 1- to 3-grams gives each segment a licence
 family, ``unknown`` (a licence of no known family) or ordinary text.  It is
 trained on copies of statement templates (words lost, changed case, ordinary
 words around them), on made-up licence names for ``unknown``, and on lines of a
 sample of at most ``SAMPLE_DOCS`` documents.  Held-out copies set a temperature,
 so probabilities are calibrated; a family less likely than one half, or that no
-template of it confirms, is reported as ``unknown``.
+template of it confirms, is reported as ``unknown``.  Of templates that differ
+in few words the one that fits the segment and the words around it best counts,
+and what remains of a segment without the confirmed statements must itself speak
+of a licence to be reported.
 
 Every segment of every paragraph is scored; nothing is chosen before.
 
@@ -66,7 +70,7 @@ STATEMENTS = {
     "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.",
                      "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc-by-nd-4.0": ["Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."],
-    "all-rights-reserved": ["Copyright. All rights reserved.", "All rights reserved. No part of this work may be reproduced without permission."],
+    "all-rights-reserved": ["All rights reserved.", "Copyright. All rights reserved.", "All rights reserved. No part of this work may be reproduced without permission."],
 }
 # Names of the families in the tags of package files.
 TAGS = {"mit": "MIT", "apache-2.0": "Apache-2.0", "gpl-3.0": "GPL-3.0", "gpl-2.0": "GPL-2.0", "lgpl": "LGPL", "agpl-3.0": "AGPL-3.0", "bsd": "BSD",
@@ -124,12 +128,22 @@ class Classifier:
 
     def similarity(self, family: str, words: list[bytes]) -> float:
         """Largest share of a template's n-grams among the words."""
-        best = 0.0
-        for name, size, grams in self.templates:
-            if name == family:
-                own = {tuple(words[k:k + size]) for k in range(len(words) - size + 1)}
-                best = max(best, len(grams & own) / len(grams))
-        return best
+        return max((_share(size, grams, words) for name, size, grams in self.templates if name == family), default=0.0)
+
+    def variant(self, family: str, words: list[bytes]) -> str:
+        """The family whose template, among those much like the family's best one, fits the words best."""
+        own = max((t for t in self.templates if t[0] == family), key=lambda t: _share(*t[1:], words))
+        like = [t for t in self.templates if t[1] == own[1] and len(t[2] & own[2]) >= CONFIRM * max(len(t[2]), len(own[2]))]
+        return max([own, *like], key=lambda t: _share(*t[1:], words))[0]
+
+    def spots(self, family: str, words: list[bytes]) -> list[int]:
+        """Places of the words that are part of an n-gram of the family's templates."""
+        return sorted({k + i for name, size, grams in self.templates if name == family
+                       for k in range(len(words) - size + 1) if tuple(words[k:k + size]) in grams for i in range(size)})
+
+
+def _share(size: int, grams: set, words: list[bytes]) -> float:
+    return len(grams & {tuple(words[k:k + size]) for k in range(len(words) - size + 1)}) / len(grams)
 
 
 def _template(text: str) -> tuple[int, set]:
@@ -155,7 +169,7 @@ def train(lines: list[str], seed: int = SEED) -> Classifier:
             words = words_of(text)
             for copy in range(COPIES):
                 kept = [w for w in words if copy == 0 or rng.random() > 0.04] or words
-                around = 0 if copy < 10 else int(rng.integers(0, SEGMENT // 2))
+                around = 0 if copy < 10 else int(rng.integers(0, max(1, SEGMENT - len(kept))))
                 cut = int(rng.integers(0, around + 1))
                 samples.append((some(cut) + kept + some(around - cut), k))
     for text in ANY_LICENCE:
@@ -208,18 +222,33 @@ def train(lines: list[str], seed: int = SEED) -> Classifier:
     return Classifier(w.astype(np.float32), b.astype(np.float32), temperature, templates)
 
 
-def classify(model: Classifier, words: list[bytes]) -> list[tuple[str, str, float, float]]:
-    """(family, predicted, probability, similarity) of each licence found in a paragraph."""
+def classify(model: Classifier, words: list[bytes], lines: list[tuple[int, int]] = []) -> list[tuple[str, str, float, float]]:
+    """(family, predicted, probability, similarity) of each licence found in a paragraph.  ``lines``: its lines' first words and ends."""
+    found = []
+    for first, last in [(0, len(words)), *lines]:
+        for lo in range(first, max(first + 1, last - SEGMENT + STRIDE), STRIDE):
+            own = words[lo:min(lo + SEGMENT, last)]
+            p = model.probabilities(own)
+            k = int(p.argmax())
+            if k != ORDINARY:
+                found.append((lo, lo + len(own), FAMILIES[k], float(p[k]), model.similarity(FAMILIES[k], own)))
+    sure: dict[str, tuple[float, float, str]] = {}
     best: dict[str, tuple[float, float]] = {}
-    for lo in range(0, max(1, len(words) - SEGMENT + STRIDE), STRIDE):
-        own = words[lo:lo + SEGMENT]
-        p = model.probabilities(own)
-        k = int(p.argmax())
-        if k != ORDINARY:
-            name = FAMILIES[k]
-            similar = model.similarity(name, own)
-            best[name] = max(best.get(name, (0.0, 0.0)), (float(p[k]), similar))
-    return [(name if p >= 0.5 and s >= CONFIRM else "unknown", name, p, s) for name, (p, s) in sorted(best.items())]
+    told = np.zeros(len(words), bool)
+    for lo, hi, name, p, similar in found:
+        if p >= 0.5 and similar >= CONFIRM:
+            start = max(0, lo - STRIDE)
+            near = words[start:hi + STRIDE]
+            family = model.variant(name, near)
+            told[[start + k for k in model.spots(family, near)]] = True
+            sure[family] = max(sure.get(family, (0.0, 0.0, "")), (p, similar, name))
+    for lo, hi, name, p, similar in found:
+        left = [w for w, t in zip(words[lo:hi], told[lo:hi]) if not t]
+        if name not in sure and not (p >= 0.5 and similar >= CONFIRM) \
+                and (len(left) == hi - lo or left and int(model.probabilities(left).argmax()) != ORDINARY):
+            best[name] = max(best.get(name, (0.0, 0.0)), (p, similar))
+    return sorted([(f, name, p, s) for f, (p, s, name) in sure.items()] + [("unknown", name, p, s) for name, (p, s) in best.items()],
+                  key=lambda x: (x[1], x[0]))
 
 
 def _segments(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -253,8 +282,8 @@ def _speaking(model: Classifier, hashes: np.ndarray, first: np.ndarray, last: np
     return np.unique(np.concatenate(found))
 
 
-def _candidates(model: Classifier, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, list[bytes]]]:
-    """(document, paragraph, words) of every paragraph that is not all ordinary text."""
+def _candidates(model: Classifier, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, list[bytes], list[tuple[int, int]]]]:
+    """(document, paragraph, words, lines) of every paragraph that is not all ordinary text."""
     low = LOWER[data]
     starts, ends, first = spans(low, at, LETTERS)
     if not len(starts):
@@ -262,14 +291,21 @@ def _candidates(model: Classifier, data: np.ndarray, at: np.ndarray) -> Iterator
     lines = np.cumsum(data == 10)
     doc = np.repeat(np.arange(len(at) - 1), np.diff(first))
     line = lines[starts]  # a number over the whole run of documents
-    begin = np.flatnonzero(np.concatenate(([True], (line[1:] != line[:-1]) | (doc[1:] != doc[:-1]))))
-    end = np.append(begin[1:], len(starts))
+    other = doc[1:] != doc[:-1]
+    begin = np.flatnonzero(np.concatenate(([True], other | (line[1:] > line[:-1] + 1))))
+    begin_line = np.flatnonzero(np.concatenate(([True], other | (line[1:] != line[:-1]))))
+    end, end_line = np.append(begin[1:], len(starts)), np.append(begin_line[1:], len(starts))
+    run = np.searchsorted(begin, begin_line, side="right") - 1
+    several = np.bincount(run, minlength=len(begin))[run] > 1
+    begin_line, end_line, run = begin_line[several], end_line[several], run[several]
     raw = low.tobytes()
     before = np.concatenate(([0], lines))[at[:-1]]
-    for k in _speaking(model, word_hashes(low, starts, ends), begin, end).tolist():
+    scored = _speaking(model, word_hashes(low, starts, ends), np.concatenate([begin, begin_line]), np.concatenate([end, end_line]))
+    for k in np.unique(np.concatenate([np.arange(len(begin)), run])[scored]).tolist():
         lo, hi = int(begin[k]), int(end[k])
-        d = int(doc[lo])
-        yield d, int(line[lo] - before[d]), [raw[a:b] for a, b in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())]
+        d, (a, b) = int(doc[lo]), np.searchsorted(run, [k, k + 1])
+        yield (d, int(line[lo] - before[d]), [raw[x:y] for x, y in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())],
+               list(zip((begin_line[a:b] - lo).tolist(), (end_line[a:b] - lo).tolist())))
 
 
 def sample_lines(docs: DataFrame, text_col: str = "text", limit: int = SAMPLE_DOCS) -> list[str]:
@@ -286,8 +322,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
         for batch in batches:
             data, at = utf8(batch.column(1))
             for lo, hi in chunks(at):
-                found = [(d, n, *x) for d, n, words in _candidates(shared.value, data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo])
-                         for x in classify(shared.value, words)]
+                found = [(d, n, *x) for d, n, words, lines in _candidates(shared.value, data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo])
+                         for x in classify(shared.value, words, lines)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array([lo + f[0] for f in found], pa.int64())), pa.array([f[1] for f in found], pa.int64()),
                      pa.array([f[2] for f in found], pa.string()), pa.array([f[3] for f in found], pa.string()),

@@ -218,6 +218,20 @@ def test_every_paragraph_is_classified(spark):
     assert got == {(k, 2): planted[k % 3][0] for k in range(60)}
 
 
+def test_wrapped_notices_are_found(spark):
+    planted = [("gpl-3.0", "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+                           "the Free Software Foundation, either version 3 of the License, or\n(at your option) any later version."),
+               ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\");\nyou may not use this file except in compliance with the License.\n"
+                              "You may obtain a copy of the License at\nhttp://www.apache.org/licenses/LICENSE-2.0"),
+               ("bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"),
+               ("all-rights-reserved", "All rights reserved.")]
+    docs = spark.createDataFrame([(k, words(k, 30) + "\n\n" + planted[k % 4][1] + "\n\n" + words(k + 100, 20)) for k in range(60)],
+                                 "doc_id bigint, text string")
+    got = {(r.doc_id, r.paragraph, r.family) for r in licences.scan(docs).collect()}
+    assert {x for x in got if x[2] != "unknown"} == {(k, 2, planted[k % 4][0]) for k in range(60)}
+    assert {x[1] for x in got} == {2}
+
+
 def test_grades_are_ordered_and_held_out_rows_agree(spark, awkward, nothing):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
