@@ -1,8 +1,8 @@
 """Sharding along a Hilbert curve through several metadata dimensions.
 
-Each dimension is cut into ``2**BITS`` ranges at its quantiles (strings by the
-number that their first seven bytes spell, so ranges of strings stay ranges).  A
-row's cell in that grid gives its place on the curve; rows are sorted by it and
+Each dimension is cut into ``2**BITS`` ranges at its quantiles (strings are
+compared as a whole, their quantiles come from counts of the sorted different
+values, and nothing but the edges is gathered).  A row's cell in that grid gives its place on the curve; rows are sorted by it and
 the sorted sequence is cut into runs.  Rows near each other on the curve are
 near in every dimension, so a file has a narrow range of each and a filter on
 any of them skips most files.
@@ -19,6 +19,8 @@ columns of the input may have any names.
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -62,31 +64,61 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def code(column: Column, kind: T.DataType) -> Column:
-    """A long that sorts like the column (strings: by their first seven bytes)."""
+    """A long that sorts like the column (strings: the column)."""
     if isinstance(kind, T.StringType):
-        return F.conv(F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 7)), 14, "0"), 16, 10).cast("bigint")
+        return column
     if isinstance(kind, (T.TimestampType, T.DateType)):
         return F.unix_seconds(column.cast("timestamp"))
     return F.when(column.isNotNull(), F.floor(column.cast("double")).cast("bigint"))
 
 
+def _cells(values: pd.Series, edges: np.ndarray) -> np.ndarray:
+    """Range of each value; nulls are in the first one."""
+    if edges.dtype != object:
+        return np.where(values.isna(), 0, np.searchsorted(edges, values.fillna(0).to_numpy(np.int64), side="right"))
+    which, different = pd.factorize(values)
+    cell = np.array([bisect_right(edges, v) for v in different] + [0], np.int64)
+    return cell[which]
+
+
 def _grid(docs: DataFrame, dimensions, size: Column) -> list[Column]:
-    """A long for each dimension; ``size`` is the text's, whatever columns there are."""
+    """A long or string for each dimension; ``size`` is the text's, whatever columns there are."""
     kinds = {f.name: f.dataType for f in docs.schema.fields}
     return [code(size, T.LongType()) if d == "size" else code(docs[d], kinds[d]) for d in dimensions]
 
 
+def string_edges(rows: DataFrame, name: str, steps: int) -> list[str]:
+    """The different values at the ``steps``-quantiles, sorted.  One row per sorted part and the edges are gathered."""
+    counts = rows.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("v")).agg(F.count("*").alias("n"))
+    part = F.shiftright(F.monotonically_increasing_id(), 33)
+    held = pin(counts.repartitionByRange("v").sortWithinPartitions("v").withColumn("part", part), "strings")
+    n, begin = 0, []
+    for r in sorted(held.groupBy("part").agg(F.sum("n").alias("n")).collect()):
+        begin.append((r.part, n))
+        n += r.n
+    if not n:
+        return []
+    from pyspark.sql import Window
+
+    at = F.broadcast(rows.sparkSession.createDataFrame(begin, "part bigint, rows_before bigint"))
+    upto = F.col("rows_before") + F.sum("n").over(Window.partitionBy("part").orderBy("v"))
+    step = lambda x: F.least(F.lit(steps - 1), F.floor(x * steps / F.lit(n)))
+    edges = held.join(at, "part").withColumn("upto", upto).where(step(F.col("upto")) > step(F.col("upto") - F.col("n"))).select("v")
+    return sorted(r.v for r in edges.collect())
+
+
 def ordered(docs: DataFrame, grid: list[Column], keep: dict[str, Column], ties: list[str], bits: int = BITS) -> DataFrame:
     """``keep``'s columns (named k_...) with ``curve``, ``part`` (sorted range of the curve) and ``at`` (place in the part)."""
     names = [f"d{k}" for k in range(len(grid))]
     rows = pin(docs.select(*[c.alias(f"k_{n}") for n, c in keep.items()], *[c.alias(n) for c, n in zip(grid, names)]), "dimensions")
     steps = [k / 2 ** bits for k in range(1, 2 ** bits)]
-    cuts = rows.agg(*[F.percentile_approx(n, steps, ACCURACY).alias(n) for n in names]).first()
-    edges = [np.unique(np.array(cuts[n] or [], np.int64)) for n in names]
+    texts = [isinstance(rows.schema[n].dataType, T.StringType) for n in names]
+    cuts = rows.agg(F.count("*"), *[F.percentile_approx(n, steps, ACCURACY).alias(n) for n, t in zip(names, texts) if not t]).first()
+    edges = [np.array(string_edges(rows, n, 2 ** bits), object) if t else np.unique(np.array(cuts[n] or [], np.int64)) for n, t in zip(names, texts)]
 
     @F.pandas_udf("bigint")
     def place(*codes: pd.Series) -> pd.Series:
-        cells = [np.where(c.isna(), 0, np.searchsorted(e, c.fillna(0).to_numpy(np.int64), side="right")) for c, e in zip(codes, edges)]
+        cells = [_cells(c, e) for c, e in zip(codes, edges)]
         return pd.Series(hilbert_index(np.stack(cells, axis=1), bits))
 
     curve = rows.select(*[f"k_{n}" for n in keep], place(*names).alias("curve"))

@@ -161,6 +161,18 @@ def test_shards_obey_their_law(awkward, nothing, law):
     assert hilbert.shard_report(nothing, law=law).collect() == []
 
 
+def test_strings_with_a_common_prefix_are_told_apart(spark):
+    rows = [(k, "x" * 9, f"https://host{k % 8}.example/") for k in range(160)]
+    docs = spark.createDataFrame(rows + [(200, "x", None)], "doc_id bigint, text string, source string")
+    got = hilbert.shard_report(docs, dimensions=["source"], shards=8).collect()
+    by = collections.defaultdict(set)
+    for r in got:
+        by[r.curve].add(None if r.doc_id == 200 else r.doc_id % 8)
+    assert sorted(map(list, by.values()), key=str) == sorted([[None], *[[h] for h in range(8)]], key=str)
+    order = [(dict((i, h) for i, _, h in rows).get(r.doc_id) or "") for r in sorted(got, key=lambda r: (r.shard, r.slot)) if r.doc_id != 200]
+    assert order == sorted(order)
+
+
 def test_shard_files_hold_whole_rows_and_prune(spark, awkward, tmp_path):
     path = str(tmp_path / "shards")
     hilbert.write_shards(awkward, path, shards=4)
