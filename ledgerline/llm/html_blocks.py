@@ -19,6 +19,7 @@ repeated pages get equal texts; an empty table gives an empty table.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from zlib import crc32
@@ -77,6 +78,7 @@ class _Reader(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, tuple, int]] = []
         self.stack: list[tuple[str, tuple]] = []
+        self.open: Counter[str] = Counter()  # elements on the stack by tag
         self.text: list[str] = []
         self.linked = self.raw = self.links = 0
 
@@ -90,6 +92,7 @@ class _Reader(HTMLParser):
 
     def _pop(self) -> None:
         tag, _ = self.stack.pop()
+        self.open[tag] -= 1
         self.raw -= tag in RAW
         self.links -= tag == "a"
 
@@ -103,16 +106,17 @@ class _Reader(HTMLParser):
         tokens = [tag]
         for key, value in attrs:
             if value and key in ("class", "id", "role"):
-                for name in value.split()[:8]:
+                for name in value.split():
                     tokens += [f".{name.lower()}", *_words_of(name)]
         self.stack.append((tag, tuple(tokens)))
+        self.open[tag] += 1
         self.raw += tag in RAW
         self.links += tag == "a"
 
     def handle_endtag(self, tag):
         if tag not in INLINE:
             self._flush()
-        if any(t == tag for t, _ in self.stack[-64:]):
+        if self.open[tag]:
             while self.stack[-1][0] != tag:
                 self._pop()
             self._pop()

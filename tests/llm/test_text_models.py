@@ -199,6 +199,13 @@ def test_pages_give_their_article(spark):
     assert html_blocks.main_text(pages.limit(0)).collect() == []
 
 
+def test_deep_end_tags_and_all_class_names_are_read():
+    page = "<body><nav>" + "<i>x" * 100 + "</nav><article><p>the text</p></article><div class='a b c d e f g h comments'>nice</div></body>"
+    paths = {text: path for text, path, _ in html_blocks.read_blocks(page)}
+    assert "nav" not in paths["the text"] and "article" in paths["the text"]
+    assert "nav" not in paths["nice"] and ".comments" in paths["nice"]
+
+
 def test_labeller_reads_other_layouts(spark):
     htmls = [PAGE.format(k=k) for k in range(60)]
     model, rng, wrong, total = html_blocks.train(htmls), np.random.default_rng(77), 0, 0
