@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import table
-from . import bpe, decontaminate, embedding_dedup, hilbert, html_blocks, licences, ordinal_quality, quality_rules, recurrent_lm, simhash, source_divergence, substring_dedup
+from . import bpe, conversation_repair, decontaminate, embedding_dedup, hilbert, html_blocks, licences, ordinal_quality, quality_rules, recurrent_lm, simhash, source_divergence, substring_dedup
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest repair and digest of every damaged conversation."""
+    return conversation_repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergence of every two sources of a language, and each source's most divergent terms."""
     return source_divergence.audit(table(spark, sf_dir, "documents"))
@@ -84,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ordinal_quality": op8_ordinal_quality,
     "op9_decontaminate": op9_decontaminate,
     "op10_simhash": op10_simhash,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_source_divergence": op12_source_divergence,
     "op13_embedding_dedup": op13_embedding_dedup,
 }
