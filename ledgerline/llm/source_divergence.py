@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, pin, spans, utf8
+from .common import LOWER, chunks, give_back, pin, spans, utf8
 
 MIN_DOCS = 3
 TOP = 200
@@ -112,6 +112,8 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                     held = [table.rename_columns(["g", "term", "n", "docs"])]
         if held:
             yield from send(added())
+        held.clear()
+        give_back()
 
     parts = docs.select(column(lang_col, "lang"), column(source_col, "source"), column(text_col, "text")) \
         .mapInArrow(run, "lang string, source string, term string, n bigint, docs bigint")
@@ -230,6 +232,9 @@ def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         add()
     if sums:
         yield from send()
+    held.clear()
+    sums.clear()
+    give_back()
 
 
 def pair_values(kept: DataFrame, groups: DataFrame) -> DataFrame:
