@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.time import as_instant, as_ntz, plus_seconds, ts
+from ..operators.handlers import HandlerRegistry, resolved_type
 from ..sources import derive
 from ..streaming import jobs as J
 from ..streaming import stateful as ST
@@ -155,6 +156,35 @@ def j11s(spark, sf_dir):
     return read_output(spark, f"{run}/out").where(F.col("id") >= 0).select("id", F.col("r_id"))
 
 
+def _payments(rows):
+    """A payment handler that fails for amounts over 100."""
+    amount = F.from_json(F.col("payload"), "amount DOUBLE")["amount"]
+    small = F.coalesce(amount <= 100, F.lit(True))
+    return rows.select("id", small.alias("ok"), F.when(~small, F.lit("amount over 100")).alias("error"))
+
+
+def _orders(rows):
+    return rows.select("id", F.lit(True).alias("ok"))
+
+
+def _registry() -> HandlerRegistry:
+    return HandlerRegistry().register(S.PAYMENT_PROCESSED, _payments, "payment").register(S.ORDER_CREATED, _orders, "order")
+
+
+@register("handlers_routed", with_(TYPED_SRC) + """
+SELECT id, CASE t WHEN 'PaymentProcessed' THEN 'payment' WHEN 'OrderCreated' THEN 'order' ELSE 'default' END AS route,
+  NOT (t = 'PaymentProcessed' AND NOT broken AND value > 100) AS ok,
+  CASE WHEN t = 'PaymentProcessed' AND NOT broken AND value > 100 THEN 'amount over 100' END AS error
+FROM (SELECT *, CASE WHEN has_props THEN event_type WHEN broken OR event_type = 'Mystery' THEN 'Unknown'
+                     ELSE event_type END AS t FROM typed_src)""")
+def handlers(spark, sf_dir):
+    """Handler registry: two handlers and the default branch in one
+    routed pass; the type is the message property, else the payload's own field."""
+    t = derive.typed_events(Ctx(spark, sf_dir).t("events"))
+    named = t.select("id", "payload", resolved_type(F.col("properties"), F.col("payload")).alias("event_type"))
+    return _registry().run(named)
+
+
 @register("r02_consumer_outcomes", with_(TYPED_SRC) + """
 SELECT id, CASE event_type WHEN 'OrderCreated' THEN 'order' WHEN 'PaymentProcessed' THEN 'payment'
   WHEN 'InventoryUpdated' THEN 'inventory' WHEN 'UserRegistered' THEN 'user' ELSE 'unknown' END AS route,
@@ -169,9 +199,7 @@ def r02(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     t = derive.typed_events(c.t("events")).withColumn("event_ts", as_instant(F.col("ts")))
     run, stream = _stage(c, t, "r02", "event_ts")
-    amount = F.from_json(F.col("payload"), "amount DOUBLE")["amount"]
-    handler_ok = ~((F.col("event_type") == S.PAYMENT_PROCESSED) & F.coalesce(amount > 100, F.lit(False)))
-    run_foreach(stream, J.consumer_batch_writer(f"{run}/out", handler_ok), f"{run}/ckpt")
+    run_foreach(stream, J.handled_batch_writer(f"{run}/out", _registry()), f"{run}/ckpt")
     parts = [read_output(spark, f"{run}/out/{o}") for o in ("ack", "retry", "dead_letter")]
     out = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return out.select("id", "route", "outcome")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.codec import decode, route, schema_version_check
+from ..operators.handlers import HandlerRegistry
 
 MAX_CONSUMER_RETRIES = 3
 
@@ -87,6 +88,38 @@ def classify_consumed(batch: DataFrame, handler_ok=None) -> DataFrame:
                     retries.alias("retry_count"), outcome.alias("outcome"))
 
 
+def classify_handled(batch: DataFrame, registry: HandlerRegistry, folder: str | None = None) -> DataFrame:
+    """R02 step with handlers: as ``classify_consumed``, where the outcome of a
+    sound row is its handler's.  Poison rows reach no handler.  Returns (id,
+    event_type, payload, route, error, retry_count, outcome)."""
+    judged = classify_consumed(batch)
+    sound = judged.where(F.col("outcome") != "dead_letter")
+    done = registry.run(sound.select("id", "event_type", "payload"), folder=folder).select(
+        F.col("id").alias("h_id"), F.col("ok"), F.col("error").alias("h_error"))
+    failed = F.col("h_id").isNotNull() & ~F.col("ok")
+    outcome = (F.when(~failed, F.col("outcome"))
+               .when(F.col("retry_count") >= MAX_CONSUMER_RETRIES, F.lit("dead_letter")).otherwise(F.lit("retry")))
+    return judged.join(done, F.col("id") == F.col("h_id"), "left").select(
+        "id", "event_type", "payload", "route", F.when(failed, F.coalesce("h_error", F.lit("HANDLER_FAILED"))).otherwise(F.col("error")).alias("error"),
+        "retry_count", outcome.alias("outcome"))
+
+
+def handled_batch_writer(out_dir: str, registry: HandlerRegistry):
+    """A ``foreachBatch`` function that runs the registry on each micro-batch and
+    writes acked, retry and dead-letter rows to ``{out_dir}/{outcome}/batch_id={b}``."""
+    def write(batch: DataFrame, batch_id: int):
+        rows = batch.persist()
+        c = classify_handled(rows, registry, f"{out_dir}/_routed/batch_id={batch_id}").persist()
+        try:
+            for outcome in ("ack", "retry", "dead_letter"):
+                (c.where(F.col("outcome") == outcome).write.mode("overwrite")
+                 .parquet(f"{out_dir}/{outcome}/batch_id={batch_id}"))
+        finally:
+            c.unpersist()
+            rows.unpersist()
+    return write
+
+
 def consumer_batch_writer(out_dir: str, handler_ok=None):
     """A ``foreachBatch`` function writing acked, retry and dead-letter
     rows of each micro-batch to ``{out_dir}/{outcome}/batch_id={b}``."""
