@@ -17,6 +17,7 @@ from ..operators.handlers import HandlerRegistry, resolved_type
 from ..sources import derive
 from ..streaming import jobs as J
 from ..streaming import stateful as ST
+from ..streaming.progress import ProgressLog, checkpoint_status, committed, offset_gaps, progress
 from ..streaming.runner import default_state_partitions, new_run_dir, read_output, run_foreach, run_to_parquet
 from ..streaming.sources import read_event_stream, stage_in_order  # noqa: F401
 from .catalog import Ctx, register
@@ -244,14 +245,32 @@ def s12(spark, sf_dir):
 
 @register("s10_stream_progress", "SELECT CAST(count(*) AS BIGINT) AS input_rows FROM events")
 def s10(spark, sf_dir):
-    """Progress reports of a drained stream (rows read across micro-batches)."""
-    from ..streaming.sources import progress_frame
+    """Rows read across all micro-batches of a drained stream, from the progress table."""
     c = Ctx(spark, sf_dir)
     e = c.t("events").select("event_id", as_instant(F.col("ts")).alias("event_ts"))
     run, stream = _stage(c, e, "s10", "event_ts")
-    q = run_to_parquet(stream, f"{run}/out", f"{run}/ckpt",
-                   state_partitions=default_state_partitions(spark))
-    return progress_frame(spark, q).agg(F.sum("input_rows").cast("bigint").alias("input_rows"))
+    with ProgressLog(spark, f"{run}/progress"):
+        run_to_parquet(stream, f"{run}/out", f"{run}/ckpt", state_partitions=default_state_partitions(spark))
+    return progress(spark, f"{run}/progress").agg(F.sum("input_rows").cast("bigint").alias("input_rows"))
+
+
+@register("s10_checkpoint_status", """
+SELECT source_no, CAST(count(*) AS BIGINT) AS input_rows, true AS done, false AS behind, CAST(0 AS BIGINT) AS gaps
+FROM (SELECT CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END AS source_no FROM events) GROUP BY 1""")
+def s10_status(spark, sf_dir):
+    """Checkpoint status per source of a stream that reads two: rows up to the last
+    offset, nothing behind it, no gap between the offsets of one batch and the next,
+    and every batch of the checkpoint committed."""
+    c = Ctx(spark, sf_dir)
+    e = c.t("events").select("event_id", "event_type", as_instant(F.col("ts")).alias("event_ts"))
+    run, one = _stage(c, e.where("event_type = 'purchase'"), "s10a", "event_ts")
+    _, two = _stage(c, e.where("event_type <> 'purchase' OR event_type IS NULL"), "s10b", "event_ts")
+    with ProgressLog(spark, f"{run}/progress"):
+        run_to_parquet(one.unionByName(two), f"{run}/out", f"{run}/ckpt", state_partitions=default_state_partitions(spark))
+    reports = progress(spark, f"{run}/progress")
+    done = committed(spark, f"{run}/ckpt").agg(F.bool_and("done")).scalar()
+    gaps = offset_gaps(reports).agg(F.count(F.lit(1))).scalar()
+    return checkpoint_status(reports).select("source_no", "input_rows", done.alias("done"), "behind", gaps.alias("gaps"))
 
 
 @register("r10_late_data")

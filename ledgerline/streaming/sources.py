@@ -1,4 +1,4 @@
-"""Stream sources and stream test inputs.
+"""Stream sources and stream test inputs.
 
 Production reads a message bus (the ``kafka`` format, configured by the
 caller); the same transformations run on the file source, which is what the
@@ -7,8 +7,6 @@ tests use (``availableNow`` drains it and stops).
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,18 +77,3 @@ def stage_in_order(df: DataFrame, path: str, ts_col: str, slices: int,
     if tail is not None:
         tail.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/slice={slices:04d}")
     return n
-
-
-def progress_frame(spark: SparkSession, query) -> DataFrame:
-    """The query's recent progress reports as a DataFrame (batch id, rows,
-    rates, trigger duration, watermark).  A handful of rows per query."""
-    rows = []
-    for p in query.recentProgress:
-        d = p if isinstance(p, dict) else json.loads(p.json)
-        rows.append((int(d.get("batchId", -1)), int(d.get("numInputRows", 0)),
-                     float(d.get("inputRowsPerSecond") or 0.0), float(d.get("processedRowsPerSecond") or 0.0),
-                     int((d.get("durationMs") or {}).get("triggerExecution", 0)),
-                     (d.get("eventTime") or {}).get("watermark")))
-    schema = ("batch_id long, input_rows long, input_rows_per_s double, processed_rows_per_s double, "
-              "trigger_ms long, watermark string")
-    return spark.createDataFrame(rows, schema)

@@ -3,8 +3,9 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ledgerline.streaming import jobs as J
+from ledgerline.streaming.progress import ProgressLog, checkpoint_status, committed, offset_gaps, progress
 from ledgerline.streaming.runner import new_run_dir, run_foreach, run_to_parquet
-from ledgerline.streaming.sources import progress_frame, read_event_stream, stage_in_order
+from ledgerline.streaming.sources import read_event_stream, stage_in_order
 
 T0 = dt.datetime(2024, 1, 1)
 SCHEMA = "id long, status string, event_ts timestamp"
@@ -34,11 +35,38 @@ def test_fan_out_and_progress(spark):
     run, schema, cap = _stage(spark, rows, "fan")
     stream = read_event_stream(spark, f"{run}/in/*", schema, max_files=cap)
     subs = {"alerts": F.col("status") == "FAILED", "audit": F.lit(True)}
-    q = run_foreach(stream, J.fan_out_writer(f"{run}/out", subs), f"{run}/ckpt")
+    with ProgressLog(spark, f"{run}/progress"):
+        run_foreach(stream, J.fan_out_writer(f"{run}/out", subs), f"{run}/ckpt")
     assert spark.read.parquet(f"{run}/out/alerts").count() == 20
     assert spark.read.parquet(f"{run}/out/audit").count() == 60
-    prog = progress_frame(spark, q)
-    assert prog.agg(F.sum("input_rows")).first()[0] == 60
+    assert progress(spark, f"{run}/progress").agg(F.sum("input_rows")).first()[0] == 60
+
+
+def test_a_stream_of_over_100_batches_is_counted_whole(spark):
+    """recentProgress holds the newest 100 reports; the table holds all, and two runs of one query."""
+    run = new_run_dir(spark, "long")
+    n = 110
+    spark.range(n).selectExpr("id", "id AS f").repartitionByRange(n, "f").select("id").write.option("maxRecordsPerFile", 1).parquet(f"{run}/in")
+    spark.range(0).write.mode("append").parquet(f"{run}/in")
+    stream = read_event_stream(spark, f"{run}/in", spark.range(1).schema, max_files=1)
+    seen = []
+    with ProgressLog(spark, f"{run}/progress", flush_every=40):
+        q = run_foreach(stream, lambda b, i: (seen.append(i), b.count()), f"{run}/ckpt")
+    reports = progress(spark, f"{run}/progress")
+    assert len(q.recentProgress) <= 100 < len(seen) <= reports.count()
+    assert reports.agg(F.sum("input_rows")).first()[0] == n
+    status = checkpoint_status(reports).collect()
+    assert len(status) == 1 and status[0].input_rows == n and not status[0].behind and status[0].last_offset
+    assert offset_gaps(reports).count() == 0
+    held = committed(spark, f"{run}/ckpt")
+    assert held.where("NOT done").count() == 0 and held.agg(F.max("batch_id")).first()[0] == max(seen)
+    before = reports.count()
+    spark.range(1000, 1001).coalesce(1).write.mode("append").parquet(f"{run}/in")
+    with ProgressLog(spark, f"{run}/progress"):
+        run_foreach(stream, lambda b, i: b.count(), f"{run}/ckpt")
+    again = progress(spark, f"{run}/progress")
+    assert again.agg(F.sum("input_rows")).first()[0] == n + 1 and again.count() > before
+    assert progress(spark, f"{run}/nothing").count() == 0
 
 
 def test_consumer_batch_rerun_is_idempotent(spark):
