@@ -201,7 +201,9 @@ def delivery_step(log: DataFrame, outcomes: DataFrame, now, limit: int = S.POLL_
                 .agg(F.bool_and(F.coalesce(F.col("ok"), F.lit(False))).alias("_gok"),
                      F.min_by(F.col("error"), F.when(~F.coalesce(F.col("ok"), F.lit(False)),
                                                      F.col("id"))).alias("_gerr")))
-    settled = F.broadcast(batch.join(group_ok, "_key"))
+    settled = batch.join(group_ok, "_key")
+    if limit is not None and limit <= BROADCAST_ROW_BOUND:
+        settled = F.broadcast(settled)
     claimed = claim(log, batch, now, bound=limit)
     ok_ids = settled.where(F.col("_gok")).select("id")
     failed = settled.where(~F.col("_gok")).select(
@@ -210,18 +212,34 @@ def delivery_step(log: DataFrame, outcomes: DataFrame, now, limit: int = S.POLL_
     return handle_failure(published, failed, now, max_retries, bound=limit)
 
 
+def cycle(log: DataFrame, outcomes: DataFrame, now, limit: int = S.POLL_LIMIT, max_retries: int = S.MAX_RETRIES,
+          stuck_minutes: int = S.STUCK_MINUTES) -> DataFrame:
+    """Recover stuck rows, reset due retries, sweep exhausted rows to the
+    dead-letter state and run one delivery step.  Published rows never change, so
+    ``log`` may be the undelivered rows alone."""
+    log = recover_stuck(log, now, stuck_minutes)
+    log = reset_due_failed(log, now, max_retries, limit=None)
+    log = dead_letter_sweep(log, now, max_retries)
+    return delivery_step(log, outcomes, now, limit, max_retries)
+
+
+def run_store_cycle(spark, base: str, outcomes: DataFrame, now, limit: int = S.POLL_LIMIT,
+                    max_retries: int = S.MAX_RETRIES, stuck_minutes: int = S.STUCK_MINUTES) -> int:
+    """R01 on a log stored in two parts (``sources.log_store``): the active part is read
+    and rewritten, published rows are added to the done part, which is not read.
+    Returns the version.  Outcomes of the external publish: ``(id, ok, error)``."""
+    from ..sources import log_store
+    stepped = cycle(log_store.read_active(spark, base), outcomes, now, limit, max_retries, stuck_minutes)
+    return log_store.commit_cycle(stepped, base)
+
+
 def run_cycle(spark, base: str, outcomes: DataFrame, now, limit: int = S.POLL_LIMIT,
               max_retries: int = S.MAX_RETRIES, stuck_minutes: int = S.STUCK_MINUTES) -> int:
-    """R01 driver step on a stored log: recover stuck rows, reset due
-    retries, sweep exhausted rows to the dead-letter state, run one delivery
-    step, and commit the result as the next snapshot.  Returns the version.
+    """R01 driver step on a log stored as whole snapshots: one ``cycle``, committed as
+    the next snapshot.  Returns the version.
 
     Outcomes of the external publish come in as a table ``(id, ok, error)``.
     """
     from ..sources.sinks import commit_snapshot, read_latest
-    log = read_latest(spark, base, S.EVENT_LOG)
-    log = recover_stuck(log, now, stuck_minutes)
-    log = reset_due_failed(log, now, max_retries, limit=None)
-    log = dead_letter_sweep(log, now, max_retries)
-    log = delivery_step(log, outcomes, now, limit, max_retries)
+    log = cycle(read_latest(spark, base, S.EVENT_LOG), outcomes, now, limit, max_retries, stuck_minutes)
     return commit_snapshot(log.select(*S.EVENT_LOG.fieldNames()), base)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -224,3 +226,40 @@ def r01(spark, sf_dir):
     c = Ctx(spark, sf_dir)
     log = c.outbox
     return _life(M.delivery_step(log, publish_outcomes(log), c.now))
+
+
+@register("r01_stored_cycle", OB.rstrip() + f""",
+rec AS (SELECT * REPLACE (CASE WHEN stuck THEN 'PENDING' ELSE status END AS status,
+    CASE WHEN stuck THEN 'Recovered from stuck PROCESSING state' ELSE error_message END AS error_message,
+    CASE WHEN stuck THEN {NOW_SQL} ELSE updated_at END AS updated_at, version + CASE WHEN stuck THEN 1 ELSE 0 END AS version)
+  FROM (SELECT *, status = 'PROCESSING' AND updated_at < {NOW_SQL} - INTERVAL 5 MINUTE AS stuck FROM outbox)),
+ret AS (SELECT * REPLACE (CASE WHEN due THEN 'PENDING' WHEN worn THEN 'DEAD_LETTER' ELSE status END AS status,
+    CASE WHEN worn THEN concat('Max retries exceeded: ', coalesce(error_message, '')) ELSE error_message END AS error_message,
+    CASE WHEN due OR worn THEN {NOW_SQL} ELSE updated_at END AS updated_at, version + CASE WHEN due OR worn THEN 1 ELSE 0 END AS version)
+  FROM (SELECT *, status = 'FAILED' AND coalesce(next_retry_at <= {NOW_SQL}, false) AND retry_count < 3 AS due,
+               status = 'FAILED' AND retry_count >= 3 AS worn FROM rec)),
+batch AS (SELECT id, coalesce(partition_key, aggregate_id) AS k FROM ret WHERE status='PENDING'
+  AND (next_retry_at IS NULL OR next_retry_at <= {NOW_SQL}) ORDER BY created_at, id LIMIT 100),
+grp AS (SELECT k, bool_and(id%10<>0) AS gok, CASE WHEN bool_or(id%10=0) THEN 'timeout' END AS gerr FROM batch GROUP BY k),
+settled AS (SELECT b.id, g.gok, coalesce(g.gerr, 'publish failed') AS err FROM batch b JOIN grp g ON b.k=g.k)
+SELECT o.id, CASE WHEN o.status = 'PUBLISHED' OR s.gok THEN 'done' ELSE 'active' END AS part,
+  CASE WHEN s.id IS NULL THEN o.status WHEN s.gok THEN 'PUBLISHED' WHEN o.retry_count < 3 THEN 'FAILED' ELSE 'DEAD_LETTER' END AS status,
+  CASE WHEN s.id IS NOT NULL AND NOT s.gok AND o.retry_count < 3 THEN o.retry_count + 1 ELSE o.retry_count END AS retry_count,
+  CASE WHEN s.id IS NULL OR s.gok THEN o.error_message WHEN o.retry_count < 3 THEN s.err
+       ELSE concat('Max retries exceeded: ', s.err) END AS error_message,
+  CASE WHEN s.id IS NULL THEN o.updated_at ELSE {NOW_SQL} END AS updated_at,
+  CASE WHEN s.gok THEN {NOW_SQL} ELSE o.published_at END AS published_at,
+  o.version + CASE WHEN s.id IS NULL THEN 0 WHEN s.gok THEN 1 ELSE 2 END AS version
+FROM ret o LEFT JOIN settled s ON o.id=s.id""")
+def r01_stored(spark, sf_dir):
+    """R01 on a stored log: one cycle that reads and rewrites the active part and adds
+    what it published to the done part; then the whole log, read back."""
+    from ..session import scratch_path
+    from ..sources import log_store
+    c = Ctx(spark, sf_dir)
+    base = scratch_path(spark, f"logs/r01-{uuid.uuid4().hex[:12]}")
+    log_store.create(c.outbox, base)
+    M.run_store_cycle(spark, base, publish_outcomes(log_store.read_active(spark, base)), c.now)
+    cols = ["status", "retry_count", "error_message", "updated_at", "published_at", "version"]
+    return (log_store.read_active(spark, base).withColumn("part", F.lit("active"))
+            .unionByName(log_store.read_done(spark, base).withColumn("part", F.lit("done"))).select("id", "part", *cols))
