@@ -40,7 +40,7 @@ def saga_state(events: DataFrame) -> DataFrame:
     """Per order, state (STARTED ... COMPLETED, or FAILED after
     compensation), furthest step reached, compensation list, last step time."""
     g = events.groupBy("order_id").agg(
-        F.max(_step_rank(F.col("event_type"))).alias("reached"),
+        F.coalesce(F.max(_step_rank(F.col("event_type"))), F.lit(0)).alias("reached"),  # a failure may come first
         F.bool_or(F.col("event_type").isin(list(SAGA_FAILURES))).alias("failed"),
         F.max("ts").alias("last_ts"))
     state = F.when(F.col("failed"), F.lit("FAILED")).otherwise(_by_step(F.col("reached"), STATE_BY_STEP))

@@ -126,3 +126,42 @@ UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN 'PaymentProcesse
 UNION ALL SELECT o_orderkey, 'OrderConfirmed', o_orderdate + INTERVAL 3 HOUR FROM orders
   WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 AND o_orderstatus = 'F')
 """
+
+SAGA_FULL = SAGA_EVENTS.rstrip() + """,
+saga_full AS (
+SELECT * FROM saga_events WHERE NOT (order_id % 14 = 0 AND event_type = 'OrderCreated')
+UNION ALL SELECT o_orderkey, 'InventoryReleased', o_orderdate + INTERVAL 3 HOUR FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 = 0
+UNION ALL SELECT o_orderkey, 'OrderCancelled', o_orderdate + INTERVAL 4 HOUR FROM orders
+  WHERE (o_orderkey % 7 = 0 OR o_orderkey % 5 = 0) AND o_orderkey % 3 <> 0
+UNION ALL SELECT o_orderkey, 'OrderConfirmed', o_orderdate + INTERVAL 5 HOUR FROM orders
+  WHERE o_orderkey % 7 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 10 = 1 AND o_orderstatus = 'F')
+"""
+
+#: The automaton one event at a time: (order_id, n events, node as 'state:reached:done', illegal).
+SAGA_WALK = """,
+saga_rows AS (SELECT order_id, event_type, ts, row_number() OVER (PARTITION BY order_id ORDER BY ts) AS rn FROM saga_full),
+saga_walk AS (
+SELECT order_id, CAST(0 AS BIGINT) AS rn, 'NONE' AS state, 0 AS reached, 0 AS done, CAST(0 AS BIGINT) AS illegal
+FROM (SELECT DISTINCT order_id FROM saga_rows)
+UNION ALL
+SELECT order_id, rn, coalesce(new_state, state), CASE WHEN new_state IS NULL THEN reached
+    WHEN new_state = 'INVENTORY_RESERVED' THEN 1 WHEN new_state = 'PAYMENT_PROCESSED' THEN 2 WHEN new_state = 'COMPLETED' THEN 3 ELSE reached END,
+  CASE WHEN e IN ('PaymentRefunded', 'InventoryReleased', 'OrderCancelled') AND new_state IS NOT NULL THEN done + 1 ELSE done END,
+  illegal + CASE WHEN new_state IS NULL THEN 1 ELSE 0 END
+FROM (SELECT w.order_id, r.rn, w.state, w.reached, w.done, w.illegal, r.event_type AS e,
+  CASE WHEN r.event_type IN ('InventoryReservationFailed', 'PaymentFailed')
+         THEN CASE WHEN w.state IN ('NONE', 'STARTED', 'INVENTORY_RESERVED', 'PAYMENT_PROCESSED') THEN 'COMPENSATING' END
+       WHEN r.event_type = 'OrderCreated' THEN CASE WHEN w.state = 'NONE' THEN 'STARTED' END
+       WHEN r.event_type = 'InventoryReserved' THEN CASE WHEN w.state = 'STARTED' THEN 'INVENTORY_RESERVED' END
+       WHEN r.event_type = 'PaymentProcessed' THEN CASE WHEN w.state = 'INVENTORY_RESERVED' THEN 'PAYMENT_PROCESSED' END
+       WHEN r.event_type = 'OrderConfirmed' THEN CASE WHEN w.state = 'PAYMENT_PROCESSED' THEN 'COMPLETED' END
+       WHEN w.state = 'COMPENSATING' AND r.event_type = 'PaymentRefunded' AND w.reached = 2 AND w.done = 0 THEN 'COMPENSATING'
+       WHEN w.state = 'COMPENSATING' AND r.event_type = 'InventoryReleased' AND w.done = w.reached - 1 THEN 'COMPENSATING'
+       WHEN w.state = 'COMPENSATING' AND r.event_type = 'OrderCancelled' AND w.done = w.reached THEN 'FAILED' END AS new_state
+  FROM saga_walk w JOIN saga_rows r ON r.order_id = w.order_id AND r.rn = w.rn + 1)),
+saga_end AS (SELECT w.order_id, w.state, CAST(w.reached AS INT) AS reached,
+  CASE WHEN w.state IN ('COMPENSATING', 'FAILED') THEN CASE w.reached WHEN 2 THEN 'refund_payment,release_inventory,cancel_order'
+    WHEN 1 THEN 'release_inventory,cancel_order' ELSE 'cancel_order' END END AS compensation,
+  CAST(w.done AS INT) AS compensated, w.illegal, l.last_ts
+  FROM saga_walk w JOIN (SELECT order_id, max(rn) AS n, max(ts) AS last_ts FROM saga_rows GROUP BY 1) l ON l.order_id = w.order_id AND l.n = w.rn)
+"""

@@ -9,9 +9,10 @@ from ..functions.codec import decode
 from ..functions.time import capped_backoff_ms
 from ..operators import saga as SG
 from ..operators.joins import interval_left_join
+from ..operators.saga_machine import saga_machine
 from ..sources import derive, sinks
 from .catalog import Ctx, register
-from .oracle import NOW_SQL, OUTBOX, SAGA_EVENTS, TYPED_SRC, with_
+from .oracle import NOW_SQL, OUTBOX, SAGA_EVENTS, SAGA_FULL, SAGA_WALK, TYPED_SRC, with_
 
 SAGA_NOW = "1998-01-01 00:00:00"
 
@@ -34,6 +35,12 @@ def r07(spark, sf_dir):
     return SG.saga_state(derive.saga_events(Ctx(spark, sf_dir).t("orders")))
 
 
+@register("r07_saga_machine", with_(SAGA_FULL).replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + SAGA_WALK + "SELECT * FROM saga_end")
+def r07m(spark, sf_dir):
+    """The saga automaton with COMPENSATING, compensation progress and illegal events."""
+    return saga_machine(derive.saga_events_with_compensation(Ctx(spark, sf_dir).t("orders")))
+
+
 @register("r08_saga_timeouts", with_(SAGA_EVENTS).rstrip() + SAGA_FOLD + f"""
 SELECT * FROM st WHERE state NOT IN ('COMPLETED', 'FAILED')
   AND last_ts < TIMESTAMP '{SAGA_NOW}' - INTERVAL 2 HOUR""")

@@ -9,6 +9,7 @@ windows, join rows and time-outs; it is filtered out of the results.
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -21,7 +22,7 @@ from ..streaming.progress import ProgressLog, checkpoint_status, committed, offs
 from ..streaming.runner import default_state_partitions, new_run_dir, read_output, run_foreach, run_to_parquet
 from ..streaming.sources import read_event_stream, stage_in_order  # noqa: F401
 from .catalog import Ctx, register
-from .oracle import ORDER_EVENTS, OUTBOX, SAGA_EVENTS, TYPED_SRC, with_
+from .oracle import ORDER_EVENTS, OUTBOX, SAGA_EVENTS, SAGA_FULL, SAGA_WALK, TYPED_SRC, with_
 from .q_events import SAGA_FOLD
 from .q_projection import RM_ALL, RM_SELECT
 
@@ -37,6 +38,13 @@ def _stage(c: Ctx, df, name: str, ts_col: str, tail=None):
     return run, read_event_stream(c.spark, f"{run}/in/*", df.schema, max_files=cap)
 
 
+def _sentinel(df, **values):
+    """One row with the columns of ``df``: ``values``, the rest null (also for an empty input)."""
+    cols = [(F.lit(None) if f.name not in values else values[f.name] if isinstance(values[f.name], Column) else F.lit(values[f.name]))
+            .cast(f.dataType).alias(f.name) for f in df.schema.fields]
+    return df.sparkSession.range(1).select(*cols)
+
+
 @register("r03_streaming_projection", RM_ALL + RM_SELECT)
 def r03(spark, sf_dir):
     """Streaming projection with the out-of-order buffer; redelivered
@@ -49,11 +57,7 @@ def r03(spark, sf_dir):
                      plus_seconds(F.col("occurred_at"), -2 * 86400))
                .otherwise(F.col("occurred_at")))
     staged = ev.withColumn("arrival_ts", as_instant(arrival))
-    sentinel = staged.limit(1).select(
-        *[F.lit(-1).cast("bigint").alias("order_id") if f == "order_id"
-          else F.lit("Sentinel").alias("event_type") if f == "event_type"
-          else as_instant(ts(SENTINEL_TS)).alias("arrival_ts") if f == "arrival_ts"
-          else F.col(f) for f in staged.columns])
+    sentinel = _sentinel(staged, order_id=-1, seq=0, event_type="Sentinel", occurred_at=ts(SENTINEL_TS), arrival_ts=as_instant(ts(SENTINEL_TS)))
     run, stream = _stage(c, staged, "r03", "arrival_ts", tail=sentinel)
     run_to_parquet(ST.project_stream(stream), f"{run}/out", f"{run}/ckpt",
                    state_partitions=default_state_partitions(spark))
@@ -72,10 +76,7 @@ def r03b(spark, sf_dir):
     """Buffered events whose Created never arrived, emitted on time-out."""
     c = Ctx(spark, sf_dir)
     ev = c.rich_events.withColumn("arrival_ts", as_instant(F.col("occurred_at")))
-    sentinel = ev.limit(1).select(*[F.lit(-1).cast("bigint").alias("order_id") if f == "order_id"
-                                    else F.lit("Sentinel").alias("event_type") if f == "event_type"
-                                    else as_instant(ts(SENTINEL_TS)).alias("arrival_ts") if f == "arrival_ts"
-                                    else F.col(f) for f in ev.columns])
+    sentinel = _sentinel(ev, order_id=-1, seq=0, event_type="Sentinel", occurred_at=ts(SENTINEL_TS), arrival_ts=as_instant(ts(SENTINEL_TS)))
     run, stream = _stage(c, ev, "r03b", "arrival_ts", tail=sentinel)
     run_to_parquet(ST.project_stream(stream), f"{run}/out", f"{run}/ckpt",
                    state_partitions=default_state_partitions(spark))
@@ -90,8 +91,7 @@ def r07s(spark, sf_dir):
     """Saga state kept per order in streaming state; equals the batch fold."""
     c = Ctx(spark, sf_dir)
     ev = derive.saga_events(c.t("orders"))
-    sentinel = ev.limit(1).select(F.lit(-1).cast("bigint").alias("order_id"),
-                                  F.lit("Sentinel").alias("event_type"), ts(SENTINEL_TS).alias("ts"))
+    sentinel = _sentinel(ev, order_id=-1, event_type="Sentinel", ts=ts(SENTINEL_TS))
     run, stream = _stage(c, ev, "r07", "ts", tail=sentinel)
     run_to_parquet(ST.saga_stream(stream), f"{run}/out", f"{run}/ckpt",
                    state_partitions=default_state_partitions(spark))
@@ -99,6 +99,18 @@ def r07s(spark, sf_dir):
     return ST.latest_saga(emitted).select("order_id", "state", "reached", "compensation")
 
 
+@register("r07_streaming_machine", with_(SAGA_FULL).replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + SAGA_WALK
+          + "SELECT *, state NOT IN ('COMPLETED', 'FAILED') AS timed_out FROM saga_end")
+def r07ms(spark, sf_dir):
+    """The saga automaton in streaming state; equals the batch fold, and sagas
+    that have not ended are timed out (the last input is far in the future)."""
+    c = Ctx(spark, sf_dir)
+    ev = derive.saga_events_with_compensation(c.t("orders"))
+    run, stream = _stage(c, ev, "r07m", "ts", tail=_sentinel(ev, order_id=-1, event_type="Sentinel", ts=ts(SENTINEL_TS)))
+    run_to_parquet(ST.saga_machine_stream(stream), f"{run}/out", f"{run}/ckpt", state_partitions=default_state_partitions(spark))
+    return ST.latest_machine(read_output(spark, f"{run}/out").where(F.col("order_id") >= 0))
+
+
 @register("r04_streaming_dedup", with_(OUTBOX) + "SELECT id, event_type FROM outbox")
 def r04(spark, sf_dir):
     """Every 13th event is delivered twice (one hour apart); the 7-day
@@ -116,9 +128,7 @@ def r04(spark, sf_dir):
 
 def _log_stream_input(c: Ctx):
     log = c.outbox.select("id", "status", as_instant(F.col("created_at")).alias("event_ts"))
-    sentinel = log.limit(1).select(F.lit(-1).cast("bigint").alias("id"), F.lit("Sentinel").alias("status"),
-                                   as_instant(ts(SENTINEL_TS)).alias("event_ts"))
-    return log, sentinel
+    return log, _sentinel(log, id=-1, status="Sentinel", event_ts=as_instant(ts(SENTINEL_TS)))
 
 
 @register("r05_streaming_per_minute", with_(OUTBOX) + """
@@ -145,8 +155,7 @@ def j11s(spark, sf_dir):
     """Stream-stream left outer join of purchases with clicks within one hour."""
     c = Ctx(spark, sf_dir)
     e = c.t("events").select("event_id", "user_id", "event_type", as_instant(F.col("ts")).alias("ets"))
-    sentinel = e.limit(1).select(F.lit(-1).cast("bigint").alias("event_id"), F.lit(-1).cast("bigint").alias("user_id"),
-                                 F.lit("sentinel").alias("event_type"), as_instant(ts(SENTINEL_TS)).alias("ets"))
+    sentinel = _sentinel(e, event_id=-1, user_id=-1, event_type="sentinel", ets=as_instant(ts(SENTINEL_TS)))
     run, stream = _stage(c, e, "j11", "ets", tail=sentinel)
     purchases = stream.where(F.col("event_type").isin("purchase", "sentinel")).select(
         F.col("event_id").alias("p_id"), F.col("user_id").alias("p_user"), F.col("ets").alias("p_ts"))

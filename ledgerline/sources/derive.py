@@ -249,3 +249,18 @@ def saga_events(orders: DataFrame) -> DataFrame:
     confirmed = orders.where(inv_ok & pay_ok & (F.col("o_orderstatus") == "F")).select(
         k, F.lit("OrderConfirmed"), at(3))
     return created.unionAll(inventory).unionAll(payment).unionAll(confirmed)
+
+
+def saga_events_with_compensation(orders: DataFrame) -> DataFrame:
+    """``saga_events`` plus the compensation steps of failed sagas, one hour apart: those of
+    every third order are not complete, every 14th order fails as its first event
+    (its Created is lost), and every 10th order's confirmation is delivered twice."""
+    k, t0 = F.col("o_orderkey"), F.col("o_orderdate")
+    at = lambda h: plus_seconds(t0, h * 3600)
+    steps = saga_events(orders)
+    lost = (F.col("order_id") % 14 == 0) & (F.col("event_type") == "OrderCreated")
+    inv_failed, pay_failed, slow = k % 7 == 0, (k % 7 != 0) & (k % 5 == 0), k % 3 == 0
+    release = orders.where(pay_failed).select(k, F.lit("InventoryReleased"), at(3))
+    cancel = orders.where((inv_failed | pay_failed) & ~slow).select(k, F.lit("OrderCancelled"), at(4))
+    twice = orders.where(~inv_failed & (k % 5 != 0) & (k % 10 == 1) & (F.col("o_orderstatus") == "F")).select(k, F.lit("OrderConfirmed"), at(5))
+    return steps.where(~lost).unionAll(release).unionAll(cancel).unionAll(twice)

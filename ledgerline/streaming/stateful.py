@@ -26,6 +26,7 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from .. import schemas as S
 from ..functions.time import as_instant, ntz_micros, ts
+from ..operators import saga_machine as machine
 from ..operators.saga import COMPENSATION_BY_STEP, STATE_BY_STEP
 from ..sources.derive import SAGA_FAILURES, SAGA_STEPS
 
@@ -178,9 +179,10 @@ def _saga_fn(timeout_us: int):
         order_id = int(key[0])
         if state.hasTimedOut:
             st = dict(zip(["reached", "failed", "last_us", "version"], state.get))
-            st["version"] += 1
             state.remove()
-            yield emit(order_id, st, True)
+            if not (st["failed"] or int(st["reached"]) == 3):
+                st["version"] += 1
+                yield emit(order_id, st, True)
             return
         st = dict(zip(["reached", "failed", "last_us", "version"], state.get)) if state.exists else {
             "reached": 0, "failed": False, "last_us": 0, "version": 0}
@@ -192,12 +194,9 @@ def _saga_fn(timeout_us: int):
                 st["failed"] = True
             st["last_us"] = max(int(st["last_us"]), int(ev["ts_us"]))
         st["version"] = int(st["version"]) + 1
-        terminal = st["failed"] or int(st["reached"]) == 3
-        if terminal:
-            state.remove()
-        else:
-            state.update((int(st["reached"]), bool(st["failed"]), int(st["last_us"]), int(st["version"])))
-            state.setTimeoutTimestamp(int(st["last_us"]) // 1000 + timeout_us // 1000)
+        # An ended saga is kept for as long: what comes after its end must not begin a new one.
+        state.update((int(st["reached"]), bool(st["failed"]), int(st["last_us"]), int(st["version"])))
+        state.setTimeoutTimestamp(max(int(st["last_us"]) // 1000 + timeout_us // 1000, state.getCurrentWatermarkMs() + 1))
         yield emit(order_id, st, False)
     return fn
 
@@ -213,6 +212,55 @@ def saga_stream(events: DataFrame, watermark: str = "1 hour", timeout_hours: int
                                     GroupStateTimeout.EventTimeTimeout))
 
 
+MACHINE_OUT = "order_id long, version int, node int, illegal long, last_us long, timed_out boolean"
+MACHINE_STATE = "node int, illegal long, last_us long, version int"
+
+
+def _machine_fn(timeout_us: int):
+    names = [f.split()[0] for f in MACHINE_OUT.split(", ")]
+    codes = {e: k for k, e in enumerate(machine.EVENTS)}
+    ended = {k for k, n in enumerate(machine.NODES) if n is not None and n[0] in ("COMPLETED", "FAILED")}
+
+    def fn(key, pdfs, state):
+        node, illegal, last, version = state.get if state.exists else (machine.START, 0, 0, 0)
+        timed_out = state.hasTimedOut
+        if timed_out:
+            state.remove()
+            if node in ended:
+                return
+        else:
+            batch = pd.concat(list(pdfs), ignore_index=True)
+            batch["code"] = batch["event_type"].map(codes)
+            for event, at in batch.dropna(subset=["code"]).sort_values(["ts_us", "code"])[["code", "ts_us"]].itertuples(index=False):
+                illegal += machine.MISFIT[int(event)][node]
+                node, last = machine.TABLE[int(event)][node], max(last, int(at))
+            state.update((int(node), int(illegal), int(last), int(version) + 1))
+            state.setTimeoutTimestamp(max(int(last) // 1000 + timeout_us // 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame([(int(key[0]), int(version) + 1, int(node), int(illegal), int(last), timed_out)], columns=names)
+    return fn
+
+
+def saga_machine_stream(events: DataFrame, watermark: str = "1 hour", timeout_hours: int = 2) -> DataFrame:
+    """The automaton of ``operators.saga_machine`` per order as events stream in.
+    A saga that has not ended ``timeout_hours`` after its last event is emitted
+    ``timed_out``; an ended one is forgotten then.  Events of one micro-batch are
+    applied in time order; a micro-batch must not be older than the one before."""
+    prepared = (events.withColumn("event_ts", as_instant(F.col("ts")))
+                .withWatermark("event_ts", watermark)
+                .withColumn("ts_us", F.unix_micros("event_ts")))
+    return (prepared.select("order_id", "event_type", "ts_us", "event_ts").groupBy("order_id")
+            .applyInPandasWithState(_machine_fn(timeout_hours * 3_600_000_000), MACHINE_OUT, MACHINE_STATE, "append",
+                                    GroupStateTimeout.EventTimeTimeout))
+
+
+def latest_machine(emitted: DataFrame) -> DataFrame:
+    """(order_id, state, reached, compensation, compensated, illegal, last_ts, timed_out): the newest row per order."""
+    g = emitted.groupBy("order_id").agg(F.max_by(F.struct("node", "illegal", "last_us", "timed_out"), "version").alias("_r"))
+    return g.select("order_id", *machine.describe(F.col("_r.node")), F.col("_r.illegal").alias("illegal"),
+                    F.timestamp_add("MICROSECOND", F.col("_r.last_us"), ts("1970-01-01 00:00:00")).alias("last_ts"),
+                    F.col("_r.timed_out").alias("timed_out"))
+
+
 def latest_saga(emitted: DataFrame) -> DataFrame:
     cols = ["state", "reached", "compensation", "last_us", "timed_out"]
     g = emitted.groupBy("order_id").agg(F.max_by(F.struct(*cols), F.col("version")).alias("_r"))
