@@ -87,6 +87,27 @@ def version_conflicts(current: DataFrame, appends: DataFrame, order_cols: list |
             .drop("_cur", "_nth"))
 
 
+def append_chain(current: DataFrame, appends: DataFrame, order_cols: list | None = None) -> DataFrame:
+    """W07 for a batch that goes on: ``accepted`` marks, per aggregate, the longest run of
+    expected versions without a gap that begins at the stored head (0 for a new
+    aggregate), as if the appends came one after the other.  Of several appends with one
+    expected version the first is taken (see ``version_conflicts``); a gap rejects all
+    that come after it.  ``current_version`` is the stored head.
+
+    An island check: the n-th different version (from 0) that is not below the head
+    is in the run if it is the head plus n.  Ranks are distributed (``rank_within``), so
+    an aggregate with most of the appends is not one task's."""
+    own = order_cols or appends.columns
+    ranked = rank_within(appends, ["aggregate_id", "expected_version"], own, "_nth")
+    head = current.groupBy("aggregate_id").agg(F.max("version").alias("_cur"))
+    known = ranked.join(head, "aggregate_id", "left").withColumn("current_version", F.coalesce("_cur", F.lit(0)).cast("bigint")).drop("_cur")
+    live = F.coalesce((F.col("_nth") == 1) & (F.col("expected_version") >= F.col("current_version")), F.lit(False))
+    # Rows that cannot win are ranked behind all others, so one rank serves all rows.
+    placed = rank_within(known.withColumn("_lost", (~live).cast("int")), ["aggregate_id"], ["_lost", "expected_version", "_nth"], "_place")
+    run = (F.col("_lost") == 0) & (F.col("expected_version") == F.col("current_version") + F.col("_place") - 1)
+    return placed.withColumn("accepted", run).drop("_nth", "_lost", "_place")
+
+
 def uniqueness_conflicts(df: DataFrame, natural_key: str, order_cols: list) -> DataFrame:
     """Registrations that lose to an earlier one of the same natural key
     (first wins, ties by the order columns).

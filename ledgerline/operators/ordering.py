@@ -167,6 +167,25 @@ def running_sum(df: DataFrame, key_cols: list, order_cols: list, value_col: str,
             .drop("_pos", "_pid", "_start", "_local", "_carry"))
 
 
+def running_max(df: DataFrame, key_cols: list, order_cols: list, value_cols: list, prefix: str = "max_") -> DataFrame:
+    """``{prefix}{value}``: the greatest value of the key's rows up to this one (nulls
+    left out), as a prefix maximum: the maximum inside the row's run, and in a
+    partition's first run that of the key's rows in earlier partitions too."""
+    runs = _runs(df, key_cols, order_cols)
+    ends = runs.groupBy("_pid").agg(F.max("_start").alias("_last"))
+    keys = [f"_k{i}" for i in range(len(key_cols))]
+    edge = (runs.join(F.broadcast(ends), "_pid").where((F.col("_start") == 0) | (F.col("_start") == F.col("_last")))
+            .groupBy("_pid", "_start").agg(*[F.max(c).alias(f"_m{i}") for i, c in enumerate(value_cols)],
+                                           *[F.first(k).alias(n) for k, n in zip(key_cols, keys)]))
+    before = Window.partitionBy(*keys).orderBy("_pid", "_start").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (edge.withColumns({f"_b{i}": F.max(f"_m{i}").over(before) for i in range(len(value_cols))})
+             .where(F.col("_start") == 0).select("_pid", *[f"_b{i}" for i in range(len(value_cols))]))
+    within = (Window.partitionBy("_pid", "_start").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = runs.withColumns({f"{prefix}{c}": F.max(c).over(within) for c in value_cols}).join(F.broadcast(carry), "_pid")
+    return out.withColumns({f"{prefix}{c}": F.greatest(f"{prefix}{c}", F.when(F.col("_start") == 0, F.col(f"_b{i}")))
+                            for i, c in enumerate(value_cols)}).drop("_pid", "_pos", "_start", *[f"_b{i}" for i in range(len(value_cols))])
+
+
 def with_last(df: DataFrame, key_cols: list, order_cols: list, value_cols: list, size: int,
               name: str = "pos", prefix: str = "last_") -> DataFrame:
     """``name``: the position inside the key; ``{prefix}{value}``: the values of

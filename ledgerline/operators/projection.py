@@ -154,6 +154,53 @@ def state_as_of(events: DataFrame, now, max_seq: int | None = None, at=None,
     return project(ev, now, mode)
 
 
+def states_as_of(events: DataFrame, requests: DataFrame, now, by: str = "version", mode: str = "dedup") -> DataFrame:
+    """W06 for a table of requests: (request_id, order_id, as_of) -> the read model of each
+    request's order as of that version (``by='version'``: ``seq <= as_of``) or event time
+    (``by='time'``: ``occurred_at <= as_of``), with ``found`` false where the order had
+    no Created by then.
+
+    Every field of the fold is the value of the highest ``seq`` that sets it, so it is a
+    running maximum of (seq, value).  Events and requests are merged in one range sort by
+    (order, position), and a request reads the maxima that stand at its place; what an
+    order has in earlier range partitions is carried over (``running_max``).  An order with
+    many requests or events is read once, not once per request."""
+    from .ordering import running_max
+    if by not in ("version", "time"):
+        raise ValueError("by must be version or time")
+    ev = dedup_events(events) if mode == "dedup" else events
+    et, seq = F.col("event_type"), F.col("seq").cast("bigint")
+    created, cancelled = et == S.ORDER_CREATED, et == S.ORDER_CANCELLED
+    corr = F.col("correlation_id").cast("string")
+    model = F.struct("customer_id", F.col("total_amount").cast("decimal(19,2)").alias("total_amount"), "currency",
+                     F.col("item_count").cast("int").alias("item_count"), "shipping_address", "occurred_at")
+    at = "seq" if by == "version" else "occurred_at"
+    kind = "bigint" if by == "version" else "timestamp_ntz"
+    setters = {"_c": F.when(created, F.struct(seq.alias("seq"), model.alias("v"))),
+               "_s": F.struct(seq.alias("seq"), _status_value(et, F.col("new_status")).alias("v")),
+               "_x": F.when(created | cancelled, F.struct(seq.alias("seq"), F.when(cancelled, F.col("reason")).alias("v"))),
+               "_o": F.when(created | corr.isNotNull(), F.struct(seq.alias("seq"), corr.alias("v")))}
+    rows = ev.select("order_id", F.col(at).cast(kind).alias("_at"), F.lit(0).alias("_kind"), *[c.alias(n) for n, c in setters.items()])
+    if by == "time":
+        rows = rows.where(F.col("_at").isNotNull())
+    asked = requests.select("order_id", F.col("as_of").cast(kind).alias("_at"), F.lit(1).alias("_kind"), "request_id")
+    merged = rows.unionByName(asked, allowMissingColumns=True)
+    done = running_max(merged, ["order_id"], ["_at", "_kind", "request_id", "_s"], list(setters)).where(F.col("_kind") == 1)
+    found = F.col("max__c").isNotNull()
+    return done.select(
+        "request_id", "order_id", F.col("_at").alias("as_of"), found.alias("found"),
+        *[F.col(f"max__c.v.{c}").alias(c) for c in ("customer_id", "total_amount", "currency", "item_count", "shipping_address")],
+        F.when(found, F.col("max__s.v")).alias("last_order_status"), F.when(found, F.col("max__x.v")).alias("cancellation_reason"),
+        F.col("max__c.v.occurred_at").alias("created_at"), F.when(found, ts(now)).alias("projected_at"),
+        F.when(found, F.col("max__o.v")).alias("last_correlation_id"))
+
+
+def events_since(events: DataFrame, requests: DataFrame) -> DataFrame:
+    """The events after a version, for each request (request_id, order_id, since); in the order of ``seq``."""
+    asked = requests.select("request_id", F.col("order_id").alias("_order"), F.col("since").cast("bigint").alias("since"))
+    return events.join(asked, F.col("order_id") == F.col("_order")).where(F.col("seq") > F.col("since")).drop("_order", "since")
+
+
 def status_history(events: DataFrame) -> DataFrame:
     """Per order, each status change with the previous status and the
     whole seconds spent in the previous status (``lag`` over (order_id, seq)

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schemas as S
+from ..functions.time import plus_seconds
 from ..operators import projection as P
 from ..operators import read_model as RM
 from .catalog import Ctx, register
@@ -130,6 +131,48 @@ def w06(spark, sf_dir):
     return _rm_out(P.state_as_of(c.rich_events, c.now, max_seq=2))
 
 
+#: Requests: every third order as of a version, every fourth as of a time, some for an order that does not exist.
+REQUESTS = """,
+req AS (SELECT 'v' || o_orderkey AS request_id, o_orderkey + CASE WHEN o_orderkey % 99 = 0 THEN 100000000 ELSE 0 END AS order_id,
+    1 + o_orderkey % 4 AS v, CAST(NULL AS TIMESTAMP) AS t FROM orders WHERE o_orderkey % 3 = 0
+  UNION ALL SELECT 't' || o_orderkey, o_orderkey, NULL, o_orderdate + INTERVAL 1 HOUR * CAST(o_orderkey % 60 - 6 AS INT) FROM orders WHERE o_orderkey % 4 = 0)"""
+
+
+def _requests(orders):
+    k = F.col("o_orderkey")
+    versions = orders.where(k % 3 == 0).select(
+        F.concat(F.lit("v"), k).alias("request_id"), (k + F.when(k % 99 == 0, 100_000_000).otherwise(0)).alias("order_id"), (1 + k % 4).alias("as_of"))
+    times = orders.where(k % 4 == 0).select(
+        F.concat(F.lit("t"), k).alias("request_id"), k.alias("order_id"), plus_seconds(F.col("o_orderdate"), (k % 60 - 6).cast("int") * 3600).alias("as_of"))
+    return versions, times
+
+
+@register("w06_state_at_requests", RE.rstrip() + REQUESTS + """,
+ev0 AS (SELECT e.* REPLACE (r.request_id AS order_id), e.order_id AS own FROM req r JOIN rich_events e
+        ON e.order_id = r.order_id AND (e.seq <= r.v OR e.occurred_at <= r.t))"""
+          + _fold_sql(DEDUP_EV.replace("FROM rich_events", "FROM ev0").replace("PARTITION BY event_id", "PARTITION BY order_id, event_id")) + """
+SELECT q.request_id, q.order_id, m.order_id IS NOT NULL AS found, m.customer_id, CAST(m.total_amount AS DOUBLE) AS total_amount, m.currency,
+  m.item_count, m.shipping_address, m.last_order_status, m.cancellation_reason, m.created_at, m.projected_at, m.last_correlation_id
+FROM req q LEFT JOIN read_model m ON m.order_id = q.request_id""")
+def w06_requests(spark, sf_dir):
+    """The read model of each request's order as of a version or a time."""
+    c = Ctx(spark, sf_dir)
+    versions, times = _requests(c.t("orders"))
+    ev = c.rich_events
+    both = P.states_as_of(ev, versions, c.now, "version").drop("as_of").unionByName(P.states_as_of(ev, times, c.now, "time").drop("as_of"))
+    return both.withColumn("total_amount", F.col("total_amount").cast("double"))
+
+
+@register("w06_events_since", RE.rstrip() + REQUESTS + """
+SELECT r.request_id, e.order_id, CAST(e.seq AS INT) AS seq, e.event_type FROM req r JOIN rich_events e ON e.order_id = r.order_id AND e.seq > r.v""")
+def w06_since(spark, sf_dir):
+    """Events since a version, per request."""
+    c = Ctx(spark, sf_dir)
+    versions, _ = _requests(c.t("orders"))
+    found = P.events_since(c.order_events, versions.withColumnRenamed("as_of", "since"))
+    return found.select("request_id", "order_id", F.col("seq").cast("int").alias("seq"), "event_type")
+
+
 @register("w14_extended_projection", RE.rstrip() + ", ev1 AS (SELECT * REPLACE (CASE WHEN "
           "event_type='OrderStatusChanged' THEN 'OrderShipped' ELSE event_type END AS event_type, "
           "CASE WHEN event_type='OrderStatusChanged' THEN 'SHIPPED_CONFIRMED' ELSE new_status END AS new_status) "

@@ -196,6 +196,34 @@ def w04(spark, sf_dir):
     return Q.sequence_gaps(Ctx(spark, sf_dir).order_events, "order_id", "seq")
 
 
+@register("w07_append_chain", with_(ORDER_EVENTS) + """,
+app AS (SELECT order_id, seq - 1 AS expected FROM order_events WHERE seq >= 2
+  UNION ALL SELECT order_id, 3 FROM order_events WHERE seq = 1 AND order_id % 4 = 0
+  UNION ALL SELECT order_id, 4 FROM order_events WHERE seq = 1 AND order_id % 8 = 0
+  UNION ALL SELECT order_id, 0 FROM order_events WHERE seq = 2 AND order_id % 9 = 0),
+head AS (SELECT order_id, max(seq) AS v FROM order_events WHERE seq <= 1 GROUP BY 1),
+d AS (SELECT DISTINCT a.order_id, a.expected, coalesce(h.v, 0) AS v FROM app a LEFT JOIN head h ON a.order_id = h.order_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY expected) - 1 AS n FROM d WHERE expected >= v)
+SELECT d.order_id, CAST(d.expected AS BIGINT) AS expected_version, CAST(d.v AS BIGINT) AS current_version,
+  coalesce(r.expected = r.v + r.n, false) AS accepted, CAST(coalesce(r.expected = r.v + r.n, false) AS BIGINT) AS accepted_rows
+FROM d LEFT JOIN r ON r.order_id = d.order_id AND r.expected = d.expected""".replace(",\napp", "\n, app", 1))
+def w07_chain(spark, sf_dir):
+    """Batches of appends per order against the stored head (seq 1): the gapless run
+    from the head is accepted, a gap rejects what comes after it.  Per expected version:
+    accepted at all, and how many appends were (never more than one)."""
+    ev = Ctx(spark, sf_dir).order_events
+    cur = ev.where(F.col("seq") <= 1).select(F.col("order_id").alias("aggregate_id"), F.col("seq").cast("bigint").alias("version"))
+    first = ev.where("seq = 1")
+    app = (ev.where("seq >= 2").selectExpr("order_id", "seq - 1 AS expected")
+           .unionByName(first.where("order_id % 4 = 0").selectExpr("order_id", "3 AS expected"))
+           .unionByName(first.where("order_id % 8 = 0").selectExpr("order_id", "4 AS expected"))
+           .unionByName(ev.where("seq = 2 AND order_id % 9 = 0").selectExpr("order_id", "0 AS expected")))
+    app = app.selectExpr("order_id AS aggregate_id", "cast(expected AS bigint) AS expected_version")
+    r = AP.append_chain(cur, app)
+    return r.groupBy(F.col("aggregate_id").alias("order_id"), "expected_version", "current_version").agg(
+        F.bool_or("accepted").alias("accepted"), F.count_if("accepted").alias("accepted_rows"))
+
+
 @register("w07_version_check", with_(ORDER_EVENTS) + """
 SELECT a.order_id, a.seq, CAST(coalesce(h.v, 0) AS BIGINT) AS current_version,
   a.seq - 1 = coalesce(h.v, 0) AS accepted
