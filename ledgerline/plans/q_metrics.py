@@ -5,7 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import schemas as S
+from ..functions.time import as_instant
+from ..operators import alerts
 from ..operators import metrics as MX
+from ..streaming.runner import default_state_partitions, new_run_dir, read_output, run_foreach
+from ..streaming.sources import read_event_stream, stage_in_order
 from .catalog import Ctx, register
 from .oracle import CALL_LOG, NOW_SQL, ORDER_ITEMS, ORDERS_MODEL, OUTBOX, TYPED_SRC, with_
 
@@ -256,3 +261,63 @@ def a20(spark, sf_dir):
     return p.select(F.col("p_partkey").alias("part_id"), opening.alias("opening"),
                     F.coalesce(F.col("demand"), F.lit(0.0)).cast("double").alias("demand"),
                     rem.cast("double").alias("remaining"), (rem < 0).alias("short"))
+
+
+#: The service's rules with thresholds that the test log reaches.
+ALERT_RULES_TEST = (alerts.Rule("HighBacklog", "pending", 100, 5), alerts.Rule("VeryHighBacklog", "pending", 800, 5),
+                    alerts.Rule("HighFailureRate", "failed_per_second", 0.006, 2), alerts.Rule("CircuitBreakerOpen", "breaker_open", 1, 1, at_least=True))
+
+ALERT_STATES = OB.rstrip() + "," + CALL_LOG.strip() + """,
+ends AS (SELECT date_trunc('minute', min(created_at)) AS lo, date_trunc('minute', max(created_at)) AS hi FROM outbox),
+g AS (SELECT unnest(generate_series(lo, hi, INTERVAL 1 MINUTE)) AS minute FROM ends),
+acts AS (SELECT date_trunc('minute', created_at) AS minute, status IN ('PENDING', 'PROCESSING', 'PUBLISHED') AS c, false AS s,
+    status IN ('FAILED', 'DEAD_LETTER') AS f, false AS k, false AS kf FROM outbox
+  UNION ALL SELECT date_trunc('minute', published_at), false, true, false, false, false FROM outbox WHERE status = 'PUBLISHED'
+  UNION ALL SELECT date_trunc('minute', ts), false, false, false, true, failed FROM call_log),
+n AS (SELECT g.minute, count(*) FILTER (WHERE c) - count(*) FILTER (WHERE s) AS net, count(*) FILTER (WHERE f) AS f,
+    count(*) FILTER (WHERE k) AS k, count(*) FILTER (WHERE kf) AS kf FROM g LEFT JOIN acts a ON a.minute = g.minute GROUP BY 1),
+w AS (SELECT minute, CAST(sum(net) OVER (ORDER BY minute) AS DOUBLE) AS pending,
+    sum(f) OVER (ORDER BY minute ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) / 300.0 AS rate, k > 0 AND kf * 2 >= k AS opened FROM n),
+t AS (SELECT 'HighBacklog' AS rule, minute, pending > 100 AS true_, 5 AS wait FROM w UNION ALL SELECT 'VeryHighBacklog', minute, pending > 800, 5 FROM w
+  UNION ALL SELECT 'HighFailureRate', minute, rate > 0.006, 2 FROM w UNION ALL SELECT 'CircuitBreakerOpen', minute, opened, 1 FROM w),
+u AS (SELECT *, coalesce(max(CASE WHEN NOT true_ THEN minute END) OVER (PARTITION BY rule ORDER BY minute), lo - INTERVAL 1 MINUTE) + INTERVAL 1 MINUTE AS since
+  FROM t, ends),
+x AS (SELECT *, true_ AND minute - since >= INTERVAL 1 MINUTE * wait AS firing FROM u),
+y AS (SELECT rule, minute, since, true_, CASE WHEN firing THEN 'firing' WHEN true_ THEN 'pending'
+    WHEN coalesce(lag(firing) OVER (PARTITION BY rule ORDER BY minute), false) THEN 'resolved' ELSE 'inactive' END AS state FROM x),
+z AS (SELECT *, lag(state) OVER (PARTITION BY rule ORDER BY minute) AS before FROM y)
+SELECT rule, minute, state, CASE WHEN true_ THEN since END AS since FROM z WHERE state <> coalesce(before, 'inactive')"""
+
+
+def _alert_span(log):
+    ends = log.agg(F.date_trunc("minute", F.min("created_at")).cast("timestamp_ntz").alias("lo"), F.date_trunc("minute", F.max("created_at")).cast("timestamp_ntz").alias("hi"))
+    return ends.first()
+
+
+@register("a21_alert_states", ALERT_STATES)
+def a21_states(spark, sf_dir):
+    """A21 over time: changes of state of rules with ``for`` on every minute of the log."""
+    c = Ctx(spark, sf_dir)
+    log = c.outbox
+    span = _alert_span(log)
+    minutes = alerts.grid(span.lo, span.hi, spark)
+    return alerts.transitions(alerts.states(alerts.metrics(alerts.minute_counts(log, c.call_log), minutes), ALERT_RULES_TEST))
+
+
+@register("a21_streaming_alerts", ALERT_STATES)
+def a21_stream(spark, sf_dir):
+    """A21 over time, as a stream of what happened to the log: equals the batch form."""
+    c = Ctx(spark, sf_dir)
+    log, calls = c.outbox, c.call_log
+    span = _alert_span(log)
+    kind = F.when(F.col("status").isin(S.FAILED, S.DEAD_LETTER), "failed").otherwise("created")
+    acts = (log.select(as_instant(F.col("created_at")).alias("event_ts"), kind.alias("kind"))
+            .unionByName(log.where(F.col("status") == S.PUBLISHED).select(as_instant(F.col("published_at")).alias("event_ts"), F.lit("settled").alias("kind")))
+            .unionByName(calls.select(as_instant(F.col("ts")).alias("event_ts"), F.when(F.col("failed"), "call_failed").otherwise("call").alias("kind"))))
+    run = new_run_dir(spark, "alerts")
+    tail = spark.range(1).select(as_instant(F.lit(span.hi) + F.expr("INTERVAL 1 DAY")).alias("event_ts"), F.lit("end").alias("kind"))
+    cap = stage_in_order(acts, f"{run}/in", "event_ts", 3, tail=tail)
+    stream = read_event_stream(spark, f"{run}/in/*", acts.schema, max_files=cap)
+    run_foreach(alerts.minute_stream(stream), alerts.alert_writer(f"{run}/out", span.lo, ALERT_RULES_TEST, until=span.hi), f"{run}/ckpt",
+                state_partitions=default_state_partitions(spark))
+    return alerts.transitions(read_output(spark, f"{run}/out/states").drop("batch_id"))
