@@ -4,9 +4,11 @@ S11, U02, J01, J02, A24)."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas as S
 from ..functions import codec as X
+from ..functions.upcast import Versions
 from ..operators import append as AP
 from ..sources import derive
 from .catalog import Ctx, register
@@ -274,3 +276,27 @@ def j02(spark, sf_dir):
     ev = Ctx(spark, sf_dir).order_events
     new = AP.unseen(ev, ev.where(F.col("seq") <= 2).select("event_id"))
     return new.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Two versions of a payment message: the second has a method, and says completed for paid.
+PAYMENT_VERSIONS = (
+    Versions()
+    .add("1", T.StructType([T.StructField("paymentId", T.StringType(), False), T.StructField("orderId", T.StringType()), T.StructField("status", T.StringType())]),
+         aliases=("1.0",))
+    .add("2", T.StructType([T.StructField("paymentId", T.StringType(), False), T.StructField("orderId", T.StringType()), T.StructField("status", T.StringType()),
+                            T.StructField("paymentMethod", T.StringType())]),
+         step=lambda f: {**f, "status": F.when(f["status"] == "paid", "completed").otherwise(f["status"])}, aliases=("2.0",),
+         defaults={"paymentMethod": "unknown"}))
+
+
+@register("x07_upcast", with_(TYPED_SRC) + """
+SELECT id, CASE WHEN version = '3' THEN 'UNSUPPORTED_VERSION' WHEN broken THEN 'MALFORMED' END AS decode_error,
+  CASE WHEN ok THEN 'pay-' || id END AS payment_id, CASE WHEN ok THEN 'order-' || k END AS order_id,
+  CASE WHEN ok THEN CASE WHEN value > 100 THEN 'failed' ELSE 'completed' END END AS status,
+  CASE WHEN ok THEN CASE WHEN version = '2' AND id % 7 <> 0 THEN CASE id % 3 WHEN 0 THEN 'CARD' WHEN 1 THEN 'PAYPAL' ELSE 'BANK' END ELSE 'unknown' END END AS method
+FROM (SELECT *, version <> '3' AND NOT broken AS ok FROM typed_src WHERE event_type = 'PaymentProcessed')""")
+def x07_upcast(spark, sf_dir):
+    """Messages of mixed versions decoded to the newest one by composed steps."""
+    rows = PAYMENT_VERSIONS.decode(derive.versioned_payments(Ctx(spark, sf_dir).t("events")))
+    e = F.col("event")
+    return rows.select("id", "decode_error", e["paymentId"].alias("payment_id"), e["orderId"].alias("order_id"), e["status"].alias("status"), e["paymentMethod"].alias("method"))

@@ -17,6 +17,7 @@ from ..functions.time import as_instant, as_ntz, plus_seconds, ts
 from ..operators.handlers import HandlerRegistry, resolved_type
 from ..sources import derive
 from ..streaming import jobs as J
+from ..streaming import late as LG
 from ..streaming import stateful as ST
 from ..streaming.progress import ProgressLog, checkpoint_status, committed, offset_gaps, progress
 from ..streaming.runner import default_state_partitions, new_run_dir, read_output, run_foreach, run_to_parquet
@@ -299,3 +300,43 @@ def r10(spark, sf_dir):
     late_rows = read_output(spark, f"{run}/out/late").select("id", F.lit(True).alias("late"))
     on_time = read_output(spark, f"{run}/out/on_time").select("id", F.lit(False).alias("late"))
     return late_rows.unionByName(on_time)
+
+
+@register("r10_all_watermarks", """
+SELECT op, CAST((SELECT count(*) + count(*) FILTER (WHERE event_id % 50 = 0) + 1 FROM events) AS BIGINT) AS arrived, true AS balanced, true AS counted,
+  CAST(0 AS BIGINT) AS engine_dropped FROM (SELECT unnest(['R04', 'R05', 'R06', 'J11']) AS op)""")
+def r10_all(spark, sf_dir):
+    """R10 for every watermark: every 50th event arrives again three days late, as a new
+    one.  Late rows are taken out in front of four stateful queries; what arrived is
+    what was kept plus what was late, each query accounts for every row that was kept,
+    and its own watermark drops none."""
+    c = Ctx(spark, sf_dir)
+    row = ["id", "status", "user_id", "event_type", "event_ts"]
+    e = c.t("events").select(F.col("event_id").alias("id"), F.when(F.col("event_id") % 9 == 0, S.FAILED).otherwise(S.PUBLISHED).alias("status"), "user_id", "event_type",
+                             as_instant(F.col("ts")).alias("event_ts"), as_instant(F.col("ts")).alias("arrival_ts"))
+    again = e.where(F.col("id") % 50 == 0).withColumns({"id": F.col("id") + 1_000_000_000, "arrival_ts": F.col("arrival_ts") + F.expr("INTERVAL 3 DAYS")})
+    far = as_instant(ts(SENTINEL_TS))
+    staged = e.unionByName(again)
+    run, stream = _stage(c, staged, "r10all", "arrival_ts", tail=_sentinel(staged, id=-1, user_id=-1, status="Sentinel", event_type="sentinel", event_ts=far, arrival_ts=far))
+    with ProgressLog(spark, f"{run}/gate-progress"):
+        run_foreach(LG.observed(stream.select(*row)), LG.gate_writer(f"{run}/gate", 3600), f"{run}/gate-ckpt")
+    schema = stream.select(*row).schema
+    passed = LG.on_time(spark, f"{run}/gate", schema)
+    kept = spark.read.schema(schema).parquet(f"{run}/gate/on_time").where("id >= 0")
+    purchases = passed.where(F.col("event_type").isin("purchase", "sentinel")).select(F.col("id").alias("p_id"), F.col("user_id").alias("p_user"), F.col("event_ts").alias("p_ts"))
+    clicks = passed.where(F.col("event_type").isin("click", "sentinel")).select(F.col("id").alias("c_id"), F.col("user_id").alias("c_user"), F.col("event_ts").alias("c_ts"))
+    before = as_instant(ts("2099-01-01 00:00:00"))
+    jobs = {"R04": (J.dedup_stream(passed, horizon="1 hour"), lambda o: o.where("id >= 0").agg(F.count(F.lit(1)).alias("x")), kept, 1),
+            "R05": (J.per_minute_stream(passed, delay="1 hour"), lambda o: o.where(F.col("window_start") < before).agg(F.sum("events").alias("x")), kept, 1),
+            "R06": (J.sliding_rate_stream(passed, delay="1 hour"), lambda o: o.where(F.col("window_start") < before).agg(F.sum("n").alias("x")), kept, 5),
+            "J11": (J.match_payments_stream(purchases, clicks), lambda o: o.where("id >= 0").agg(F.countDistinct("id").alias("x")), kept.where("event_type = 'purchase'"), 1)}
+    out = None
+    for op, (job, measure, rows, times) in jobs.items():
+        with ProgressLog(spark, f"{run}/{op}-progress"):
+            run_to_parquet(job, f"{run}/{op}", f"{run}/{op}-ckpt", state_partitions=default_state_partitions(spark))
+        have, want = measure(read_output(spark, f"{run}/{op}")).scalar(), rows.agg(F.count(F.lit(1))).scalar()
+        one = LG.balance(spark, f"{run}/gate", schema, f"{run}/gate-progress").select(
+            F.lit(op).alias("op"), "arrived", (F.col("balanced") & (F.col("late") > 0)).alias("balanced"), (have == want * times).alias("counted"),
+            LG.engine_dropped(spark, f"{run}/{op}-progress").scalar().cast("bigint").alias("engine_dropped"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -264,3 +264,19 @@ def saga_events_with_compensation(orders: DataFrame) -> DataFrame:
     cancel = orders.where((inv_failed | pay_failed) & ~slow).select(k, F.lit("OrderCancelled"), at(4))
     twice = orders.where(~inv_failed & (k % 5 != 0) & (k % 10 == 1) & (F.col("o_orderstatus") == "F")).select(k, F.lit("OrderConfirmed"), at(5))
     return steps.where(~lost).unionAll(release).unionAll(cancel).unionAll(twice)
+
+
+def versioned_payments(events: DataFrame) -> DataFrame:
+    """Payment messages in several schema versions (id, version, payload): 1 has no payment
+    method and says paid, 2 has one and says completed; every 50th is of a version that
+    nobody knows, every 101st is broken, every 7th of version 2 leaves the method out."""
+    eid = F.col("event_id")
+    k = F.from_json(F.col("props"), "k BIGINT")["k"]
+    version = F.when(eid % 50 == 0, "3").when(eid % 5 == 0, "2").otherwise("1.0")
+    base = [F.concat(F.lit("pay-"), eid.cast("string")).alias("paymentId"), F.concat(F.lit("order-"), k.cast("string")).alias("orderId")]
+    failed = F.col("value") > 100
+    one = F.to_json(F.struct(*base, F.when(failed, "failed").otherwise("paid").alias("status")))
+    two = F.to_json(F.struct(*base, F.when(failed, "failed").otherwise("completed").alias("status"),
+                             F.when(eid % 7 != 0, _pick(eid, PAYMENT_METHODS)).alias("paymentMethod"), F.lit("x").alias("addedLater")))
+    payload = F.when(eid % 101 == 0, F.concat(F.lit("{"), F.col("props"))).when(version == "1.0", one).otherwise(two)
+    return events.where(F.col("event_type") == "click").select(eid.alias("id"), version.alias("version"), payload.alias("payload"))
