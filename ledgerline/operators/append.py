@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from ..functions.codec import event_id_for, uuid_v5
+from ..functions.codec import event_id_for, metadata_json, uuid_v5
 from ..functions.time import ts
 from .ordering import rank_within
 
@@ -46,6 +46,21 @@ def append_rows(events: DataFrame, now, keep: list | None = None) -> DataFrame:
         F.coalesce(version.cast("bigint"), F.lit(0)).alias("version"), *(keep or []))
 
 
+def log_rows(appended: DataFrame, after_id: F.Column | int, source: str = "order-service", triggered_by: F.Column | None = None) -> DataFrame:
+    """Appended rows as rows of the event log (``schemas.EVENT_LOG``): ids go on after
+    ``after_id`` in the order of (created_at, event_id), metadata is the X04 document,
+    and a correlation id that is not a number is in the metadata only."""
+    from .ordering import global_rank
+    first = after_id if isinstance(after_id, F.Column) else F.lit(int(after_id))
+    ranked = global_rank(appended, ["created_at", "event_id"], "_n")
+    trace = F.coalesce(F.col("correlation_id").cast("string"), F.col("event_id"))
+    meta = metadata_json(F.lit(source), triggered_by if triggered_by is not None else F.lit(None).cast("string"), trace, F.col("created_at"))
+    none = F.lit(None).cast("timestamp_ntz")
+    rows = ranked.withColumns({"id": (first + F.col("_n")).cast("bigint"), "metadata": meta, "published_at": none, "next_retry_at": none,
+                               "correlation_id": F.col("correlation_id").try_cast("bigint")})
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in S.EVENT_LOG.fields])
+
+
 def append_mixed(batches: list[DataFrame], now, keep: list | None = None) -> DataFrame:
     """Append several typed batches as one (columns aligned by name,
     missing ones null)."""

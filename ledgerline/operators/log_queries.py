@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions.time import cutoff, elapsed_seconds, ts
+from .ordering import rank_within
 
 
 # -- filters and top-k -------------------------------------------------------
@@ -62,14 +63,31 @@ def trace(log: DataFrame, correlation_id) -> DataFrame:
     return log.where(F.col("correlation_id") == correlation_id).orderBy("created_at", "id")
 
 
+def traces(log: DataFrame) -> DataFrame:
+    """F03 for all correlation ids at once: (correlation_id, pos, id, ...), oldest first.
+    Positions are a distributed rank, so one id with most rows is not one task's."""
+    return rank_within(log.where(F.col("correlation_id").isNotNull()), ["correlation_id"], ["created_at", "id"], "pos")
+
+
 def payload_contains(log: DataFrame, needle: str) -> DataFrame:
     """rows whose payload text contains ``needle`` (erasure look-up)."""
     return log.where(F.col("payload").contains(needle))
 
 
 def subject_of(payload: F.Column, path: str) -> F.Column:
-    """the subject's id as the payload names it (whole value, not a part of one)."""
-    return F.get_json_object(payload, path)
+    """the subject's id as the payload names it (whole value, not a part of one), at
+    a path of names (``$.customer.id``).  Read as the decoder reads it (``from_json``), so
+    of a repeated name the last value counts in both."""
+    names = path.removeprefix("$").strip(".").split(".")
+    if not all(n.replace("_", "").isalnum() for n in names):
+        raise ValueError(f"not a path of names: {path}")
+    schema = "STRING"
+    for name in reversed(names[1:]):
+        schema = f"STRUCT<`{name}`: {schema}>"
+    out = F.from_json(payload, f"`{names[0]}` {schema}")
+    for name in names:
+        out = out[name]
+    return out
 
 
 def erase_subjects(log: DataFrame, subjects: DataFrame, path: str, id_col: str = "id") -> tuple[DataFrame, DataFrame]:

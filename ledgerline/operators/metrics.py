@@ -71,6 +71,14 @@ def latency_histogram(log: DataFrame, lo: float = 0, hi: float = 600, buckets: i
             .agg(F.count(F.lit(1)).alias("n")))
 
 
+def failures_by_reason(payments: DataFrame) -> DataFrame:
+    """Failed payments by reason (``ok``, ``failure_reason``, ``amount``); a failure
+    without a reason counts as ``unknown``."""
+    failed = payments.where(~F.coalesce("ok", F.lit(False)))
+    return failed.groupBy(F.coalesce("failure_reason", F.lit("unknown")).alias("reason")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("amount").cast("decimal(19,2)")).cast("double").alias("amount"))
+
+
 def error_classes(log: DataFrame) -> DataFrame:
     """Failures by error class (message without the dead-letter prefix)."""
     cls = F.regexp_replace(F.col("error_message"), "^" + S.MAX_RETRIES_PREFIX, "")

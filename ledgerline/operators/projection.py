@@ -95,6 +95,28 @@ def _fold(ev: DataFrame, now, status_map: dict | None = None) -> DataFrame:
     )
 
 
+def project_confirmed(events: DataFrame, now, status_map: dict, confirmed: str = "OrderConfirmed", mode: str = "dedup") -> DataFrame:
+    """The extended projection with ``confirmed_at``, the time of the newest
+    confirmation (null if there is none since the newest Created)."""
+    ev = dedup_events(events) if mode == "dedup" else events
+    created, is_it = F.col("event_type") == S.ORDER_CREATED, F.col("event_type") == confirmed
+    # One more value from the same grouping: both aggregates share its exchange.
+    at = ev.groupBy("order_id").agg(F.max_by(F.struct(F.when(is_it, F.col("occurred_at")).alias("v")), F.when(created | is_it, F.col("seq"))).alias("_a")) \
+        .select(F.col("order_id").alias("_order"), F.col("_a.v").alias("confirmed_at"))
+    model = project(ev, now, "as_delivered", status_map)
+    return model.join(at, F.col("order_id") == F.col("_order"), "left").drop("_order")
+
+
+def payment_status_events(payments: DataFrame) -> DataFrame:
+    """Payments (order_id, seq, event_id, paid, occurred_at) as status changes that W01 folds."""
+    none = F.lit(None)
+    return payments.select(
+        "order_id", "seq", "event_id", F.lit(S.ORDER_STATUS_CHANGED).alias("event_type"), none.cast("bigint").alias("customer_id"),
+        none.cast("double").alias("total_amount"), none.cast("string").alias("currency"), none.cast("int").alias("item_count"),
+        none.cast("string").alias("shipping_address"), F.when(F.col("paid"), "PAID").otherwise("PAYMENT_FAILED").alias("new_status"),
+        none.cast("string").alias("reason"), "occurred_at", none.cast("string").alias("correlation_id"))
+
+
 def skipped_events(events: DataFrame) -> DataFrame:
     """Non-Created events delivered before their order's first Created
     (or for an order that never had one): the out-of-order guard skips them."""

@@ -187,9 +187,12 @@ def causation_roots(events: DataFrame) -> DataFrame:
     it points at, so ``k`` rounds resolve chains of ``2**k`` events; rounds are
     checkpointed and go on until no pointer is open.  A missing parent ends a
     chain.  Events of a cycle have no root: they (and events that lead into
-    one) report a null root and ``cycle``.
+    one) report a null root and ``cycle``.  Deliveries of one id are one event (with
+    the least causation id) and give one row.  Only open rows are joined: those that
+    are done do not meet at their root.
     """
     ensure_checkpoint_dir(events.sparkSession)
+    events = events.groupBy("event_id").agg(F.min("causation_id").alias("causation_id"))
     ids = events.select(F.col("event_id").alias("_known")).distinct()
     cur = (events.join(ids, events["causation_id"] == F.col("_known"), "left")
            .select("event_id", F.coalesce("_known", "event_id").alias("root_id"),
@@ -203,10 +206,11 @@ def causation_roots(events: DataFrame) -> DataFrame:
         rounds += 1
         up = cur.select(F.col("event_id").alias("_up"), F.col("root_id").alias("_root"), F.col("depth").alias("_depth"),
                         F.col("done").alias("_done"))
-        cur = (cur.join(up, (cur["root_id"] == F.col("_up")) & ~cur["done"], "left")
-               .select("event_id", F.coalesce("_root", "root_id").alias("root_id"),
-                       (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-                       (F.col("done") | F.coalesce("_done", F.lit(False))).alias("done")).checkpoint())
+        waiting = cur.where(~F.col("done"))
+        moved = waiting.join(up, waiting["root_id"] == F.col("_up"), "left").select(
+            "event_id", F.coalesce("_root", "root_id").alias("root_id"),
+            (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), F.coalesce("_done", F.lit(False)).alias("done"))
+        cur = cur.where("done").unionByName(moved).checkpoint()
     return cur.select("event_id", F.when(F.col("done"), F.col("root_id")).alias("root_id"),
                       F.when(F.col("done"), F.col("depth")).alias("depth"), (~F.col("done")).alias("cycle"))
 

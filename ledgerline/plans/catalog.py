@@ -78,4 +78,4 @@ def all_queries() -> dict[str, Query]:
     return dict(REGISTRY)
 
 
-_OPTIONAL: list[str] = ["q_lifecycle", "q_projection", "q_codec", "q_delivery", "q_metrics", "q_quality", "q_events", "q_streaming", "q_commands", "q_scale"]
+_OPTIONAL: list[str] = ["q_lifecycle", "q_projection", "q_codec", "q_delivery", "q_metrics", "q_quality", "q_events", "q_streaming", "q_commands", "q_scale", "q_round_trip"]

@@ -280,3 +280,13 @@ def versioned_payments(events: DataFrame) -> DataFrame:
                              F.when(eid % 7 != 0, _pick(eid, PAYMENT_METHODS)).alias("paymentMethod"), F.lit("x").alias("addedLater")))
     payload = F.when(eid % 101 == 0, F.concat(F.lit("{"), F.col("props"))).when(version == "1.0", one).otherwise(two)
     return events.where(F.col("event_type") == "click").select(eid.alias("id"), version.alias("version"), payload.alias("payload"))
+
+
+FAILURE_REASONS = ("insufficient_funds", "card_expired", "fraud_suspected")
+
+
+def payment_results(events: DataFrame) -> DataFrame:
+    """Results of payments (id, amount, ok, failure_reason); every 10th failure has no reason."""
+    eid, ok = F.col("event_id"), F.col("value") <= 100
+    reason = F.when(~ok & (eid % 10 != 0), _pick(eid, FAILURE_REASONS))
+    return events.where(F.col("event_type") == "click").select(eid.alias("id"), F.col("value").alias("amount"), ok.alias("ok"), reason.alias("failure_reason"))

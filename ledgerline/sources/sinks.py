@@ -71,9 +71,21 @@ def publish_files(df: DataFrame, path: str, key_col: str, num_partitions: int) -
     keyed_publish_order(df, key_col, num_partitions).write.mode("overwrite").parquet(path)
 
 
-def write_dead_letters(rows: DataFrame, path: str) -> None:
-    """Append dead-letter records ``(payload, error, failed_at)``."""
-    rows.select("payload", "error", "failed_at").write.mode("append").parquet(path)
+def write_dead_letters(rows: DataFrame, path: str, batch: str | int = 0) -> None:
+    """Dead-letter records ``(payload, error, failed_at)`` of a batch; writing a batch
+    again (a retry) replaces what it wrote and nothing else."""
+    write_partitioned(rows.select("payload", "error", "failed_at").withColumn("batch", F.lit(str(batch))), path, "batch")
+
+
+def read_dead_letters(spark: SparkSession, path: str) -> DataFrame:
+    from .. import schemas as S
+    return spark.read.schema(S.DEAD_LETTERS).parquet(path).select(*S.DEAD_LETTERS.fieldNames())
+
+
+def write_topics(rows: DataFrame, path: str, event_type: str = "event_type") -> None:
+    """Rows by destination topic; those without a topic go to ``none``."""
+    from ..functions.codec import topic
+    write_partitioned(rows.withColumn("topic", F.coalesce(topic(F.col(event_type)), F.lit("none"))), path, "topic")
 
 
 def status_group(status_col: str = "status") -> F.Column:

@@ -33,7 +33,7 @@ from ..sources.derive import SAGA_FAILURES, SAGA_STEPS
 PROJECTION_OUT = ("kind string, order_id long, version int, seq int, event_type string, customer_id long, "
                   "total_amount double, currency string, item_count int, shipping_address string, "
                   "last_order_status string, cancellation_reason string, created_us long, "
-                  "last_correlation_id string")
+                  "last_correlation_id string, arrival_us long")
 PROJECTION_STATE = ("has_row boolean, version int, customer_id long, total_amount double, currency string, "
                     "item_count int, shipping_address string, status string, reason string, created_us long, "
                     "corr string, buffer string, max_us long")
@@ -79,7 +79,7 @@ def _apply(st: dict, ev: dict) -> None:
         st["corr"] = ev["correlation_id"]
 
 
-def _project_fn(timeout_us: int):
+def _project_fn(timeout_us: int, retain_us: int):
     def fn(key, pdfs, state):
         order_id = int(key[0])
         names = PROJECTION_STATE_NAMES
@@ -120,10 +120,11 @@ def _project_fn(timeout_us: int):
                         "currency": st["currency"], "item_count": st["item_count"],
                         "shipping_address": st["shipping_address"], "last_order_status": st["status"],
                         "cancellation_reason": st["reason"], "created_us": st["created_us"],
-                        "last_correlation_id": st["corr"]})
+                        "last_correlation_id": st["corr"], "arrival_us": int(st["max_us"])})
         state.update(tuple(st[n] for n in names))
-        if buffer:
-            state.setTimeoutTimestamp(int(st["max_us"] // 1000) + timeout_us // 1000)
+        # A buffer waits for its Created; an order with a row is forgotten when nothing more is expected.
+        wait = timeout_us if buffer else retain_us
+        state.setTimeoutTimestamp(max(int(st["max_us"]) // 1000 + wait // 1000, state.getCurrentWatermarkMs() + 1))
         if out:
             yield pd.DataFrame(out, columns=PROJECTION_OUT_NAMES)
     return fn
@@ -133,9 +134,12 @@ PROJECTION_STATE_NAMES = [f.split()[0] for f in PROJECTION_STATE.split(", ")]
 PROJECTION_OUT_NAMES = [f.split()[0] for f in PROJECTION_OUT.split(", ")]
 
 
-def project_stream(events: DataFrame, watermark: str = "1 day", timeout_us: int = DAY_US) -> DataFrame:
+def project_stream(events: DataFrame, watermark: str = "1 day", timeout_us: int = DAY_US, retain_us: int = 30 * DAY_US) -> DataFrame:
     """Streaming read-model projection with the out-of-order buffer.
 
+    An order's state is dropped ``retain_us`` after its newest arrival; what comes
+    later is for a batch (M11) to apply.
+
     ``events`` has the order-event columns plus ``arrival_ts`` (timestamp):
     the delivery time used for the watermark and the time-out.
     """
@@ -147,15 +151,15 @@ def project_stream(events: DataFrame, watermark: str = "1 day", timeout_us: int
             "shipping_address", "new_status", "reason", "occurred_us", "arrival_us", "correlation_id",
             "arrival_ts"]
     return (prepared.select(*cols).groupBy("order_id")
-            .applyInPandasWithState(_project_fn(timeout_us), PROJECTION_OUT, PROJECTION_STATE, "append",
+            .applyInPandasWithState(_project_fn(timeout_us, retain_us), PROJECTION_OUT, PROJECTION_STATE, "append",
                                     GroupStateTimeout.EventTimeTimeout))
 
 
 def latest_rows(emitted: DataFrame) -> DataFrame:
-    """The current read model from the emitted rows: highest version per order."""
+    """The current read model from the emitted rows: the newest arrival, then the highest version per order."""
     rows = emitted.where(F.col("kind") == "row")
-    cols = [c for c in rows.columns if c not in ("order_id", "version", "kind", "seq", "event_type")]
-    g = rows.groupBy("order_id").agg(F.max_by(F.struct(*cols), F.col("version")).alias("_r"))
+    cols = [c for c in rows.columns if c not in ("order_id", "version", "kind", "seq", "event_type", "arrival_us")]
+    g = rows.groupBy("order_id").agg(F.max_by(F.struct(*cols), F.struct("arrival_us", "version")).alias("_r"))
     return g.select("order_id", *[F.col("_r")[c].alias(c) for c in cols]).withColumn(
         "created_at", F.timestamp_add("MICROSECOND", F.col("created_us"), ts("1970-01-01 00:00:00"))
     ).drop("created_us")
