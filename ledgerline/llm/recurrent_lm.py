@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, give_back, open_block, open_rest, pack_blocks, pin, spans, squeeze, unsqueeze, word_hashes
+from .common import LOWER, chunks, exact_word_hashes, give_back, open_block, open_rest, pack_blocks, pin, spans, squeeze, unsqueeze
 
 FOLDS, HELD_OUT = 5, 1
 HEAD_SHARE, CLASS_WORDS = 20_000, 32
@@ -67,7 +67,7 @@ def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts, ends, first = spans(own, at[lo:hi + 1] - at[lo])
         pairs = np.zeros(len(starts) + hi - lo, _PAIR)
         spot = np.arange(len(starts)) + np.repeat(np.arange(hi - lo), np.diff(first))
-        pairs["a"][spot], pairs["b"][spot] = word_hashes(own, starts, ends), word_hashes(own, starts, ends, 1)
+        pairs["a"][spot], pairs["b"][spot] = exact_word_hashes(own, starts, ends), exact_word_hashes(own, starts, ends, 1)
         parts.append(pairs)
         count.append(np.diff(first) + 1)
     return (np.concatenate(parts) if parts else np.zeros(0, _PAIR),

@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import (BLOCK_BYTES, CHUNK_BYTES, chunks, give_back, open_block, open_rest, pack_blocks, pin, planes, spans, squeeze, unplanes, unsqueeze,
-                     window_hashes, word_hashes)
+from .common import (BLOCK_BYTES, CHUNK_BYTES, chunks, exact_word_hashes, give_back, open_block, open_rest, pack_blocks, pin, planes, spans, squeeze, unplanes, unsqueeze,
+                     window_hashes)
 
 WINDOW = 35
 DEPTH = 2
@@ -49,9 +49,9 @@ def _windows(data: np.ndarray, at: np.ndarray, size: int) -> tuple[np.ndarray, n
     halves = ([], [])
     for lo, hi in chunks(at, CHUNK_BYTES):
         starts, ends, first = spans(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo])
-        words = word_hashes(data[at[lo]:at[hi]], starts, ends)
         whole = _inside(first, size)
         for k, half in enumerate(halves):
+            words = exact_word_hashes(data[at[lo]:at[hi]], starts, ends, k)
             half.append(window_hashes(words, size, k + 1)[whole])
     return tuple(np.concatenate(h) if h else np.zeros(0, np.uint64) for h in halves)
 
