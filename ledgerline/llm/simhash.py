@@ -20,7 +20,7 @@ shared folder.
 
 Defined results: a null text counts as empty; rows without an id have their
 fingerprint's component, and ``keep_one`` keeps them all; repeated rows of one
-id are one document to ``keep_one``; an empty table gives an empty table.
+id and text are one document to ``keep_one``; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -74,17 +74,21 @@ def _fingerprints(data: np.ndarray, at: np.ndarray, shingle: int) -> np.ndarray:
     return out
 
 
+def _digest(text: F.Column) -> F.Column:
+    return F.sha2(F.coalesce(text.cast("string"), F.lit("")), 256)
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row; fp holds the 64 bits as a signed long."""
+    """(doc_id, fp, digest) of every row; fp holds the 64 bits as a signed long, digest is the text's SHA-256."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = utf8(batch.column(1))
             found = [_fingerprints(data[at[lo]:at[hi]], at[lo:hi + 1] - at[lo], shingle) for lo, hi in chunks(at)]
             fp = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64)), batch.column(2)], names=["doc_id", "fp", "digest"])
 
-    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text")) \
-        .mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"), _digest(docs[text_col]).alias("digest")) \
+        .mapInArrow(run, "doc_id bigint, fp bigint, digest string")
 
 
 # --- links -------------------------------------------------------------------------
@@ -235,6 +239,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                 max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row."""
+    return _grouped(docs, id_col, text_col, shingle, max_bits).drop("digest")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, max_bits: int) -> DataFrame:
     marked = pin(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     tied = components(links(pin(nodes.select("fp"), "nodes"), max_bits))
@@ -242,19 +250,26 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     roots = named.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "r")
     classes = named.join(roots, named["root"] == roots["r"]).select(F.col("fp").alias("f"), "component_id")
     return marked.join(classes, marked["fp"] == classes["f"]).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "digest")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row per near-duplicate group: the smallest id's.
-
-    Rows without an id stay.  Of rows that share the kept id one stays."""
-    groups = near_groups(docs, id_col, text_col)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    again = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1") \
-        .select(F.col("doc_id").alias("gone_id"))
-    out = pin(gone.withColumn("again", F.lit(False)).union(again.withColumn("again", F.lit(True))), "near-copies")
-    rest = docs.join(out.select("gone_id"), docs[id_col] == F.col("gone_id"), "left_anti")
-    several = docs.join(out.where("again").join(out.where("not again").select("gone_id"), "gone_id", "left_anti"),
-                        docs[id_col] == F.col("gone_id"), "left_semi")
-    return rest.unionByName(several.dropDuplicates([id_col]))
+    """``docs`` with one row per near-duplicate group: the smallest id's (of its rows in
+    the group, that with the least digest).
+
+    Rows are told apart by id and text, so an id that occurs with texts of several
+    groups loses only the rows that do not lead their group.  Rows without an id
+    stay.  Equal rows of a kept id and text become one."""
+    groups = pin(_grouped(docs, id_col, text_col, SHINGLE, MAX_BITS).where("doc_id is not null").select("doc_id", "digest", "component_id"), "near-groups")
+    # The row that leads each group has its component's id, which is the least in it.
+    leads = groups.where("doc_id = component_id").groupBy("component_id").agg(F.min("digest").alias("lead")).withColumnRenamed("component_id", "lead_id")
+    own = groups.where("doc_id = component_id").groupBy("doc_id", "digest").agg(F.count("*").alias("n")) \
+        .join(leads, F.col("doc_id") == F.col("lead_id")).select("doc_id", "digest", (F.col("digest") == F.col("lead")).alias("leads"), "n")
+    others = groups.where("doc_id <> component_id").select("doc_id", "digest").distinct()
+    out = pin(others.select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_text"), F.lit(False).alias("again"))
+              .union(own.where("not leads or n > 1").select("doc_id", "digest", F.col("leads").alias("again"))), "near-copies")
+    marked = docs.withColumn("__text", _digest(docs[text_col]))
+    same = (F.col(f"`{id_col}`").cast("bigint") == F.col("gone_id")) & (F.col("__text") == F.col("gone_text"))
+    rest = marked.join(out.select("gone_id", "gone_text"), same, "left_anti")
+    several = marked.join(out.where("again").select("gone_id", "gone_text"), same, "left_semi").dropDuplicates([id_col, "__text"])
+    return rest.unionByName(several).drop("__text")

@@ -171,3 +171,47 @@ def test_repeats_by_words_and_by_hash_agree(spark):
         w = r.t.split()
         two = collections.Counter(zip(w, w[1:]))
         assert r.n == len({k + j for k in range(len(w) - 1) if two[w[k], w[k + 1]] > 1 for j in (0, 1)})
+
+
+def thue_morse(n, flip):
+    """Words of 2**n letters whose polynomial hashes modulo 2**64 are equal for both flips from n = 10 on."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word.translate(str.maketrans("ab", "ba")) if flip else word
+
+
+def test_words_of_low_structure_are_told_apart(spark):
+    shared = words_of(34)
+    rows = [(1, shared + " " + thue_morse(11, False)), (2, shared + " " + thue_morse(11, True)), (3, shared + " " + thue_morse(11, True) + " tail")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(tuple(r)[:4] for r in substring_dedup.repeated_words(frame).select("doc_id", "n_words", "n_removed", "kept_sha256").collect())
+    assert got == sorted(brute_windows(rows)) and [r[2] for r in got] == [0, 35, 35]
+
+
+def words_of(n):
+    return " ".join(f"w{k}" for k in range(n))
+
+
+def test_hashes_of_a_word_do_not_depend_on_where_it_stands():
+    from ledgerline.llm.common import exact_word_hashes, spans
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(97, 123, rng.integers(1, 200)).astype(np.uint8)) for _ in range(300)] + [thue_morse(10, f).encode() for f in (0, 1)]
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    starts, ends, _ = spans(data, np.array([0, len(data)]))
+    for seed in (0, 1):
+        got = exact_word_hashes(data, starts, ends, seed)
+        alone = [exact_word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]), seed)[0] for w in words]
+        assert got.tolist() == [int(a) for a in alone] and len(set(got.tolist())) == len(set(words))
+    assert (exact_word_hashes(data, starts, ends, 0) != exact_word_hashes(data, starts, ends, 1)).all()
+
+
+def test_one_row_of_every_group_stays(spark):
+    """An id with texts of two groups leads one of them and follows in the other."""
+    a, b = " ".join(f"alpha{k}" for k in range(60)), " ".join(f"beta{k}" for k in range(60))
+    rows = [(3, b, "x"), (7, a, "x"), (7, b, "x"), (9, a, "x"), (None, a, "x"), (7, a, "y"), (11, a.upper(), "x"), (3, b.upper(), "z")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, more string")
+    kept = simhash.keep_one(frame)
+    assert kept.columns == frame.columns
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.text.lower() == a) for r in kept.collect()))
+    assert got == [(False, 3, False), (False, 7, True), (True, 0, True)]
