@@ -11,7 +11,10 @@ with their largest impact, the others with their largest impact per block of
 ``BLOCK`` items.  Only passages with a block at or above the threshold run the
 block-max WAND search, which retrieves all items at or above it.  Each is
 verified on the words around the passage: shared word n-grams of the item's
-question (all but the last sentence) and answer (the last sentence).
+question (all but the last sentence) and answer (the last sentence), within a
+span of at most twice the item's own words, however long other items are.  An item
+of fewer than ``LEAST_WORDS`` words says nothing by itself ("yes"): only a document
+that is the item, word for word, holds it.
 
 The index goes to the tasks as a broadcast of at most ``PART_BYTES`` of item
 text; more items are cut into parts and the documents are read once per part.
@@ -44,6 +47,9 @@ K1, B = 1.2, 0.75
 PART_BYTES = 4 << 20
 #: A pair counts if the question is there and the answer too, or nearly all of the question.
 QUESTION, ANSWER, QUESTION_ALONE = 0.5, 0.5, 0.8
+LEAST_WORDS = 8
+#: Cells of the table of bounds (passages by blocks of items) that a task holds at once.
+BOUNDS = 1 << 22
 
 _PLAIN = bytes(LOWER[b] if LETTERS[b] else 32 for b in range(256))
 
@@ -78,6 +84,34 @@ def overlap(part: list[bytes], seen: list[bytes]) -> float:
     return len(own & grams(seen, size)) / len(own)
 
 
+def enough(q: float, a: float) -> bool:
+    return q >= QUESTION and (a >= ANSWER or q >= QUESTION_ALONE)
+
+
+def best_span(question: list[bytes], answer: list[bytes], seen: list[bytes]) -> tuple[float, float]:
+    """Question and answer overlap in the best run of ``seen`` of at most twice the item's words."""
+    longest = 2 * (len(question) + len(answer))
+    if len(seen) <= longest:
+        return overlap(question, seen), overlap(answer, seen)
+    sizes = [min(GRAM, len(p)) for p in (question, answer)]
+    own = [grams(p, n) if p else set() for p, n in zip((question, answer), sizes)]
+    at = sorted((k, part, g) for part in (0, 1) for n in [sizes[part]] if n
+                for k in range(len(seen) - n + 1) if (g := tuple(seen[k:k + n])) in own[part])
+    held: tuple[Counter, Counter] = (Counter(), Counter())
+    best, lo = (False, 0.0, 0.0, 0.0), 0
+    for k, part, g in at:
+        held[part][g] += 1
+        while at[lo][0] < k + sizes[part] - longest:
+            _, old, gone = at[lo]
+            held[old][gone] -= 1
+            if not held[old][gone]:
+                del held[old][gone]
+            lo += 1
+        q, a = (len(h) / len(o) if o else 1.0 for h, o in zip(held, own))
+        best = max(best, (enough(q, a), q + a, q, a))
+    return best[2], best[3]
+
+
 @dataclass
 class Index:
     """Postings of one part of the items; impacts are shares of the item's own score."""
@@ -220,22 +254,29 @@ def _search(index: Index, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[in
     weak = index.weak[strong]
     base = np.bincount(own[weak], index.most[strong[weak]], n)
     strong, own = strong[~weak], own[~weak]
-    runs = index.bound_at[strong + 1] - index.bound_at[strong]
-    spot = np.arange(int(runs.sum())) + np.repeat(index.bound_at[strong] - (np.cumsum(runs) - runs), runs)
-    bound = np.bincount(np.repeat(own, runs) * blocks + index.bound_block[spot], index.bound[spot], n * blocks).reshape(n, blocks)
     # A passage is a cell and the next of the same document.
     owner = np.repeat(np.arange(len(words)), cells)
     pair = np.append(owner[1:] == owner[:-1], False)
-    total = bound + base[:, None]
-    total[:-1][pair[:-1]] += bound[1:][pair[:-1]] + base[1:, None][pair[:-1]]
-    hot = np.flatnonzero(total.max(axis=1) >= THRESHOLD - 1e-9)
+    hot: list[tuple[int, list[int]]] = []
+    step = max(1, BOUNDS // blocks - 1)
+    for s in range(0, n, step):
+        # A slice of passages: their cells, and the cell after the last one.
+        e = min(n, s + step + 1)
+        mine = slice(*np.searchsorted(own, [s, e]))
+        runs = index.bound_at[strong[mine] + 1] - index.bound_at[strong[mine]]
+        spot = np.arange(int(runs.sum())) + np.repeat(index.bound_at[strong[mine]] - (np.cumsum(runs) - runs), runs)
+        bound = np.bincount(np.repeat(own[mine] - s, runs) * blocks + index.bound_block[spot], index.bound[spot], (e - s) * blocks).reshape(e - s, blocks)
+        bound = bound + base[s:e, None]
+        total, also = bound[:min(step, n - s)].copy(), np.flatnonzero(pair[s:min(n, s + step)])
+        total[also] += bound[also + 1]
+        for c in np.flatnonzero(total.max(axis=1) >= THRESHOLD - 1e-9).tolist():
+            hot.append((s + c, np.flatnonzero(total[c] >= THRESHOLD - 1e-9).tolist()))
     raw, best = None, {}
     edge = np.searchsorted(cell, np.arange(n + 1))
-    for c in hot.tolist():
+    for c, near in hot:
         d = int(owner[c])
         last = c + 1 if pair[c] else c
-        hits = block_max_wand(index, np.unique(term[edge[c]:edge[last + 1]]),
-                              blocks=np.flatnonzero(total[c] >= THRESHOLD - 1e-9).tolist())
+        hits = block_max_wand(index, np.unique(term[edge[c]:edge[last + 1]]), blocks=near)
         if not hits:
             continue
         raw = data.tobytes() if raw is None else raw
@@ -244,17 +285,21 @@ def _search(index: Index, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[in
         seen = [raw[a:b] for a, b in zip(starts[lo:hi].tolist(), ends[lo:hi].tolist())]
         for item, score in hits:
             _, question, answer = index.items[item]
-            q, a = overlap(question, seen), overlap(answer, seen)
-            if q >= QUESTION and (a >= ANSWER or q >= QUESTION_ALONE):
+            if len(question) + len(answer) < LEAST_WORDS:
+                same = words[d] == len(question) + len(answer) and seen == question + answer
+                q, a = (1.0, 1.0) if same else (0.0, 0.0)
+            else:
+                q, a = best_span(question, answer, seen)
+            if enough(q, a):
                 old = best.get((d, item), (0.0, 0.0, 0.0))
                 best[d, item] = (max(old[0], score), max(old[1], q), max(old[2], a))
     for (d, item), values in sorted(best.items()):
         yield d, item, *values
 
 
-def index_parts(items: DataFrame, id_col: str = "item_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> list[Index]:
-    """The index in parts of about ``part_bytes`` of text; document frequencies,
-    mean length and longest item are taken over all items."""
+def index_parts(items: DataFrame, id_col: str = "item_id", text_col: str = "text", part_bytes: int = PART_BYTES) -> Iterator[Index]:
+    """The index in parts of about ``part_bytes`` of text, one at a time; document
+    frequencies, mean length and longest item are taken over all items."""
     rows = items.select(items[id_col].alias("id"), F.coalesce(items[text_col].cast("string"), F.lit("")).alias("text"))
 
     def count(batches):
@@ -269,17 +314,15 @@ def index_parts(items: DataFrame, id_col: str = "item_id", text_col: str = "text
     whole = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first().bytes or 0
     size = counted.where("term is null and n > 0").agg(F.count("*").alias("k"), F.sum("n").alias("s"), F.max("n").alias("m")).first()
     if not size.k:
-        return []
+        return
     parts = -(-whole // part_bytes)
     df = counted.where("term is not null").groupBy("term").agg(F.count("*").alias("df"))
-    out = []
     for part in range(parts):
         own = rows.where(F.pmod(F.xxhash64("text"), F.lit(parts)) == part)
         mine = own.select("text").mapInArrow(count, "term binary, n bigint").where("term is not null").select("term").distinct()
         known = {bytes(r.term): r.df for r in df.join(mine, "term", "left_semi").collect()}
         held = sorted(((r.id, r.text) for r in own.collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1]))
-        out.append(build_index(held, known, size.k, size.s / size.k, size.m))
-    return out
+        yield build_index(held, known, size.k, size.s / size.k, size.m)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -295,12 +295,27 @@ def test_planted_items_are_found(spark, nothing):
 def test_parts_of_the_index_find_the_same(spark):
     items = spark.createDataFrame([(k, words(k, 25)) for k in range(40)], "item_id bigint, text string")
     docs = spark.createDataFrame([(k, words(k + 5000, 60) + " " + words(k % 80, 25)) for k in range(160)], "doc_id bigint, text string")
-    parts = decontaminate.index_parts(items, part_bytes=1000)
+    parts = list(decontaminate.index_parts(items, part_bytes=1000))
     assert len(parts) > 3 and sum(len(p.items) for p in parts) == 40
     whole = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
     assert whole == {(k, k % 80) for k in range(160) if k % 80 < 40}
 
 
+def test_short_and_long_items_do_not_catch_clean_documents(spark, monkeypatch):
+    """A one-word item is only found in a document that is that word; beside an item of 5,000
+    words, another one's words must still stand together; long texts are taken in slices."""
+    monkeypatch.setattr(decontaminate, "BOUNDS", 64)
+    question, answer = [f"q{k}" for k in range(8)], "a1"
+    items = spark.createDataFrame([(1, "yes"), (2, " ".join(question) + ". " + answer + "."), (3, words(77, 5000)), (4, "no way")], "item_id bigint, text string")
+    scattered = " ".join(question[:5]) + " " + words(78, 2000) + " " + answer + " " + words(79, 100)
+    together = words(80, 300) + " " + " ".join(question) + " " + answer + " " + words(81, 300)
+    docs = spark.createDataFrame([(1, "yes and " + words(82, 40)), (2, "Yes!"), (3, scattered), (4, together), (5, words(83, 900) + " " + words(77, 5000)),
+                                  (6, "no way"), (7, "no, no way"), (8, words(84, 60) + " yes")], "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, items).collect()}
+    assert got == {(2, 1), (4, 2), (5, 3), (6, 4)}
+    assert {r.doc_id for r in decontaminate.drop_contaminated(docs, items).collect()} == {1, 3, 7, 8}
+
+
 def test_wand_retrieves_every_item_above_the_threshold():
     rows = [(k, words(k % 30, 12) + " " + words(k, 15)) for k in range(90)]
     tf = [collections.Counter(decontaminate.terms_of(t)) for _, t in rows]
