@@ -261,15 +261,19 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     groups loses only the rows that do not lead their group.  Rows without an id
     stay.  Equal rows of a kept id and text become one."""
     groups = pin(_grouped(docs, id_col, text_col, SHINGLE, MAX_BITS).where("doc_id is not null").select("doc_id", "digest", "component_id"), "near-groups")
-    # The row that leads each group has its component's id, which is the least in it.
-    leads = groups.where("doc_id = component_id").groupBy("component_id").agg(F.min("digest").alias("lead")).withColumnRenamed("component_id", "lead_id")
-    own = groups.where("doc_id = component_id").groupBy("doc_id", "digest").agg(F.count("*").alias("n")) \
-        .join(leads, F.col("doc_id") == F.col("lead_id")).select("doc_id", "digest", (F.col("digest") == F.col("lead")).alias("leads"), "n")
-    others = groups.where("doc_id <> component_id").select("doc_id", "digest").distinct()
-    out = pin(others.select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_text"), F.lit(False).alias("again"))
-              .union(own.where("not leads or n > 1").select("doc_id", "digest", F.col("leads").alias("again"))), "near-copies")
-    marked = docs.withColumn("__text", _digest(docs[text_col]))
-    same = (F.col(f"`{id_col}`").cast("bigint") == F.col("gone_id")) & (F.col("__text") == F.col("gone_text"))
-    rest = marked.join(out.select("gone_id", "gone_text"), same, "left_anti")
-    several = marked.join(out.where("again").select("gone_id", "gone_text"), same, "left_semi").dropDuplicates([id_col, "__text"])
+    # The row that leads a group has its component's id, which is the least in it.
+    own = groups.where("doc_id = component_id").groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+    leads = own.groupBy("doc_id").agg(F.min("digest").alias("lead")).withColumnRenamed("doc_id", "lead_id")
+    follows = groups.where("doc_id <> component_id").select("doc_id", "digest").distinct()
+    # Ids that lead no group go as a whole; of the others single texts go, and equal rows become one.
+    gone = pin(follows.join(leads, F.col("doc_id") == F.col("lead_id"), "left_anti").select(F.col("doc_id").alias("gone_id")).distinct(), "gone-ids")
+    one = own.join(leads, F.col("doc_id") == F.col("lead_id")).select("doc_id", "digest", "n", (F.col("digest") == F.col("lead")).alias("leads"))
+    texts = pin(follows.join(leads, F.col("doc_id") == F.col("lead_id"), "left_semi").select("doc_id", "digest", F.lit(False).alias("again"))
+                .union(one.where("not leads or n > 1").select("doc_id", "digest", F.col("leads").alias("again")))
+                .select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_text"), "again"), "gone-texts")
+    key = F.col(f"`{id_col}`").cast("bigint")
+    left = docs.join(gone, key == F.col("gone_id"), "left_anti").withColumn("__text", _digest(docs[text_col]))
+    same = (key == F.col("gone_id")) & (F.col("__text") == F.col("gone_text"))
+    rest = left.join(texts.select("gone_id", "gone_text"), same, "left_anti")
+    several = left.join(texts.where("again").select("gone_id", "gone_text"), same, "left_semi").dropDuplicates([id_col, "__text"])
     return rest.unionByName(several).drop("__text")
