@@ -31,13 +31,13 @@ READ_MODEL_COLS = ["order_id", "customer_id", "total_amount", "currency", "item_
 def dedup_events(events: DataFrame, key: str = "event_id", order: str = "seq") -> DataFrame:
     """Keep the first delivery of every event id.
 
-    ``min_by`` over a struct of the row is a partial aggregate: duplicates are
-    collapsed in each task before the shuffle on ``key``.
+    The least struct of (order, row) is a partial aggregate that holds one row per
+    key: duplicates are collapsed in each task before the shuffle on ``key``.
     """
     cols = [c for c in events.columns if c != key]
     row = F.struct(*cols)
-    picked = events.groupBy(key).agg(F.min_by(row, F.struct(F.col(order), row)).alias("_r"))  # equal order: the least row
-    return picked.select(key, *[F.col("_r")[c].alias(c) for c in cols]).select(*events.columns)
+    picked = events.groupBy(key).agg(F.min(F.struct(F.col(order).alias("o"), row.alias("r"))).alias("_m"))  # equal order: the least row
+    return picked.select(key, *[F.col("_m.r")[c].alias(c) for c in cols]).select(*events.columns)
 
 
 def _status_value(event_type, new_status):
