@@ -2,9 +2,9 @@
 
 A text is split by the tokenizer's pattern; each piece is encoded on its own.
 Per partition, the pieces not met before become token-position rows (piece,
-position, token).  A recursive query joins neighbouring rows with the merge
-table, contracts each piece's leftmost pair of least rank, and goes on until no
-piece has a pair left.  Decoding joins a document's tokens with the vocabulary
+position, token and its neighbour).  A recursive query joins each row's pair with
+the merge table, contracts each piece's leftmost pair of least rank, and goes on
+until no piece has a pair left.  Decoding joins a document's tokens with the vocabulary
 and concatenates their bytes in one ordered aggregation.
 
 A piece that is a token itself is that token at once, and a pair is mergeable
@@ -27,6 +27,7 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +39,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import chunks, give_back, utf8
 
 LONG_PIECE = 200
-BATCH_BYTES = 2 << 20  #: text encoded at once
-QUERY_PIECES = 20_000  #: pieces that one recursive query contracts
-KNOWN_PIECES = 600_000  #: pieces a worker remembers; all are forgotten beyond
-_POSITION_BITS = 12
+BATCH_BYTES = 8 << 20  #: text split at once; its new pieces are contracted together
+DECODE_BYTES = 2 << 20  #: text encoded and decoded at once
+QUERY_ROWS = 1_500_000  #: rows that one recursive query makes at most in all its rounds
+KNOWN_BYTES = 160 << 20  #: pieces and tokens that a worker remembers; all are forgotten beyond
+PIECE_COST = 220  #: bytes that a remembered piece takes beside its text and tokens
+_BITS = 12  #: of a position
 
 
 @dataclass
@@ -62,22 +65,28 @@ def read_vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(pattern, list(rank), np.array(list(rank.values()), np.int64), np.array(merges, np.int64).reshape(-1, 3))
 
 
-_AT = (1 << _POSITION_BITS) - 1
-#: One round: neighbours of each row, then the least (rank, position) of the piece.
-_LOOK = """
-  SELECT piece, pos, token, before, min((merged << {bits}) | pos) OVER (PARTITION BY piece) AS best
-  FROM (SELECT piece, pos, token, lag(pos) OVER w AS before, lead(token) OVER w AS next FROM {rows}
-        WINDOW w AS (PARTITION BY piece ORDER BY pos))
-  LEFT JOIN merges ON l = token AND r = next"""
-#: The left row of the best pair takes the merged token, the right row goes; a
-#: piece without a pair keeps its rows as they are and leaves the recursion.
+_AT = (1 << _BITS) - 1
+#: A row is a token of a piece: where it starts, where the next one starts, the
+#: token and the next token (-1: none).  One round looks the pairs up and finds the
+#: least (merged rank, position) of each piece.
+_LOOK = """(
+  WITH pairs AS MATERIALIZED (
+    SELECT piece, pos, nxt, l, r, (merged << {two}) | (pos << {bits}) | nxt AS pair
+    FROM {rows} LEFT JOIN merges ON lr = ((l << 32) | r))
+  SELECT piece, pos, nxt, l, r, best
+  FROM pairs LEFT JOIN (SELECT piece, min(pair) AS best FROM pairs GROUP BY piece) USING (piece))"""
+#: The right row of the best pair takes its place and the merged token, the left row
+#: goes, and the row before sees the new neighbour; a piece without a pair keeps its
+#: rows as they are and leaves the recursion.
 ENCODE = f"""
-WITH RECURSIVE state(piece, pos, token, before, best) AS ({_LOOK.format(bits=_POSITION_BITS, rows="start")}
-  UNION ALL {_LOOK.format(bits=_POSITION_BITS, rows=f"""(
-    SELECT piece, pos, CASE WHEN pos = (best & {_AT}) THEN best >> {_POSITION_BITS} ELSE token END AS token
-    FROM state WHERE best IS NOT NULL AND before IS DISTINCT FROM (best & {_AT}))""")}
+WITH RECURSIVE state(piece, pos, nxt, l, r, best) AS ({_LOOK.format(two=2 * _BITS, bits=_BITS, rows="start")}
+  UNION ALL {_LOOK.format(two=2 * _BITS, bits=_BITS, rows=f"""(
+    SELECT piece, CASE WHEN pos = (best & {_AT}) THEN (best >> {_BITS}) & {_AT} ELSE pos END AS pos, nxt,
+           CASE WHEN pos = (best & {_AT}) THEN best >> {2 * _BITS} ELSE l END AS l,
+           CASE WHEN nxt = ((best >> {_BITS}) & {_AT}) THEN best >> {2 * _BITS} ELSE r END AS r
+    FROM state WHERE best IS NOT NULL AND pos <> ((best >> {_BITS}) & {_AT}))""")}
 )
-SELECT piece, token FROM state WHERE best IS NULL ORDER BY piece, pos
+SELECT piece, l AS token FROM state WHERE best IS NULL ORDER BY piece, pos
 """
 
 DECODE = """
@@ -85,6 +94,14 @@ SELECT doc, unhex(string_agg(hex, '' ORDER BY pos)) AS bytes FROM ids JOIN vocab
 """
 
 
+class _Numbers(dict):
+    """Numbers for pieces, in the order in which they are met."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        return number
+
+
 class Coder:
     """One task's DuckDB session with the merge table and the vocabulary."""
 
@@ -95,10 +112,10 @@ class Coder:
         self.split = regex.compile(vocabulary.pattern).findall
         self.rank = dict(zip(vocabulary.tokens, vocabulary.ranks.tolist()))
         self.byte = np.array([self.rank[bytes([b])] for b in range(256)], np.int64)
-        self.known: dict[str, bytes] = {}
+        self.number, self.known, self.held = _Numbers(), [], 0  # pieces, their tokens, bytes of both
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "200MB", "temp_directory": ""})
         self.con.execute("SET preserve_insertion_order = false")
-        self._table("merges", l=vocabulary.merges[:, 0], r=vocabulary.merges[:, 1], merged=vocabulary.merges[:, 2])
+        self._table("merges", lr=(vocabulary.merges[:, 0] << 32) | vocabulary.merges[:, 1], merged=vocabulary.merges[:, 2])
         self._table("vocabulary", token=vocabulary.ranks, hex=[t.hex() for t in vocabulary.tokens])
 
     def _table(self, name: str, **columns) -> None:
@@ -112,8 +129,10 @@ class Coder:
             return []
         size = np.array([len(p) for p in pieces])
         raw = np.frombuffer(b"".join(pieces), np.uint8)
-        self._table("start", piece=np.repeat(np.arange(len(pieces)), size),
-                    pos=np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size), token=self.byte[raw])
+        pos, token = np.arange(len(raw)) - np.repeat(np.cumsum(size) - size, size), self.byte[raw]
+        following = np.append(token[1:], -1)
+        following[np.cumsum(size) - 1] = -1
+        self._table("start", piece=np.repeat(np.arange(len(pieces)), size), pos=pos, nxt=pos + 1, l=token, r=following)
         found = self.con.execute(ENCODE).fetchnumpy()
         piece, token = np.asarray(found["piece"]), np.asarray(found["token"])
         return np.split(token, np.flatnonzero(np.diff(piece)) + 1)
@@ -145,34 +164,44 @@ class Coder:
             offer(at)
         return np.array([t for t, a in zip(token, alive) if a], np.int64)
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Remember the tokens of ``pieces`` as little-endian 32-bit numbers."""
-        if len(self.known) + len(pieces) > KNOWN_PIECES:
-            self.known = {}
-        new = [p for p in pieces if p not in self.known]
-        raw = [p.encode() for p in new]
+    def _learn(self, pieces: list[str]) -> None:
+        """Remember the tokens of ``pieces``, which have the next numbers, as little-endian 32-bit numbers."""
+        raw = [p.encode() for p in pieces]
+        tokens: list[bytes] = [b""] * len(raw)
         short = []
         for k, r in enumerate(raw):
             if r in self.rank:
-                self.known[new[k]] = self.rank[r].to_bytes(4, "little")
+                tokens[k] = self.rank[r].to_bytes(4, "little")
             elif len(r) > LONG_PIECE:
-                self.known[new[k]] = self._contract_long(r).astype("<u4").tobytes()
+                tokens[k] = self._contract_long(r).astype("<u4").tobytes()
             else:
                 short.append(k)
-        for lo in range(0, len(short), QUERY_PIECES):
-            part = short[lo:lo + QUERY_PIECES]
-            for k, tokens in zip(part, self._contract([raw[k] for k in part])):
-                self.known[new[k]] = tokens.astype("<u4").tobytes()
+        size = np.array([len(raw[k]) for k in short], np.int64)
+        query = np.cumsum(size * (size + 1) // 2) // QUERY_ROWS  # a piece of n bytes makes at most 1 + ... + n rows
+        for part in np.split(np.array(short, np.int64), np.flatnonzero(np.diff(query)) + 1):
+            for k, found in zip(part.tolist(), self._contract([raw[k] for k in part.tolist()])):
+                tokens[k] = found.astype("<u4").tobytes()
+        self.known += tokens
+        self.held += sum(map(len, raw)) + sum(map(len, tokens)) + PIECE_COST * len(raw)
+
+    def split_all(self, texts: list[str]) -> list[list[int]]:
+        """The numbers of each text's pieces; the tokens of all of them are known then."""
+        if self.held > KNOWN_BYTES:
+            self.number, self.known, self.held = _Numbers(), [], 0
+        number, split = self.number.__getitem__, self.split
+        found = [list(map(number, split(t))) for t in texts]
+        if len(self.number) > len(self.known):
+            self._learn(list(islice(self.number, len(self.known), None)))
+        return found
+
+    def join(self, pieces: list[list[int]]) -> list[bytes]:
+        """Token ids of each list of piece numbers, as little-endian unsigned 32-bit numbers."""
+        get = self.known.__getitem__
+        return [b"".join(map(get, p)) for p in pieces]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text, as little-endian unsigned 32-bit numbers."""
-        split = [self.split(t) for t in texts]
-        wanted = set().union(*split) if split else set()
-        missing = {p for p in wanted if p not in self.known}
-        if missing:
-            self._learn(wanted if len(self.known) + len(missing) > KNOWN_PIECES else missing)
-        get = self.known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        return self.join(self.split_all(texts))
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """The bytes that each list of ids stands for."""
@@ -207,11 +236,13 @@ def _coded(docs: DataFrame, path: str, pattern: str, text_col: str, columns: lis
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             coder = coder_of(shared)
-            for lo, hi in chunks(utf8(batch.column(0))[1], BATCH_BYTES):
-                ids = coder.encode([t or "" for t in batch.column(0).slice(lo, hi - lo).to_pylist()])
-                decoded = coder.decode(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [c.slice(lo, hi - lo) for c in batch.columns[1:]] + finish(ids, decoded), schema=arrow)
+            at = utf8(batch.column(0))[1]
+            for lo, hi in chunks(at, BATCH_BYTES):
+                pieces = coder.split_all([t or "" for t in batch.column(0).slice(lo, hi - lo).to_pylist()])
+                for a, b in chunks(at[lo:hi + 1] - at[lo], DECODE_BYTES):
+                    ids = coder.join(pieces[a:b])
+                    yield pa.RecordBatch.from_arrays(
+                        [c.slice(lo + a, b - a) for c in batch.columns[1:]] + finish(ids, coder.decode(ids)), schema=arrow)
         give_back()
 
     rows = docs.select(docs[text_col].cast("string").alias("text"), *[docs[c].alias(f"c{k}") for k, c in enumerate(columns)])

@@ -61,6 +61,19 @@ def test_long_pieces_and_the_recursive_query_agree():
     assert np.frombuffer(coder.encode([text])[0], "<u4").tolist() == enc.encode_ordinary(text)
 
 
+def test_many_long_pieces_and_a_worker_that_forgets(monkeypatch):
+    """Runs without spaces are long pieces: several queries of bounded rows; a full memory is given up between batches."""
+    coder, enc = bpe.Coder(bpe.read_vocabulary(VOCABULARY, public_tokenizers.PATTERN)), encoder()
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("漢字仮名交文章例abc"), rng.integers(1, 65))) for _ in range(400)] + ["", " ", "a"]
+    for t, ids in zip(texts, coder.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == enc.encode_ordinary(t)
+    monkeypatch.setattr(bpe, "KNOWN_BYTES", 1)
+    for t in texts[:5]:
+        assert np.frombuffer(coder.encode([t])[0], "<u4").tolist() == enc.encode_ordinary(t)
+        assert len(coder.known) == len(coder.number) == len(set(coder.split(t)))
+
+
 def small_network():
     s = SimpleNamespace(order=np.arange(70), classes=3, head_count=np.arange(70, 0, -1.0), mass=np.ones(recurrent_lm.BINS),
                         left_out=np.ones(recurrent_lm.BINS))
