@@ -2,7 +2,9 @@
 
 Each dimension is cut into ``2**BITS`` ranges at its quantiles (strings are
 compared as a whole, their quantiles come from counts of the sorted different
-values, and nothing but the edges is gathered).  A row's cell in that grid gives its place on the curve; rows are sorted by it and
+values, and nothing but the edges is gathered).  A dimension with fewer ranges is
+spread over the whole grid, so that it reaches the curve's leading bits like the
+others.  A row's cell in that grid gives its place on the curve; rows are sorted by it and
 the sorted sequence is cut into runs.  Rows near each other on the curve are
 near in every dimension, so a file has a narrow range of each and a filter on
 any of them skips most files.
@@ -64,18 +66,25 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def code(column: Column, kind: T.DataType) -> Column:
-    """A long that sorts like the column (strings: the column)."""
+    """A long or double that sorts like the column (strings: the column); NaN counts as null."""
     if isinstance(kind, T.StringType):
         return column
-    if isinstance(kind, (T.TimestampType, T.DateType)):
-        return F.unix_seconds(column.cast("timestamp"))
-    return F.when(column.isNotNull(), F.floor(column.cast("double")).cast("bigint"))
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+        return F.unix_micros(column.cast("timestamp"))
+    if isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+        number = column.cast("double")
+        return F.when(~F.isnan(number), number)
+    return column.cast("bigint")
 
 
-def _cells(values: pd.Series, edges: np.ndarray) -> np.ndarray:
-    """Range of each value; nulls are in the first one."""
+def _cells(values: pd.Series, edges: np.ndarray, bits: int) -> np.ndarray:
+    """Cell of each value on a scale of ``2**bits``; nulls are in the first one."""
+    return _ranges(values, edges) * (2 ** bits - 1) // max(1, len(edges))
+
+
+def _ranges(values: pd.Series, edges: np.ndarray) -> np.ndarray:
     if edges.dtype != object:
-        return np.where(values.isna(), 0, np.searchsorted(edges, values.fillna(0).to_numpy(np.int64), side="right"))
+        return np.where(values.isna(), 0, np.searchsorted(edges, values.fillna(0).to_numpy(edges.dtype), side="right"))
     which, different = pd.factorize(values)
     cell = np.array([bisect_right(edges, v) for v in different] + [0], np.int64)
     return cell[which]
@@ -114,11 +123,11 @@ def ordered(docs: DataFrame, grid: list[Column], keep: dict[str, Column], ties:
     steps = [k / 2 ** bits for k in range(1, 2 ** bits)]
     texts = [isinstance(rows.schema[n].dataType, T.StringType) for n in names]
     cuts = rows.agg(F.count("*"), *[F.percentile_approx(n, steps, ACCURACY).alias(n) for n, t in zip(names, texts) if not t]).first()
-    edges = [np.array(string_edges(rows, n, 2 ** bits), object) if t else np.unique(np.array(cuts[n] or [], np.int64)) for n, t in zip(names, texts)]
+    edges = [np.array(string_edges(rows, n, 2 ** bits), object) if t else np.unique(np.array(cuts[n] or [], float if dict(rows.dtypes)[n] == "double" else np.int64)) for n, t in zip(names, texts)]
 
     @F.pandas_udf("bigint")
     def place(*codes: pd.Series) -> pd.Series:
-        cells = [_cells(c, e) for c, e in zip(codes, edges)]
+        cells = [_cells(c, e, bits) for c, e in zip(codes, edges)]
         return pd.Series(hilbert_index(np.stack(cells, axis=1), bits))
 
     curve = rows.select(*[f"k_{n}" for n in keep], place(*names).alias("curve"))
