@@ -34,6 +34,7 @@ SAMPLE_PAGES = 240
 SAMPLE_CHARS = 60_000  #: longer pages are not trained on (all are labelled)
 COPIES = 3
 EPOCHS = 8
+BATCH_STEPS = 6_144  #: steps of all sequences that run side by side
 HIDDEN = 16
 PATH_SIZE, WORD_SIZE, MEASURES = 256, 64, 5
 SEED = 11
@@ -79,6 +80,8 @@ class _Reader(HTMLParser):
         self.blocks: list[tuple[str, tuple, int]] = []
         self.stack: list[tuple[str, tuple]] = []
         self.open: Counter[str] = Counter()  # elements on the stack by tag
+        self.tokens: Counter[str] = Counter()  # tokens of the open elements, outermost first
+        self.path: tuple | None = ()  # of these; None after a change
         self.text: list[str] = []
         self.linked = self.raw = self.links = 0
 
@@ -86,12 +89,18 @@ class _Reader(HTMLParser):
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                path = dict.fromkeys(t for _, tokens in self.stack for t in tokens)
-                self.blocks.append((text, tuple(path), self.linked))
+                if self.path is None:
+                    self.path = tuple(self.tokens)
+                self.blocks.append((text, self.path, self.linked))
             self.text, self.linked = [], 0
 
     def _pop(self) -> None:
-        tag, _ = self.stack.pop()
+        tag, tokens = self.stack.pop()
+        for t in tokens:
+            self.tokens[t] -= 1
+            if not self.tokens[t]:
+                del self.tokens[t]
+                self.path = None
         self.open[tag] -= 1
         self.raw -= tag in RAW
         self.links -= tag == "a"
@@ -109,6 +118,10 @@ class _Reader(HTMLParser):
                 for name in value.split():
                     tokens += [f".{name.lower()}", *_words_of(name)]
         self.stack.append((tag, tuple(tokens)))
+        for t in tokens:
+            if t not in self.tokens:
+                self.path = None
+            self.tokens[t] += 1
         self.open[tag] += 1
         self.raw += tag in RAW
         self.links += tag == "a"
@@ -265,10 +278,15 @@ class Labeller:
 
 
 def _batches(sequences: list[np.ndarray], size: int) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Sequences of like length side by side: their numbers, features and mask."""
+    """Sequences of like length side by side, at most ``size`` of them and, where there
+    are several, at most ``BATCH_STEPS`` steps: their numbers, features and mask."""
     order = sorted(range(len(sequences)), key=lambda k: len(sequences[k]))
-    for lo in range(0, len(order), size):
-        own = order[lo:lo + size]
+    lo = 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < len(order) and hi - lo < size and (hi - lo + 1) * len(sequences[order[hi]]) <= BATCH_STEPS:
+            hi += 1
+        own, lo = order[lo:hi], hi
         n = max(len(sequences[k]) for k in own)
         if not n:
             continue
@@ -326,9 +344,8 @@ def train(htmls: list[str], seed: int = SEED) -> Labeller:
             continue
         labels = [teacher(path, text) for text, path, _ in blocks]
         for own, marks in [(blocks, labels), *[relaid(blocks, labels, rng) for _ in range(COPIES)]]:
-            for lo in range(0, len(own), 64):
-                x.append(features(own[lo:lo + 64]))
-                y.append(np.array(marks[lo:lo + 64], np.float32))
+            x.append(features(own))
+            y.append(np.array(marks, np.float32))
     model = Labeller(seed)
     first, second, step = {k: 0.0 for k in model.p}, {k: 0.0 for k in model.p}, 0
     for _ in range(EPOCHS):
