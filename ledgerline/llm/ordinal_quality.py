@@ -151,7 +151,7 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, top: int, id_col:
                             F.xxhash64(ratings[rating_id_col]).alias("h")) \
         .where("rated is not null and grade is not null").orderBy("h", "rated", "grade").limit(limit).drop("h")
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")) \
-        .join(F.broadcast(chosen), F.col("id") == F.col("rated")).select("id", "grade", "text")  # at most ``limit`` rows are sent
+        .join(F.broadcast(chosen), F.col("id") == F.col("rated")).select("id", "grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,7 +164,9 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, top: int, id_col:
                     [batch.column(0).slice(lo, hi - lo).cast(pa.string()), batch.column(1).slice(lo, hi - lo),
                      pa.array([idx[a:b].astype("<u4").tobytes() for a, b in zip(cut, cut[1:])], pa.binary())], names=["id", "grade", "idx"])
 
-    found = rows.mapInArrow(run, "id string, grade int, idx binary").collect()
+    # An id may occur in many documents: at most ``limit`` rows are kept of what the join gives.
+    found = rows.mapInArrow(run, "id string, grade int, idx binary") \
+        .orderBy(F.xxhash64("id"), "id", "grade", "idx").limit(limit).collect()
     found.sort(key=lambda r: (r.id, r.grade, bytes(r.idx)))
     return fit_with_cut([np.frombuffer(r.idx, "<u4").astype(np.int64) for r in found], np.array([r.grade for r in found], np.int64), top)
 

@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import math
 import re
+import time
 from types import SimpleNamespace
 from zlib import crc32
 
@@ -150,6 +151,22 @@ def test_held_out_text_is_scored_better_than_by_counts(spark):
     assert got[0] > got[1]
 
 
+def test_hilbert_shards_prune_every_dimension(spark, tmp_path):
+    """By the least and greatest value of each shard, a filter on one value of any dimension skips half of the shards or more."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select(
+        "doc_id", "text", "lang", "source", (F.col("doc_id") * 0.37 % 1).alias("share"))
+    for dimensions in (("lang", "source", "size"), ("lang", "share", "size")):
+        path = str(tmp_path / dimensions[1])
+        hilbert.write_shards(docs, path, dimensions=dimensions)
+        own = spark.read.parquet(path).withColumn("size", F.octet_length(F.coalesce("text", F.lit(""))) + 1).toPandas()
+        assert sorted(own.shard.unique()) == list(range(16)) and len(own) == docs.count()
+        for d in dimensions:
+            span = own.dropna(subset=[d]).groupby("shard")[d].agg(["min", "max"])
+            values = own[d].dropna().drop_duplicates()
+            read = [int(((span["min"] <= v) & (v <= span["max"])).sum()) for v in values]
+            assert np.mean(read) <= 9, (dimensions, d, np.mean(read))
+
+
 def test_hilbert_curve_steps_to_a_neighbour():
     for d, b in ((2, 4), (3, 3), (4, 2)):
         cells = np.array(list(itertools.product(range(2 ** b), repeat=d)))
@@ -219,6 +236,16 @@ def test_deep_end_tags_and_all_class_names_are_read():
     assert "nav" not in paths["nice"] and ".comments" in paths["nice"]
 
 
+def test_stray_tags_cost_linear_time_and_paths_are_those_of_the_open_elements():
+    page = "<body><nav class=menu>a</nav><div class='menu x'><p class=x>b</p>c<p>d</p></div>" + "<i>x<br>" * 16_000
+    began = time.process_time()
+    blocks = html_blocks.read_blocks(page)
+    assert time.process_time() - began < 2 and len(blocks) == 16_004
+    paths = {text: path for text, path, _ in blocks}
+    assert paths["a"] == ("body", "nav", ".menu", "menu") and paths["d"] == ("body", "div", ".menu", "menu", ".x", "x", "p")
+    assert paths["b"] == paths["d"] and paths["c"] == paths["d"][:-1] and paths["x"] == ("body", "i")
+
+
 def test_labeller_reads_other_layouts(spark):
     htmls = [PAGE.format(k=k) for k in range(60)]
     model, rng, wrong, total = html_blocks.train(htmls), np.random.default_rng(77), 0, 0
@@ -264,7 +291,7 @@ def test_wrapped_notices_are_found(spark):
     assert {x[1] for x in got} == {2}
 
 
-def test_grades_are_ordered_and_held_out_rows_agree(spark, awkward, nothing):
+def test_grades_are_ordered_and_held_out_rows_agree(spark, awkward, nothing, monkeypatch):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     learn = labels.where("doc_id % 4 <> 0")
@@ -276,6 +303,11 @@ def test_grades_are_ordered_and_held_out_rows_agree(spark, awkward, nothing):
     assert got[grade == 2].expected_grade.mean() > got[grade == 1].expected_grade.mean()
     assert (got.p_top <= got.expected_grade + 1e-9).all() and got.expected_grade.between(0, 2).all()
     assert ordinal_quality.score(awkward, model).count() == len(texts())
+    many = docs.withColumn("doc_id", F.lit(1).cast("bigint"))  # one rated id in every row: the sample's bound holds
+    monkeypatch.setattr(ordinal_quality, "fit_with_cut", lambda rows, grades, top: len(rows))
+    one = spark.createDataFrame([(1, 1, 0)], "doc_id bigint, quality int, toxic int")
+    assert ordinal_quality.train(many, one, ordinal_quality.graded(one), top=2, limit=20) == 20
+    monkeypatch.undo()
     nobody = ordinal_quality.train(awkward, labels.limit(0), F.lit(1), top=2)
     assert {round(r.expected_grade, 6) for r in ordinal_quality.score(awkward, nobody).collect()} == {1.0}
     assert ordinal_quality.score(nothing, model).collect() == []
