@@ -22,7 +22,8 @@ from .. import schemas as S
 from .ordering import global_rank, rank_within
 
 OUT_T = T.ArrayType(T.StructType([T.StructField("id", T.LongType()),
-                                  T.StructField("chunk_no", T.IntegerType())]))
+                                  T.StructField("chunk_no", T.IntegerType()),
+                                  T.StructField("size", T.LongType())]))
 
 
 def delivery_key(df: DataFrame) -> F.Column:
@@ -74,12 +75,13 @@ def greedy_chunks(rows: DataFrame, key_col: str, max_bytes: int = S.MAX_BATCH_BY
         assigned = F.when(~over, chunk).cast("int")
         return F.struct(chunk.alias("chunk"), fill.alias("fill"),
                         F.array_append(acc["out"], F.struct(x["id"].alias("id"),
-                                                            assigned.alias("chunk_no"))).alias("out"))
+                                                            assigned.alias("chunk_no"),
+                                                            x["size"].alias("size"))).alias("out"))
 
     folded = groups.select("cycle", "delivery_key",
                            F.aggregate("items", init, step)["out"].alias("out"))
     chunks = folded.select("cycle", "delivery_key", F.inline("out"))
-    return chunks.join(base.select("id", "size"), "id")
+    return chunks.select("id", "cycle", "delivery_key", "chunk_no", "size")
 
 
 def pacing(rows: DataFrame, key_col: str, pace_every: int = S.POLL_LIMIT,
