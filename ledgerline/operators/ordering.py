@@ -20,6 +20,9 @@ re-reads them instead of recomputing a different numbering.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,12 +110,16 @@ def with_neighbour(df: DataFrame, key_cols: list, order_cols: list, value_cols:
     return out.drop("_pid", "_pos", "_nb", "_edge")
 
 
-def _runs(df: DataFrame, key_cols: list, order_cols: list) -> DataFrame:
-    """Rows range-sorted by (key, order) and pinned, with ``_start``: the
-    position in the partition at which the row's run of equal keys begins.
-    Null keys are equal to each other and form a run like any other key."""
+def _pinned(df: DataFrame, key_cols: list, order_cols: list) -> DataFrame:
+    """Rows range-sorted by (key, order) and pinned with ``_pid`` and ``_pos``."""
     order = list(key_cols) + list(order_cols)
-    mid = _numbered(df.repartitionByRange(*order).sortWithinPartitions(*order))
+    return _numbered(df.repartitionByRange(*order).sortWithinPartitions(*order))
+
+
+def _runs(mid: DataFrame, key_cols: list) -> DataFrame:
+    """Pinned rows with ``_start``: the position in the partition at which the
+    row's run of equal keys begins.  Null keys are equal to each other and form
+    a run like any other key."""
     per_part = Window.partitionBy("_pid").orderBy("_pos")
     fresh = F.col("_pos") == 0
     for k in key_cols:
@@ -123,19 +130,35 @@ def _runs(df: DataFrame, key_cols: list, order_cols: list) -> DataFrame:
             .drop("_fresh"))
 
 
-def _carry(runs: DataFrame, key_cols: list, measure: F.Column) -> DataFrame:
-    """(``_pid``, ``_carry``): what ``measure`` gives for the rows of earlier
-    partitions that have the key of the partition's first run.
+def _carry(mid: DataFrame, key_cols: list, measures: list, over) -> DataFrame:
+    """(``_pid``, ``_b0``, ``_b1``, ...): what each measure gives for the rows of
+    earlier partitions that have the key of the partition's first run (combined
+    by ``over``; null if there are none).
+
+    Keys are sorted, so a partition adds to a later one only with the run of its
+    own first key or of the next partition's first key.  Both come from a table
+    with one row per partition, so the pinned rows are read as they are, without
+    a window or an exchange, and at most two rows per partition are gathered."""
+    def same(of):
+        return reduce(and_, [F.col(k).eqNullSafe(F.col(f"{of}._k{i}")) for i, k in enumerate(key_cols)])
+
+    key = F.struct(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key_cols)])
+    firsts = mid.where(F.col("_pos") == 0).select("_pid", key.alias("_first"))
+    tips = firsts.withColumn("_next", F.lead("_first").over(Window.orderBy("_pid")))
+    side = F.when(same("_first"), 0).when(F.col("_next").isNotNull() & same("_next"), 1)
+    edge = (mid.join(F.broadcast(tips), "_pid").withColumn("_side", side).where(F.col("_side").isNotNull())
+            .groupBy("_pid", "_side").agg(*[m.alias(f"_m{i}") for i, m in enumerate(measures)])
+            .join(F.broadcast(tips), "_pid")
+            .withColumn("_key", F.when(F.col("_side") == 0, F.col("_first")).otherwise(F.col("_next"))))
+    before = Window.partitionBy("_key").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    names = [f"_b{i}" for i in range(len(measures))]
+    return (edge.withColumns({n: over(f"_m{i}").over(before) for i, n in enumerate(names)})
+            .where(F.col("_side") == 0).select("_pid", *names))
+
 
-    Keys are sorted, so only a partition's first and last run can go on in
-    another one: at most two rows per partition are gathered, whatever the key."""
-    ends = runs.groupBy("_pid").agg(F.max("_start").alias("_last"))
-    edge = (runs.join(F.broadcast(ends), "_pid").where((F.col("_start") == 0) | (F.col("_start") == F.col("_last")))
-            .groupBy("_pid", "_start").agg(measure.alias("_m"), *[F.first(k).alias(f"_k{i}") for i, k in enumerate(key_cols)]))
-    before = (Window.partitionBy(*[f"_k{i}" for i in range(len(key_cols))]).orderBy("_pid")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    return (edge.withColumn("_carry", F.coalesce(F.sum("_m").over(before), F.lit(0)))
-            .where(F.col("_start") == 0).select("_pid", "_carry"))
+def _carried(name: str) -> F.Column:
+    """A carried value, in the partition's first run only."""
+    return F.when(F.col("_start") == 0, F.col(name))
 
 
 def rank_within(df: DataFrame, key_cols: list, order_cols: list, name: str = "pos") -> DataFrame:
@@ -144,45 +167,39 @@ def rank_within(df: DataFrame, key_cols: list, order_cols: list, name: str = "po
 
     The position inside the row's run, plus, in a partition's first run, the
     rows that the key has in earlier partitions.  No exchange on the key."""
-    runs = _runs(df, key_cols, order_cols)
-    carry = _carry(runs, key_cols, F.count(F.lit(1)))
-    return (runs.join(F.broadcast(carry), "_pid")
-            .withColumn(name, F.col("_pos") - F.col("_start") + 1
-                        + F.when(F.col("_start") == 0, F.col("_carry")).otherwise(F.lit(0)))
-            .drop("_pid", "_pos", "_start", "_carry"))
+    mid = _pinned(df, key_cols, order_cols)
+    carry = _carry(mid, key_cols, [F.count(F.lit(1))], F.sum)
+    return (_runs(mid, key_cols).join(F.broadcast(carry), "_pid")
+            .withColumn(name, F.col("_pos") - F.col("_start") + 1 + F.coalesce(_carried("_b0"), F.lit(0)))
+            .drop("_pid", "_pos", "_start", "_b0"))
 
 
 def running_sum(df: DataFrame, key_cols: list, order_cols: list, value_col: str,
                 name: str = "running") -> DataFrame:
     """Running sum of ``value_col`` within ``key_cols`` in ``order_cols`` order
     (a cumulative window, null keys included) as a distributed prefix sum:
-    the sum inside the row's run plus the key's sum in earlier partitions."""
-    runs = _runs(df, key_cols, order_cols)
-    carry = _carry(runs, key_cols, F.coalesce(F.sum(value_col), F.lit(0)))
+    the sum inside the row's run plus the key's sum in earlier partitions.
+    Null until the key's first value that is not null, as in a window."""
+    mid = _pinned(df, key_cols, order_cols)
+    carry = _carry(mid, key_cols, [F.sum(value_col)], F.sum)
     within = (Window.partitionBy("_pid", "_start").orderBy("_pos")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (runs.withColumn("_local", F.sum(value_col).over(within))
+    here, earlier = F.col("_local"), _carried("_b0")
+    return (_runs(mid, key_cols).withColumn("_local", F.sum(value_col).over(within))
             .join(F.broadcast(carry), "_pid")
-            .withColumn(name, F.col("_local") + F.when(F.col("_start") == 0, F.col("_carry")).otherwise(F.lit(0)))
-            .drop("_pos", "_pid", "_start", "_local", "_carry"))
+            .withColumn(name, F.coalesce(here + earlier, here, earlier))
+            .drop("_pos", "_pid", "_start", "_local", "_b0"))
 
 
 def running_max(df: DataFrame, key_cols: list, order_cols: list, value_cols: list, prefix: str = "max_") -> DataFrame:
     """``{prefix}{value}``: the greatest value of the key's rows up to this one (nulls
     left out), as a prefix maximum: the maximum inside the row's run, and in a
     partition's first run that of the key's rows in earlier partitions too."""
-    runs = _runs(df, key_cols, order_cols)
-    ends = runs.groupBy("_pid").agg(F.max("_start").alias("_last"))
-    keys = [f"_k{i}" for i in range(len(key_cols))]
-    edge = (runs.join(F.broadcast(ends), "_pid").where((F.col("_start") == 0) | (F.col("_start") == F.col("_last")))
-            .groupBy("_pid", "_start").agg(*[F.max(c).alias(f"_m{i}") for i, c in enumerate(value_cols)],
-                                           *[F.first(k).alias(n) for k, n in zip(key_cols, keys)]))
-    before = Window.partitionBy(*keys).orderBy("_pid", "_start").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (edge.withColumns({f"_b{i}": F.max(f"_m{i}").over(before) for i in range(len(value_cols))})
-             .where(F.col("_start") == 0).select("_pid", *[f"_b{i}" for i in range(len(value_cols))]))
+    mid = _pinned(df, key_cols, order_cols)
+    carry = _carry(mid, key_cols, [F.max(c) for c in value_cols], F.max)
     within = (Window.partitionBy("_pid", "_start").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = runs.withColumns({f"{prefix}{c}": F.max(c).over(within) for c in value_cols}).join(F.broadcast(carry), "_pid")
-    return out.withColumns({f"{prefix}{c}": F.greatest(f"{prefix}{c}", F.when(F.col("_start") == 0, F.col(f"_b{i}")))
+    out = _runs(mid, key_cols).withColumns({f"{prefix}{c}": F.max(c).over(within) for c in value_cols}).join(F.broadcast(carry), "_pid")
+    return out.withColumns({f"{prefix}{c}": F.greatest(f"{prefix}{c}", _carried(f"_b{i}"))
                             for i, c in enumerate(value_cols)}).drop("_pid", "_pos", "_start", *[f"_b{i}" for i in range(len(value_cols))])
 
 
@@ -191,14 +208,15 @@ def with_last(df: DataFrame, key_cols: list, order_cols: list, value_cols: list,
     """``name``: the position inside the key; ``{prefix}{value}``: the values of
     the key's last ``size`` rows up to this one, oldest first.
 
-    A window of ``size`` rows inside each range partition; the ``size - 1`` rows
-    before a partition come from a table of so many rows per partition."""
-    runs = _runs(df, key_cols, order_cols)
-    carry = _carry(runs, key_cols, F.count(F.lit(1)))
+    A window of ``size`` rows inside each range partition, in the same pass as
+    the run starts; the ``size - 1`` rows before a partition come from a table of
+    so many rows per partition, read off the pinned rows."""
     values = F.struct(*[F.col(c).alias(c) for c in value_cols])
-    rows = runs.withColumn("_v", values)
+    mid = _pinned(df, key_cols, order_cols)
+    edges = _carry(mid, key_cols, [F.count(F.lit(1))], F.sum)
+    rows = mid.withColumn("_v", values)
     if size > 1:
-        sizes = runs.groupBy("_pid").agg(F.max("_pos").alias("_end"))
+        sizes = mid.groupBy("_pid").agg(F.max("_pos").alias("_end"))
         tail = (rows.join(F.broadcast(sizes), "_pid").where(F.col("_pos") > F.col("_end") - (size - 1))
                 .select("_pid", "_pos", "_v"))
         # One row per partition; each has a row at least, so size - 1 partitions back are enough.
@@ -206,18 +224,18 @@ def with_last(df: DataFrame, key_cols: list, order_cols: list, value_cols: list,
         back = Window.orderBy("_pid").rowsBetween(-(size - 1), -1)
         ends = (per.select("_pid", F.flatten(F.collect_list(F.col("_t._v")).over(back)).alias("_b"))
                 .select("_pid", F.slice("_b", F.greatest(F.size("_b") - (size - 2), F.lit(1)), size - 1).alias("_before")))
-        rows = rows.join(F.broadcast(ends), "_pid")
+        edges = edges.join(ends, "_pid")
     else:
-        rows = rows.withColumn("_before", F.array().cast(f"array<{dict(rows.dtypes)['_v']}>"))
+        edges = edges.withColumn("_before", F.array().cast(f"array<{dict(rows.dtypes)['_v']}>"))
     within = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(-(size - 1), Window.currentRow)
-    out = (rows.withColumn("_here", F.collect_list("_v").over(within)).join(F.broadcast(carry), "_pid")
-           .withColumn(name, F.col("_pos") - F.col("_start") + 1
-                       + F.when(F.col("_start") == 0, F.col("_carry")).otherwise(F.lit(0)))
-           .withColumn("_all", F.concat(F.coalesce(F.col("_before"), F.expr("slice(_here, 1, 0)")), F.col("_here")))
+    near = F.when(F.col("_pos") < size - 1, F.concat("_before", "_here")).otherwise(F.col("_here"))
+    out = (_runs(rows, key_cols).withColumn("_here", F.collect_list("_v").over(within)).join(F.broadcast(edges), "_pid")
+           .withColumn(name, F.col("_pos") - F.col("_start") + 1 + F.coalesce(_carried("_b0"), F.lit(0)))
+           .withColumn("_all", near)
            .withColumn("_n", F.least(F.lit(size), F.col(name)).cast("int"))
            .withColumn("_own", F.slice("_all", F.size("_all") - F.col("_n") + 1, F.col("_n"))))
     return (out.withColumns({f"{prefix}{c}": F.col(f"_own.{c}") for c in value_cols})
-            .drop("_pid", "_pos", "_start", "_carry", "_v", "_before", "_here", "_all", "_n", "_own"))
+            .drop("_pid", "_pos", "_start", "_b0", "_v", "_before", "_here", "_all", "_n", "_own"))
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list, prefix: str = "p",
@@ -227,21 +245,30 @@ def exact_quantiles(df: DataFrame, col: str, probs: list, prefix: str = "p",
 
     Rows are counted per value first (combined map-side), so only the different
     values are sorted and pinned; the value at a rank is the least one whose
-    cumulative count reaches it.  Returns one row with a column
-    ``{prefix}{int(p*100)}`` per probability.
+    cumulative count reaches it.  Counts per range partition tell which
+    partitions hold a wanted rank: only their rows get a cumulative count.
+    Returns one row with a column ``{prefix}{int(p*100)}`` per probability.
     """
     counts = (df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-              .groupBy("_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_one", F.lit(0)))
-    cum = running_sum(counts, ["_one"], ["_v"], "_c", "_cum")
-    n = cum.agg(F.max("_cum")).scalar()
+              .groupBy("_v").agg(F.count(F.lit(1)).alias("_c")))
+    mid = _numbered(counts.repartitionByRange("_v").sortWithinPartitions("_v"))
+    by_part = Window.orderBy("_pid")
+    parts = (mid.groupBy("_pid").agg(F.sum("_c").alias("_s"))
+             .select("_pid", F.sum("_s").over(by_part.rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("_upto"),
+                     F.sum("_s").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_n"), "_s"))
+    spots = [(F.col("_n") - 1) * F.lit(float(p)) for p in probs]
+    ranks = [r + 1 for h in spots for r in (F.floor(h), F.ceil(h))]
+    off = F.col("_upto") - F.col("_s")
+    wanted = reduce(or_, [(off < r) & (r <= F.col("_upto")) for r in ranks])
+    within = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = (mid.join(F.broadcast(parts.where(wanted)), "_pid").repartitionByRange("_pid")
+            .withColumn("_cum", off + F.sum("_c").over(within)))
 
     def at(rank):
         return F.min(F.when(F.col("_cum") >= rank, F.col("_v")))
 
-    rows = cum.withColumn("_n", n)
     picks = []
-    for i, p in enumerate(probs):
-        h = (F.col("_n") - 1) * F.lit(float(p))
+    for i, h in enumerate(spots):
         picks += [at(F.floor(h) + 1).alias(f"_lo{i}"), at(F.ceil(h) + 1).alias(f"_hi{i}"),
                   F.max(h - F.floor(h)).alias(f"_f{i}")]
     got = rows.agg(*picks, F.coalesce(F.max("_n"), F.lit(0)).alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators import metrics
-from ledgerline.operators.ordering import exact_quantiles, rank_within, running_sum, with_last
+from ledgerline.operators.ordering import exact_quantiles, rank_within, running_max, running_sum, with_last
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +68,42 @@ def test_call_rates_and_limits_keep_null_targets(spark):
     assert metrics.rolling_call_rates(calls).count() == 9
     assert metrics.rate_limit_excess(calls, 1).where("target is null").count() == 2
     assert metrics.concurrency_peaks(calls).where("target is null").first().peak == 2
+
+
+@pytest.fixture
+def many_parts(spark):
+    """Range partitions are not coalesced, so the small tables span many of them."""
+    names = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "13"}
+    old = {k: spark.conf.get(k) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("keys", [[None, "hot", "hot", "hot", "a"], ["one"], [None], ["a", "b", "c", "d", "e", "f"]])
+def test_runs_over_many_partitions_equal_windows(spark, many_parts, keys):
+    rng = random.Random(len(keys))
+    data = [(k, rng.choice(keys), rng.randrange(40), rng.choice([None, None, 1, 5, -3])) for k in range(400)]
+    df = spark.createDataFrame(data, "id long, k string, t int, v int").cache()
+    w = Window.partitionBy("k").orderBy("t", "id")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    want = {r.id: r for r in df.select("id", F.row_number().over(w).alias("p"), F.sum("v").over(upto).alias("s"),
+                                       F.max("v").over(upto).alias("m"),
+                                       F.collect_list("id").over(w.rowsBetween(-49, 0)).alias("l")).collect()}
+    order = ["t", "id"]
+    assert {r.id: r.pos for r in rank_within(df, ["k"], order).collect()} == {i: r.p for i, r in want.items()}
+    assert {r.id: r.running for r in running_sum(df, ["k"], order, "v").collect()} == {i: r.s for i, r in want.items()}
+    assert {r.id: r.max_v for r in running_max(df, ["k"], order, ["v"]).collect()} == {i: r.m for i, r in want.items()}
+    assert {r.id: (r.pos, r.last_id) for r in with_last(df.select("*"), ["k"], order, ["id"], 50).collect()} \
+        == {i: (r.p, r.l) for i, r in want.items()}
+
+
+def test_quantiles_over_many_partitions_read_few(spark, many_parts):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(float(rng.choice([rng.randrange(900), 7])),) for _ in range(1500)], "x double")
+    probs = [0.0, 0.25, 0.5, 0.99, 1.0]
+    want = df.selectExpr(*[f"percentile(x, {p}) p{int(p * 100)}" for p in probs]).first()
+    assert exact_quantiles(df, "x", probs).first() == want
+    assert exact_quantiles(df.limit(1), "x", [0.5]).first().p50 is not None
