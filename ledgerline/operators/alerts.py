@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
-from .ordering import running_max, running_sum, with_last, with_neighbour
+from ..session import ensure_checkpoint_dir
+from .ordering import running_max, running_sum, with_neighbour
 
 INACTIVE, PENDING, FIRING, RESOLVED = "inactive", "pending", "firing", "resolved"
 RATE_MINUTES = 5
@@ -53,7 +54,8 @@ def minute_counts(log: DataFrame, calls: DataFrame | None = None) -> DataFrame:
     """(minute, created, settled, failed, calls, call_failures) where anything happened.
 
     ``settled``: rows published in the minute; ``failed``: rows that are FAILED or
-    DEAD_LETTER, at the minute they were made.  ``calls``: (ts, failed) of a downstream target."""
+    DEAD_LETTER, at the minute they were made.  ``calls``: (ts, failed) of a downstream target.
+    The counts (one row per minute) are read several times, so they are pinned once."""
     def part(rows: DataFrame, at: str, **counts):
         return rows.where(F.col(at).isNotNull()).groupBy(_minute(at).alias("minute")).agg(*[c.alias(n) for n, c in counts.items()])
 
@@ -68,7 +70,8 @@ def minute_counts(log: DataFrame, calls: DataFrame | None = None) -> DataFrame:
         out = out.unionByName(p, allowMissingColumns=True)
     names = ["created", "settled", "failed", "calls", "call_failures"]
     have = [c for c in names if c in out.columns]
-    return out.groupBy("minute").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) if c in have else F.lit(0).cast("bigint").alias(c) for c in names])
+    ensure_checkpoint_dir(log.sparkSession)
+    return out.groupBy("minute").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) if c in have else F.lit(0).cast("bigint").alias(c) for c in names]).checkpoint()
 
 
 def metrics(counts: DataFrame, minutes: DataFrame, breaker_share: float = 0.5, opening: tuple | None = None) -> DataFrame:
@@ -78,19 +81,22 @@ def metrics(counts: DataFrame, minutes: DataFrame, breaker_share: float = 0.5, o
 
     The running number begins with the counts before the grid, or with ``opening``:
     (a minute of the grid, the number at its end)."""
-    names = ["created", "settled", "failed", "calls", "call_failures"]
+    names = ["created", "settled", "calls", "call_failures"]
     net = F.col("created") - F.col("settled")
+    first = minutes.agg(F.min("minute")).scalar()
     if opening is None:
-        first = minutes.agg(F.min("minute")).scalar()
         before = counts.where(F.col("minute") < first).agg(F.coalesce(F.sum(net), F.lit(0))).scalar()
         net = net + F.when(F.col("minute") == first, before).otherwise(F.lit(0))
     else:
         net = F.when(F.col("minute") > F.lit(opening[0]), net).when(F.col("minute") == F.lit(opening[0]), F.lit(opening[1])).otherwise(F.lit(0))
-    dense = (minutes.join(counts, "minute", "left").select("minute", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in names])
+    # A minute's failures count in the rates of RATE_MINUTES minutes: at most so many rows per minute.
+    later = counts.where(F.col("minute") >= first).withColumn("_later", F.explode(F.sequence(F.lit(0), F.lit(RATE_MINUTES - 1))))
+    spread = later.groupBy(F.timestamp_add("MINUTE", F.col("_later"), F.col("minute")).alias("minute")).agg(
+        *[F.sum(F.when(F.col("_later") == 0, F.col(c))).alias(c) for c in names], F.sum("failed").alias("recent"))
+    dense = (minutes.join(spread, "minute", "left").select("minute", *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in [*names, "recent"]])
              .withColumn("_one", F.lit(0)).withColumn("_net", net.cast("bigint")))
-    run = running_sum(dense, ["_one"], ["minute"], "_net", "pending")
-    last = with_last(run, ["_one"], ["minute"], ["failed"], RATE_MINUTES)
-    rate = F.aggregate("last_failed", F.lit(0).cast("bigint"), lambda a, x: a + x) / F.lit(60.0 * RATE_MINUTES)
+    last = running_sum(dense, ["_one"], ["minute"], "_net", "pending")
+    rate = F.col("recent") / F.lit(60.0 * RATE_MINUTES)
     opened = ((F.col("calls") > 0) & (F.col("call_failures") >= F.col("calls") * F.lit(breaker_share))).cast("double")
     return last.select("minute", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), v.cast("double").alias("value")) for n, v in (
         ("pending", F.col("pending")), ("failed_per_second", rate), ("breaker_open", opened))])).alias("m")).select("m.metric", "minute", "m.value")
@@ -110,23 +116,24 @@ def states(values: DataFrame, rules=RULES, carry: DataFrame | None = None) -> Da
 
     ``carry``: (rule, last_false, was_firing) of the minutes before, at most one row per rule."""
     rows = _truth(values, rules).withColumn("_false", F.when(~F.col("true"), F.col("minute")))
-    run = running_max(rows, ["rule"], ["minute"], ["_false"], "_last")
+    minute = F.col("minute")
+    run = running_max(rows, ["rule"], ["minute"], ["_false"], "_last", ["minute"], "_first_", before=True)
     if carry is None:
         carry = values.sparkSession.createDataFrame([], "rule string, last_false timestamp_ntz, was_firing boolean")
-    start = rows.groupBy("rule").agg(F.min("minute").alias("_first")).join(carry.withColumnRenamed("rule", "_r"), F.col("rule") == F.col("_r"), "left").drop("_r")
-    known = run.join(F.broadcast(start), "rule")
+    first = F.coalesce("_first_minute", minute)
     # With nothing known before the first minute, a stretch begins there at the earliest.
-    floor = F.coalesce("last_false", F.col("_first") - F.expr("INTERVAL 1 MINUTE"))
-    known = known.withColumn("_before", F.coalesce(F.col("_last_false"), floor))
+    floor = F.coalesce("last_false", first - F.expr("INTERVAL 1 MINUTE"))
+    known = (run.join(F.broadcast(carry.withColumnRenamed("rule", "_r")), F.col("rule") == F.col("_r"), "left")
+             .withColumn("_prior", F.coalesce("_last_false", floor)).withColumn("_before", F.when(~F.col("true"), minute).otherwise(F.col("_prior"))))
     since = F.col("_before") + F.expr("INTERVAL 1 MINUTE")
-    lasted = F.timestamp_diff("MINUTE", since, F.col("minute"))
+    lasted = F.timestamp_diff("MINUTE", since, minute)
     # A false minute resolves a rule if the stretch up to the minute before had lasted long enough.
-    prior = with_neighbour(known, ["rule"], ["minute"], ["true", "_before"])
-    ended = F.timestamp_diff("MINUTE", F.col("prev__before") + F.expr("INTERVAL 2 MINUTE"), F.col("minute"))
-    was = F.when(F.col("minute") == F.col("_first"), F.coalesce("was_firing", F.lit(False))).otherwise(F.col("prev_true") & (ended >= F.col("for_minutes")))
+    was_true = F.coalesce(F.col("_last_false") < minute - F.expr("INTERVAL 1 MINUTE"), F.lit(True))
+    ended = F.timestamp_diff("MINUTE", F.col("_prior") + F.expr("INTERVAL 2 MINUTE"), minute)
+    was = F.when(F.col("_first_minute").isNull(), F.coalesce("was_firing", F.lit(False))).otherwise(was_true & (ended >= F.col("for_minutes")))
     state = (F.when(F.col("true") & (lasted >= F.col("for_minutes")), FIRING).when(F.col("true"), PENDING)
              .when(F.coalesce(was, F.lit(False)), RESOLVED).otherwise(INACTIVE))
-    return prior.select("rule", "minute", "value", state.alias("state"), F.when(F.col("true"), since).alias("since"), F.col("_before").alias("last_false"))
+    return known.select("rule", "minute", "value", state.alias("state"), F.when(F.col("true"), since).alias("since"), F.col("_before").alias("last_false"))
 
 
 def transitions(found: DataFrame) -> DataFrame:

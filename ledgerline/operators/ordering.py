@@ -130,10 +130,10 @@ def _runs(mid: DataFrame, key_cols: list) -> DataFrame:
             .drop("_fresh"))
 
 
-def _carry(mid: DataFrame, key_cols: list, measures: list, over) -> DataFrame:
+def _carry(mid: DataFrame, key_cols: list, measures: list, over: list) -> DataFrame:
     """(``_pid``, ``_b0``, ``_b1``, ...): what each measure gives for the rows of
     earlier partitions that have the key of the partition's first run (combined
-    by ``over``; null if there are none).
+    by the measure's function in ``over``; null if there are none).
 
     Keys are sorted, so a partition adds to a later one only with the run of its
     own first key or of the next partition's first key.  Both come from a table
@@ -152,7 +152,7 @@ def _carry(mid: DataFrame, key_cols: list, measures: list, over) -> DataFrame:
             .withColumn("_key", F.when(F.col("_side") == 0, F.col("_first")).otherwise(F.col("_next"))))
     before = Window.partitionBy("_key").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     names = [f"_b{i}" for i in range(len(measures))]
-    return (edge.withColumns({n: over(f"_m{i}").over(before) for i, n in enumerate(names)})
+    return (edge.withColumns({n: over[i](f"_m{i}").over(before) for i, n in enumerate(names)})
             .where(F.col("_side") == 0).select("_pid", *names))
 
 
@@ -168,7 +168,7 @@ def rank_within(df: DataFrame, key_cols: list, order_cols: list, name: str = "po
     The position inside the row's run, plus, in a partition's first run, the
     rows that the key has in earlier partitions.  No exchange on the key."""
     mid = _pinned(df, key_cols, order_cols)
-    carry = _carry(mid, key_cols, [F.count(F.lit(1))], F.sum)
+    carry = _carry(mid, key_cols, [F.count(F.lit(1))], [F.sum])
     return (_runs(mid, key_cols).join(F.broadcast(carry), "_pid")
             .withColumn(name, F.col("_pos") - F.col("_start") + 1 + F.coalesce(_carried("_b0"), F.lit(0)))
             .drop("_pid", "_pos", "_start", "_b0"))
@@ -181,7 +181,7 @@ def running_sum(df: DataFrame, key_cols: list, order_cols: list, value_col: str,
     the sum inside the row's run plus the key's sum in earlier partitions.
     Null until the key's first value that is not null, as in a window."""
     mid = _pinned(df, key_cols, order_cols)
-    carry = _carry(mid, key_cols, [F.sum(value_col)], F.sum)
+    carry = _carry(mid, key_cols, [F.sum(value_col)], [F.sum])
     within = (Window.partitionBy("_pid", "_start").orderBy("_pos")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     here, earlier = F.col("_local"), _carried("_b0")
@@ -191,16 +191,22 @@ def running_sum(df: DataFrame, key_cols: list, order_cols: list, value_col: str,
             .drop("_pos", "_pid", "_start", "_local", "_b0"))
 
 
-def running_max(df: DataFrame, key_cols: list, order_cols: list, value_cols: list, prefix: str = "max_") -> DataFrame:
+def running_max(df: DataFrame, key_cols: list, order_cols: list, value_cols: list, prefix: str = "max_",
+                least_cols: list = (), least_prefix: str = "min_", before: bool = False) -> DataFrame:
     """``{prefix}{value}``: the greatest value of the key's rows up to this one (nulls
     left out), as a prefix maximum: the maximum inside the row's run, and in a
-    partition's first run that of the key's rows in earlier partitions too."""
+    partition's first run that of the key's rows in earlier partitions too.
+
+    ``{least_prefix}{value}``: the least, likewise.  ``before``: of the rows before
+    this one only."""
+    sides = [(f"{prefix}{c}", c, F.max, F.greatest) for c in value_cols] + [(f"{least_prefix}{c}", c, F.min, F.least) for c in least_cols]
     mid = _pinned(df, key_cols, order_cols)
-    carry = _carry(mid, key_cols, [F.max(c) for c in value_cols], F.max)
-    within = (Window.partitionBy("_pid", "_start").orderBy("_pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = _runs(mid, key_cols).withColumns({f"{prefix}{c}": F.max(c).over(within) for c in value_cols}).join(F.broadcast(carry), "_pid")
-    return out.withColumns({f"{prefix}{c}": F.greatest(f"{prefix}{c}", _carried(f"_b{i}"))
-                            for i, c in enumerate(value_cols)}).drop("_pid", "_pos", "_start", *[f"_b{i}" for i in range(len(value_cols))])
+    carry = _carry(mid, key_cols, [agg(c) for _, c, agg, _ in sides], [agg for _, _, agg, _ in sides])
+    within = (Window.partitionBy("_pid", "_start").orderBy("_pos")
+              .rowsBetween(Window.unboundedPreceding, -1 if before else Window.currentRow))
+    out = _runs(mid, key_cols).withColumns({n: agg(c).over(within) for n, c, agg, _ in sides}).join(F.broadcast(carry), "_pid")
+    return (out.withColumns({n: pick(n, _carried(f"_b{i}")) for i, (n, _, _, pick) in enumerate(sides)})
+            .drop("_pid", "_pos", "_start", *[f"_b{i}" for i in range(len(sides))]))
 
 
 def with_last(df: DataFrame, key_cols: list, order_cols: list, value_cols: list, size: int,
@@ -213,7 +219,7 @@ def with_last(df: DataFrame, key_cols: list, order_cols: list, value_cols: list,
     so many rows per partition, read off the pinned rows."""
     values = F.struct(*[F.col(c).alias(c) for c in value_cols])
     mid = _pinned(df, key_cols, order_cols)
-    edges = _carry(mid, key_cols, [F.count(F.lit(1))], F.sum)
+    edges = _carry(mid, key_cols, [F.count(F.lit(1))], [F.sum])
     rows = mid.withColumn("_v", values)
     if size > 1:
         sizes = mid.groupBy("_pid").agg(F.max("_pos").alias("_end"))
