@@ -143,7 +143,7 @@ def _carry(mid: DataFrame, key_cols: list, measures: list, over: list) -> DataFr
         return reduce(and_, [F.col(k).eqNullSafe(F.col(f"{of}._k{i}")) for i, k in enumerate(key_cols)])
 
     key = F.struct(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key_cols)])
-    firsts = mid.where(F.col("_pos") == 0).select("_pid", key.alias("_first"))
+    firsts = mid.where(F.col("_pos") == 0).groupBy("_pid").agg(F.max_by(key, "_pos").alias("_first"))
     tips = firsts.withColumn("_next", F.lead("_first").over(Window.orderBy("_pid")))
     side = F.when(same("_first"), 0).when(F.col("_next").isNotNull() & same("_next"), 1)
     edge = (mid.join(F.broadcast(tips), "_pid").withColumn("_side", side).where(F.col("_side").isNotNull())
