@@ -16,6 +16,7 @@ from ..functions.time import ts
 from .ordering import rank_within
 
 DEFAULT_EXISTS_STATUSES = (S.PENDING, S.PUBLISHED)
+ROWS_A_TASK = 250_000  #: rows of both sides that a task of the inbox join takes
 
 
 def append_rows(events: DataFrame, now, keep: list | None = None) -> DataFrame:
@@ -81,9 +82,16 @@ def event_exists(log: DataFrame, requests: DataFrame,
             .withColumn("exists", F.coalesce(F.col("exists"), F.lit(False))))
 
 
-def unseen(incoming: DataFrame, seen_ids: DataFrame, key: str = "event_id") -> DataFrame:
-    """Keep only events whose id is not in the processed (inbox) set."""
-    return incoming.join(seen_ids.select(key).distinct(), key, "left_anti")
+def unseen(incoming: DataFrame, seen_ids: DataFrame, key: str = "event_id", rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+    """Keep only events whose id is not in the processed (inbox) set.
+
+    Both sides are counted first and dealt by the key into as many partitions as give a
+    task ``rows_a_task`` rows of both, so its sorts and its table of ids do not grow with the
+    input; the ids are made distinct in the same stage."""
+    seen = seen_ids.select(key)
+    rows = incoming.select(key).unionAll(seen).count()
+    n = max(incoming.sparkSession.sparkContext.defaultParallelism, -(-rows // rows_a_task))
+    return incoming.repartition(n, key).join(seen.repartition(n, key).distinct(), key, "left_anti")
 
 
 def version_conflicts(current: DataFrame, appends: DataFrame, order_cols: list | None = None) -> DataFrame:
