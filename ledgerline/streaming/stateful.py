@@ -248,7 +248,7 @@ def _saga_rows(rows: pd.DataFrame, timed_out: bool) -> pd.DataFrame:
 
 def _saga_fold(timeout_us: int):
     def fold(rows, buffer, ev, now):
-        rows = _with_new(rows, ev["order_id"], reached=0, failed=False, last_us=0, version=0, deadline=0)
+        rows = _with_new(rows, ev["order_id"], reached=0, failed=False, last_us=NONE, version=0, deadline=0)
         at = np.searchsorted(rows["order_id"], ev["order_id"])
         touched, failed = np.zeros(len(rows), bool), rows["failed"].to_numpy(bool).copy()
         reached, last = rows["reached"].to_numpy(copy=True), rows["last_us"].to_numpy(copy=True)
@@ -286,7 +286,7 @@ def _machine_fold(timeout_us: int):
     table, misfit = np.array(machine.TABLE), np.array(machine.MISFIT)
 
     def fold(rows, buffer, ev, now):
-        rows = _with_new(rows, ev["order_id"], node=machine.START, illegal=0, last_us=0, version=0, deadline=0)
+        rows = _with_new(rows, ev["order_id"], node=machine.START, illegal=0, last_us=NONE, version=0, deadline=0)
         at, code = np.searchsorted(rows["order_id"], ev["order_id"]), ev["event_type"].map(codes).fillna(-1).to_numpy("int64")
         touched = np.zeros(len(rows), bool)
         touched[at] = True
