@@ -31,6 +31,7 @@ counted and scored like any others; an empty table gives an empty table.
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -39,14 +40,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, chunks, exact_word_hashes, give_back, open_block, open_rest, pack_blocks, pin, spans, squeeze, unsqueeze
+from .common import LOWER, chunks, exact_word_pairs, give_back, open_block, open_rest, pack_blocks, pin, spans, squeeze, unsqueeze
 
 FOLDS, HELD_OUT = 5, 1
 HEAD_SHARE, CLASS_WORDS = 20_000, 32
 BINS = 48  #: classes by the logarithm of the count; 0: unseen
 HIDDEN = 24
 WINDOW, LANES, TRAIN_LANES = 32, 256, 32
+TRAIN_GROUP, SCORE_GROUP = 4, 6  #: blocks laid out together, at most
+HASH_BYTES = 1 << 18  #: text hashed at once, so that its arrays stay in cache
+GROUP_TOKENS = 1 << 20  #: a group ends with as many tokens for each of its blocks
 RATE = 0.01
+PIECE = 1 << 14  #: weights that a step of training changes at once
 SEED = 5
 RANGE_BYTES = 1 << 25  #: text per group of the word count
 AVERAGED = 64  #: weight rows that one group averages
@@ -62,12 +67,12 @@ def fold(doc_id) -> int:
 def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Fingerprints of every document's tokens, ends included, and where documents begin."""
     parts, count = [], []
-    for lo, hi in chunks(at):
+    for lo, hi in chunks(at, HASH_BYTES):
         own = LOWER[data[at[lo]:at[hi]]]
         starts, ends, first = spans(own, at[lo:hi + 1] - at[lo])
         pairs = np.zeros(len(starts) + hi - lo, _PAIR)
         spot = np.arange(len(starts)) + np.repeat(np.arange(hi - lo), np.diff(first))
-        pairs["a"][spot], pairs["b"][spot] = exact_word_hashes(own, starts, ends), exact_word_hashes(own, starts, ends, 1)
+        pairs["a"][spot], pairs["b"][spot] = exact_word_pairs(own, starts, ends)
         parts.append(pairs)
         count.append(np.diff(first) + 1)
     return (np.concatenate(parts) if parts else np.zeros(0, _PAIR),
@@ -76,12 +81,16 @@ def _words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _vocabulary(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Different fingerprints, sorted, and the place of each token among them."""
-    order = np.lexsort((tokens["b"], tokens["a"]))
-    held = tokens[order]
-    new = np.concatenate(([True], held[1:] != held[:-1])) if len(held) else np.zeros(0, bool)
+    a, b = (np.ascontiguousarray(tokens[k]) for k in "ab")
+    order = np.argsort(a)
+    new_a, new_b = np.diff(a[order]) != 0, np.diff(b[order]) != 0
+    if (new_b & ~new_a).any():  # words that share a first half are told apart by the second
+        order = np.lexsort((b, a))
+        new_a, new_b = np.diff(a[order]) != 0, np.diff(b[order]) != 0
+    new = np.concatenate((np.ones(min(1, len(a)), bool), new_a | new_b))
     back = np.empty(len(tokens), np.int64)
     back[order] = np.cumsum(new) - 1
-    return held[new], back
+    return tokens[order[new]], back
 
 
 def _cuts(pairs: np.ndarray, ranges: int) -> np.ndarray:
@@ -165,6 +174,8 @@ class Symbols:
         # What classes hold when a word's own occurrence is left out: once-seen words are then unseen.
         self.left_out = self.mass.copy()
         self.left_out[:2] = max(0.5, left_tokens[1]), max(0.5, left_tokens[2] / 2)
+        # No word falls into a class above the most frequent of the other words'.
+        self.left_out = self.left_out[:1 + int(np.flatnonzero(left_types)[-1])]
 
     def place(self, words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbol of each different word, and log10 of its share of its class (0 for head words)."""
@@ -181,8 +192,24 @@ class Symbols:
 
 # --- the network -----------------------------------------------------------------------
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+def _near(weights: np.ndarray) -> bool:
+    """Whether states (each value within -1 and 1) move sums less than float32's exp can bear."""
+    return bool(np.abs(weights).max(axis=-1).sum(axis=-1).max() < 80)
+
+
+def _softmax(z: np.ndarray, at: np.ndarray, hit: np.ndarray, weight: np.ndarray | None, near: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Log of the softmax of each row of ``z`` (overwritten) at its place ``hit``; with ``weight``, also the
+    gradient of its negative.  ``near``: z holds sums about a bias of 0 at most, so needs no shift by row."""
+    if not near:
+        z -= z.max(axis=1, keepdims=True)
+    found = z[at, hit]
+    exp = np.exp(z, out=z)
+    total = exp @ np.ones(exp.shape[1], exp.dtype)
+    found -= np.log(total)
+    if weight is not None:
+        exp *= (weight / total)[:, None]
+        exp[at, hit] -= weight
+    return found, exp
 
 
 class Network:
@@ -194,7 +221,7 @@ class Network:
 
     def __init__(self, symbols: Symbols, hidden: int = HIDDEN, seed: int = SEED):
         rng, s = np.random.default_rng(seed), symbols
-        heads, classes = len(s.order), s.classes
+        heads, classes, bins = len(s.order), s.classes, len(s.left_out)
         self.hidden, self.heads, self.classes = hidden, heads, classes
         word = np.full((classes, CLASS_WORDS), -30.0)
         word.reshape(-1)[:heads] = np.log(s.head_count + 0.5) if heads else 0
@@ -202,9 +229,9 @@ class Network:
         total = (top + np.log(np.exp(word - top).sum(axis=1, keepdims=True)))
         group = np.concatenate([total[:, 0], np.log(np.maximum(s.left_out, 0.5))])
         self.p = {
-            "e": rng.normal(0, 0.1, (heads + BINS, 3 * hidden)), "u": rng.normal(0, 0.15, (hidden, 3 * hidden)),
+            "e": rng.normal(0, 0.1, (heads + BINS, 3 * hidden))[:heads + bins], "u": rng.normal(0, 0.15, (hidden, 3 * hidden)),
             "c": np.concatenate([np.full(hidden, -1.0), np.zeros(2 * hidden)]),
-            "k": np.zeros((hidden, classes + BINS)), "kb": group - group.max(),
+            "k": np.zeros((hidden, classes + bins)), "kb": group - group.max(),
             "w": np.zeros((classes, hidden, CLASS_WORDS)), "wb": word - total}
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
@@ -219,88 +246,133 @@ class Network:
         return self
 
     def window(self, symbols: np.ndarray, begins: np.ndarray, state: np.ndarray, keep: bool):
-        """States before each symbol of a window (time, lane), and the state after it."""
-        h, u, tape = self.hidden, self.p["u"], []
-        add = self.p["e"][symbols] + self.p["c"]
-        before = np.empty((*symbols.shape, h), np.float32)
-        for t in range(len(symbols)):
-            state = np.where(begins[t][:, None], np.float32(0), state)
-            before[t] = state
-            z_r = _sigmoid(add[t, :, :2 * h] + state @ u[:, :2 * h])
-            z, r = z_r[:, :h], z_r[:, h:]
-            n = np.tanh(add[t, :, 2 * h:] + (r * state) @ u[:, 2 * h:])
-            if keep:
-                tape.append((z, r, n))
-            state = state + z * (n - state)
-        return before, state, tape
+        """States before each symbol of a window (time, lane), and the state after it; with ``keep``
+        also gates and new states (time, 3 x hidden, lane) and the states that the reset gate let through.
+
+        Inside, lanes are the last axis, so that a gate is one run of memory; gates are halved
+        tangents (sigmoid(x) = (1 + tanh(x / 2)) / 2) written over what the symbols add."""
+        h, u, (steps, lanes) = self.hidden, self.p["u"], symbols.shape
+        gates, new = np.ascontiguousarray(u[:, :2 * h].T) * 0.5, np.ascontiguousarray(u[:, 2 * h:].T)
+        tape = np.ascontiguousarray(self.p["e"][symbols].transpose(0, 2, 1))
+        tape += self.p["c"][:, None]
+        tape[:, :2 * h] *= 0.5
+        before, gated = np.empty((steps + 1, h, lanes), u.dtype), np.empty((steps if keep else 1, h, lanes), u.dtype)
+        before[0] = state.T
+        step, fresh = np.empty((h, lanes), u.dtype), begins.any(axis=1).tolist()
+        for t in range(steps):
+            s, z_r, n, rs = before[t], tape[t, :2 * h], tape[t, 2 * h:], gated[t if keep else 0]
+            if fresh[t]:
+                s[:, begins[t]] = 0
+            z_r += gates @ s
+            np.tanh(z_r, out=z_r)
+            z_r *= 0.5
+            z_r += 0.5
+            np.multiply(z_r[h:], s, out=rs)
+            n += new @ rs
+            np.tanh(n, out=n)
+            np.subtract(n, s, out=step)
+            step *= z_r[:h]
+            np.add(s, step, out=before[t + 1])
+        return before[:steps].transpose(0, 2, 1), before[steps].T, (tape, gated) if keep else None
 
     def output(self, before: np.ndarray, symbols: np.ndarray, grads: dict | None = None, weight: np.ndarray | None = None):
-        """Natural log probability of each symbol; with ``grads``, also adds their gradients and returns the states'."""
-        x, y = before.reshape(-1, self.hidden), symbols.reshape(-1)
+        """Natural log probability of each symbol; with ``grads``, also sets their gradients and returns the states'."""
+        h, y = self.hidden, symbols.reshape(-1)
+        x = np.ones((len(y), h + 1), before.dtype)  # the last column meets the biases
+        x[:, :h] = before.reshape(-1, h)
         group = np.where(y < self.heads, y // CLASS_WORDS, y - self.heads + self.classes)
-        z = x @ self.p["k"] + self.p["kb"]
-        z -= z.max(axis=1, keepdims=True)
-        exp = np.exp(z)
-        total = exp.sum(axis=1)
-        at = np.arange(len(y))
-        out = z[at, group] - np.log(total)
-        d_x = None
+        at, d_x = np.arange(len(y)), None
+        weight = None if grads is None else weight.reshape(-1)
+        z = x @ np.concatenate([self.p["k"], (self.p["kb"] - self.p["kb"].max())[None]])
+        out, exp = _softmax(z, at, group, weight, _near(self.p["k"]))
         if grads is not None:
-            d = exp / total[:, None]
-            d[at, group] -= 1
-            d *= weight.reshape(-1, 1)
-            grads["k"] += x.T @ d
-            grads["kb"] += d.sum(axis=0)
-            d_x = d @ self.p["k"].T
-        order = np.argsort(group, kind="stable")
+            both = x.T @ exp
+            grads["k"][:], grads["kb"][:] = both[:h], both[h]
+            d_x = exp @ self.p["k"].T
+        # Tokens of head classes by class: one product for each class, everything else at once.
+        order = np.argsort(group.astype(np.uint16), kind="stable")
         cut = np.searchsorted(group[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(cut)).tolist():
-            own = order[cut[c]:cut[c + 1]]
-            z = x[own] @ self.p["w"][c] + self.p["wb"][c]
-            z -= z.max(axis=1, keepdims=True)
-            exp = np.exp(z)
-            total = exp.sum(axis=1)
-            word = y[own] - c * CLASS_WORDS
-            out[own] += z[np.arange(len(own)), word] - np.log(total)
-            if grads is not None:
-                d = exp / total[:, None]
-                d[np.arange(len(own)), word] -= 1
-                d *= weight.reshape(-1)[own][:, None]
-                grads["w"][c] += x[own].T @ d
-                grads["wb"][c] += d.sum(axis=0)
-                d_x[own] += d @ self.p["w"][c].T
+        order = order[:cut[-1]]
+        held = np.flatnonzero(np.diff(cut))
+        if not len(held):
+            return out.reshape(symbols.shape), d_x
+        words, runs = self.p["w"][held], [slice(cut[c], cut[c + 1]) for c in held.tolist()]
+        x, bias = x[order], self.p["wb"][held]
+        z, both = np.empty((len(order), CLASS_WORDS), x.dtype), np.concatenate([words, (bias - bias.max(axis=1, keepdims=True))[:, None]], axis=1)
+        for k, run in enumerate(runs):
+            np.matmul(x[run], both[k], out=z[run])
+        found, exp = _softmax(z, at[:len(order)], y[order] - group[order] * CLASS_WORDS, None if grads is None else weight[order], _near(words))
+        out[order] += found
+        if grads is not None:
+            back, turned = np.empty((len(order), h), x.dtype), words.transpose(0, 2, 1)
+            for k, run in enumerate(runs):
+                np.matmul(x[run].T, exp[run], out=both[k])
+                np.matmul(exp[run], turned[k], out=back[run])
+            grads["w"][held], grads["wb"][held] = both[:, :h], both[:, h]
+            d_x[order] += back
         return out.reshape(symbols.shape), d_x
 
-    def gradients(self, symbols: np.ndarray, begins: np.ndarray, live: np.ndarray, state: np.ndarray):
-        """Gradients of the mean loss of one window (no further back), and the state after it."""
+    def gradients(self, symbols: np.ndarray, begins: np.ndarray, live: np.ndarray, state: np.ndarray, g: dict | None = None):
+        """Gradients of the mean loss of one window (no further back), in ``g`` (zeros) if given, and the state after it."""
         h, u = self.hidden, self.p["u"]
-        g = {k: np.zeros_like(v) for k, v in self.p.items()}
-        before, after, tape = self.window(symbols, begins, state, True)
-        weight = (live / max(1, live.sum())).astype(np.float32)
-        _, d_x = self.output(before, symbols, g, weight)
-        d_x = d_x.reshape(before.shape)
-        d_add = np.zeros((*symbols.shape, 3 * h), np.float32)
-        d_state = np.zeros_like(state)
+        g = {k: np.zeros_like(v) for k, v in self.p.items()} if g is None else g
+        before, after, (tape, gated) = self.window(symbols, begins, state, True)
+        rows = before.reshape(-1, h)
+        _, d_x = self.output(rows, symbols, g, (live / max(1, live.sum())).astype(u.dtype))
+        d_x = np.ascontiguousarray(d_x.reshape(before.shape).transpose(0, 2, 1))
+        s, z, r, n = before.transpose(0, 2, 1), tape[:, :h], tape[:, h:2 * h], tape[:, 2 * h:]
+        stay = 1 - z
+        to_n, to_z, to_r = z * (1 - n * n), (n - s) * z * stay, gated * (1 - r)
+        gates, new = np.ascontiguousarray(u[:, :2 * h]), np.ascontiguousarray(u[:, 2 * h:])
+        d_add, d_state, fresh = np.empty_like(tape), np.zeros_like(d_x[0]), begins.any(axis=1).tolist()
         for t in range(len(symbols) - 1, -1, -1):
-            (z, r, n), s = tape[t], before[t]
-            d_n = d_state * z * (1 - n ** 2)
-            d_z = d_state * (n - s) * z * (1 - z)
-            back = d_n @ u[:, 2 * h:].T
-            d_r = back * s * r * (1 - r)
-            d_add[t] = np.concatenate([d_z, d_r, d_n], axis=1)
-            g["u"][:, :2 * h] += s.T @ d_add[t, :, :2 * h]
-            g["u"][:, 2 * h:] += (r * s).T @ d_n
-            d_state = d_state * (1 - z) + back * r + d_add[t, :, :2 * h] @ u[:, :2 * h].T + d_x[t]
-            d_state = np.where(begins[t][:, None], np.float32(0), d_state)
-        g["c"] += d_add.sum(axis=(0, 1))
-        flat = d_add.reshape(-1, 3 * h)
-        order = np.argsort(symbols.reshape(-1), kind="stable")
+            own = d_add[t]
+            np.multiply(d_state, to_z[t], out=own[:h])
+            np.multiply(d_state, to_n[t], out=own[2 * h:])
+            back = new @ own[2 * h:]
+            np.multiply(back, to_r[t], out=own[h:2 * h])
+            back *= r[t]
+            d_state *= stay[t]
+            d_state += back
+            d_state += gates @ own[:2 * h]
+            d_state += d_x[t]
+            if fresh[t]:
+                d_state[:, begins[t]] = 0
+        flat = d_add.transpose(0, 2, 1).reshape(-1, 3 * h)
+        g["u"][:, :2 * h] = rows.T @ flat[:, :2 * h]
+        g["u"][:, 2 * h:] = gated.transpose(0, 2, 1).reshape(-1, h).T @ flat[:, 2 * h:]
+        order = np.argsort(symbols.reshape(-1).astype(np.uint16), kind="stable")
         held = symbols.reshape(-1)[order]
         first = np.flatnonzero(np.concatenate(([True], held[1:] != held[:-1])))
-        g["e"][held[first]] = np.add.reduceat(flat[order], first, axis=0)
+        added = np.add.reduceat(flat[order], first, axis=0)
+        g["e"][held[first]], g["c"][:] = added, added.sum(axis=0)
         return g, after
 
 
+def grouped(blocks: Iterator[tuple], most: Iterator[int]) -> Iterator[tuple[np.ndarray, np.ndarray, list, int]]:
+    """Symbols, sizes, other parts and room of runs of at most next(most) blocks (symbols, sizes, other).
+
+    Blocks that are laid out together fill wide lanes to the end of their longest documents."""
+    held, tokens, room = [], 0, 0
+    for block in blocks:
+        room = room or next(most)
+        held.append(block)
+        tokens += len(block[0])
+        if len(held) == room or tokens >= room * GROUP_TOKENS:
+            yield np.concatenate([b[0] for b in held]), np.concatenate([b[1] for b in held]), [b[2] for b in held], len(held)
+            held, tokens, room = [], 0, 0
+    if held:
+        yield np.concatenate([b[0] for b in held]), np.concatenate([b[1] for b in held]), [b[2] for b in held], len(held)
+
+
+def growing() -> Iterator[int]:
+    """1, 2, 4, ... blocks: updates get wider as a copy has learnt more."""
+    room = 1
+    while True:
+        yield room
+        room = min(2 * room, TRAIN_GROUP)
+
+
 def lay_out(sizes: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
     """Whole documents on at most ``lanes`` lanes of like length, longest lane first.
 
@@ -337,7 +409,7 @@ def _windows(symbols: np.ndarray, first: np.ndarray, sizes: np.ndarray, lanes: i
         n = int(live[0].sum())
         own, live = doc[t:t + WINDOW, :n], live[:, :n]
         at = np.where(live, first[own] + place[t:t + WINDOW, :n], 0)
-        yield own, np.where(live, symbols[at], 0), (place[t:t + WINDOW, :n] == 0) & live, live
+        yield own, np.where(live, symbols[at], 0).astype(np.int64), (place[t:t + WINDOW, :n] == 0) & live, live
 
 
 def score_block(net: Network, symbols: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -353,27 +425,50 @@ def score_block(net: Network, symbols: np.ndarray, sizes: np.ndarray) -> np.ndar
 
 
 class Trainer:
-    """Adam over windows; the state is carried, gradients stop at the window's start."""
+    """Adam over windows; the state is carried, gradients stop at the window's start.
+    Weights and gradients are views of one vector each, so that a step is a few passes."""
 
     def __init__(self, net: Network):
         self.net, self.step, self.seen = net, 0, 0
-        self.first = {k: np.zeros_like(v) for k, v in net.p.items()}
-        self.second = {k: np.zeros_like(v) for k, v in net.p.items()}
-
-    def block(self, symbols: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> None:
+        self.flat = np.concatenate([v.reshape(-1) for v in net.p.values()])
+        self.grad, self.first, self.second = (np.zeros_like(self.flat) for _ in range(3))
+        self.work = np.zeros(PIECE, self.flat.dtype)
+        at, self.g = 0, {}
+        for k, v in net.p.items():
+            net.p[k], self.g[k] = (x[at:at + v.size].reshape(v.shape) for x in (self.flat, self.grad))
+            at += v.size
+
+    def block(self, symbols: np.ndarray, first: np.ndarray, sizes: np.ndarray, lanes: int = TRAIN_LANES) -> None:
         state = None
-        for _, own, begins, live in _windows(symbols, first, sizes, TRAIN_LANES):
+        for _, own, begins, live in _windows(symbols, first, sizes, lanes):
             state = np.zeros((own.shape[1], self.net.hidden), np.float32) if state is None else state[:own.shape[1]]
-            g, state = self.net.gradients(own, begins, live, state)
-            self.step += 1
+            _, state = self.net.gradients(own, begins, live, state, self.g)
             self.seen += int(live.sum())
-            size = np.sqrt(sum(float((x ** 2).sum()) for x in g.values()))
-            for k, x in g.items():
-                x = x * np.float32(min(1, 1 / (size + 1e-9)))
-                self.first[k] += np.float32(0.1) * (x - self.first[k])
-                self.second[k] += np.float32(0.001) * (x * x - self.second[k])
-                rate = RATE / (1 + self.step / 2000) / (1 - 0.9 ** self.step)
-                self.net.p[k] -= np.float32(rate) * self.first[k] / (np.sqrt(self.second[k] / np.float32(1 - 0.999 ** self.step)) + np.float32(1e-6))
+            self.update()
+
+    def update(self) -> None:
+        """A step of Adam, in pieces that stay in cache; the gradients are zero afterwards."""
+        self.step += 1
+        scale = min(1, 1 / (np.sqrt(float(self.grad @ self.grad)) + 1e-9))
+        even = np.sqrt(1 - 0.999 ** self.step)
+        rate = even * RATE / (1 + self.step / 2000) / (1 - 0.9 ** self.step)
+        for lo in range(0, len(self.flat), PIECE):
+            x, first, second, flat = (v[lo:lo + PIECE] for v in (self.grad, self.first, self.second, self.flat))
+            work = self.work[:len(x)]
+            np.multiply(x, np.float32(0.1 * scale), out=work)
+            first *= np.float32(0.9)
+            first += work
+            x *= np.float32(scale)
+            x *= x
+            x *= np.float32(0.001)
+            second *= np.float32(0.999)
+            second += x
+            np.sqrt(second, out=work)
+            work += np.float32(1e-6 * even)
+            np.divide(first, work, out=work)
+            work *= np.float32(rate)
+            flat -= work
+            x.fill(0)
 
 
 # --- on Spark -----------------------------------------------------------------------------
@@ -448,10 +543,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         import uuid
 
         trainer = None
-        for row in _rows(batches):
+        blocks = ((np.frombuffer(unsqueeze(row["learn"].as_py()), np.uint16), row["learn_sizes"].values.to_numpy(), None) for row in _rows(batches))
+        for own, sizes, _, n in grouped(blocks, growing()):
             trainer = trainer or Trainer(Network(shared.value))
-            sizes = row["learn_sizes"].values.to_numpy()
-            trainer.block(np.frombuffer(unsqueeze(row["learn"].as_py()), np.uint16).astype(np.int64), np.cumsum(sizes) - sizes, sizes)
+            trainer.block(own, np.cumsum(sizes) - sizes, sizes, n * TRAIN_LANES)
         if trainer and trainer.seen:
             yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([trainer.seen], pa.int64()),
                                               pa.array([squeeze(trainer.net.pack())], pa.binary())], names=["id", "seen", "weights"])
@@ -460,17 +555,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     model = spark.sparkContext.broadcast(weights)
 
     def likelihood(batches):
-        net = None
-        for row in _rows(batches):
+        net, blocks = None, ((np.frombuffer(unsqueeze(row["symbols"].as_py()), np.uint16), row["sizes"].values.to_numpy(),
+                              [open_rest(row["rest"].as_py())["c0"].combine_chunks(), *(row[k].values for k in ("known", "base", "fixed"))])
+                             for row in _rows(batches))
+        for own, sizes, other, _ in grouped(blocks, itertools.repeat(SCORE_GROUP)):
             if net is None:
                 net = Network(shared.value)
                 net = net.unpack(model.value) if model.value else net
-            ids = open_rest(row["rest"].as_py())["c0"].combine_chunks()
-            sizes = row["sizes"].values.to_numpy()
-            found = score_block(net, np.frombuffer(unsqueeze(row["symbols"].as_py()), np.uint16).astype(np.int64), sizes)
+            ids, known, base, fixed = (pa.concat_arrays(x) for x in zip(*other))
+            found = score_block(net, own, sizes)
             held = [fold(i) == HELD_OUT for i in ids.to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(held), pa.array(sizes), row["known"].values, pa.array([shared.value.n_tokens] * len(ids), pa.int64()),
-                 row["base"].values, pa.array(found + row["fixed"].values.to_numpy())], names=[x.split()[0] for x in out.split(", ")])
+                [ids, pa.array(held), pa.array(sizes), known, pa.array([shared.value.n_tokens] * len(ids), pa.int64()),
+                 base, pa.array(found + fixed.to_numpy())], names=[x.split()[0] for x in out.split(", ")])
 
     return placed.select("rest", "symbols", "sizes", "known", "base", "fixed").mapInArrow(likelihood, out)

@@ -18,6 +18,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from ledgerline.llm import bpe, decontaminate, hilbert, html_blocks, licences, ordinal_quality, recurrent_lm
+from ledgerline.llm.common import exact_word_hashes, exact_word_pairs
 
 from .conftest import CLASHING, texts, words
 
@@ -145,6 +146,53 @@ def test_every_frequent_word_is_a_head_word(spark, monkeypatch):
     assert len(heads[0]) == 1501
 
 
+def test_blocks_with_a_long_document_share_wide_lanes():
+    sizes = np.concatenate(([4000], np.full(300, 40)))
+    blocks, steps = [(np.zeros(int(sizes.sum()), np.uint16), sizes, k) for k in range(9)], []
+    for own, held, names, n in recurrent_lm.grouped(iter(blocks), recurrent_lm.growing()):
+        assert len(own) == held.sum() and len(names) == n
+        windows = list(recurrent_lm._windows(own, np.cumsum(held) - held, held, n * recurrent_lm.TRAIN_LANES))
+        assert sum(int(live.sum()) for *_, live in windows) == len(own)
+        steps += [(names, len(windows))]
+    assert steps == [([0], 125), ([1, 2], 125), ([3, 4, 5, 6], 125), ([7, 8], 125)]  # 9 x 125 one by one
+
+
+def test_no_class_above_the_counts_of_the_corpus():
+    types, tokens = np.zeros(recurrent_lm.BINS, np.int64), np.zeros(recurrent_lm.BINS, np.int64)
+    types[[0, 1, 3, 12]], tokens[[1, 3, 12]] = (4, 10, 5, 1), (10, 25, 3000)
+    net = recurrent_lm.Network(recurrent_lm.Symbols([(0, 0, 3000)], types, tokens))
+    assert net.p["k"].shape[1] == 1 + 4  # the end's class, unseen words and counts up to 7
+
+
+def test_state_and_softmax_equal_the_plain_formulas():
+    net, rng = small_network()
+    own, begins, state = rng.integers(0, 70, (6, 5)), rng.random((6, 5)) < 0.3, rng.normal(0, 0.3, (5, 6))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for scale in (1, 300):  # with large weights the row's own shift is needed
+        net.p["k"] *= scale
+        got, after, _ = net.window(own, begins, state, False)
+        found, s = net.output(got, own)[0], state
+        for t in range(6):
+            s = np.where(begins[t][:, None], 0, s)
+            assert np.allclose(got[t], s)
+            for lane, y in enumerate(own[t].tolist()):
+                z, w = s[lane] @ net.p["k"] + net.p["kb"], s[lane] @ net.p["w"][y // 32] + net.p["wb"][y // 32]
+                assert found[t, lane] == pytest.approx(z[y // 32] - np.logaddexp.reduce(z) + w[y % 32] - np.logaddexp.reduce(w))
+            add = net.p["e"][own[t]] + net.p["c"]
+            z, r = np.split(sigmoid(add[:, :12] + s @ net.p["u"][:, :12]), 2, axis=1)
+            s = s + z * (np.tanh(add[:, 12:] + (r * s) @ net.p["u"][:, 12:]) - s)
+        assert np.allclose(after, s)
+
+
+def test_words_that_share_half_a_fingerprint_are_told_apart():
+    pairs = np.array([(5, 2), (5, 1), (9, 1), (5, 2), (0, 0)], recurrent_lm._PAIR)
+    words, back = recurrent_lm._vocabulary(pairs)
+    assert words.tolist() == [(0, 0), (5, 1), (5, 2), (9, 1)] and back.tolist() == [2, 1, 3, 2, 0]
+    data, starts, ends = np.frombuffer(b"one two " + b"x" * 90, np.uint8), np.array([0, 4, 8]), np.array([3, 7, 98])
+    for seed, own in enumerate(exact_word_pairs(data, starts, ends)):
+        assert own.tolist() == exact_word_hashes(data, starts, ends, seed).tolist()
+
+
 def test_held_out_text_is_scored_better_than_by_counts(spark):
     got = recurrent_lm.score(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).where("held_out").agg(
         F.sum("score"), F.sum("base_score")).first()
